@@ -186,7 +186,13 @@ def _silver(rows: DataFrame) -> DataFrame:
     present = set(rows.columns)
     empty = rows.sparkSession.createDataFrame([], schemas.OUTCOME_ROW).schema
     return rows.select(
-        *[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty]
+        # The position keeps whatever orderable type the caller gave it.
+        *[
+            F.col("row_pos")
+            if f.name == "row_pos"
+            else (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in empty
+        ]
     )
 
 

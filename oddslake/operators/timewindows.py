@@ -52,10 +52,12 @@ def candle_windows(
     span = period_minutes * 60 * bars_per_window
     lo, hi = F.col(start), F.col(end)
     reach = lo + F.lit(span * max_windows - 1)
-    starts = F.sequence(lo, F.least(hi, reach), F.lit(span).cast("bigint"))
+    refuse = F.raise_error(F.lit("expected nonnegative seconds with start <= end")).cast("array<bigint>")
+    starts = F.when(
+        (lo >= 0) & (hi >= lo), F.sequence(lo, F.least(hi, reach), F.lit(span).cast("bigint"))
+    ).otherwise(refuse)
     return (
-        ranges.filter((lo >= 0) & (hi >= lo))
-        .withColumn("truncated", hi > reach)
+        ranges.withColumn("truncated", hi > reach)
         .select("*", F.posexplode(starts).alias("window_index", "window_start"))
         .withColumn("window_end", F.least(F.col("window_start") + F.lit(span - 1), hi))
     )
