@@ -1,3 +1,4 @@
+from oddslake.functions.computed import computed
 from oddslake.functions.ordered import lag_ordered, latest_by, row_number_ordered, running_sum
 from oddslake.functions.scalar import (
     book_flags,
@@ -19,18 +20,20 @@ from oddslake.functions.scalar import (
     truthy,
     valid_probability,
 )
-from oddslake.functions.text import ascii_only, casefold, nfkc, python_lines, term_pattern
+from oddslake.functions.text import ascii_only, casefold, first_token, nfkc, python_lines, term_pattern, tokens
 
 __all__ = [
     "ascii_only",
     "book_flags",
     "casefold",
     "cents",
+    "computed",
     "csv_safe_column",
     "exact",
     "finite",
     "first_present",
     "fingerprint",
+    "first_token",
     "instant",
     "json_list",
     "json_objects",
@@ -47,6 +50,7 @@ __all__ = [
     "strict_epoch",
     "term_pattern",
     "to_epoch",
+    "tokens",
     "truthy",
     "valid_probability",
 ]

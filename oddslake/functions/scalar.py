@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Accepted number text (underscores only between digits), zone suffix of an
 # instant, the leading characters a spreadsheet would run as a formula.
 _DIGITS = r"[0-9](?:_?[0-9])*"
-NUMBER_TEXT = rf"^\s*[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
+NUMBER_TEXT = rf"^\s*([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)\s*$"
 INSTANT_TEXT = (
     r"^(\d{4})-?(\d{2})-?(\d{2}).(\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d{1,6})\d*)?"
     r"(Z|[+-]\d{2}(?::?\d{2})?)$"
@@ -20,26 +20,31 @@ FORMULA_LEAD = r"^[=+\-@\t\r]"
 MONEY = "decimal(28,18)"
 
 
-def finite(value: Column) -> Column:
-    """A double that is neither NaN nor infinite, else null."""
-    number_ = value.cast("double")
-    return F.when(F.abs(number_) < F.lit(float("inf")), number_)
+def number(text: Column) -> Column:
+    """Landed text to double; null for blanks, words, hex, NaN and overflow.
 
+    The text is referred to once only, so that uses of this inside other expressions do not
+    multiply the parse.
+    """
+    parsed = F.translate(F.regexp_extract(text.cast("string"), NUMBER_TEXT, 1), "_", "").try_cast("double")
+    infinite = float("inf")
+    return F.get(F.array_remove(F.array_remove(F.array(parsed), infinite), -infinite), 0)
 
-def number(text: Column) -> Column:
-    """Landed text to double; null for blanks, words, hex, NaN and overflow."""
-    text = text.cast("string")
-    plain = F.translate(F.regexp_replace(text, r"\s", ""), "_", "")
-    return F.when(text.rlike(NUMBER_TEXT), finite(plain.try_cast("double")))
+
+def finite(value: Column) -> Column:
+    """A double column that is neither NaN nor infinite, else null."""
+    value = value.cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def valid_probability(value: Column) -> Column:
-    """Keep a double inside [0, 1]."""
-    value = finite(value)
+    """Keep a double column inside [0, 1]."""
+    value = value.cast("double")
     return F.when((value >= 0.0) & (value <= 1.0), value)
 
 
 def probability(text: Column) -> Column:
+    """Landed text to a double inside [0, 1], else null."""
     return valid_probability(number(text))
 
 

@@ -39,9 +39,24 @@ def python_lines(text: Column) -> Column:
 def term_body(term: str) -> str:
     """A term as a pattern: words joined by any run of blanks, underscores or hyphens."""
     words = re.split(r"[\s_-]+", term.casefold())
-    return r"[\s_-]+".join(re.sub(r"([^\w])", r"\\\1", word) for word in words)
+    return r"[\s\x1c-\x1f_-]+".join(re.sub(r"([^\w])", r"\\\1", word) for word in words)
 
 
 def term_pattern(*terms: str) -> str:
     """Whole-word, case-insensitive pattern matching any of the terms."""
     return rf"(?iuUd)(?<![{WORD}])(?:{'|'.join(term_body(t) for t in terms)})(?![{WORD}])"
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters and digits.
+
+    A text can only hold a term if the term's first run is among its tokens, which is far
+    cheaper to test than the pattern. The few letters whose lower case is not what a
+    case-insensitive pattern compares are mapped by hand.
+    """
+    return F.split(F.translate(F.lower(F.translate(text, "İı", "ii")), "ς", "σ"), r"[^\p{L}\p{N}]+")
+
+
+def first_token(term: str) -> str | None:
+    run = re.search(r"[^\W_]+", term.casefold().replace("ς", "σ"))
+    return run.group() if run else None

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddslake.functions import computed
+
 PRICE, SIZE = "decimal(18,10)", "decimal(28,10)"
 LEVELS = "ARRAY<ARRAY<STRING>>"
 _BOOK = f"yes_dollars {LEVELS}, no_dollars {LEVELS}, yes {LEVELS}, no {LEVELS}"
@@ -51,14 +53,15 @@ def yes_book(books: DataFrame, payload: str = "data", strict: bool = False) -> D
         F.nullif(F.get_json_object(raw, "$.orderbook"), F.lit("{}")),
         raw,
     )
-    parsed = (
-        books.withColumn("__inner", inner)
-        .withColumn("__book", F.from_json("__inner", _BOOK))
-        .withColumn("__keys", F.coalesce(F.json_object_keys("__inner"), F.array().cast("array<string>")))
-        .withColumn("__yes", _levels(F.col("__book"), F.col("__keys"), "yes"))
-        .withColumn("__no", _levels(F.col("__book"), F.col("__keys"), "no"))
+    opened = computed(books, __inner=inner)
+    parsed = computed(
+        opened,
+        __book=F.from_json("__inner", _BOOK),
+        __keys=F.coalesce(F.json_object_keys("__inner"), F.array().cast("array<string>")),
     )
-    bad = F.exists("__yes", lambda x: ~x["ok"]) | F.exists("__no", lambda x: ~x["ok"])
+    book, keys = F.col("__book"), F.col("__keys")
+    leveled = computed(parsed, __yes=_levels(book, keys, "yes"), __no=_levels(book, keys, "no"))
+    bad = F.col("__book").isNull() | F.exists("__yes", lambda x: ~x["ok"]) | F.exists("__no", lambda x: ~x["ok"])
     error = F.when(F.col("__book").isNull(), F.lit("book is not an object")).when(
         bad, F.lit("invalid price or quantity")
     )
@@ -69,18 +72,23 @@ def yes_book(books: DataFrame, payload: str = "data", strict: bool = False) -> D
     flip = lambda x: F.struct(
         (F.lit(1).cast(PRICE) - x["price"]).cast(PRICE).alias("price"), x["size"].alias("size")
     )
-    ok = F.col("book_error").isNull()
-    bid, ask = F.col("best_bid"), F.col("best_ask")
-    return (
-        parsed.withColumn("book_error", error)
-        .withColumn("yes_bids", F.when(ok, F.sort_array(F.transform(kept("__yes"), pair), asc=False)))
-        .withColumn("yes_asks", F.when(ok, F.sort_array(F.transform(kept("__no"), flip))))
-        .withColumn("best_bid", F.get("yes_bids", 0)["price"])
-        .withColumn("best_ask", F.get("yes_asks", 0)["price"])
-        .withColumn("spread", (ask - bid).cast(PRICE))
-        .withColumn("midpoint", ((ask + bid) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(20,12)"))
-        .withColumn("crossed", F.coalesce(F.col("spread") < 0, F.lit(False)))
-        .drop("__inner", "__book", "__keys", "__yes", "__no")
+    ladders = computed(
+        leveled,
+        book_error=error,
+        yes_bids=F.when(~bad, F.sort_array(F.transform(kept("__yes"), pair), asc=False)),
+        yes_asks=F.when(~bad, F.sort_array(F.transform(kept("__no"), flip))),
+    )
+    bid, ask = F.get("yes_bids", 0)["price"], F.get("yes_asks", 0)["price"]
+    return ladders.select(
+        *books.columns,
+        "book_error",
+        "yes_bids",
+        "yes_asks",
+        bid.alias("best_bid"),
+        ask.alias("best_ask"),
+        (ask - bid).cast(PRICE).alias("spread"),
+        ((ask + bid) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(20,12)").alias("midpoint"),
+        F.coalesce(ask < bid, F.lit(False)).alias("crossed"),
     )
 
 
@@ -98,7 +106,7 @@ def clob_levels(books: DataFrame, payload: str = "data") -> DataFrame:
         return F.transform(F.coalesce(F.col(f"b.{side}"), F.array().cast("array<struct<price:string,size:string>>")), level)
 
     return (
-        books.withColumn("b", book)
+        computed(books, b=book)
         .select(*keep, F.col("b.asset_id").alias("token_id"), F.explode(F.concat(tagged("bids"), tagged("asks"))).alias("l"))
         .select(*keep, "token_id", "l.side", "l.price", "l.size")
     )

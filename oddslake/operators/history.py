@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddslake import schemas
-from oddslake.functions import fingerprint, instant, latest_by, number, truthy
+from oddslake.functions import computed, fingerprint, instant, latest_by, number, truthy
 
 
 def merge_latest(
@@ -45,7 +45,7 @@ def kalshi_trades(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Typed Kalshi prints with the key used to merge live and archived trades."""
     t = F.from_json(payload, schemas.KALSHI_TRADE)
     keep = [c for c in rows.columns if c != payload]
-    return rows.withColumn("t", t).select(
+    return computed(rows, t=t).select(
         *keep,
         trade_key(F.col("t.trade_id"), F.col(payload)).alias("trade_key"),
         "t.trade_id",
@@ -61,7 +61,7 @@ def kalshi_trades(rows: DataFrame, payload: str = "payload") -> DataFrame:
 def polymarket_trades(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Typed Polymarket prints; ``timestamp`` is epoch seconds."""
     keep = [c for c in rows.columns if c != payload]
-    return rows.withColumn("t", F.from_json(payload, schemas.POLYMARKET_TRADE)).select(
+    return computed(rows, t=F.from_json(payload, schemas.POLYMARKET_TRADE)).select(
         *keep,
         F.col("t.conditionId").alias("condition_id"),
         F.col("t.asset").alias("token_id"),
@@ -92,7 +92,7 @@ def candles(rows: DataFrame, tier: str, payload: str = "payload") -> DataFrame:
     """Flatten candles of either tier; archived closes are already dollars, gaps stay null."""
     keep = [c for c in rows.columns if c != payload]
     side = lambda s, f: number(F.coalesce(F.col(f"c.{s}.{f}_dollars"), F.col(f"c.{s}.{f}")))
-    return rows.withColumn("c", F.from_json(payload, schemas.CANDLE)).select(
+    return computed(rows, c=F.from_json(payload, schemas.CANDLE)).select(
         *keep,
         F.lit(tier).alias("tier"),
         "c.end_period_ts",
@@ -183,7 +183,7 @@ def holders(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per holder with the outcome token it belongs to."""
     keep = [c for c in rows.columns if c != payload]
     return (
-        rows.withColumn("g", F.from_json(payload, schemas.HOLDER_GROUP))
+        computed(rows, g=F.from_json(payload, schemas.HOLDER_GROUP))
         .select(*keep, F.col("g.token").alias("token"), F.explode("g.holders").alias("h"))
         .select(
             *keep,

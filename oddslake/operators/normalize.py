@@ -15,6 +15,7 @@ from oddslake.functions import (
     book_flags,
     casefold,
     cents,
+    computed,
     first_present,
     json_list,
     midpoint,
@@ -70,18 +71,17 @@ def normalize_polymarket(
 ) -> DataFrame:
     """One row per outcome token. Displayed price first; the YES book midpoint only where no
     price is shown, the market is available and neither quote is a 0/1 placeholder."""
-    parsed = (
-        candidates.withColumn("m", F.from_json("market", schemas.POLYMARKET_MARKET))
-        .withColumn("__event_json", F.coalesce("event", F.get(F.filter("m.events", lambda e: e.startswith("{")), 0)))
-        .withColumn("e", F.from_json(F.coalesce("__event_json", F.lit("{}")), schemas.EVENT))
-    )
+    with_market = computed(candidates, m=F.from_json("market", schemas.POLYMARKET_MARKET))
+    first_event = F.get(F.filter("m.events", lambda e: e.startswith("{")), 0)
+    parsed = computed(with_market, e=F.from_json(F.coalesce("event", first_event, F.lit("{}")), schemas.EVENT))
     m = lambda name: F.col(f"m.{name}")
     strings = lambda name: F.transform("m.tokens", lambda t: t[name])
     legacy = (F.size(json_list(m("outcomes"))) == 0) & (F.coalesce(F.size("m.tokens"), F.lit(0)) > 0)
-    lists = (
-        parsed.withColumn("outcomes", F.when(legacy, strings("outcome")).otherwise(json_list(m("outcomes"))))
-        .withColumn("prices", F.when(legacy, strings("price")).otherwise(json_list(m("outcomePrices"))))
-        .withColumn("token_ids", F.when(legacy, strings("token_id")).otherwise(json_list(m("clobTokenIds"))))
+    lists = computed(
+        parsed,
+        outcomes=F.when(legacy, strings("outcome")).otherwise(json_list(m("outcomes"))),
+        prices=F.when(legacy, strings("price")).otherwise(json_list(m("outcomePrices"))),
+        token_ids=F.when(legacy, strings("token_id")).otherwise(json_list(m("clobTokenIds"))),
     )
     flags = [F.when(m(f) == F.lit(v), F.lit(flag)) for f, v, flag in AVAILABILITY_FLAGS]
     closed = F.coalesce(
@@ -143,15 +143,16 @@ def normalize_polymarket(
     labelled = classify(per_market, "__context", taxonomy).drop("__context")
     slots = labelled.select("*", F.posexplode("__slots").alias("outcome_pos", "slot")).drop("__slots")
     quoted = (F.col("outcome_pos") == 0) & F.col("__yes_first")
-    priced = (
-        slots.withColumn("outcome", F.col("slot.outcomes"))
-        .withColumn("token_id", F.col("slot.token_ids"))
-        .withColumn("__raw", F.col("slot.prices"))
-        .withColumn("__shown", probability(F.col("__raw")))
-        .withColumn("bid", F.when(quoted, F.col("__bid")))
-        .withColumn("ask", F.when(quoted, F.col("__ask")))
+    priced = computed(
+        slots,
+        outcome=F.col("slot.outcomes"),
+        token_id=F.col("slot.token_ids"),
+        __raw=F.col("slot.prices"),
+        __number=number(F.col("slot.prices")),
+        bid=F.when(quoted, F.col("__bid")),
+        ask=F.when(quoted, F.col("__ask")),
     )
-    bid, ask, shown = F.col("bid"), F.col("ask"), F.col("__shown")
+    bid, ask, shown = F.col("bid"), F.col("ask"), valid_probability(F.col("__number"))
     spread, book_flag = book_flags(bid, ask)
     boundary = F.coalesce(bid == 0, F.lit(False)) | F.coalesce(ask == 1, F.lit(False))
     mid_allowed = spread.isNotNull() & (F.size("__unavailable") == 0) & ~boundary
@@ -196,47 +197,58 @@ def _silver(rows: DataFrame) -> DataFrame:
     )
 
 
-def keyed_price(record: str, keys: Column, field: str) -> Column:
+def keyed_price(keys: Column, field: str, numbers: str = "n") -> Column:
     """Dollar field if its key is present, even when null; else the legacy cent field."""
-    dollars = F.col(f"{record}.{field}_dollars")
-    return (
-        F.when(dollars.isNotNull() | F.array_contains(keys, f"{field}_dollars"), probability(dollars))
-        .otherwise(valid_probability(cents(number(F.col(f"{record}.{field}")))))
+    dollars, legacy = F.col(f"{numbers}.{field}_dollars"), cents(F.col(f"{numbers}.{field}"))
+    return F.when(dollars.isNotNull() | F.array_contains(keys, f"{field}_dollars"), valid_probability(dollars)).otherwise(
+        valid_probability(legacy)
     )
 
 
+PRICE_FIELDS = ["yes_bid", "yes_ask", "no_bid", "last_price"]
+SIZE_FIELDS = ["yes_bid_size", "yes_ask_size", "no_bid_size"]
+
+
 def normalize_kalshi(
     candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None
 ) -> DataFrame:
     """One YES row per contract; settlement, then two-sided midpoint, then last trade."""
-    parsed = (
-        candidates.withColumn("m", F.from_json("market", schemas.KALSHI_MARKET))
-        .withColumn("e", F.from_json(F.coalesce("event", F.lit("{}")), schemas.EVENT))
-        .withColumn("__keys", F.json_object_keys("market"))
+    parsed = computed(
+        candidates,
+        m=F.from_json("market", schemas.KALSHI_MARKET),
+        e=F.from_json(F.coalesce("event", F.lit("{}")), schemas.EVENT),
+        __keys=F.json_object_keys("market"),
     )
     m = lambda name: F.col(f"m.{name}")
     keys = F.col("__keys")
     title = F.coalesce(truthy(m("title")), truthy(F.col("e.title")), truthy(m("ticker")), F.lit(""))
     subtitle = F.coalesce(truthy(m("yes_sub_title")), truthy(m("subtitle")), F.lit(""))
-    size = lambda side: number(first_present(m(f"{side}_size_fp"), m(f"{side}_size")))
-    empty = lambda side: F.coalesce(size(side) == 0, F.lit(False))
+    # Text becomes numbers first; the price rules below then only combine plain columns.
+    prices = [f"{field}{suffix}" for field in PRICE_FIELDS for suffix in ("_dollars", "")]
+    numbers = F.struct(
+        *[number(m(name)).alias(name) for name in prices],
+        *[number(first_present(m(f"{name}_fp"), m(name))).alias(name) for name in SIZE_FIELDS],
+    )
+    numbered = computed(parsed, n=numbers)
+    empty = lambda side: F.coalesce(F.col(f"n.{side}_size") == 0, F.lit(False))
     own_ask = F.array_contains(keys, "yes_ask_dollars") | F.array_contains(keys, "yes_ask")
-    no_bid = keyed_price("m", keys, "no_bid")
+    no_bid = keyed_price(keys, "no_bid")
     complement = (F.lit(1).cast("decimal(28,18)") - exact(no_bid)).cast("double")
-    yes_ask = F.when(own_ask, F.when(~empty("yes_ask"), keyed_price("m", keys, "yes_ask"))).when(
+    yes_ask = F.when(own_ask, F.when(~empty("yes_ask"), keyed_price(keys, "yes_ask"))).when(
         ~empty("no_bid") & ~empty("yes_ask"), complement
     )
-    quoted = (
-        parsed.withColumn("__title", title)
-        .withColumn("__subtitle", subtitle)
-        .withColumn("bid", F.when(~empty("yes_bid"), keyed_price("m", keys, "yes_bid")))
-        .withColumn("ask", yes_ask)
+    quoted = computed(
+        numbered,
+        __title=title,
+        __subtitle=subtitle,
+        bid=F.when(~empty("yes_bid"), keyed_price(keys, "yes_bid")),
+        ask=yes_ask,
+        __last=keyed_price(keys, "last_price"),
     )
-    bid, ask = F.col("bid"), F.col("ask")
+    bid, ask, last = F.col("bid"), F.col("ask"), F.col("__last")
     spread, book_flag = book_flags(bid, ask)
     nonbinary = ~F.coalesce(m("market_type"), F.lit("")).isin("", "binary")
     settled = F.coalesce(m("result").isin("yes", "no") & m("status").isin(*SETTLED_STATUSES), F.lit(False))
-    last = keyed_price("m", keys, "last_price")
     two_sided = F.col("spread").isNotNull()
     kind = F.when(F.array_contains(keys, "market_type"), m("market_type")).otherwise(F.lit("binary"))
     appended = (F.col("__subtitle") != "") & ~F.contains(casefold(F.col("__title")), casefold(F.col("__subtitle")))

@@ -2,18 +2,19 @@
 
 Every rule is a literal pattern, compiled once per task. Context words are one alternation per
 group, because only presence matters there; evidence keeps one pattern per term, since
-overlapping terms must all be reported, but a topic's terms are only tried on texts that pass
-that topic's own alternation.
+overlapping terms must all be reported. A pattern only runs on texts whose tokens include the
+first word of one of its terms, so most rows are settled by set lookups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.functions import nfkc, python_lines, term_pattern
+from oddslake.functions import computed, first_token, nfkc, python_lines, term_pattern, tokens
 from oddslake.sources.taxonomy import Taxonomy
 
 # Extra United States context, the election words and the year shape.
@@ -36,113 +37,125 @@ ELECTION_TOPIC, CYCLE_YEAR, DISTRICT_RULE = "midterms_2026", "2026", "district c
 LABEL_COLUMNS = ["topics", "matched_terms", "sectors", "relevance_score", "exclude_reason"]
 
 
-def _insensitive(pattern: str) -> str:
-    return "(?iuUd)" + pattern
+@dataclass(frozen=True)
+class Text:
+    """A text column with its tokens."""
 
+    text: Column
+    tokens: Column
 
-def _sensitive(pattern: str) -> str:
-    return "(?Ud)" + pattern
+    def _may_hold(self, firsts: Sequence[str | None]) -> Column:
+        if not firsts or None in firsts:
+            return F.lit(True)
+        if len(firsts) == 1:
+            return F.array_contains(self.tokens, firsts[0])
+        return F.arrays_overlap(self.tokens, F.array(*[F.lit(t) for t in sorted(set(firsts))]))
 
+    def has_term(self, *terms: str) -> Column:
+        if not terms:
+            return F.lit(False)
+        return self._may_hold([first_token(t) for t in terms]) & self.text.rlike(term_pattern(*terms))
 
-def _any_term(text: Column, terms: Sequence[str]) -> Column:
-    return text.rlike(term_pattern(*terms)) if terms else F.lit(False)
+    def matches(self, pattern: str, *firsts: str) -> Column:
+        """Case-insensitive search; one of ``firsts`` is a token of every text that matches."""
+        return self._may_hold(firsts) & self.text.rlike("(?iuUd)" + pattern)
 
+    def matches_case(self, pattern: str) -> Column:
+        return self.text.rlike("(?Ud)" + pattern)
 
-def explicit_cycle(text: Column) -> Column:
+
+def explicit_cycle(t: Text) -> Column:
     """True when the headline, or else the first dated election line, names the cycle year.
 
     "midterms" anywhere also counts, provided neither line carries a year.
     """
-    lines = F.filter(python_lines(text), lambda line: line.rlike(r"(?U)[^\s\x1c-\x1f]"))
-    years_of = lambda line: F.regexp_extract_all(line, F.lit(_sensitive(YEAR)), 1)
     none = F.array().cast("array<string>")
-    headline = F.coalesce(years_of(F.get(lines, 0)), none)
-    dated = F.filter(
-        lines, lambda line: line.rlike(_insensitive(ELECTION_WORDS)) & line.rlike(_sensitive(YEAR))
-    )
-    election = F.coalesce(years_of(F.get(dated, 0)), none)
+    years_of = lambda line: F.coalesce(F.regexp_extract_all(line, F.lit(YEAR), 1), none)
+    lines = F.filter(python_lines(t.text), lambda line: line.rlike(r"(?U)[^\s\x1c-\x1f]"))
+    dated = F.filter(lines, lambda line: line.rlike(YEAR) & line.rlike("(?iuUd)" + ELECTION_WORDS))
+    headline, election = years_of(F.get(lines, 0)), years_of(F.get(dated, 0))
     years = F.when(F.size(headline) > 0, headline).otherwise(election)
-    return F.array_contains(years, CYCLE_YEAR) | ((F.size(years) == 0) & text.rlike(_insensitive(MIDTERM_WORD)))
+    undated = (F.size(years) == 0) & t.matches(MIDTERM_WORD, "midterm", "midterms")
+    return F.array_contains(years, CYCLE_YEAR) | undated
 
 
-def exclusion_reason(text: Column, taxonomy: Taxonomy) -> Column:
+def exclusion_reason(t: Text, taxonomy: Taxonomy) -> Column:
     """Why a text is out of scope, or null; sports first, then foreign, then no US link."""
-    us = _any_term(text, taxonomy.group("us_context_terms"))
-    state = _any_term(text, taxonomy.group("us_state_terms")) | text.rlike(_insensitive(GEORGIA_OFFICE))
-    foreign = _any_term(text, taxonomy.group("foreign_context_terms"))
-    sports = _any_term(text, taxonomy.group("sports_terms"))
-    fed = text.rlike(_insensitive(FED_RATE))
-    shorthand = text.rlike(_insensitive(CHAMBER_SHORTHAND))
+    us = t.has_term(*taxonomy.group("us_context_terms"))
+    state = t.has_term(*taxonomy.group("us_state_terms")) | t.matches(GEORGIA_OFFICE, "georgia")
+    foreign = t.has_term(*taxonomy.group("foreign_context_terms"))
+    sports = t.has_term(*taxonomy.group("sports_terms"))
+    chamber = t.matches(CHAMBER_SHORTHAND, "midterm", "midterms", "congressional", "senate", "congress", "house", "control")
     district_rule = taxonomy.topics.get(ELECTION_TOPIC, {}).get("patterns", {}).get(DISTRICT_RULE)
-    district = text.rlike(_sensitive(district_rule)) if district_rule else F.lit(False)
+    district = t.matches_case(district_rule) if district_rule else F.lit(False)
     return (
         F.when(sports, F.lit("sports_context"))
-        .when(us | fed, F.lit(None).cast("string"))
+        .when(us | t.matches(FED_RATE, "fed"), F.lit(None).cast("string"))
         .when(foreign, F.lit("foreign_context_without_explicit_us_link"))
-        .when(~(state | shorthand | district), F.lit("missing_us_context"))
+        .when(~(state | chamber | district), F.lit("missing_us_context"))
     )
 
 
-def topic_evidence(text: Column, topic: str, taxonomy: Taxonomy, cycle: Column) -> Column:
+def topic_evidence(t: Text, topic: str, taxonomy: Taxonomy) -> Column:
     """Sorted distinct labels of the rules of one topic found in the text; null when none."""
     terms, patterns = taxonomy.terms(topic), taxonomy.patterns(topic)
-    tests = [(term, text.rlike(term_pattern(term))) for term in terms]
-    tests += [(label, text.rlike(_insensitive(p))) for label, p in patterns.items()]
+    tests = [(term, t.has_term(term)) for term in terms]
+    tests += [(label, t.matches(p)) for label, p in patterns.items()]
     if not tests:
         return F.lit(None).cast("array<string>")
-    gate = _any_term(text, terms)
+    gate = t.has_term(*terms)
     for pattern in patterns.values():
-        gate = gate | text.rlike(_insensitive(pattern))
-    if taxonomy.topics[topic].get("requires_election_cycle"):
-        gate = gate & cycle
-    found = F.array(*[F.when(test, F.lit(label)) for label, test in tests])
-    return F.when(gate, F.array_sort(F.array_distinct(F.array_compact(found))))
+        gate = gate | t.matches(pattern)
+    found = F.array(*[F.when(test, F.lit(label)) for label, test in sorted(tests, key=lambda pair: pair[0])])
+    # Leaving out null also leaves out repeats and keeps the order.
+    return F.when(gate, F.array_except(found, F.array(F.lit(None).cast("string"))))
 
 
 def classify(df: DataFrame, text_col: str, taxonomy: Taxonomy | None = None) -> DataFrame:
     """Add topics, matched_terms, sectors, relevance_score and exclude_reason to each row."""
     taxonomy = taxonomy or Taxonomy.default()
-    names = list(taxonomy.topics)
-    text = F.col("__text")
-    scoped = df.withColumn("__text", nfkc(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(
+    names = sorted(taxonomy.topics)
+    no_strings = F.array().cast("array<string>")
+    no_terms = F.map_from_arrays(no_strings, F.array().cast("array<array<string>>"))
+    text = Text(F.col("__text"), F.col("__tokens"))
+    reason, cycle = F.col("__reason"), F.col("__cycle")
+
+    composed = computed(df, __text=nfkc(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    scoped = composed.withColumn("__tokens", tokens(F.col("__text"))).withColumn(
         "__reason", exclusion_reason(text, taxonomy)
     )
-    entries = F.array(
-        *[
-            F.struct(F.lit(t).alias("topic"), topic_evidence(text, t, taxonomy, F.col("__cycle")).alias("terms"))
-            for t in names
-        ]
+    in_scope = reason.isNull()
+    found = computed(
+        scoped,
+        __why=reason,
+        __cycle=F.when(in_scope, explicit_cycle(text)),
+        __found=F.when(in_scope, F.array(*[topic_evidence(text, n, taxonomy) for n in names])),
     )
-    in_scope = F.col("__reason").isNull()
-    needs_cycle = any(taxonomy.topics[t].get("requires_election_cycle") for t in names)
-    cycle = F.when(in_scope, explicit_cycle(text)) if needs_cycle else F.lit(False)
-    hits = (
-        scoped.withColumn("__cycle", cycle)
-        .withColumn("__hits", F.when(in_scope, F.filter(entries, lambda e: e["terms"].isNotNull())))
-        .withColumn("__topics", F.coalesce(F.array_sort(F.col("__hits.topic")), F.array().cast("array<string>")))
-    )
-    topics = F.col("__topics")
-    sector_lists = [
-        F.when(F.array_contains(topics, t), F.array(*[F.lit(s) for s in taxonomy.sectors(t)]))
-        for t in names
-        if taxonomy.sectors(t)
+    evidence = [F.get("__found", i) for i in range(len(names))]
+    gated = [
+        F.when(cycle, e) if taxonomy.topics[n].get("requires_election_cycle") else e for n, e in zip(names, evidence)
     ]
-    no_strings = F.array().cast("array<string>")
-    sectors = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*sector_lists))))) if sector_lists else no_strings
-    no_terms = F.map_from_arrays(no_strings, F.array().cast("array<array<string>>"))
-    return (
-        hits.withColumn("topics", topics)
-        .withColumn("matched_terms", F.coalesce(F.map_from_entries("__hits"), no_terms))
-        .withColumn("sectors", sectors)
-        .withColumn(
-            "relevance_score",
-            F.size(topics) + F.when(F.array_contains(topics, ELECTION_TOPIC), 5).otherwise(0),
-        )
-        .withColumn(
-            "exclude_reason",
-            F.coalesce(F.col("__reason"), F.when(F.size(topics) == 0, F.lit("no_target_topic"))),
-        )
-        .drop("__text", "__reason", "__cycle", "__hits", "__topics")
+    nothing = F.array(F.lit(None).cast("string"))
+    present = lambda values: F.array_except(F.array(*values), nothing)
+    labelled = found.withColumn(
+        "topics", present([F.when(e.isNotNull(), F.lit(n)) for n, e in zip(names, gated)])
+    )
+    topics = F.col("topics")
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), e.alias("value")) for n, e in zip(names, gated)])
+    sectors = sorted({s for n in names for s in taxonomy.sectors(n)})
+    behind = {s: [n for n in names if s in taxonomy.sectors(n)] for s in sectors}
+    sector_list = present(
+        [F.when(F.arrays_overlap(topics, F.array(*[F.lit(n) for n in behind[s]])), F.lit(s)) for s in sectors]
+    ) if sectors else no_strings
+    return labelled.select(
+        *df.columns,
+        topics,
+        F.when(F.size(topics) > 0, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
+        .otherwise(no_terms)
+        .alias("matched_terms"),
+        F.when(F.size(topics) > 0, sector_list).otherwise(no_strings).alias("sectors"),
+        (F.size(topics) + F.when(F.array_contains(topics, ELECTION_TOPIC), 5).otherwise(0)).alias("relevance_score"),
+        F.coalesce(F.col("__why"), F.when(F.size(topics) == 0, F.lit("no_target_topic"))).alias("exclude_reason"),
     )
 
 

@@ -1 +1,224 @@
-QUERIES = []
+"""Venue normalizers over market JSON derived from every ``lineitem`` row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oddslake.operators.normalize import normalize_kalshi, normalize_polymarket
+from oddslake.plans.registry import Query, join_text, json_text, quoted, table, text
+from oddslake.sources.taxonomy import Taxonomy
+
+# A small taxonomy keeps the SQL readable; the default one is checked by its own query.
+TAXONOMY = Taxonomy(
+    {
+        "us_context_terms": ["US", "White House"],
+        "foreign_context_terms": ["Canada"],
+        "sports_terms": ["tennis"],
+        "topics": {
+            "rates": {"terms": ["rate cut", "rates"], "sectors": ["banks"]},
+            "jobs": {"terms": ["payrolls"], "sectors": ["retail", "banks"]},
+        },
+    }
+)
+SUBJECTS = [
+    "US rate cut", "Canada rates", "White House payrolls and rates", "tennis in the US", "payrolls", "US weather",
+]
+
+
+def _subject() -> F.Column:
+    return F.element_at(F.array(*[F.lit(s) for s in SUBJECTS]), (F.col("l_partkey") % len(SUBJECTS) + 1).cast("int"))
+
+
+def _bid() -> F.Column:
+    return F.round(F.col("l_tax") * 10, 1)
+
+
+def _ask() -> F.Column:
+    return F.round(F.col("l_discount") * 10, 1)
+
+
+def kalshi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six payload shapes by ``l_suppkey % 6``: dollars, cents, null dollars, complement of the
+    NO bid, empty sizes, last trade only."""
+    bid, ask, qty = _bid(), _ask(), F.col("l_quantity")
+    hundred = lambda c: F.round(c * 100, 0).cast("int").cast("string")
+    shape = F.col("l_suppkey") % 6
+    prices = (
+        F.when(shape == 0, json_text(yes_bid_dollars=quoted(bid), yes_ask_dollars=quoted(ask), yes_bid=F.lit("99")))
+        .when(shape == 1, json_text(yes_bid=hundred(bid), yes_ask=hundred(ask)))
+        .when(shape == 2, json_text(yes_bid_dollars=F.lit("null"), yes_bid=F.lit("50"), yes_ask_dollars=quoted(ask), last_price_dollars=quoted(bid)))
+        .when(shape == 3, json_text(yes_bid_dollars=quoted(bid), no_bid_dollars=quoted(ask), no_bid_size_fp=quoted(qty - 1)))
+        .when(
+            shape == 4,
+            json_text(yes_bid_dollars=quoted(bid), yes_ask_dollars=quoted(ask), yes_bid_size_fp=quoted(F.when(qty < 10, 0).otherwise(qty)), yes_ask_size=quoted(qty), last_price=hundred(ask)),
+        )
+        .otherwise(json_text(last_price_dollars=quoted(ask)))
+    )
+    common = json_text(
+        ticker=quoted(F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"))),
+        title=quoted(_subject()),
+        yes_sub_title=quoted(F.when(F.col("l_linenumber") == 1, F.lit("RATE")).otherwise(F.concat(F.lit("side "), text("l_linenumber")))),
+        status=quoted(F.when(F.col("l_returnflag") == "R", "finalized").otherwise("active")),
+        result=quoted(F.when(F.col("l_linestatus") == "O", "yes").otherwise("no")),
+        market_type=F.when(qty == 50, F.lit('"scalar"')).when(qty == 49, F.lit("null")).otherwise(F.lit('"binary"')),
+        volume_fp=quoted(F.col("l_extendedprice")),
+        volume=F.lit("7"),
+        open_interest=qty.cast("string"),
+        rules_primary=F.lit('"first"'),
+        rules_secondary=F.lit('"second"'),
+    )
+    market = F.concat(F.substring(common, F.lit(1), F.length(common) - 1), F.lit(","), F.substring(prices, F.lit(2), F.length(prices)))
+    event = json_text(event_ticker=quoted(text("l_orderkey")), series_ticker=quoted((F.col("l_orderkey") % 10).cast("string")))
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(
+        market.alias("market"), event.alias("event"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row_pos"),
+    )
+
+
+KALSHI_SQL = """
+WITH base AS (
+  SELECT *, l_suppkey % 6 AS shape, round(l_tax * 10, 1) AS b, round(l_discount * 10, 1) AS a FROM lineitem),
+sides AS (
+  SELECT *, CASE WHEN shape IN (0, 1, 3) OR (shape = 4 AND l_quantity >= 10) THEN b END AS bid,
+         CASE WHEN shape IN (0, 1, 2, 4) THEN a
+              WHEN shape = 3 AND l_quantity <> 1 THEN CAST(1 - CAST(a AS DECIMAL(6,2)) AS DOUBLE) END AS ask,
+         CASE WHEN shape = 2 THEN b WHEN shape IN (4, 5) THEN a END AS last
+  FROM base),
+priced AS (
+  SELECT *, CASE WHEN bid <= ask THEN CAST(CAST(ask AS DECIMAL(6,2)) - CAST(bid AS DECIMAL(6,2)) AS DOUBLE) END AS spread,
+         CASE WHEN l_quantity = 50 THEN NULL WHEN l_returnflag = 'R' THEN 'settlement_result'
+              WHEN bid <= ask THEN 'yes_book_midpoint' WHEN last IS NOT NULL THEN 'last_trade' END AS price_source
+  FROM sides)
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS market_id,
+  ['US rate cut','Canada rates','White House payrolls and rates','tennis in the US','payrolls','US weather'][l_partkey % 6 + 1]
+    || CASE WHEN l_linenumber = 1 THEN CASE WHEN l_partkey % 6 IN (0, 1, 2) THEN '' ELSE ' — RATE' END
+            ELSE ' — side ' || CAST(l_linenumber AS VARCHAR) END AS title,
+  CAST(l_orderkey AS VARCHAR) AS event_id, CAST(l_orderkey % 10 AS VARCHAR) AS series_id, bid, ask, spread,
+  CASE price_source WHEN 'settlement_result' THEN CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END
+    WHEN 'yes_book_midpoint' THEN CAST((CAST(ask AS DECIMAL(6,2)) + CAST(bid AS DECIMAL(6,2))) AS DOUBLE) / 2
+    WHEN 'last_trade' THEN last END AS probability,
+  price_source, l_extendedprice AS volume, l_quantity AS open_interest,
+  CASE WHEN l_quantity = 50 THEN 'scalar' WHEN l_quantity = 49 THEN NULL ELSE 'binary' END AS market_type,
+  CASE WHEN l_returnflag = 'R' THEN 'finalized' ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN bid > ask THEN 'crossed_orderbook' END, 'kalshi_liquidity_deprecated',
+    CASE WHEN price_source = 'last_trade' THEN 'last_trade_may_be_stale' END,
+    CASE WHEN bid IS NULL AND ask IS NULL THEN 'missing_orderbook' END,
+    CASE WHEN l_quantity = 50 THEN 'nonbinary_contract_price_is_not_probability' END,
+    CASE WHEN (bid IS NULL) <> (ask IS NULL) THEN 'one_sided_orderbook' END) AS quality_flags,
+  CASE l_partkey % 6 WHEN 0 THEN 'rates' WHEN 2 THEN 'jobs,rates' ELSE '' END AS topics,
+  CASE l_partkey % 6 WHEN 0 THEN 'banks' WHEN 2 THEN 'banks,retail' ELSE '' END AS sectors,
+  CASE l_partkey % 6 WHEN 1 THEN 'foreign_context_without_explicit_us_link' WHEN 3 THEN 'sports_context'
+    WHEN 4 THEN 'missing_us_context' WHEN 5 THEN 'no_target_topic' END AS exclude_reason,
+  chr(10) || chr(10) = rules_gap AS rules_joined
+FROM priced, (SELECT chr(10) || chr(10) AS rules_gap)"""
+
+
+def kalshi_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize_kalshi(kalshi_candidates(spark, sf_dir), TAXONOMY)
+    return rows.select(
+        "market_id", "title", "event_id", "series_id", "bid", "ask", "spread", "probability", "price_source", "volume",
+        "open_interest", "market_type", "status", join_text("quality_flags").alias("quality_flags"),
+        join_text("topics").alias("topics"), join_text("sectors").alias("sectors"), "exclude_reason",
+        (F.col("rules") == "first\n\nsecond").alias("rules_joined"),
+    )
+
+
+def polymarket_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six payload shapes by ``l_suppkey % 6``: JSON-in-string arrays, plain arrays priced from
+    the book, mismatched arrays, the older tokens list, an unavailable market, nothing."""
+    bid, ask = _bid().cast("string"), _ask().cast("string")
+    rest = F.round(1 - F.col("l_discount") * 10, 1).cast("string")
+    key = text("l_orderkey")
+    tokens = F.concat(F.lit('["'), key, F.lit('1","'), key, F.lit('2"]'))
+    shape = F.col("l_suppkey") % 6
+    escaped = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', r'\\"'), F.lit('"'))
+    prices = F.concat(F.lit('["'), ask, F.lit('","'), rest, F.lit('"]'))
+    body = (
+        F.when(
+            shape == 0,
+            json_text(outcomes=F.lit(r'"[\"Yes\",\"No\"]"'), outcomePrices=escaped(prices), clobTokenIds=escaped(tokens), bestBid=bid, bestAsk=ask, active=F.lit("true")),
+        )
+        .when(shape == 1, json_text(outcomes=F.lit('["YES","no"]'), clobTokenIds=tokens, bestBid=bid, bestAsk=ask, active=F.lit("true"), acceptingOrders=F.lit("true")))
+        .when(shape == 2, json_text(outcomes=F.lit('["Yes"]'), clobTokenIds=tokens, outcomePrices=F.lit('["1.5","x"]')))
+        .when(shape == 3, json_text(tokens=F.concat(F.lit('[{"outcome":"A","price":'), ask, F.lit(',"token_id":"'), key, F.lit('"},{"outcome":"B"}]'))))
+        .when(shape == 4, json_text(outcomes=F.lit('["Yes","No"]'), clobTokenIds=tokens, bestBid=bid, bestAsk=ask, acceptingOrders=F.lit("false"), closed=F.lit("true"), archived=F.lit("true")))
+        .otherwise(json_text(active=F.lit('"false"'), question=F.lit("null")))
+    )
+    common = json_text(
+        id=F.when(shape == 5, F.lit("null")).otherwise(key),
+        conditionId=quoted(F.concat(F.lit("0x"), key)),
+        title=quoted(_subject()),
+        volumeNum=F.when(F.col("l_linenumber") == 1, F.lit("null")).otherwise(F.lit("0")),
+        volume=quoted(F.col("l_extendedprice")),
+        liquidity=F.lit('"1_000.5"'),
+        events=F.concat(F.lit('[{"id":'), text("l_partkey"), F.lit(',"seriesSlug":"s"}]')),
+    )
+    market = F.concat(F.substring(common, F.lit(1), F.length(common) - 1), F.lit(","), F.substring(body, F.lit(2), F.length(body)))
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(
+        market.alias("market"), F.lit(None).cast("string").alias("event"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"), F.struct("l_orderkey", "l_linenumber").alias("row_pos"),
+    )
+
+
+POLYMARKET_SQL = """
+WITH base AS (
+  SELECT *, l_suppkey % 6 AS shape, round(l_tax * 10, 1) AS b, round(l_discount * 10, 1) AS a,
+         round(1 - l_discount * 10, 1) AS r, CAST(l_orderkey AS VARCHAR) AS k FROM lineitem),
+slots AS (
+  SELECT *, unnest(CASE WHEN shape = 5 THEN [0] ELSE [0, 1] END) AS i FROM base),
+parts AS (
+  SELECT *,
+    CASE WHEN shape IN (0, 4) THEN ['Yes','No'][i+1] WHEN shape = 1 THEN ['YES','no'][i+1]
+         WHEN shape = 2 AND i = 0 THEN 'Yes' WHEN shape = 3 THEN ['A','B'][i+1] END AS outcome,
+    CASE WHEN shape IN (0, 1, 2, 4) THEN k || CAST(i + 1 AS VARCHAR) WHEN shape = 3 AND i = 0 THEN k END AS token_id,
+    CASE WHEN shape = 0 THEN [a, r][i+1] WHEN shape = 3 AND i = 0 THEN a END AS shown,
+    CASE WHEN shape IN (0, 1, 4) AND i = 0 THEN b END AS bid, CASE WHEN shape IN (0, 1, 4) AND i = 0 THEN a END AS ask
+  FROM slots),
+priced AS (
+  SELECT *, CASE WHEN bid <= ask THEN CAST(CAST(ask AS DECIMAL(6,2)) - CAST(bid AS DECIMAL(6,2)) AS DOUBLE) END AS spread,
+    coalesce(bid = 0, false) OR coalesce(ask = 1, false) AS edge FROM parts),
+final AS (
+  SELECT *, shown IS NULL AND spread IS NOT NULL AND NOT edge AND shape = 1 AS mid FROM priced)
+SELECT CASE WHEN shape = 5 THEN '0x' || k ELSE k END AS market_id, '0x' || k AS condition_id, CAST(l_partkey AS VARCHAR) AS event_id,
+  's' AS series_id, outcome, token_id, CASE WHEN mid THEN CAST(CAST(ask AS DECIMAL(6,2)) + CAST(bid AS DECIMAL(6,2)) AS DOUBLE) / 2 ELSE shown END AS probability,
+  CASE WHEN shown IS NOT NULL THEN CASE WHEN shape = 3 THEN 'clob_token_price' ELSE 'gamma_outcome_price' END
+       WHEN mid THEN 'gamma_yes_book_midpoint' END AS price_source,
+  bid, ask, spread, CASE WHEN l_linenumber = 1 THEN l_extendedprice ELSE 0 END AS volume, CAST(1000.5 AS DOUBLE) AS liquidity,
+  CASE WHEN shape = 4 THEN 'closed' WHEN shape IN (0, 1) THEN 'active' END AS status,
+  concat_ws(',', CASE WHEN edge THEN 'boundary_quotes_unverified' END, CASE WHEN bid > ask THEN 'crossed_orderbook' END,
+    CASE WHEN shape = 2 THEN 'invalid_outcome_price' END, CASE WHEN shape = 4 THEN 'market_archived,market_closed' END,
+    CASE WHEN bid IS NULL THEN 'missing_orderbook' END, CASE WHEN outcome IS NULL THEN 'missing_outcome_label' END,
+    CASE WHEN token_id IS NULL THEN 'missing_token_id' END, CASE WHEN shape = 4 THEN 'not_accepting_orders' END,
+    CASE WHEN shape = 2 THEN 'outcome_array_length_mismatch' END) AS quality_flags,
+  CASE l_partkey % 6 WHEN 0 THEN 'rates' WHEN 2 THEN 'jobs,rates' ELSE '' END AS topics
+FROM final"""
+
+
+def polymarket_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize_polymarket(polymarket_candidates(spark, sf_dir), TAXONOMY)
+    return rows.select(
+        "market_id", "condition_id", "event_id", "series_id", "outcome", "token_id", "probability", "price_source", "bid", "ask",
+        "spread", "volume", "liquidity", "status", join_text("quality_flags").alias("quality_flags"), join_text("topics").alias("topics"),
+    )
+
+
+def price_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome rows per venue and price source: both normalizers in one silver table."""
+    k = normalize_kalshi(kalshi_candidates(spark, sf_dir), TAXONOMY)
+    p = normalize_polymarket(polymarket_candidates(spark, sf_dir), TAXONOMY)
+    both = k.drop("row_pos").unionByName(p.drop("row_pos"))
+    return both.groupBy("platform", F.coalesce("price_source", F.lit("none")).alias("price_source")).agg(
+        F.count(F.lit(1)).alias("outcome_rows"), F.count("probability").alias("priced_rows")
+    )
+
+
+QUERIES = [
+    Query("normalize_kalshi_quotes", kalshi_quotes, KALSHI_SQL),
+    Query("normalize_polymarket_outcomes", polymarket_outcomes, POLYMARKET_SQL),
+    Query(
+        "price_source_counts",
+        price_sources,
+        f"""SELECT platform, coalesce(price_source, 'none') AS price_source, count(*) AS outcome_rows, count(probability) AS priced_rows
+        FROM (SELECT 'kalshi' AS platform, price_source, probability FROM ({KALSHI_SQL})
+              UNION ALL SELECT 'polymarket', price_source, probability FROM ({POLYMARKET_SQL})) GROUP BY ALL""",
+    ),
+]

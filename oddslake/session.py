@@ -7,10 +7,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# The JVM does not compile methods above this size; a stage that would hold one is better run
+# as separate projections, which are cut into small methods.
+_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone: every instant in the silver tables is UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the settings the operators rely on; instants in the silver tables are UTC."""
+    for key, value in _SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -20,14 +26,13 @@ def local_session(cores: str = "*", app: str = "oddslake", partitions: int = 8)
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddslake.functions import computed
+
 # The HTTP methods that count as operations.
 METHODS = ["get", "post", "put", "delete", "patch"]
 _DOCUMENT = """
@@ -15,7 +17,7 @@ summary STRING, operationId STRING, tags ARRAY<STRING>, security STRING, paramet
 
 def api_operations(documents: DataFrame) -> dict[str, DataFrame]:
     """``sources`` (hash, version, servers), ``operations`` (one row each) and ``errors``."""
-    parsed = documents.withColumn("d", F.from_json("content", _DOCUMENT))
+    parsed = computed(documents, d=F.from_json("content", _DOCUMENT))
     usable = F.col("d").isNotNull() & F.col("d.paths").isNotNull()
     good = parsed.filter(usable)
     sources = good.select(
@@ -29,7 +31,7 @@ def api_operations(documents: DataFrame) -> dict[str, DataFrame]:
         .withColumn("__shared", F.coalesce(F.from_json(F.col("item")["parameters"], "array<string>"), none))
         .select("api", "path", "__security", "__shared", F.explode("item").alias("key", "body"))
         .filter(F.lower("key").isin(*METHODS))
-        .withColumn("o", F.from_json("body", _OPERATION))
+        .transform(lambda df: computed(df, o=F.from_json("body", _OPERATION)))
         .select(
             "api",
             F.upper("key").alias("method"),

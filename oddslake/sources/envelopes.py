@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddslake.functions import computed
 from oddslake.sources.endpoints import BY_TABLE, Endpoint
 
 CARRIED = ["run_id", "row_pos", "observed_at", "url", "params"]
@@ -50,7 +51,7 @@ def explode_envelopes(raw: DataFrame, endpoint: Endpoint) -> tuple[DataFrame, Da
     or partial page.
     """
     rows, reason = _row_list(endpoint)
-    shaped = matching(raw, endpoint).withColumn("__rows", rows).withColumn("reason", reason)
+    shaped = computed(matching(raw, endpoint), __rows=rows, reason=reason)
     good = (
         shaped.filter(F.col("reason").isNull())
         .select(*CARRIED, F.posexplode("__rows").alias("item_pos", "payload"))

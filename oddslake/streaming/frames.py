@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from oddslake import schemas
-from oddslake.functions import lag_ordered, running_sum
+from oddslake.functions import computed, lag_ordered, running_sum
 from oddslake.functions.ordered import BUCKET_WIDTH
 
 # Heartbeat frames, message types that carry data, types with sequence numbers.
@@ -74,7 +74,7 @@ def parse_frames(frames: DataFrame, text: str = "data") -> DataFrame:
         ),
     )
     single = F.when(F.col(text).rlike(r"^\s*\{"), F.from_json(text, _MESSAGE))
-    message = frames.withColumn("__items", items).withColumn("__one", single)
+    message = computed(frames, __items=items, __one=single)
     one = F.col("__one")
     counted = F.when(F.col("__items").isNotNull(), F.size(F.filter("__items", is_data))).otherwise(
         F.when(one.isNotNull() & is_data(one), 1).otherwise(0)
