@@ -1 +1,279 @@
-QUERIES = []
+"""Request-log audits, envelope routing, data checks and sinks over derived logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oddslake.operators import audit
+from oddslake.plans.registry import Query, json_text, quoted, table, text
+from oddslake.plans.snapshot_queries import ORDER
+from oddslake.sources import catalog, envelopes, tables
+from oddslake.sources.endpoints import BY_TABLE
+
+GAMMA, KALSHI = "https://gamma-api.example.com", "https://api.example.com/trade-api/v2"
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response per event: retries by status, and payloads of a right or wrong shape."""
+    k = F.col("event_id") % 7
+    url = (
+        F.when(F.col("event_type") == "view", f"{GAMMA}/events").when(F.col("event_type") == "error", f"{GAMMA}/events/keyset?x=1").otherwise(f"{KALSHI}/markets/trades")
+    )
+    record = json_text(id=text("event_id"), trade_id=quoted(text("user_id")), props=F.col("props"))
+    listed = F.concat(F.lit("["), record, F.lit(","), record, F.lit("]"))
+    shape = F.col("user_id") % 5
+    data = (
+        F.when(F.col("event_type") == "view", F.when(shape == 0, record).when(shape == 1, F.lit("[1]")).otherwise(listed))
+        .when(F.col("event_type") == "error", F.when(shape == 0, listed).otherwise(json_text(events=listed, next_cursor=F.lit('"x"'))))
+        .otherwise(F.when(shape == 0, json_text(trades=F.lit("null"))).when(shape == 1, json_text(renamed=listed)).when(shape == 2, json_text(trades=record)).otherwise(json_text(trades=listed)))
+    )
+    failed = k == 6
+    return table(spark, sf_dir, "events", "event_id").select(
+        (F.col("user_id") % 50).cast("string").alias("run_id"),
+        F.col("event_id").alias("row_pos"),
+        F.lit("2026-01-01T00:00:00Z").alias("observed_at"),
+        F.lit("GET").alias("method"),
+        url.alias("url"),
+        F.create_map(F.lit("user"), text("user_id")).alias("params"),
+        F.lit(None).cast("string").alias("request_body"),
+        F.when(~failed, F.element_at(F.array(*[F.lit(c) for c in (200, 200, 429, 200, 503, 404)]), (k + 1).cast("int"))).cast("int").alias("status_code"),
+        (F.col("event_id") % 3 + 1).cast("int").alias("attempt"),
+        F.when(~failed, data).alias("data"),
+        F.when(failed, F.lit("ReadTimeout")).alias("error"),
+    )
+
+
+LOG = f"""
+log AS (SELECT CAST(user_id % 50 AS VARCHAR) AS run_id, event_id, user_id, event_type, user_id % 5 AS shape,
+  CASE event_type WHEN 'view' THEN '{GAMMA}/events' WHEN 'error' THEN '{GAMMA}/events/keyset?x=1' ELSE '{KALSHI}/markets/trades' END AS url,
+  CASE WHEN event_id % 7 < 6 THEN [200, 200, 429, 200, 503, 404][event_id % 7 + 1] END AS status_code, event_id % 3 + 1 AS attempt FROM events),
+ok AS (SELECT * FROM log WHERE status_code = 200)"""
+TABLES = ["poly_events", "kalshi_trades"]
+
+
+def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.retry_audit(request_log(spark, sf_dir))
+    return rows.select(
+        "run_id", "url", F.regexp_extract("params", r'"value":"(\d+)"', 1).alias("user"), "attempts", "calls", "retryable_responses", "transport_failures", "last_status", "outcome"
+    )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page walks per user and event type; cursors and pages repeat by arithmetic."""
+    cursor = F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 13 == 0, "LTE=").otherwise((F.col("event_id") % 40).cast("string"))
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 50).cast("string").alias("run_id"),
+        F.col("event_type").alias("endpoint"),
+        text("user_id").alias("filters"),
+        F.col("event_id").alias("row_pos"),
+        F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 17).cast("string")).alias("cursor"),
+        cursor.alias("next_cursor"),
+        F.when(F.col("event_id") % 19 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"b":1,"id":'), (F.col("event_id") % 400).cast("string"), F.lit("}]"))).alias("rows_json"),
+    )
+
+
+def envelope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = envelopes.explode_tables(request_log(spark, sf_dir), TABLES)
+    both = good["poly_events"].unionByName(good["kalshi_trades"])
+    return both.select("table", "run_id", "row_pos", "item_pos", "id", F.get_json_object("payload", "$.props.k").alias("k"))
+
+
+def bad_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = envelopes.explode_tables(request_log(spark, sf_dir), TABLES)
+    return bad.select("table", "run_id", "row_pos", "reason")
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelopes.request_errors(request_log(spark, sf_dir)).groupBy("run_id", "operation", "error").agg(F.count(F.lit(1)).alias("times"))
+
+
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = request_log(spark, sf_dir).withColumn("run_id", F.regexp_extract(F.col("params")["user"], r"(.*)", 1))
+    problems = envelopes.request_errors(log.filter(F.col("row_pos") % 29 == 2))
+    notices = log.filter(F.col("row_pos") % 23 == 1).select("run_id", F.col("url").alias("warning"))
+    runs = table(spark, sf_dir, "events").select(text("user_id").alias("run_id"), (F.col("user_id") % 17 > 0).alias("finished"), (F.col("user_id") % 10 == 1).alias("fatal")).distinct()
+    return audit.run_status(log, problems, notices, runs)
+
+
+def rules() -> dict[str, Column]:
+    return {
+        "price_in_range": F.col("l_discount").between(0, 0.08),
+        "known_status": F.col("l_linestatus").isin("O", "F"),
+        "positive_size": F.col("l_quantity") > 1,
+    }
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An OpenAPI document per supplier; some have no paths."""
+    op = lambda name: json_text(summary=quoted(F.col("s_name")), operationId=quoted(F.concat(F.lit(name), text("s_suppkey"))), parameters=F.lit('[{"name":"limit"}]'))
+    get_ = F.when(F.col("s_nationkey") % 2 == 0, op("get")).otherwise(json_text(security=F.lit("[]"), deprecated=F.lit("true")))
+    item = json_text(parameters=F.lit('[{"name":"id"}]'), get=get_, POST=op("post"), trace=op("trace"))
+    doc = json_text(
+        info=json_text(version=quoted(text("s_nationkey"))), security=F.lit('[{"key":[]}]'),
+        paths=F.when(F.col("s_suppkey") % 9 == 0, F.lit("null")).otherwise(json_text(**{"/a": item, "/b/{id}": json_text(delete=op("del"))})),
+    )
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("api"), F.concat(F.lit("u"), text("s_suppkey")).alias("url"), doc.alias("content"))
+
+
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.api_operations(documents(spark, sf_dir))["operations"]
+    return rows.select("api", "method", "path", "summary", "operation_id", "security", F.size("parameters").alias("parameters"), "deprecated", "research_use")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = catalog.api_operations(documents(spark, sf_dir))
+    good = out["sources"].select("api", "url", "version", (F.length("sha256") == 64).alias("hashed"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(out["errors"].select("api", "url", F.lit(None).cast("string").alias("version"), F.lit(False).alias("hashed"), "error"))
+
+
+def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.element_at(F.array(*[F.lit(c) for c in ("=", "+", "-", "@", "", "\t", "\r")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("body"), F.array("lang", "source").alias("labels"), (-F.col("n_chars")).alias("delta"))
+    return tables.csv_safe(rows).select("doc_id", F.sha2("body", 256).alias("body_hash"), "labels", "delta")
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") > 3, F.col("c_name")).alias("name"), F.array("c_mktsegment").alias("tags"))
+    return tables.json_document(rows)
+
+
+def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT, z STRING").alias("props"))
+    return tables.preview(rows, ["event_id", "props.k", "props.missing", "absent"])
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions given by a parallel sort, reduced to the neighbour each row precedes."""
+    rows = tables.with_row_pos(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey")
+    ends = rows.agg(F.min_by("o_orderkey", "row_pos").alias("first_order"), F.max_by("o_orderkey", "row_pos").alias("last_order"), F.countDistinct("row_pos").alias("positions"))
+    return ends
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["orders", "lineitem", "events", "documents"]
+    return audit.dataset_counts({n: table(spark, sf_dir, n) for n in names})
+
+
+def endpoint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many logged responses each endpoint contract claims, over the whole log."""
+    log = request_log(spark, sf_dir)
+    parts = [envelopes.matching(log, e).select(F.lit(e.table).alias("table")) for t in ("poly_events", "poly_markets", "poly_event_detail", "kalshi_trades", "kalshi_market_detail") for e in BY_TABLE[t]]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("responses"))
+
+
+QUERIES = [
+    Query(
+        "retry_audit",
+        retries,
+        "WITH" + LOG + """, g AS (SELECT run_id, url, CAST(user_id AS VARCHAR) AS user, count(*) AS attempts, count(*) FILTER (attempt = 1) AS calls, count(*) FILTER (status_code IN (408, 429, 500, 502, 503, 504)) AS retryable_responses,
+          count(*) FILTER (status_code IS NULL) AS transport_failures, arg_max({'v': status_code}, event_id).v AS last_status FROM log GROUP BY ALL)
+        SELECT *, CASE WHEN last_status IS NULL THEN 'transport_failure' WHEN last_status = 200 THEN 'success' WHEN last_status IN (429, 503) THEN 'retries_exhausted' ELSE 'terminal_error' END AS outcome FROM g""",
+    ),
+    Query(
+        "pagination_audit",
+        lambda spark, d: audit.pagination_audit(pages(spark, d)),
+        """WITH p AS (SELECT CAST(user_id % 50 AS VARCHAR) AS run_id, event_type AS endpoint, CAST(user_id AS VARCHAR) AS filters, event_id,
+            CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 17 AS VARCHAR) ELSE '' END AS cursor, CASE WHEN event_id % 11 > 0 AND event_id % 13 > 0 THEN CAST(event_id % 40 AS VARCHAR) END AS nxt,
+            CASE WHEN event_id % 19 > 0 THEN event_id % 400 END AS page FROM events),
+        walks AS (SELECT run_id, endpoint, filters, count(*) AS pages, count(*) FILTER (page IS NULL) AS empty_pages, count(page) AS filled, count(DISTINCT page) AS dp,
+            arg_max(coalesce(nxt, ''), event_id) AS last_cursor, arg_min(cursor, event_id) AS first_cursor FROM p GROUP BY ALL),
+        offered AS (SELECT run_id, endpoint, filters, nxt FROM p WHERE nxt IS NOT NULL UNION ALL SELECT run_id, endpoint, filters, first_cursor FROM walks WHERE first_cursor <> ''),
+        rc AS (SELECT run_id, endpoint, filters, count(*) AS n FROM (SELECT *, count(*) AS c FROM offered GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+        rp AS (SELECT run_id, endpoint, filters, count(*) AS n FROM (SELECT run_id, endpoint, filters, page, count(*) AS c FROM p WHERE page IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)
+        SELECT run_id, endpoint, filters, pages, empty_pages, coalesce(rp.n, 0) AS repeated_pages, coalesce(rc.n, 0) AS repeated_cursors,
+          CASE WHEN rp.n > 0 THEN 'repeated_page' WHEN rc.n > 0 THEN 'repeated_cursor' WHEN last_cursor <> '' THEN 'incomplete_cursor_remains' ELSE 'complete' END AS status
+        FROM walks LEFT JOIN rc USING (run_id, endpoint, filters) LEFT JOIN rp USING (run_id, endpoint, filters)""",
+    ),
+    Query(
+        "envelope_rows",
+        envelope_rows,
+        "WITH" + LOG + """ SELECT CASE WHEN event_type IN ('view', 'error') THEN 'poly_events' ELSE 'kalshi_trades' END AS "table", run_id, event_id AS row_pos, CAST(i AS INT) AS item_pos,
+          CAST(CASE WHEN event_type IN ('view', 'error') THEN event_id ELSE user_id END AS VARCHAR) AS id, regexp_extract(props, '(\\d+)', 1) AS k
+        FROM ok JOIN (SELECT event_id, props FROM events) USING (event_id), (SELECT unnest([0, 1]) AS i)
+        WHERE (event_type = 'view' AND shape > 1) OR (event_type = 'error' AND shape > 0) OR (event_type NOT IN ('view', 'error') AND shape > 2)""",
+    ),
+    Query(
+        "bad_envelopes",
+        bad_envelopes,
+        "WITH" + LOG + """, b AS (SELECT *, CASE WHEN event_type = 'view' THEN CASE shape WHEN 0 THEN 'expected a list at the root' WHEN 1 THEN 'a row is not an object' END
+          WHEN event_type = 'error' THEN CASE WHEN shape = 0 THEN 'expected an object containing events' END
+          ELSE CASE shape WHEN 1 THEN 'missing expected field trades' WHEN 2 THEN 'field trades is not a list' END END AS reason FROM ok)
+        SELECT CASE WHEN event_type IN ('view', 'error') THEN 'poly_events' ELSE 'kalshi_trades' END AS "table", run_id, event_id AS row_pos, reason FROM b WHERE reason IS NOT NULL""",
+    ),
+    Query(
+        "endpoint_claims",
+        endpoint_tables,
+        "WITH" + LOG + """ SELECT CASE WHEN event_type IN ('view', 'error') THEN 'poly_events' ELSE 'kalshi_trades' END AS "table", count(*) AS responses FROM ok GROUP BY 1""",
+    ),
+    Query(
+        "request_errors",
+        errors,
+        "WITH" + LOG + " SELECT run_id, 'GET ' || url AS operation, coalesce('HTTP ' || CAST(status_code AS VARCHAR), 'ReadTimeout') AS error, count(*) AS times FROM log WHERE status_code IS DISTINCT FROM 200 GROUP BY ALL",
+    ),
+    Query(
+        "run_status",
+        statuses,
+        "WITH" + LOG + """, u AS (SELECT CAST(user_id AS VARCHAR) AS run_id, user_id, count(*) AS request_count, count(*) FILTER (event_id % 29 = 2 AND status_code IS DISTINCT FROM 200) AS error_count,
+          count(DISTINCT CASE WHEN event_id % 23 = 1 THEN url END) AS warning_count FROM log GROUP BY ALL)
+        SELECT run_id, user_id % 17 > 0 AS finished, user_id % 10 = 1 AS fatal, request_count, error_count, warning_count,
+          CASE WHEN user_id % 17 = 0 THEN 'running' WHEN user_id % 10 = 1 THEN 'failed' WHEN error_count > 0 OR warning_count > 0 THEN 'partial' ELSE 'complete_within_requested_scope' END AS status,
+          CASE WHEN user_id % 10 = 1 OR error_count > 0 THEN 2 ELSE 0 END AS exit_code FROM u""",
+    ),
+    Query(
+        "range_violations",
+        lambda spark, d: audit.check_ranges(table(spark, d, "lineitem"), rules()),
+        """SELECT 'price_in_range' AS rule, count(*) FILTER (NOT l_discount BETWEEN 0 AND 0.08) AS violations FROM lineitem UNION ALL SELECT 'known_status', count(*) FILTER (l_linestatus NOT IN ('O', 'F')) FROM lineitem
+        UNION ALL SELECT 'positive_size', count(*) FILTER (NOT l_quantity > 1) FROM lineitem""",
+    ),
+    Query(
+        "violating_rows",
+        lambda spark, d: audit.violations(table(spark, d, "lineitem"), rules()).select("rule", *ORDER[1:4], "l_orderkey", "l_linenumber"),
+        """SELECT 'price_in_range' AS rule, l_partkey, l_suppkey, l_quantity, l_orderkey, l_linenumber FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.08
+        UNION ALL SELECT 'positive_size', l_partkey, l_suppkey, l_quantity, l_orderkey, l_linenumber FROM lineitem WHERE NOT l_quantity > 1""",
+    ),
+    Query(
+        "dataset_row_counts",
+        counts,
+        "SELECT 'orders' AS dataset, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents",
+    ),
+    Query(
+        "api_operations",
+        operations,
+        """WITH d AS (SELECT *, CAST(s_suppkey AS VARCHAR) AS k, s_nationkey % 2 = 0 AS full_get FROM supplier WHERE s_suppkey % 9 > 0)
+        SELECT s_name AS api, 'GET' AS method, '/a' AS path, CASE WHEN full_get THEN s_name END AS summary, CASE WHEN full_get THEN 'get' || k END AS operation_id,
+          CASE WHEN full_get THEN '[{"key":[]}]' ELSE '[]' END AS security, CASE WHEN full_get THEN 2 ELSE 1 END AS parameters, NOT full_get AS deprecated, 'GET extraction candidate' AS research_use FROM d
+        UNION ALL SELECT s_name, 'POST', '/a', s_name, 'post' || k, '[{"key":[]}]', 2, false, 'review; most are state-changing' FROM d
+        UNION ALL SELECT s_name, 'DELETE', '/b/{id}', s_name, 'del' || k, '[{"key":[]}]', 1, false, 'review; most are state-changing' FROM d""",
+    ),
+    Query(
+        "api_sources",
+        sources,
+        """SELECT s_name AS api, 'u' || CAST(s_suppkey AS VARCHAR) AS url, CASE WHEN s_suppkey % 9 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS version, s_suppkey % 9 > 0 AS hashed,
+          CASE WHEN s_suppkey % 9 = 0 THEN 'No OpenAPI paths in response' END AS error FROM supplier""",
+    ),
+    Query(
+        "csv_safe_text",
+        safe_text,
+        """SELECT doc_id, sha256(CASE WHEN regexp_matches(body, '^[=+\\-@\\t\\r]') THEN '''' || body ELSE body END) AS body_hash, '["' || lang || '","' || source || '"]' AS labels, -n_chars AS delta
+        FROM (SELECT *, ['=', '+', '-', '@', '', chr(9), chr(13)][doc_id % 7 + 1] || text AS body FROM documents)""",
+    ),
+    Query(
+        "json_documents",
+        json_rows,
+        """SELECT '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"name":' || CASE WHEN c_nationkey > 3 THEN '"' || c_name || '"' ELSE 'null' END || ',"tags":["' || c_mktsegment || '"]}' AS document FROM customer""",
+    ),
+    Query(
+        "flat_preview",
+        previewed,
+        "SELECT event_id, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS props_k, NULL AS props_missing, NULL AS absent FROM events",
+    ),
+    Query(
+        "row_positions",
+        numbered,
+        "SELECT (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first_order, (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey DESC LIMIT 1) AS last_order, (SELECT count(*) FROM orders) AS positions",
+    ),
+]
