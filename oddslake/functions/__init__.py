@@ -1,4 +1,5 @@
 from oddslake.functions.computed import computed
+from oddslake.functions.joins import bounded, salted_join
 from oddslake.functions.ordered import lag_ordered, latest_by, row_number_ordered, running_sum
 from oddslake.functions.scalar import (
     book_flags,
@@ -26,6 +27,7 @@ __all__ = [
     "ascii_only",
     "book_flags",
     "casefold",
+    "bounded",
     "cents",
     "computed",
     "csv_safe_column",
@@ -46,6 +48,7 @@ __all__ = [
     "python_lines",
     "row_number_ordered",
     "running_sum",
+    "salted_join",
     "sorted_set",
     "strict_epoch",
     "term_pattern",

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.functions import latest_by, truthy
+from oddslake.functions import bounded, latest_by, truthy
 from oddslake.operators.discover import interleave
 
 # Identifier per (venue, dataset), and the datasets a venue does not offer.
@@ -132,11 +132,12 @@ def collect_datasets(
     """Landed dataset rows of the selected contracts.
 
     ``tables[platform][dataset]`` is a table with an ``id`` column of the kind
-    :data:`DATASET_KEYS` names. The chosen contracts are few by the limit, so the lookup is a
-    small build side against each dataset; its size is left to the optimizer to check.
+    :data:`DATASET_KEYS` names. The chosen contracts are few by the limit; how many ids they
+    have is not known, so that join is left to the optimizer, which checks sizes as it runs.
     """
     chosen, notice = select_contracts(rows, max_markets, pos)
-    universe = rows.join(chosen.select("platform", "market_id"), ["platform", "market_id"], "left_semi")
+    pair = ["platform", "market_id"]
+    universe = rows.join(bounded(chosen.select(*pair), max_markets), pair, "left_semi")
     wanted = sorted({d for venue in tables.values() for d in venue})
     routed = dataset_routes(universe, wanted, pos)
     out = {"contracts": chosen, "notice": notice, "errors": routed["errors"], "warnings": routed["warnings"]}

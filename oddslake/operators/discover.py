@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddslake.functions import (
+    bounded,
     first_present,
     json_list,
     json_objects,
@@ -307,10 +308,11 @@ def interleave(contracts: DataFrame, limit: int, pos: str = "first_pos") -> Data
     """Round-robin over venues in first-seen order, cut at ``limit`` contracts.
 
     Turns within a venue are counted per position bucket, so a venue holding most contracts is
-    still numbered in parallel; the cut itself is a distributed top-k.
+    still numbered in parallel. A venue cannot place more than ``limit`` contracts, so later turns
+    are dropped before the venues are ordered.
     """
     venues = contracts.groupBy("platform").agg(F.min(pos).alias("venue_first"))
-    turns = row_number_ordered(contracts, ["platform"], pos, "turn")
+    turns = row_number_ordered(contracts, ["platform"], pos, "turn").filter(F.col("turn") <= limit)
     return turns.join(venues, "platform").orderBy("turn", "venue_first").limit(limit)
 
 
@@ -358,11 +360,13 @@ def discover(
         if series_tickers:
             result["series_absent"] = absent_series(kalshi_series, series_tickers)
         parents = kalshi_events.join(
-            # At most max_series rows by construction.
-            selected.select(
+            bounded(
+                selected.select(
                 F.col("ticker").alias("series_ticker"), F.col("title").alias("__series_title"), "context",
                 F.col("priority").alias("__p"), F.col("relevance_score").alias("__r"),
                 F.coalesce(number(F.col("volume_fp")), F.lit(0.0)).alias("__v"),
+                ),
+                max_series,
             ),
             "series_ticker",
         )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddslake import schemas
-from oddslake.functions import computed, fingerprint, instant, latest_by, number, truthy
+from oddslake.functions import computed, fingerprint, instant, latest_by, number, salted_join, truthy
+
+VENUES = ["polymarket", "kalshi"]
 
 
 def merge_latest(
@@ -155,10 +157,14 @@ def route_candles(
     switch = archived.join(unbroken, "ticker", "left").select(
         "ticker", F.coalesce("live_windows", F.lit(0)).alias("switch_index")
     )
-    from_live = live_w.join(switch, "ticker", "left").filter(
+    # A market may hold a large part of all candles, so its rows are spread by their time.
+    by_time = F.col("end_period_ts")
+    from_live = salted_join(live_w, switch, ["ticker"], by_time, "left").filter(
         F.col("switch_index").isNull() | (F.col("window_index") < F.col("switch_index"))
     )
-    from_archive = ranged(archive).join(switch, "ticker").filter(F.col("window_index") >= F.col("switch_index"))
+    from_archive = salted_join(ranged(archive), switch, ["ticker"], by_time).filter(
+        F.col("window_index") >= F.col("switch_index")
+    )
     routed = from_live.withColumn("tier", F.lit("live")).unionByName(
         from_archive.withColumn("tier", F.lit("archive")), allowMissingColumns=True
     )
@@ -169,9 +175,13 @@ def route_candles(
 def trade_tiers(ranges: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Which trade tiers a range needs: the archive too when it starts before the cutoff.
 
-    ``cutoffs`` has one row per venue, so it is small by construction.
+    Cutoffs are reduced to the known venues, one row each, which bounds the broadcast.
     """
-    bounds = cutoffs.select("platform", F.unix_seconds(instant(F.col("trades_created_ts"))).alias("cutoff"))
+    bounds = (
+        cutoffs.filter(F.col("platform").isin(*VENUES))
+        .groupBy("platform")
+        .agg(F.max(F.unix_seconds(instant(F.col("trades_created_ts")))).alias("cutoff"))
+    )
     return (
         ranges.join(F.broadcast(bounds), "platform", "left")
         .withColumn("reads_archive", F.coalesce(F.col("start_ts") < F.col("cutoff"), F.lit(False)))

@@ -231,10 +231,11 @@ def watchlist(
 def coverage_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Identities of ``left`` absent from ``right``, ordered by identity.
 
-    The right side carries only its key columns, so its scan and its shuffle stay narrow.
+    The right side carries only its distinct keys, so its scan stays narrow and copies of one
+    identity collapse before the shuffle.
     """
     ours = latest_snapshot(left, IDENTITY)
-    theirs = with_key(right).select(*KEY)
+    theirs = with_key(right).select(*KEY).distinct()
     return ours.join(theirs, KEY, "left_anti").orderBy(*KEY).select(*IDENTITY)
 
 
@@ -264,7 +265,7 @@ def new_markets(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(platform, market) pairs of identified current rows not seen in the previous snapshot."""
     pair = KEY[:2]
     ours = with_key(current).filter(_has_identity()).select(*pair).distinct()
-    return ours.join(with_key(previous).select(*pair), pair, "left_anti")
+    return ours.join(with_key(previous).select(*pair).distinct(), pair, "left_anti")
 
 
 def _one_row(pieces: list[DataFrame]) -> DataFrame:

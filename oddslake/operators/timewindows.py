@@ -101,30 +101,34 @@ def split_saturated(
         .groupBy(*keys, F.col(second).alias("__t"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    root = F.struct(
-        F.lit(start).cast("bigint").alias("lo"), F.lit(end).cast("bigint").alias("hi"), F.lit(0).alias("depth")
+    # Level by level, the half that holds the second: plain arithmetic in generated code.
+    t, paths = F.col("__t"), counted.withColumns(
+        {"__lo0": F.lit(start).cast("bigint"), "__hi0": F.lit(end).cast("bigint")}
     )
-
-    def descend(path: Column, _: Column) -> Column:
-        w = F.element_at(path, -1)
-        mid = F.floor((w["lo"] + w["hi"]) / 2)
-        left = F.col("__t") <= mid
-        child = F.struct(
-            F.when(left, w["lo"]).otherwise(mid + 1).alias("lo"),
-            F.when(left, mid).otherwise(w["hi"]).alias("hi"),
-            (w["depth"] + 1).alias("depth"),
+    for level in range(levels):
+        lo, hi = F.col(f"__lo{level}"), F.col(f"__hi{level}")
+        mid = F.shiftright(lo + hi, 1)
+        paths = paths.withColumns(
+            {
+                f"__lo{level + 1}": F.when(lo < hi, F.when(t <= mid, lo).otherwise(mid + 1)),
+                f"__hi{level + 1}": F.when(lo < hi, F.when(t <= mid, mid).otherwise(hi)),
+            }
         )
-        return F.when(w["lo"] < w["hi"], F.concat(path, F.array(child))).otherwise(path)
-
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(root), descend)
+    chain = F.array(
+        *[
+            F.struct(F.col(f"__lo{k}").alias("lo"), F.col(f"__hi{k}").alias("hi"), F.lit(k).alias("depth"))
+            for k in range(levels + 1)
+        ]
+    )
     windows = (
-        counted.select(*keys, "__n", F.explode(chain).alias("w"))
+        paths.select(*keys, "__n", F.explode(chain).alias("w"))
+        .filter(F.col("w.lo").isNotNull())
         .groupBy(*keys, "w.lo", "w.hi", "w.depth")
         .agg(F.sum("__n").alias("n_rows"))
     )
     saturated = F.col("n_rows") >= capacity
     splittable = windows.filter(saturated & (F.col("lo") < F.col("hi")))
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2)
+    mid = F.shiftright(F.col("lo") + F.col("hi"), 1)
     halves = F.explode(
         F.array(
             F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))

@@ -106,8 +106,9 @@ def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = order_ranges(spark, sf_dir).withColumn("platform", F.when(F.col("o_orderkey") % 3 == 0, "polymarket").otherwise("kalshi"))
-    cutoffs = table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("m")).select(
-        F.lit("kalshi").alias("platform"), F.concat(F.date_format(F.col("m") - F.expr("INTERVAL 700 DAYS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("trades_created_ts")
+    venue = F.when(F.col("o_orderkey") % 3 == 0, "polymarket").otherwise("kalshi").alias("platform")
+    cutoffs = table(spark, sf_dir, "orders").groupBy(venue).agg(F.max("o_orderdate").alias("m")).select(
+        "platform", F.when(F.col("platform") == "kalshi", F.concat(F.date_format(F.col("m") - F.expr("INTERVAL 700 DAYS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("trades_created_ts")
     )
     return history.trade_tiers(ranges, cutoffs).select("o_orderkey", "platform", "tiers")
 
@@ -205,7 +206,7 @@ QUERIES = [
         "trade_tiers",
         tiers,
         "WITH " + RANGES + """ SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'polymarket' ELSE 'kalshi' END AS platform,
-          CASE WHEN o_orderkey % 3 > 0 AND s < (SELECT CAST(epoch(max(o_orderdate) - INTERVAL 700 DAYS) AS BIGINT) FROM orders) THEN 'live+archive' ELSE 'live' END AS tiers FROM ranges""",
+          CASE WHEN o_orderkey % 3 > 0 AND s < (SELECT CAST(epoch(max(o_orderdate) - INTERVAL 700 DAYS) AS BIGINT) FROM orders WHERE o_orderkey % 3 > 0) THEN 'live+archive' ELSE 'live' END AS tiers FROM ranges""",
     ),
     Query(
         "holders_exploded",

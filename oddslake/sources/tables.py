@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from oddslake.functions import csv_safe_column
 
@@ -80,6 +81,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", bom: bool =
     safe.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def ingest(
+    spark: SparkSession,
+    landing: str,
+    schema: str | T.StructType,
+    table_path: str,
+    checkpoint_path: str,
+    partition_by: Sequence[str] = ("run_id",),
+) -> StreamingQuery:
+    """Append newly landed JSON-line files to a bronze table, each file exactly once.
+
+    Takes what has arrived and ends; run it again, or with a longer trigger, as files land.
+    """
+    rows = spark.readStream.schema(schema).json(landing)
+    return (
+        rows.writeStream.format("parquet")
+        .partitionBy(*partition_by)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start(table_path)
+    )
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "append") -> None:
     """Parquet, partitioned by the given columns (run and venue for bronze and silver tables)."""
     writer = df.write.mode(mode)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddslake import schemas
-from oddslake.functions import fingerprint, instant, number, strict_epoch, to_epoch
+from oddslake.functions import salted_join, fingerprint, instant, number, strict_epoch, to_epoch
 from oddslake.functions.ordered import lag_ordered, row_number_ordered, running_sum
 from oddslake.operators import audit
 from oddslake.sources import catalog, envelopes, tables
@@ -143,6 +143,27 @@ def test_jsonl_csv_and_positions(spark, tmp_path):
     assert json.loads(tables.json_document(nested.limit(1)).first()[0])["m"] == {"k": "v"}
 
 
+def test_ingest_appends_each_file_once(spark, tmp_path):
+    landing, out, ckpt = (str(tmp_path / d) for d in ("landing", "bronze", "checkpoint"))
+    line = {"run_id": "r", "row_pos": 0, "url": GAMMA + "/events", "data": "[]", "status_code": 200}
+    (tmp_path / "landing").mkdir()
+    for i in range(2):
+        (tmp_path / "landing" / f"{i}.json").write_text(json.dumps({**line, "row_pos": i}) + "\n")
+        tables.ingest(spark, landing, schemas.ENVELOPE, out, ckpt).awaitTermination(120)
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["row_pos"] for r in rows) == [0, 1] and rows[0]["run_id"] == "r"
+    tables.write_table(spark.read.parquet(out), str(tmp_path / "copy"), ["run_id"])
+    assert (tmp_path / "copy" / "run_id=r").is_dir()
+
+
+def test_salted_join_equals_plain_join(spark):
+    many = spark.range(1000).selectExpr("cast(if(id % 3 = 0, 0, id % 50) as int) as k", "id")
+    one = spark.range(0, 60, 2).selectExpr("cast(id as int) as k", "id * 10 as v")
+    for how in ("inner", "left"):
+        plain = {tuple(r) for r in many.join(one, ["k"], how).collect()}
+        assert {tuple(r) for r in salted_join(many, one, ["k"], F.col("id"), how).collect()} == plain
+
+
 def test_scalar_edges(spark):
     cases = {
         "1_000": 1000.0, " 2.5 ": 2.5, ".5": 0.5, "5.": 5.0, "1e3": 1000.0, "1d": None, "0x1p3": None, "nan": None,
