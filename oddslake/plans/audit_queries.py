@@ -41,13 +41,14 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 3 + 1).cast("int").alias("attempt"),
         F.when(~failed, data).alias("data"),
         F.when(failed, F.lit("ReadTimeout")).alias("error"),
+        F.dayofmonth("ts").alias("day"),
     )
 
 
 LOG = f"""
 log AS (SELECT CAST(user_id % 50 AS VARCHAR) AS run_id, event_id, user_id, event_type, user_id % 5 AS shape,
   CASE event_type WHEN 'view' THEN '{GAMMA}/events' WHEN 'error' THEN '{GAMMA}/events/keyset?x=1' ELSE '{KALSHI}/markets/trades' END AS url,
-  CASE WHEN event_id % 7 < 6 THEN [200, 200, 429, 200, 503, 404][event_id % 7 + 1] END AS status_code, event_id % 3 + 1 AS attempt FROM events),
+  CASE WHEN event_id % 7 < 6 THEN [200, 200, 429, 200, 503, 404][event_id % 7 + 1] END AS status_code, event_id % 3 + 1 AS attempt, day(ts) AS day FROM events),
 ok AS (SELECT * FROM log WHERE status_code = 200)"""
 TABLES = ["poly_events", "kalshi_trades"]
 
@@ -89,10 +90,14 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = request_log(spark, sf_dir).withColumn("run_id", F.regexp_extract(F.col("params")["user"], r"(.*)", 1))
-    problems = envelopes.request_errors(log.filter(F.col("row_pos") % 29 == 2))
-    notices = log.filter(F.col("row_pos") % 23 == 1).select("run_id", F.col("url").alias("warning"))
-    runs = table(spark, sf_dir, "events").select(text("user_id").alias("run_id"), (F.col("user_id") % 17 > 0).alias("finished"), (F.col("user_id") % 10 == 1).alias("fatal")).distinct()
+    """One run per user and day: errors are its timeouts, warnings its distinct throttled URLs."""
+    log = request_log(spark, sf_dir).withColumn("run_id", F.concat_ws("-", F.col("params")["user"], "day"))
+    problems = envelopes.request_errors(log.filter(F.col("error").isNotNull()))
+    notices = log.filter(F.col("status_code") == 429).select("run_id", F.col("url").alias("warning"))
+    user, day = F.col("user_id"), F.dayofmonth("ts")
+    runs = table(spark, sf_dir, "events").select(
+        F.concat_ws("-", text("user_id"), day).alias("run_id"), (day < 28).alias("finished"), (user % 10 == 1).alias("fatal")
+    ).distinct()
     return audit.run_status(log, problems, notices, runs)
 
 
@@ -217,10 +222,10 @@ QUERIES = [
     Query(
         "run_status",
         statuses,
-        "WITH" + LOG + """, u AS (SELECT CAST(user_id AS VARCHAR) AS run_id, user_id, count(*) AS request_count, count(*) FILTER (event_id % 29 = 2 AND status_code IS DISTINCT FROM 200) AS error_count,
-          count(DISTINCT CASE WHEN event_id % 23 = 1 THEN url END) AS warning_count FROM log GROUP BY ALL)
-        SELECT run_id, user_id % 17 > 0 AS finished, user_id % 10 = 1 AS fatal, request_count, error_count, warning_count,
-          CASE WHEN user_id % 17 = 0 THEN 'running' WHEN user_id % 10 = 1 THEN 'failed' WHEN error_count > 0 OR warning_count > 0 THEN 'partial' ELSE 'complete_within_requested_scope' END AS status,
+        "WITH" + LOG + """, u AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(day AS VARCHAR) AS run_id, user_id, day, count(*) AS request_count, count(*) FILTER (status_code IS NULL) AS error_count,
+          count(DISTINCT CASE WHEN status_code = 429 THEN url END) AS warning_count FROM log GROUP BY ALL)
+        SELECT run_id, day < 28 AS finished, user_id % 10 = 1 AS fatal, request_count, error_count, warning_count,
+          CASE WHEN day >= 28 THEN 'running' WHEN user_id % 10 = 1 THEN 'failed' WHEN error_count > 0 OR warning_count > 0 THEN 'partial' ELSE 'complete_within_requested_scope' END AS status,
           CASE WHEN user_id % 10 = 1 OR error_count > 0 THEN 2 ELSE 0 END AS exit_code FROM u""",
     ),
     Query(

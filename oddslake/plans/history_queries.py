@@ -69,7 +69,7 @@ def candle_rows(spark: SparkSession, sf_dir: str, archived: bool) -> DataFrame:
         payload = json_text(end_period_ts=hour, price=json_text(close_dollars=close, open_dollars=F.lit('"0.5"')), yes_bid=json_text(close_dollars=quoted(F.lit(0.25))), volume_fp=quoted(F.col("user_id")))
     rows = events(spark, sf_dir)
     if not archived:
-        rows = rows.filter((F.dayofmonth("ts") <= 15) | (F.col("user_id") % 3 == 0))
+        rows = rows.filter((F.dayofmonth("ts") <= 15) | (F.col("event_type") == "view"))
     landed = rows.select(text("user_id").alias("ticker"), F.col("event_id").alias("row_pos"), payload.alias("payload"))
     return history.candles(landed, "archive" if archived else "live")
 
@@ -94,7 +94,7 @@ START, STEP = 1704067200, 4 * DAY  # 2024-01-01, four days
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, archive = (candle_rows(spark, sf_dir, a).drop("tier") for a in (False, True))
-    markets = table(spark, sf_dir, "events").filter(F.col("user_id") % 2 == 0).select(text("user_id").alias("ticker"))
+    markets = table(spark, sf_dir, "events").filter(F.col("value") > 100).select(text("user_id").alias("ticker"))
     rows = history.route_candles(live, archive, markets, START, START + 30 * DAY, STEP)
     return rows.select("ticker", "end_period_ts", "tier", "row_pos", "volume")
 
@@ -124,8 +124,8 @@ def holder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("ticker", text("o_orderkey"))
-    pick = lambda cond, tag: orders.filter(cond).select("ticker", F.concat(F.lit(tag), F.col("o_orderstatus")).alias("payload"))
-    rows = history.market_details(orders.select("ticker"), pick(F.col("o_orderkey") % 3 == 0, "live "), pick(F.col("o_orderkey") % 3 <= 1, "old "))
+    pick = lambda cond, tag: orders.filter(cond).select("ticker", F.concat(F.lit(tag), F.col("o_orderpriority")).alias("payload"))
+    rows = history.market_details(orders.select("ticker"), pick(F.col("o_orderstatus") == "O", "live "), pick(F.col("o_orderstatus") != "F", "old "))
     return rows.select("ticker", "details", "details_tier")
 
 
@@ -173,7 +173,7 @@ QUERIES = [
         "candles_flat",
         flat_candles,
         f"""SELECT CAST(user_id AS VARCHAR) AS ticker, event_id AS row_pos, 'live' AS tier, {E_HOUR} AS end_period_ts, CAST(0.5 AS DOUBLE) AS trade_open,
-          CASE WHEN event_id % 9 > 0 THEN value / 500 END AS trade_close, CAST(0.25 AS DOUBLE) AS bid_close, CAST(user_id AS DOUBLE) AS volume FROM events WHERE day(ts) <= 15 OR user_id % 3 = 0
+          CASE WHEN event_id % 9 > 0 THEN value / 500 END AS trade_close, CAST(0.25 AS DOUBLE) AS bid_close, CAST(user_id AS DOUBLE) AS volume FROM events WHERE day(ts) <= 15 OR event_type = 'view'
         UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, 'archive', {E_HOUR}, NULL, CASE WHEN event_id % 9 > 0 THEN value / 500 END, NULL, value FROM events""",
     ),
     Query(
@@ -191,11 +191,11 @@ QUERIES = [
     Query(
         "candle_tier_routing",
         routed,
-        f"""WITH a AS (SELECT user_id, {E_HOUR} AS t, event_id, value FROM events WHERE {E_HOUR} BETWEEN {START} AND {START + 30 * DAY}),
+        f"""WITH a AS (SELECT user_id, {E_HOUR} AS t, event_id, value, event_type FROM events WHERE {E_HOUR} BETWEEN {START} AND {START + 30 * DAY}),
         w AS (SELECT range AS i, {START} + range * {STEP} AS lo, least({START} + (range + 1) * {STEP}, {START + 30 * DAY}) AS hi FROM range(8)),
-        live AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi WHERE user_id % 3 = 0 OR event_id IN (SELECT event_id FROM events WHERE day(ts) <= 15)),
+        live AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi WHERE event_type = 'view' OR event_id IN (SELECT event_id FROM events WHERE day(ts) <= 15)),
         arch AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi),
-        users AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0),
+        users AS (SELECT DISTINCT user_id FROM events WHERE value > 100),
         sw AS (SELECT u.user_id, min(w.i) AS s FROM users u CROSS JOIN w LEFT JOIN (SELECT DISTINCT user_id, i FROM live) l ON l.user_id = u.user_id AND l.i = w.i WHERE l.i IS NULL GROUP BY 1),
         picked AS (SELECT l.user_id, t, i, event_id, CAST(l.user_id AS DOUBLE) AS volume, 'live' AS tier FROM live l LEFT JOIN sw USING (user_id) WHERE s IS NULL OR i < s
           UNION ALL SELECT user_id, t, i, event_id, value, 'archive' FROM arch JOIN sw USING (user_id) WHERE i >= s)
@@ -217,8 +217,8 @@ QUERIES = [
     Query(
         "market_details",
         details,
-        """SELECT CAST(o_orderkey AS VARCHAR) AS ticker, CASE o_orderkey % 3 WHEN 0 THEN 'live ' || o_orderstatus WHEN 1 THEN 'old ' || o_orderstatus END AS details,
-          CASE o_orderkey % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'archive' END AS details_tier FROM orders""",
+        """SELECT CAST(o_orderkey AS VARCHAR) AS ticker, CASE o_orderstatus WHEN 'O' THEN 'live ' || o_orderpriority WHEN 'F' THEN NULL ELSE 'old ' || o_orderpriority END AS details,
+          CASE o_orderstatus WHEN 'O' THEN 'live' WHEN 'F' THEN NULL ELSE 'archive' END AS details_tier FROM orders""",
     ),
     Query(
         "time_windows",

@@ -17,7 +17,7 @@ ORDER = [
 
 def snapshot(spark: SparkSession, sf_dir: str, current: bool, topics: bool = False) -> DataFrame:
     """Outcome rows: shipped since the split date (current) or before it (previous)."""
-    item = table(spark, sf_dir, "lineitem")
+    item = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     recent = F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp_ntz")
     item = item.filter(recent if current else ~recent)
     stamp = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("l_suppkey") % 50 == 7, "").otherwise("Z"))
