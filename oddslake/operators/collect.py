@@ -1,7 +1,7 @@
 """Selected contracts joined to landed datasets, each on the identifier that dataset uses.
 
-The reference shape nests every dataset under its contract. Here each dataset stays its own
-table keyed by contract, so a contract with a billion trades is many rows, not one.
+Each dataset stays its own table keyed by contract instead of being nested under it, so a
+contract with a billion trades is many rows, not one.
 """
 
 from __future__ import annotations

@@ -24,11 +24,11 @@ class Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *spread_by: str) -> DataFrame:
-    """A test table. ``spread_by`` names keys to spread a table of a few files over all cores,
-    for queries whose work per row is heavy; a table of many files is read as it is."""
+    """A test table. ``spread_by`` names keys to spread a table of fewer splits than cores, for
+    queries whose work per row is heavy; a table of many splits is read as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(df.inputFiles()) < cores:
+    if spread_by and df.rdd.getNumPartitions() <= cores:
         return df.repartition(cores, *spread_by)
     return df
 

@@ -111,10 +111,15 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     writer.parquet(path)
 
 
-def export_tables(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Each named table as CSV under ``root``; the tables are independent jobs."""
+def export_tables(
+    tables: Mapping[str, DataFrame], root: str, raw: DataFrame | None = None, manifest: DataFrame | None = None
+) -> None:
+    """Each named table as CSV under ``root``, with the raw log and the manifest as JSON lines."""
     for name, df in tables.items():
         write_csv(df, f"{root}/{name}")
+    for name, df in (("raw_responses", raw), ("manifest", manifest)):
+        if df is not None:
+            write_jsonl(df, f"{root}/{name}")
 
 
 def preview(rows: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:

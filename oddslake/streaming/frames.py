@@ -156,32 +156,43 @@ def stream_summary(parsed: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> Da
     )
 
 
+STATE = "run_id STRING, connection_id INT, sid STRING, seq BIGINT, row_pos BIGINT, seen BIGINT"
+
+
 def _last_seen(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SUBSCRIPTION).agg(
-        F.max_by("seq", "row_pos").alias("seq"), F.max("row_pos").alias("row_pos")
+        F.max_by("seq", "row_pos").alias("seq"), F.max("row_pos").alias("row_pos"), F.max("seen").alias("seen")
     )
 
 
 def sequence_gaps_stream(
-    frames: DataFrame, out_path: str, state_path: str, checkpoint_path: str, width: int = BUCKET_WIDTH
+    frames: DataFrame,
+    out_path: str,
+    state_path: str,
+    checkpoint_path: str,
+    width: int = BUCKET_WIDTH,
+    forget_after: int | None = None,
 ) -> StreamingQuery:
     """Run :func:`sequence_gaps` over a stream; gaps land under ``out_path``, one folder per batch.
 
     The last row of every subscription is handed to the next batch as an ordinary frame, so a
     gap across the border is found by the same ordered comparison, and a subscription with a
     third of all frames is still compared bucket by bucket instead of in one stateful task.
+    Subscriptions without a frame for ``forget_after`` batches leave the state. All three paths
+    must be reachable by every executor.
     """
-    spark = frames.sparkSession
-    state_schema = "run_id STRING, connection_id INT, sid STRING, seq BIGINT, row_pos BIGINT"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.select(*SUBSCRIPTION, "row_pos", "seq").to(_schema(session, state_schema))
+        fresh = batch.select(*SUBSCRIPTION, "seq", "row_pos", F.lit(batch_id).alias("seen"))
+        rows = fresh.to(_schema(session, STATE))
         if batch_id > 0:
-            seen = session.read.schema(state_schema).parquet(f"{state_path}/batch={batch_id - 1}")
-            rows = rows.unionByName(seen)
+            rows = rows.unionByName(session.read.schema(STATE).parquet(f"{state_path}/batch={batch_id - 1}"))
         sequence_gaps(rows, width).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        _last_seen(rows).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        kept = _last_seen(rows)
+        if forget_after is not None:
+            kept = kept.filter(F.col("seen") > batch_id - forget_after)
+        kept.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
     return (
         frames.writeStream.foreachBatch(step)

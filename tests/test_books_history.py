@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from oddslake.operators import books, history, timewindows
 
@@ -147,3 +148,15 @@ def test_saturated_split_matches_bisection(spark, start, end, times):
     assert got == bisect_by_hand(times, start, end, 4)
     few = timewindows.split_saturated(df, ["market"], "t", start, end, 2, 2, max_requests=1)
     assert few.first()["incomplete"] == (len(times) > 1)
+
+
+def test_default_range(spark):
+    ddl = "s BIGINT, e BIGINT"
+    run = F.lit(10_000_000)
+    pick = lambda rows: [
+        tuple(r) for r in spark.createDataFrame(rows, ddl).select(*timewindows.default_range(F.col("s"), F.col("e"), run)).collect()
+    ]
+    week = 7 * 86400
+    assert pick([(None, None), (5, 9), (None, 700_000)]) == [(10_000_000 - week, 10_000_000), (5, 9), (700_000 - week, 700_000)]
+    with pytest.raises(Exception, match="end must be after start"):
+        pick([(9, 9)])

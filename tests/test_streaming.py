@@ -79,3 +79,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in S.read_gaps(spark, str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in S.sequence_gaps(S.sequenced(S.parse_frames(df))).collect()}
     assert got == want and want
+
+
+def test_state_forgets_idle_subscriptions(spark, tmp_path):
+    for part in range(3):
+        rows = [{"data": book("delta", part, 10 + i), "row_pos": part * 10 + i} for i in range(2)]
+        table(spark, *rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1))
+    paths = [str(tmp_path / d) for d in ("out", "state", "ckpt")]
+    S.sequence_gaps_stream(S.sequenced(parsed), *paths, forget_after=1).awaitTermination(120)
+    last = spark.read.schema(S.STATE).parquet(str(tmp_path / "state" / "batch=2")).collect()
+    assert [r["seen"] for r in last] == [2]
+
+
+def test_summary_as_streaming_query(spark, tmp_path):
+    rows = [{"data": book("delta", 1, i), "row_pos": i, "connection_id": i % 3} for i in range(9)]
+    table(spark, *rows).repartition(3).write.json(str(tmp_path / "in"))
+    parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1))
+    query = (
+        S.stream_summary(parsed).writeStream.outputMode("complete").format("memory").queryName("summary")
+        .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    row = spark.table("summary").first()
+    assert (row["messages"], row["data_messages"], row["connections"], row["gaps"]) == (9, 9, 3, 0)
