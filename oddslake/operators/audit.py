@@ -69,11 +69,12 @@ def pagination_audit(
         "row_pos",
         F.when(~is_end, F.col("next_cursor")).alias("next_cursor"),
         F.coalesce("cursor", F.lit("")).alias("cursor"),
-        F.when(~F.coalesce("rows_json", F.lit("[]")).isin("", "[]"), fingerprint(F.col("rows_json"))).alias("page"),
+        F.coalesce("rows_json", F.lit("[]")).isin("", "[]").alias("empty"),
+        F.col("rows_json"),
     )
     ends = facts.groupBy(*walk).agg(
         F.count(F.lit(1)).alias("pages"),
-        F.count_if(F.col("page").isNull()).alias("empty_pages"),
+        F.count_if("empty").alias("empty_pages"),
         F.max_by(F.coalesce("next_cursor", F.lit("")), "row_pos").alias("last_cursor"),
         F.min_by("cursor", "row_pos").alias("first_cursor"),
     )
@@ -81,7 +82,9 @@ def pagination_audit(
     starts = ends.filter(F.col("first_cursor") != "").select(*walk, F.col("first_cursor").alias("next_cursor"))
     offered = facts.filter(F.col("next_cursor").isNotNull()).select(*walk, "next_cursor").unionByName(starts)
     cursors = _repeated(offered, walk, "next_cursor", "repeated_cursors")
-    repeats = _repeated(facts.filter(F.col("page").isNotNull()), walk, "page", "repeated_pages")
+    # Only this branch reads and hashes the row arrays.
+    prints = facts.filter(~F.col("empty")).select(*walk, fingerprint(F.col("rows_json")).alias("page"))
+    repeats = _repeated(prints, walk, "page", "repeated_pages")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = (
         ends.join(cursors, walk, "left")

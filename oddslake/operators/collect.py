@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from oddslake.functions import bounded, latest_by, truthy
 from oddslake.operators.discover import interleave
+from oddslake.session import stored
 
 # Identifier per (venue, dataset), and the datasets a venue does not offer.
 DATASET_KEYS = [
@@ -134,15 +135,18 @@ def collect_datasets(
     ``tables[platform][dataset]`` is a table with an ``id`` column of the kind
     :data:`DATASET_KEYS` names. The chosen contracts are few by the limit; how many ids they
     have is not known, so that join is left to the optimizer, which checks sizes as it runs.
+    The choice and the ids are written once, because every dataset starts from them.
     """
     chosen, notice = select_contracts(rows, max_markets, pos)
+    chosen = stored(chosen)
     pair = ["platform", "market_id"]
     universe = rows.join(bounded(chosen.select(*pair), max_markets), pair, "left_semi")
     wanted = sorted({d for venue in tables.values() for d in venue})
     routed = dataset_routes(universe, wanted, pos)
+    routes = stored(routed["routes"])
     out = {"contracts": chosen, "notice": notice, "errors": routed["errors"], "warnings": routed["warnings"]}
     for venue, venue_tables in tables.items():
         for dataset, table in venue_tables.items():
-            keys = routed["routes"].filter((F.col("platform") == venue) & (F.col("dataset") == dataset))
+            keys = routes.filter((F.col("platform") == venue) & (F.col("dataset") == dataset))
             out[f"{venue}_{dataset}"] = table.join(keys.drop("id_kind", "dataset").distinct(), "id")
     return out

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from oddslake.functions import (
     bounded,
@@ -49,6 +50,9 @@ CYCLE_CONTEXT = "2026 congressional election cycle inferred from ticker and term
 QUERY_STOP_WORDS = ["the", "will", "who", "and", "for", "united", "states"]
 
 
+SHORT_LIMIT = 100
+
+
 def query_words(queries: Sequence[str]) -> list[str]:
     """Lower-cased words of three or more letters, without stop words."""
     words = {w.lower() for q in queries for w in re.findall(r"[a-zA-Z]+", q) if len(w) > 2}
@@ -307,13 +311,17 @@ def ordered_unique(rows: DataFrame, column: str, pos: Column) -> DataFrame:
 def interleave(contracts: DataFrame, limit: int, pos: str = "first_pos") -> DataFrame:
     """Round-robin over venues in first-seen order, cut at ``limit`` contracts.
 
-    Turns within a venue are counted per position bucket, so a venue holding most contracts is
-    still numbered in parallel. A venue cannot place more than ``limit`` contracts, so later turns
-    are dropped before the venues are ordered.
+    A venue cannot place more than ``limit`` contracts. For a short limit each task keeps only
+    its first contracts per venue before they meet in one window; for a longer one, turns are
+    counted per position bucket. Either way only the first ``limit`` of a venue are ordered.
     """
-    venues = contracts.groupBy("platform").agg(F.min(pos).alias("venue_first"))
-    turns = row_number_ordered(contracts, ["platform"], pos, "turn").filter(F.col("turn") <= limit)
-    return turns.join(venues, "platform").orderBy("turn", "venue_first").limit(limit)
+    if limit <= SHORT_LIMIT:
+        turns = contracts.withColumn("turn", F.row_number().over(W.partitionBy("platform").orderBy(pos)))
+    else:
+        turns = row_number_ordered(contracts, ["platform"], pos, "turn")
+    leading = turns.filter(F.col("turn") <= limit)
+    venue_first = F.min(pos).over(W.partitionBy("platform"))
+    return leading.withColumn("venue_first", venue_first).orderBy("turn", "venue_first").limit(limit)
 
 
 def discover(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddslake.functions import exact, finite, instant, latest_by, valid_probability
+from oddslake.session import stored
 
 KEY = ["k_platform", "k_market_id", "k_outcome"]
 IDENTITY = ["platform", "market_id", "event_id", "title", "outcome", "token_id", "topics"]
@@ -338,8 +339,7 @@ def analyze(
     compared = compare(current, previous, wide_spread=wide_spread, thin_volume=thin_volume)
     spark = current.sparkSession
     if compared_path:
-        compared.write.mode("overwrite").parquet(compared_path)
-        compared = spark.read.schema(compared.schema).parquet(compared_path)
+        compared = stored(compared, compared_path)
     requested = previous is not None
     empty = latest_snapshot(current, IDENTITY).select(*IDENTITY).filter(F.lit(False))
     return {

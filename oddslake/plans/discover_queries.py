@@ -180,7 +180,7 @@ def contract_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, _ = collect.select_contracts(outcome_rows(spark, sf_dir), 25)
-    return chosen.withColumn("place", F.monotonically_increasing_id() + 1).select("place", "platform", "market_id", "turn")
+    return chosen.withColumn("place", F.monotonically_increasing_id() + 1).select("place", "platform", "market_id", F.col("turn").cast("bigint").alias("turn"))
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

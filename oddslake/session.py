@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # The JVM does not compile methods above this size; a stage that would hold one is better run
@@ -35,6 +36,16 @@ def local_session(cores: str = "*", app: str = "oddslake", partitions: int = 8)
     return prepare(spark)
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table once and read it back: later plans start from the files, not from its lineage.
+
+    Without a path the table goes below :func:`shared_dir`. This runs a job.
+    """
+    path = path or f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 

@@ -179,3 +179,12 @@ def test_collect_joins_each_dataset_on_its_id(spark):
 def test_taxonomy_dimensions(spark):
     dims = Taxonomy.default().dimensions(spark)
     assert dims["topic_sectors"].filter("topic = 'us_politics'").count() == 1
+
+
+def test_long_interleave_counts_by_bucket(spark):
+    rows = [("a" if i % 4 else "b", str(i), i * 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "platform STRING, market_id STRING, first_pos BIGINT")
+    queues = {v: [m for p, m, _ in rows if p == v] for v in "ba"}  # "b" holds the first row
+    turns = [queues[v][i] for i in range(300) for v in "ba" if i < len(queues[v])]
+    for limit in (50, 250):
+        assert [r["market_id"] for r in discover.interleave(df, limit).collect()] == turns[:limit]
