@@ -26,6 +26,7 @@ from oddslake.functions import (
 )
 from oddslake.operators.normalize import normalize_candidates
 from oddslake.operators.topics import ELECTION_TOPIC, classify, select_topics
+from oddslake.session import stored
 from oddslake.sources.taxonomy import Taxonomy
 
 # Hosts whose settlement data marks a series as a United States one, and the
@@ -341,8 +342,9 @@ def discover(
 
     Event tables hold raw ``event`` JSON with nested markets, ``observed_at`` and a BIGINT
     ``row_pos``; Kalshi events also carry ``series_ticker``. In the results ``row_pos`` is the
-    discovery order as an orderable struct; ``sinks.with_row_pos`` turns it into a number when
-    the table is written.
+    discovery order as an orderable struct; ``with_row_pos`` turns it into a number when the
+    table is written. Labelled series, unique candidates and labelled rows are written once, as
+    several results start from each of them.
     """
     taxonomy = taxonomy or Taxonomy.default()
     taxonomy.check_topics(topics)
@@ -359,8 +361,8 @@ def discover(
             F.get_json_object("event", "$.id").alias("event_id")
         ).agg(F.countDistinct("event_id").alias("polymarket_events"))
     if kalshi_series is not None and kalshi_events is not None:
-        matching = matching_series(
-            kalshi_series, taxonomy, topics=topics, queries=queries, series_tickers=series_tickers
+        matching = stored(
+            matching_series(kalshi_series, taxonomy, topics=topics, queries=queries, series_tickers=series_tickers)
         )
         selected = rank_series(matching, max_series)
         result["series_matching"] = matching.agg(F.count(F.lit(1)).alias("kalshi_series_matching"))
@@ -382,8 +384,8 @@ def discover(
     candidates = parts[0]
     for part in parts[1:]:
         candidates = candidates.unionByName(part)
-    unique = unique_candidates(open_markets(candidates, include_closed))
-    labelled = normalize_candidates(unique, taxonomy, run_time)
+    unique = stored(unique_candidates(open_markets(candidates, include_closed)))
+    labelled = stored(normalize_candidates(unique, taxonomy, run_time))
     result["candidates"] = unique
     result["markets"] = select_topics(labelled, topics)
     result["coverage"] = coverage_counts(unique, labelled, topics)

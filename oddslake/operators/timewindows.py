@@ -101,49 +101,50 @@ def split_saturated(
         .groupBy(*keys, F.col(second).alias("__t"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    # Level by level, the half that holds the second: plain arithmetic in generated code.
-    t, paths = F.col("__t"), counted.withColumns(
-        {"__lo0": F.lit(start).cast("bigint"), "__hi0": F.lit(end).cast("bigint")}
+    root = F.struct(
+        F.lit(start).cast("bigint").alias("lo"), F.lit(end).cast("bigint").alias("hi"), F.lit(0).alias("depth")
     )
-    for level in range(levels):
-        lo, hi = F.col(f"__lo{level}"), F.col(f"__hi{level}")
-        mid = F.shiftright(lo + hi, 1)
-        paths = paths.withColumns(
-            {
-                f"__lo{level + 1}": F.when(lo < hi, F.when(t <= mid, lo).otherwise(mid + 1)),
-                f"__hi{level + 1}": F.when(lo < hi, F.when(t <= mid, mid).otherwise(hi)),
-            }
+
+    def descend(path: Column, _: Column) -> Column:
+        """Append the half of the last window that holds the second."""
+        w = F.element_at(path, -1)
+        mid = F.shiftright(w["lo"] + w["hi"], 1)
+        left = F.col("__t") <= mid
+        child = F.struct(
+            F.when(left, w["lo"]).otherwise(mid + 1).alias("lo"),
+            F.when(left, mid).otherwise(w["hi"]).alias("hi"),
+            (w["depth"] + 1).alias("depth"),
         )
-    chain = F.array(
-        *[
-            F.struct(F.col(f"__lo{k}").alias("lo"), F.col(f"__hi{k}").alias("hi"), F.lit(k).alias("depth"))
-            for k in range(levels + 1)
-        ]
-    )
+        return F.when(w["lo"] < w["hi"], F.concat(path, F.array(child))).otherwise(path)
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(root), descend)
     windows = (
-        paths.select(*keys, "__n", F.explode(chain).alias("w"))
-        .filter(F.col("w.lo").isNotNull())
+        counted.select(*keys, "__n", F.explode(chain).alias("w"))
         .groupBy(*keys, "w.lo", "w.hi", "w.depth")
         .agg(F.sum("__n").alias("n_rows"))
     )
-    saturated = F.col("n_rows") >= capacity
-    splittable = windows.filter(saturated & (F.col("lo") < F.col("hi")))
-    mid = F.shiftright(F.col("lo") + F.col("hi"), 1)
-    halves = F.explode(
-        F.array(
-            F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))
-        )
-    )
-    children = splittable.select(*keys, (F.col("depth") + 1).alias("depth"), halves.alias("h")).select(
-        *keys, "h.lo", "h.hi", "depth"
+    # A window is read when it is the root or half of a window that holds too many rows. Such a
+    # window announces its halves, empty ones included; adding up by window joins announcements
+    # and counts without a second look at the rows.
+    lo, hi, deeper = F.col("lo"), F.col("hi"), F.col("depth") + 1
+    mid = F.shiftright(lo + hi, 1)
+    record = lambda a, b, depth, n, read: F.struct(
+        a.alias("lo"), b.alias("hi"), depth.alias("depth"), n.alias("n_rows"), F.lit(read).alias("read")
     )
-    visited = children.join(windows, [*keys, "lo", "hi", "depth"], "left").unionByName(
-        windows.filter(F.col("depth") == 0)
+    none = F.lit(0).cast("bigint")
+    itself = record(lo, hi, F.col("depth"), F.col("n_rows"), False)
+    halves = F.array(itself, record(lo, mid, deeper, none, True), record(mid + 1, hi, deeper, none, True))
+    announced = F.when((F.col("n_rows") >= capacity) & (lo < hi), halves).otherwise(F.array(itself))
+    visited = (
+        windows.select(*keys, F.explode(announced).alias("w"))
+        .groupBy(*keys, "w.lo", "w.hi", "w.depth")
+        .agg(F.sum("w.n_rows").alias("n_rows"), F.bool_or("w.read").alias("read"))
+        .filter(F.col("read") | (F.col("depth") == 0))
     )
     pages = F.when(F.col("n_rows") >= capacity, F.lit(capacity // page_size)).otherwise(
         F.floor(F.col("n_rows") / page_size) + 1
     )
-    probed = visited.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).withColumn("requests", pages)
+    probed = visited.withColumn("requests", pages)
     total = probed.groupBy(*keys).agg(F.sum("requests").alias("total_requests"))
     leaves = probed.filter((F.col("n_rows") < capacity) | (F.col("lo") == F.col("hi")))
     return leaves.join(total, keys).select(
