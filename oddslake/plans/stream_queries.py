@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.plans.registry import Query, json_text, quoted, table, text
+from oddslake.plans.registry import Query, json_text, quoted, table
 from oddslake.session import shared_dir
 from oddslake.streaming import frames as S
 
