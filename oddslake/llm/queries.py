@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm import mixing, sharding
+from oddslake.llm import exact_dedup, mixing, quality_rules, secret_scan, sharding
 from oddslake.llm.common import documents
 from oddslake.session import prepare
 
 
+def op2_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(prepare(spark), sf_dir))
+
+
+def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secret_scan.scan_secrets(documents(prepare(spark), sf_dir))
+    base = F.concat("assign", "access", "hex")
+    return spans.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"), secret_scan.spans_text(F.concat(base, "random")).alias("spans"),
+    )
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(documents(prepare(spark), sf_dir), 8)
     return placed.select(
@@ -22,5 +35,10 @@ def op9_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(documents(prepare(spark), sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_minimax_shards, op9_flow_mixing)}
+def op10_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_verdicts(documents(prepare(spark), sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op2_patricia_owners, op3_randomness_battery, op6_minimax_shards, op9_flow_mixing, op10_covariance_outliers)}
 SQL: dict[str, str] = {}
