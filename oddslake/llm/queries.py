@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm import exact_dedup, mixing, quality_rules, secret_scan, sharding
-from oddslake.llm.common import documents
-from oddslake.session import prepare
+from oddslake.llm import exact_dedup, kneser_ney, mixing, ngram_join, pu_quality, quality_rules, secret_scan, sharding, vector_packing
+from oddslake.llm.common import documents, held_out, with_package
+from oddslake.session import prepare as settings
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    return with_package(settings(spark))
+
+
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kneser_ney.learn_and_score(documents(prepare(spark), sf_dir), ~held_out("doc_id", 7))
+    return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +32,10 @@ def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_dot_product_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(documents(prepare(spark), sf_dir))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(documents(prepare(spark), sf_dir), 8)
     return placed.select(
@@ -31,6 +44,16 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    scored = pu_quality.classify(documents(spark, sf_dir), labels, ~held_out("doc_id", 4))
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(prepare(spark), sf_dir))
+
+
 def op9_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(documents(prepare(spark), sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,5 +63,11 @@ def op10_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_patricia_owners, op3_randomness_battery, op6_minimax_shards, op9_flow_mixing, op10_covariance_outliers)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kneser_ney, op2_patricia_owners, op3_randomness_battery, op5_dot_product_packing, op6_minimax_shards,
+        op7_positive_unlabelled, op8_partition_join, op9_flow_mixing, op10_covariance_outliers,
+    )
+}
 SQL: dict[str, str] = {}
