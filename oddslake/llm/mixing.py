@@ -148,6 +148,19 @@ def mix(rows: DataFrame, quotas: Mapping[str, int], repeats: int = 3, seed: int
 MISSING = "null"
 
 
+def source_quotas(rows: DataFrame, weights: Sequence[int], most: float) -> list[tuple[str, int, float]]:
+    """Sources in code point order, the missing one last, each with its words and target."""
+    found = rows.groupBy(F.col("pattern")[0].alias("name")).agg(F.sum("size").alias("size")).collect()  # a row a source
+    found = sorted(((r["name"], r["size"]) for r in found), key=lambda x: (x[0] == MISSING, x[0]))
+    targets = shared_targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], most)
+    return [(n, s, t) for (n, s), t in zip(found, targets, strict=True)]
+
+
+def source_rows(docs: DataFrame) -> DataFrame:
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(MISSING))
+    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(whole_text()).alias("size"), F.array(name).alias("pattern"))
+
+
 def mix_by_source(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: int = 17) -> DataFrame:
     """Mix documents of one source each: doc_id, source, size, source_size, target, taken, copies.
 
@@ -156,13 +169,34 @@ def mix_by_source(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats:
     table gives no rows; other columns are not read. This runs jobs and stores one narrow row a
     document.
     """
-    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(MISSING))
-    rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(whole_text()).alias("size"), F.array(name).alias("pattern")))
-    found = rows.groupBy(F.col("pattern")[0].alias("name")).agg(F.sum("size").alias("size")).collect()
-    found = sorted(((r["name"], r["size"]) for r in found), key=lambda x: (x[0] == MISSING, x[0]))
-    targets = shared_targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], repeats)
-    mixed = mix(rows, {n: round(t) for (n, _), t in zip(found, targets, strict=True)}, repeats, seed)
-    facts = rows.sparkSession.createDataFrame([([n], s, t) for (n, s), t in zip(found, targets, strict=True)], "pattern ARRAY<STRING>, source_size BIGINT, target DOUBLE")
+    rows = stored(source_rows(docs))
+    quotas = source_quotas(rows, weights, repeats)
+    mixed = mix(rows, {n: round(t) for n, _, t in quotas}, repeats, seed)
+    facts = rows.sparkSession.createDataFrame([([n], s, t) for n, s, t in quotas], "pattern ARRAY<STRING>, source_size BIGINT, target DOUBLE")
     return mixed.join(F.broadcast(facts), "pattern").select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
+
+
+def take_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
+
+    Of each pattern the documents used once more than the others are a prefix of the seeded order, so
+    where that prefix ends is all that has to be known of it, and no row is looked up by its id.
+    """
+    rows = stored(source_rows(docs))
+    mixed = mix(rows, {n: round(t) for n, _, t in source_quotas(rows, weights, repeats)}, repeats, seed)
+    place = F.struct(F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 1).alias("order"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
+    least = mixed.groupBy("pattern").agg(F.min("copies").alias("each"))
+    ends = mixed.join(F.broadcast(least), "pattern").groupBy("pattern", "each").agg(F.max(F.when(F.col("copies") > F.col("each"), place)).alias("last"))
+    ends = stored(ends)
+    taken = _beside(docs)
+    copies = F.col("each") + F.coalesce(place <= F.col("last"), F.lit(False)).cast("bigint")
+    return taken.join(F.broadcast(ends), "pattern").select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
+
+
+def _beside(docs: DataFrame) -> DataFrame:
+    """What decides on a row, beside the whole row."""
+    rows = docs.select(F.struct("*").alias("row"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("row.source").cast("string")), F.lit(MISSING))
+    return rows.select("row", F.col("row.doc_id").alias("doc_id"), word_count(whole_text(F.col("row.text"))).alias("size"), F.array(name).alias("pattern"))

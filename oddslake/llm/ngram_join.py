@@ -92,9 +92,13 @@ def roles(size: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int
     return out
 
 
+def _salt(k: int) -> np.uint64:
+    return np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+
+
 def segments_of(values: np.ndarray, band: int, factor: int) -> np.ndarray:
     """Segment of each shingle; 0 makes one for each shingle."""
-    spread = _mixed(values ^ (_P * np.uint64(band + 1)))
+    spread = _mixed(values ^ _salt(band + 1))
     return spread if factor == 0 else spread % np.uint64(factor * 4**band)
 
 
@@ -210,11 +214,11 @@ def index_entries(values: np.ndarray, hot: np.ndarray, band: int, bound: int, fa
     the second deal, a twelfth of the universe, are indexed with their one-deletion neighbourhoods.
     """
     entries, known = [], []
-    salt = np.uint64(band + 1)
+    salt = _salt(band + 1)
     if coarse:
         there = _mixed(values * _P + salt) % np.uint64(12) == 0
         bound -= 2 * coarse
-        inside = (_mixed(values + _P * salt) % np.uint64(coarse)).astype(np.int64)
+        inside = (_mixed(values + salt) % np.uint64(coarse)).astype(np.int64)
         for s in range(coarse):
             own = values[there & (inside == s)]
             whole = _mixed(own).sum(dtype=np.uint64)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm import exact_dedup, kneser_ney, mixing, ngram_join, pu_quality, quality_rules, secret_scan, sharding, vector_packing
+from oddslake.llm import exact_dedup, kneser_ney, mixing, ngram_join, pu_quality, quality_rules, secret_scan, sharding, surrogates, vector_packing
 from oddslake.llm.common import documents, held_out, with_package
 from oddslake.session import prepare as settings
 
 
+#: Key of the registered query; a run on real data brings a secret one.
+SURROGATE_KEY = b"registered query"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     return with_package(settings(spark))
 
@@ -32,6 +36,12 @@ def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replace_private(documents(prepare(spark), sf_dir), SURROGATE_KEY)
+    kinds = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return found.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), kinds.alias("entities"))
+
+
 def op5_dot_product_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(documents(prepare(spark), sf_dir))
 
@@ -66,8 +76,8 @@ def op10_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_kneser_ney, op2_patricia_owners, op3_randomness_battery, op5_dot_product_packing, op6_minimax_shards,
-        op7_positive_unlabelled, op8_partition_join, op9_flow_mixing, op10_covariance_outliers,
+        op1_kneser_ney, op2_patricia_owners, op3_randomness_battery, op4_surrogates, op5_dot_product_packing,
+        op6_minimax_shards, op7_positive_unlabelled, op8_partition_join, op9_flow_mixing, op10_covariance_outliers,
     )
 }
 SQL: dict[str, str] = {}
