@@ -23,7 +23,7 @@ from oddslake.session import stored
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics and the least scatter assumed of each: a statistic that is the same in
 #: nearly all documents would otherwise make the scatter singular.
-SCALE_FLOORS = {"x_length": 0.25, "x_word": 0.05, "x_symbol": 0.1, "x_line": 0.1, "x_repeat": 0.1, "x_upper": 0.1}
+SCALE_FLOORS = {"x_length": 0.5, "x_word": 0.05, "x_symbol": 0.03, "x_line": 0.15, "x_repeat": 0.15, "x_upper": 0.04}
 NAMES = list(SCALE_FLOORS)
 #: Share of rows that a concentration step keeps, steps, rows a group must have, and the tail
 #: probability beyond which a document is rejected.
