@@ -1,5 +1,5 @@
 from oddslake.functions.computed import computed
-from oddslake.functions.joins import bounded, salted_join
+from oddslake.functions.joins import salted_join
 from oddslake.functions.ordered import lag_ordered, latest_by, row_number_ordered, running_sum
 from oddslake.functions.scalar import (
     book_flags,
@@ -27,7 +27,6 @@ __all__ = [
     "ascii_only",
     "book_flags",
     "casefold",
-    "bounded",
     "cents",
     "computed",
     "csv_safe_column",

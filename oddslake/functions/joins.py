@@ -7,24 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 10_000
-SALTS = 16
 
-
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a side for broadcast when its row bound, set by a limit, is small; else leave it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def salts_of(df: DataFrame) -> int:
+    """Salts for a join of this session: as many as it has shuffle partitions, so that a key with a large
+    part of the rows can be spread over all of them, in steps of eight."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", salts: int = SALTS
+    many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Join rows to a side that is unique per key, spreading each key over ``salts`` tasks.
 
     ``spread`` is a column of ``many`` that varies within a key. The unique side is repeated
     once per salt; it holds one short row per key, so the copies are cheap next to a key that
-    holds a large part of the rows.
+    holds a large part of the rows. Without ``salts`` their number follows the session.
     """
+    salts = salts or salts_of(many)
     left = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

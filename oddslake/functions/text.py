@@ -1,13 +1,16 @@
-"""Text helpers with the Unicode behaviour the label rules need, without Python workers.
+"""Text helpers with the Unicode behaviour the label rules need.
 
-Spark has no NFKC or casefold function of its own, but ships ICU; ``reflect`` reaches its
-static methods in the JVM. ASCII rows, the common case, never take that path.
+Spark has no NFKC or full case folding of its own. Texts that are not ASCII go to an Arrow function;
+for the others, the common case, only a null crosses to the worker. The function is deterministic, so
+filters on other columns still reach the scan.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +23,28 @@ def ascii_only(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-def _icu(cls: str, method: str, text: Column) -> Column:
-    return F.reflect(F.lit(f"com.ibm.icu.{cls}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(True))
+def _arrow_text(change: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A text function over Arrow batches; it is sent by value, so workers need no package."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
+def _beyond_ascii(text: Column, change: Callable[[str], str], ascii_form: Column) -> Column:
+    other = F.when(~ascii_only(text), text)
+    return F.when(other.isNotNull(), _arrow_text(change)(other)).otherwise(ascii_form)
 
 
 def nfkc(text: Column) -> Column:
-    return F.when(~ascii_only(text), _icu("text.Normalizer", "compose", text)).otherwise(text)
+    from unicodedata import normalize
+
+    return _beyond_ascii(text, lambda t: normalize("NFKC", t), text)
 
 
 def casefold(text: Column) -> Column:
-    return F.when(~ascii_only(text), _icu("lang.UCharacter", "foldCase", text)).otherwise(F.lower(text))
+    return _beyond_ascii(text, lambda t: t.casefold(), F.lower(text))
 
 
 def python_lines(text: Column) -> Column:

@@ -125,6 +125,26 @@ def run_status(raw: DataFrame, errors: DataFrame, warnings: DataFrame, runs: Dat
     return joined.withColumn("status", status).withColumn("exit_code", code)
 
 
+def run_manifests(runs: DataFrame, raw: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The manifest of each run: its settings and times, counts, status, and what went wrong.
+
+    ``runs`` has run_id, started_at, finished_at (null while running), settings and fatal; ``errors``
+    run_id, operation and error; ``warnings`` run_id and warning. Equal errors are listed once with
+    how often they came, so a list is as long as there are kinds of them.
+    """
+    status = run_status(raw, errors, warnings, runs.withColumn("finished", F.col("finished_at").isNotNull()))
+    kinds = errors.groupBy("run_id", "operation", "error").agg(F.count(F.lit(1)).alias("times"))
+    listed = kinds.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("operation", "error", "times"))).alias("errors"))
+    said = warnings.select("run_id", "warning").distinct().groupBy("run_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
+    none = F.array().cast("array<struct<operation:string,error:string,times:bigint>>")
+    return (
+        status.join(listed, "run_id", "left")
+        .join(said, "run_id", "left")
+        .withColumns({"errors": F.coalesce("errors", none), "warnings": F.coalesce("warnings", F.array().cast("array<string>"))})
+        .drop("finished")
+    )
+
+
 def check_ranges(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Violations per rule; a rule is a condition that must hold, null does not violate it."""
     counts = rows.agg(*[F.count_if(~condition).alias(name) for name, condition in rules.items()])

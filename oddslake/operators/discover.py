@@ -9,19 +9,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddslake.functions import (
-    bounded,
     first_present,
     json_list,
     json_objects,
     latest_by,
     number,
-    row_number_ordered,
     truthy,
 )
 from oddslake.operators.normalize import normalize_candidates
@@ -48,12 +47,13 @@ CHAMBER_RULE = r"(?iuUd)\b(?:House member|Senat(?:e|or)|Congress)\b"
 TERM_RULE = r"(?iuUd)\bterm\s+(?:beginning|starting)\s+(?:in\s+)?2027\b"
 CYCLE_BASIS = "Election ticker suffix and congressional term beginning in 2027"
 CYCLE_CONTEXT = "2026 congressional election cycle inferred from ticker and term rules."
+# The warnings of discovery.
+SERIES_LIMITED = "Kalshi series limited to %d of %d matches; increase --max-series"
+SERIES_ABSENT = "Requested series absent from catalog: "
+ARCHIVED_LEFT_OUT = "Nested Kalshi events exclude archived markets. Use historical discovery/GET for pre-cutoff markets."
 QUERY_STOP_WORDS = ["the", "will", "who", "and", "for", "united", "states"]
 
 
-SHORT_LIMIT = 100
-
-
 def query_words(queries: Sequence[str]) -> list[str]:
     """Lower-cased words of three or more letters, without stop words."""
     words = {w.lower() for q in queries for w in re.findall(r"[a-zA-Z]+", q) if len(w) > 2}
@@ -68,12 +68,19 @@ def query_match(text: Column, queries: Sequence[str] | None) -> Column:
     return text.rlike(rf"(?iuU)\b(?:{'|'.join(words)})\b") if words else F.lit(False)
 
 
+def _quoted(tag: Column) -> Column:
+    """A tag in single quotes, in double ones where it holds an apostrophe only."""
+    plain = F.replace(F.replace(tag, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    double = F.contains(tag, F.lit("'")) & ~F.contains(tag, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), tag, F.lit('"'))).otherwise(F.concat(F.lit("'"), plain, F.lit("'")))
+
+
 def series_context(series: DataFrame, out: str = "context") -> DataFrame:
     """Add the text a series is classified by, with a note for an official US settlement source."""
     host = lambda s: F.regexp_replace(F.lower(F.try_parse_url(s["url"], F.lit("HOST"))), r"^www\.", "")
     official = rf"(?:^|\.)(?:{'|'.join(re.escape(h) for h in OFFICIAL_US_HOSTS)})$"
     first = F.get(F.filter("settlement_sources", lambda s: F.coalesce(host(s).rlike(official), F.lit(False))), 0)
-    tags = F.when(F.size("tags") > 0, F.concat(F.lit("['"), F.array_join("tags", "', '"), F.lit("']")))
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit("["), F.array_join(F.transform("tags", _quoted), ", "), F.lit("]")))
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (F.col("title"), F.col("ticker"), F.col("category"), tags)])
     note = F.when(first.isNotNull(), F.concat(F.lit(OFFICIAL_NOTE), F.coalesce(first["name"], F.lit("")))).otherwise(F.lit(""))
     return series.withColumn(out, F.concat(text, note))
@@ -128,11 +135,12 @@ def matching_series(
     return labelled.filter(admitted).withColumn("priority", priority)
 
 
-def rank_series(matching: DataFrame, limit: int) -> DataFrame:
-    """Top series by priority, relevance, volume, then ticker: a distributed top-k."""
+def rank_series(matching: DataFrame, limit: int | None = None) -> DataFrame:
+    """Series by priority, relevance, volume, then ticker; with a limit a distributed top-k."""
     volume = F.coalesce(number(F.col("volume_fp")), F.lit(0.0))
     order = [F.col("priority").desc(), F.col("relevance_score").desc(), volume.desc(), F.coalesce("ticker", F.lit(""))]
-    return matching.orderBy(*order).limit(limit)
+    ranked = matching.orderBy(*order)
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def absent_series(series: DataFrame, requested: Sequence[str]) -> DataFrame:
@@ -150,7 +158,9 @@ def cycle_evidence(event_ticker: Column, markets: Column) -> Column:
     found = event_ticker.rlike(CYCLE_TICKER) & proof.isNotNull()
     return F.when(
         found,
-        F.struct(F.lit(2026).alias("year"), rule(proof).alias("rule"), F.lit(CYCLE_BASIS).alias("basis")),
+        F.struct(
+            F.lit(2026).alias("year"), event_ticker.alias("event_ticker"), rule(proof).alias("rule"), F.lit(CYCLE_BASIS).alias("basis")
+        ),
     )
 
 
@@ -312,14 +322,10 @@ def ordered_unique(rows: DataFrame, column: str, pos: Column) -> DataFrame:
 def interleave(contracts: DataFrame, limit: int, pos: str = "first_pos") -> DataFrame:
     """Round-robin over venues in first-seen order, cut at ``limit`` contracts.
 
-    A venue cannot place more than ``limit`` contracts. For a short limit each task keeps only
-    its first contracts per venue before they meet in one window; for a longer one, turns are
-    counted per position bucket. Either way only the first ``limit`` of a venue are ordered.
+    ``pos`` is any orderable position. A venue cannot place more than ``limit`` contracts, so its
+    turns are a rank under a bound: tasks drop what lies beyond it before the venues meet.
     """
-    if limit <= SHORT_LIMIT:
-        turns = contracts.withColumn("turn", F.row_number().over(W.partitionBy("platform").orderBy(pos)))
-    else:
-        turns = row_number_ordered(contracts, ["platform"], pos, "turn")
+    turns = contracts.withColumn("turn", F.row_number().over(W.partitionBy("platform").orderBy(pos)))
     leading = turns.filter(F.col("turn") <= limit)
     venue_first = F.min(pos).over(W.partitionBy("platform"))
     return leading.withColumn("venue_first", venue_first).orderBy("turn", "venue_first").limit(limit)
@@ -333,22 +339,24 @@ def discover(
     *,
     queries: Sequence[str] | None = None,
     topics: Sequence[str] | None = None,
-    max_series: int = 80,
+    max_series: int | None = None,
     include_closed: bool = False,
     series_tickers: Sequence[str] | None = None,
     run_time: Column | None = None,
 ) -> dict[str, DataFrame]:
-    """Landed events and series to candidates, labelled outcome rows, coverage and warnings.
+    """Landed events and series to candidates, labelled outcome rows, coverage, counters and warnings.
 
     Event tables hold raw ``event`` JSON with nested markets, ``observed_at`` and a BIGINT
     ``row_pos``; Kalshi events also carry ``series_ticker``. In the results ``row_pos`` is the
     discovery order as an orderable struct; ``with_row_pos`` turns it into a number when the
     table is written. Labelled series, unique candidates and labelled rows are written once, as
-    several results start from each of them.
+    several results start from each of them. ``counters`` has one row per name; ``warnings`` tells of
+    series beyond ``max_series``, requested series that are not in the catalogue, and, with closed
+    markets, of archived ones that nested events leave out.
     """
     taxonomy = taxonomy or Taxonomy.default()
     taxonomy.check_topics(topics)
-    parts, result = [], {}
+    parts, result, counters, warnings = [], {}, [], []
     if polymarket_events is not None:
         children = explode_markets(polymarket_events.select("event", "observed_at", "row_pos"))
         parts.append(
@@ -357,29 +365,37 @@ def discover(
                 F.struct(F.lit(0).alias("source"), _plain_rank(F.col("row_pos")).alias("parent"), "market_pos").alias("row_pos"),
             )
         )
-        result["polymarket_events"] = polymarket_events.select(
-            F.get_json_object("event", "$.id").alias("event_id")
-        ).agg(F.countDistinct("event_id").alias("polymarket_events"))
+        ids = polymarket_events.select(F.get_json_object("event", "$.id").alias("event_id"))
+        counters.append(ids.agg(F.countDistinct("event_id").alias("n")).select(F.lit("polymarket_events").alias("counter"), "n"))
     if kalshi_series is not None and kalshi_events is not None:
         matching = stored(
             matching_series(kalshi_series, taxonomy, topics=topics, queries=queries, series_tickers=series_tickers)
         )
         selected = rank_series(matching, max_series)
-        result["series_matching"] = matching.agg(F.count(F.lit(1)).alias("kalshi_series_matching"))
+        found = matching.agg(F.count(F.lit(1)).alias("n"))
+        counters.append(found.select(F.lit("kalshi_series_matching").alias("counter"), "n"))
+        counters.append(selected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kalshi_series_selected").alias("counter"), "n"))
+        if max_series is not None:
+            warnings.append(found.filter(F.col("n") > max_series).select(F.format_string(SERIES_LIMITED, F.lit(max_series), F.col("n")).alias("warning")))
+        if include_closed:
+            warnings.append(found.select(F.lit(ARCHIVED_LEFT_OUT).alias("warning")))
         result["series_selected"] = selected.select("ticker", "title", "priority", "relevance_score", "context")
         if series_tickers:
             result["series_absent"] = absent_series(kalshi_series, series_tickers)
+            # The request is an argument, so its list is as long as the caller made it.
+            listed = F.array_join(F.array_sort(F.collect_list("ticker")), ", ")
+            missing = result["series_absent"].agg(listed.alias("listed")).filter("listed <> ''")
+            warnings.append(missing.select(F.concat(F.lit(SERIES_ABSENT), "listed").alias("warning")))
         parents = kalshi_events.join(
-            bounded(
-                selected.select(
+            selected.select(
                 F.col("ticker").alias("series_ticker"), F.col("title").alias("__series_title"), "context",
                 F.col("priority").alias("__p"), F.col("relevance_score").alias("__r"),
                 F.coalesce(number(F.col("volume_fp")), F.lit(0.0)).alias("__v"),
-                ),
-                max_series,
             ),
             "series_ticker",
         )
+        counted = kalshi_events.join(selected.select(F.col("ticker").alias("series_ticker")), "series_ticker", "left_semi")
+        counters.append(counted.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kalshi_events").alias("counter"), "n"))
         parts.append(_kalshi_children(parents))
     candidates = parts[0]
     for part in parts[1:]:
@@ -389,6 +405,11 @@ def discover(
     result["candidates"] = unique
     result["markets"] = select_topics(labelled, topics)
     result["coverage"] = coverage_counts(unique, labelled, topics)
+    for name, rows in (("candidate_markets", unique), ("selected_outcome_rows", result["markets"])):
+        counters.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n"))
+    result["counters"] = reduce(DataFrame.unionByName, counters)
+    none = unique.sparkSession.createDataFrame([], "warning STRING")
+    result["warnings"] = reduce(DataFrame.unionByName, warnings, none)
     return result
 
 
@@ -420,7 +441,9 @@ def _kalshi_children(parents: DataFrame) -> DataFrame:
                     F.get_json_object("event", "$.series_context")
                 ),
                 "derived_election_cycle": F.col("__cycle.year"),
-                "derived_election_cycle_evidence": F.struct("__cycle.rule", "__cycle.basis"),
+                "derived_election_cycle_evidence": F.when(
+                    F.col("__cycle").isNotNull(), F.struct("__cycle.event_ticker", "__cycle.rule", "__cycle.basis")
+                ),
             },
         ),
     )

@@ -90,6 +90,11 @@ def dedupe_points(points: DataFrame, keys: Sequence[str] = ("token_id", "t"), po
     return latest_by(points, keys, F.col(pos), "last")
 
 
+def in_time_order(rows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Rows ordered by key and time: ranges of both are dealt out, so a long key has many tasks."""
+    return rows.orderBy(*keys, time)
+
+
 def candles(rows: DataFrame, tier: str, payload: str = "payload") -> DataFrame:
     """Flatten candles of either tier; archived closes are already dollars, gaps stay null."""
     keep = [c for c in rows.columns if c != payload]

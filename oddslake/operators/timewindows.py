@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 WEEK = 7 * 86400
 CANDLE_PERIODS = [1, 60, 1440]
 MAX_BATCH_CANDLES = 10_000
+CANDLES_PER_REQUEST = 4_000
 
 
 def default_range(start: Column, end: Column, run_epoch: Column) -> tuple[Column, Column]:
@@ -36,22 +37,22 @@ def candle_windows(
     ranges: DataFrame,
     period_minutes: int,
     bars_per_window: int = 1000,
-    max_windows: int = 100,
+    max_windows: int | None = None,
     start: str = "start_ts",
     end: str = "end_ts",
 ) -> DataFrame:
     """Inclusive, non-overlapping windows of at most ``bars_per_window`` bars.
 
-    ``truncated`` marks ranges whose end was not reached within ``max_windows``, which is the
-    planner's own bound on requests.
+    With ``max_windows`` a range gets no more windows, and ``truncated`` marks those whose end was
+    not reached; without, every range is planned to its end.
     """
     if period_minutes not in CANDLE_PERIODS:
         raise ValueError(f"period must be one of {CANDLE_PERIODS} minutes")
-    if max_windows < 1 or not 1 <= bars_per_window <= 1000:
+    if (max_windows is not None and max_windows < 1) or not 1 <= bars_per_window <= 1000:
         raise ValueError("max_windows >= 1 and bars_per_window between 1 and 1000 required")
     span = period_minutes * 60 * bars_per_window
     lo, hi = F.col(start), F.col(end)
-    reach = lo + F.lit(span * max_windows - 1)
+    reach = hi if max_windows is None else lo + F.lit(span * max_windows - 1)
     refuse = F.raise_error(F.lit("expected nonnegative seconds with start <= end")).cast("array<bigint>")
     starts = F.when(
         (lo >= 0) & (hi >= lo), F.sequence(lo, F.least(hi, reach), F.lit(span).cast("bigint"))

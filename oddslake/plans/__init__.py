@@ -10,6 +10,7 @@ from oddslake.plans import (
     normalize_queries,
     scalar_queries,
     snapshot_queries,
+    storage_queries,
     stream_queries,
     topic_queries,
 )
@@ -25,4 +26,5 @@ QUERIES: list[Query] = [
     *audit_queries.QUERIES,
     *stream_queries.QUERIES,
     *scalar_queries.QUERIES,
+    *storage_queries.QUERIES,
 ]

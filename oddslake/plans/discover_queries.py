@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddslake.operators import collect, discover
 from oddslake.plans.normalize_queries import TAXONOMY, kalshi_candidates
-from oddslake.plans.registry import Query, json_text, quoted, table, text
+from oddslake.plans.registry import Query, epoch, json_text, quoted, table, text
 from oddslake.sources.taxonomy import Taxonomy
 
 SERIES_TAXONOMY = Taxonomy(
@@ -106,7 +106,7 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = json_text(
         event_ticker=quoted(F.concat(text("o_orderkey"), suffix)), title=quoted(F.lit("Event")), markets=F.when(F.col("o_orderkey") % 9 == 0, F.lit("null")).otherwise(children), extra=F.lit('{"b":[1,null]}')
     )
-    return table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", event.alias("event"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"), F.col("o_orderkey").alias("row_pos"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", event.alias("event"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"), F.col("o_orderkey").alias("row_pos"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def selectable(spark: SparkSession, sf_dir: str) -> DataFrame:
         clobTokenIds=F.when(F.col("o_custkey") % 7 == 0, F.lit('"[]"')).otherwise(F.lit('["1"]')), volume24hr=quoted(F.col("o_totalprice")),
         outcomePrices=F.when(F.col("o_custkey") % 4 == 0, F.lit('["0.4","0.6"]')).otherwise(F.lit('["0.05","0.95"]')),
     )
-    rows = table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", market.alias("market"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", market.alias("market"))
     return discover.selectable_markets(rows)
 
 
@@ -204,8 +204,32 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "lineitem")
     prints = lambda prefix: item.select(F.concat(F.lit(prefix), text("l_orderkey")).alias("id"), "l_extendedprice")
     out = collect.collect_datasets(outcome_rows(spark, sf_dir), {"polymarket": {"trades": prints("0xc")}, "kalshi": {"trades": prints("")}}, max_markets=40)
-    both = out["polymarket_trades"].unionByName(out["kalshi_trades"])
-    return both.groupBy("platform", "market_id").agg(F.count(F.lit(1)).alias("trades"), F.max("l_extendedprice").alias("largest"))
+    return _per_contract(out["polymarket_trades"].unionByName(out["kalshi_trades"]))
+
+
+def _per_contract(trades: DataFrame) -> DataFrame:
+    return trades.groupBy("platform", "market_id").agg(F.count(F.lit(1)).alias("trades"), F.max("l_extendedprice").alias("largest"))
+
+
+RANGE = (820_454_400, 852_076_800)  # the year 1996
+
+
+def collected_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of one year of all contracts; Kalshi's archive holds a share of them once more."""
+    item = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", *[text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")])
+    prints = lambda prefix: item.select(
+        F.concat(F.lit(prefix), text("l_orderkey")).alias("id"), epoch("l_shipdate").alias("ts"), key.alias("trade_key"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_pos"), "l_extendedprice", "l_suppkey",
+    )
+    live, archive = prints("").filter("l_suppkey % 4 > 0"), prints("").filter("l_suppkey % 4 < 2").withColumn("l_extendedprice", F.col("l_extendedprice") + 1)
+    cutoffs = spark.createDataFrame([("kalshi", "1996-06-01T00:00:00Z")], "platform STRING, trades_created_ts STRING")
+    out = collect.collect_datasets(
+        outcome_rows(spark, sf_dir), {"polymarket": {"trades": prints("0xc")}, "kalshi": {"trades": live}},
+        archives={"kalshi": {"trades": archive}}, cutoffs=cutoffs, start=RANGE[0], end=RANGE[1],
+    )
+    columns = ["platform", "market_id", "l_extendedprice"]
+    return _per_contract(out["polymarket_trades"].select(*columns).unionByName(out["kalshi_trades"].select(*columns)))
 
 
 ROWS = """
@@ -304,6 +328,17 @@ QUERIES = [
         route_warnings,
         "WITH" + ROWS + " SELECT platform, 'Kalshi public API does not expose comments, holders; those datasets were skipped for Kalshi contracts' AS warning, count(*) AS contracts FROM k WHERE platform = 'kalshi' GROUP BY ALL",
     ),
+    Query(
+        "collected_range",
+        collected_range,
+        "WITH" + ROWS + """, ids AS (SELECT platform, market_id, CASE WHEN platform = 'kalshi' THEN market_id ELSE coalesce(condition_id, CASE WHEN market_id LIKE '0x%' THEN market_id END) END AS id FROM turns),
+        prints AS (SELECT *, CAST(epoch(CAST(l_shipdate AS TIMESTAMP)) AS BIGINT) AS ts FROM lineitem),
+        kalshi AS (SELECT '' || CAST(l_orderkey AS VARCHAR) AS id, l_extendedprice + CASE WHEN l_suppkey % 4 < 2 THEN 1 ELSE 0 END AS price FROM prints WHERE ts >= 820454400 AND ts < 852076800),
+        poly AS (SELECT '0xc' || CAST(l_orderkey AS VARCHAR) AS id, l_extendedprice AS price FROM prints WHERE ts >= 820454400 AND ts < 852076800)
+        SELECT platform, market_id, count(*) AS trades, max(price) AS largest FROM (
+          SELECT platform, market_id, price FROM ids JOIN kalshi USING (id) WHERE platform = 'kalshi'
+          UNION ALL SELECT platform, market_id, price FROM ids JOIN poly USING (id) WHERE platform = 'polymarket') GROUP BY 1, 2""",
+    ),
     Query(
         "collected_trades",
         collected,

@@ -12,7 +12,7 @@ DAY = 86400
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id").withColumn("sec", epoch("ts"))
+    return table(spark, sf_dir, "events").withColumn("sec", epoch("ts"))
 
 
 def kalshi_prints(spark: SparkSession, sf_dir: str, archived: bool) -> DataFrame:
@@ -119,7 +119,7 @@ def holder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("["), one(text("l_suppkey"), text("l_quantity"), F.lit("0")), F.lit(","), one(text("l_orderkey"), quoted(F.col("l_extendedprice")), text("l_linenumber")), F.lit("]")
     )
     payload = json_text(token=quoted(text("l_partkey")), holders=F.when(F.col("l_linenumber") == 3, F.lit("[]")).otherwise(group))
-    return history.holders(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(payload.alias("payload")))
+    return history.holders(table(spark, sf_dir, "lineitem").select(payload.alias("payload")))
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accents written as separate marks come back composed; case folding lower-cases."""
     mark = F.concat(F.lit("é"), F.lit(" "), F.col("text"))
-    rows = table(spark, sf_dir, "documents", "doc_id").select("doc_id", mark.alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", mark.alias("t"))
     return rows.select("doc_id", F.sha2(nfkc(F.col("t")), 256).alias("composed"), (casefold(F.lit("ÉTÉ ＡＢ")) == "été ａｂ").alias("folded"))
 
 

@@ -33,7 +33,7 @@ def _frame(events: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(table(spark, sf_dir, "events", "event_id"))
+    return _frame(table(spark, sf_dir, "events"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Order-book frames of readings up to 200: dropping the others leaves gaps."""
-    return rows.filter(F.col("value") <= 200).select(
-        F.lit("capture").alias("run_id"), "connection_id", (F.col("row_pos") % 8).cast("string").alias("sid"), F.floor(F.col("row_pos") / 8).alias("seq"), "row_pos"
+    """All frames as one of eight order books each, whose numbering skips one in every fifty."""
+    book = F.floor(F.col("row_pos") / 8)
+    return rows.select(
+        F.lit("capture").alias("run_id"), "connection_id", (F.col("row_pos") % 8).cast("string").alias("sid"), (book + F.floor(book / 50)).alias("seq"), "row_pos"
     )
 
 
@@ -66,7 +67,7 @@ def streamed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written as a pattern, the path may be one file or a folder of files.
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     root = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
-    query = S.sequence_gaps_stream(_numbered(_frame(source)), f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    query = S.sequence_gaps_stream(_numbered(_frame(source)), f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
     return S.read_gaps(spark, f"{root}/out")
 
@@ -90,8 +91,8 @@ FRAMES = """
 f AS (SELECT event_id AS e, event_type AS run_id, day(ts) AS connection_id, CASE WHEN event_id % 101 = 0 THEN 'gap' WHEN event_id % 103 = 0 THEN 'connected' ELSE 'message' END AS kind, value FROM events),
 t AS (SELECT *, CASE WHEN kind <> 'message' THEN 'none' WHEN e % 53 = 0 THEN 'pong' WHEN e % 47 = 0 THEN 'list' WHEN e % 211 = 0 THEN 'error' WHEN e % 43 = 0 THEN 'plain' WHEN e % 5 = 0 THEN 'ack' ELSE 'book' END AS what FROM f),
 p AS (SELECT *, CASE what WHEN 'list' THEN 2 WHEN 'book' THEN 1 ELSE 0 END AS data_items FROM t WHERE what <> 'pong')"""
-GAPS = """WITH n AS (SELECT day(ts) AS connection_id, event_id, event_id // 8 AS seq, CAST(event_id % 8 AS VARCHAR) AS sid,
-  lag(event_id // 8) OVER (PARTITION BY day(ts), event_id % 8 ORDER BY event_id) AS prev FROM events WHERE value <= 200)
+GAPS = """WITH q AS (SELECT day(ts) AS connection_id, event_id, event_id // 8 + event_id // 8 // 50 AS seq, CAST(event_id % 8 AS VARCHAR) AS sid FROM events),
+n AS (SELECT *, lag(seq) OVER (PARTITION BY connection_id, sid ORDER BY event_id) AS prev FROM q)
 SELECT 'capture' AS run_id, connection_id, sid, event_id AS row_pos, prev + 1 AS expected_seq, seq AS got_seq FROM n WHERE seq <> prev + 1"""
 
 QUERIES = [

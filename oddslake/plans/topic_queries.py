@@ -29,7 +29,7 @@ HEADLINES = ["The 2026 Senate election", "The 2024 Senate election", "Who wins t
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents below a headline chosen by ``doc_id % 5``."""
     headline = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), (F.col("doc_id") % 5 + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "lang", F.concat_ws("\n", headline, "text").alias("text"))
 
 
@@ -83,7 +83,7 @@ QUERY_WORDS = ["Who and the united ion", "thand is it"]
 
 
 def query_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     matched = discover.query_match(F.col("text"), QUERY_WORDS)
     return docs.groupBy("lang").agg(F.count_if(matched).alias("matches"), F.count(F.lit(1)).alias("documents"))
 
@@ -116,7 +116,7 @@ TITLES = [
 def default_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default taxonomy over one title per order, with the customer name below it."""
     title = F.element_at(F.array(*[F.lit(t) for t, _, _ in TITLES]), (F.col("o_orderkey") % len(TITLES) + 1).cast("int"))
-    orders = table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.concat_ws("\n", title, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("text"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\n", title, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("text"))
     rows = classify(orders, "text")
     return rows.select("o_orderkey", join_text("topics").alias("topics"), F.coalesce("exclude_reason", F.lit("")).alias("exclude_reason"))
 

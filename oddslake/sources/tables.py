@@ -77,7 +77,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", bom: bool =
     safe = csv_safe(df)
     header = [c for c in safe.columns]
     if bom and header:
-        safe = safe.withColumnRenamed(header[0], "﻿" + header[0])
+        safe = safe.withColumnRenamed(header[0], "\ufeff" + header[0])
     safe.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 

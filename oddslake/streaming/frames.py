@@ -1,16 +1,18 @@
 """Landed stream frames: parsing, data-message counts, connection segments, sequence gaps.
 
-The batch operators below work on any finite frame table. The streaming form of gap detection
-runs the same batch operator on every micro-batch and carries the last sequence number per
-subscription in a small table, one version per batch, so a re-run batch rewrites the same
-output.
+The batch operators below work on any finite frame table. The streaming form of gap detection keeps
+the last sequence number of each subscription in the engine's state store and lets it expire.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oddslake import schemas
 from oddslake.functions import computed, lag_ordered, running_sum
@@ -156,57 +158,56 @@ def stream_summary(parsed: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> Da
     )
 
 
-STATE = "run_id STRING, connection_id INT, sid STRING, seq BIGINT, row_pos BIGINT, seen BIGINT"
-
+GAP = "run_id STRING, connection_id INT, sid STRING, row_pos BIGINT, expected_seq BIGINT, got_seq BIGINT"
+#: A subscription's state goes after this long without a frame.
+FORGET_AFTER_MS = 24 * 3600 * 1000
 
-def _last_seen(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*SUBSCRIPTION).agg(
-        F.max_by("seq", "row_pos").alias("seq"), F.max("row_pos").alias("row_pos"), F.max("seen").alias("seen")
-    )
 
+def streamed_gaps(frames: DataFrame, forget_after_ms: int = FORGET_AFTER_MS) -> DataFrame:
+    """:func:`sequence_gaps` as a stateful streaming operator.
 
-def sequence_gaps_stream(
-    frames: DataFrame,
-    out_path: str,
-    state_path: str,
-    checkpoint_path: str,
-    width: int = BUCKET_WIDTH,
-    forget_after: int | None = None,
-) -> StreamingQuery:
-    """Run :func:`sequence_gaps` over a stream; gaps land under ``out_path``, one folder per batch.
-
-    The last row of every subscription is handed to the next batch as an ordinary frame, so a
-    gap across the border is found by the same ordered comparison, and a subscription with a
-    third of all frames is still compared bucket by bucket instead of in one stateful task.
-    Subscriptions without a frame for ``forget_after`` batches leave the state. All three paths
-    must be reachable by every executor.
+    The state of a subscription is its last sequence number. A micro-batch's frames of one
+    subscription are ordered in one task, so bound what a trigger reads where one of them may be hot.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.select(*SUBSCRIPTION, "seq", "row_pos", F.lit(batch_id).alias("seen"))
-        rows = fresh.to(_schema(session, STATE))
-        if batch_id > 0:
-            rows = rows.unionByName(session.read.schema(STATE).parquet(f"{state_path}/batch={batch_id - 1}"))
-        sequence_gaps(rows, width).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        kept = _last_seen(rows)
-        if forget_after is not None:
-            kept = kept.filter(F.col("seen") > batch_id - forget_after)
-        kept.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-
-    return (
-        frames.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _schema(spark: SparkSession, ddl: str):
-    return spark.createDataFrame([], ddl).schema
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values("row_pos")
+        before = rows["seq"].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((int(rows["seq"].iloc[-1]),))
+        state.setTimeoutDuration(forget_after_ms)
+        gaps = rows.assign(expected_seq=before + 1)[before.notna() & (rows["seq"] != before + 1)]
+        out = pd.DataFrame({"row_pos": gaps["row_pos"], "expected_seq": gaps["expected_seq"].astype("int64"), "got_seq": gaps["seq"]})
+        for i, (name, kind) in enumerate((("run_id", "object"), ("connection_id", "int32"), ("sid", "object"))):
+            out.insert(i, name, pd.Series([key[i]] * len(out), index=out.index, dtype=kind))
+        yield out
+
+    keyed = frames.select("run_id", F.col("connection_id").cast("int").alias("connection_id"), "sid", "seq", "row_pos")
+    return keyed.groupBy(*SUBSCRIPTION).applyInPandasWithState(step, GAP, "last BIGINT", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def sequence_gaps_stream(frames: DataFrame, out_path: str, checkpoint_path: str, forget_after_ms: int = FORGET_AFTER_MS) -> StreamingQuery:
+    """Run :func:`streamed_gaps` over all there is; gaps land as Parquet under ``out_path``, each once.
+
+    Both paths must be reachable by every executor. States expire in batches that have data: a run
+    that ends when its input does must not wait for time-outs.
+    """
+    session, setting = frames.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = session.conf.get(setting)
+    session.conf.set(setting, "false")  # a query takes the settings of the moment it starts
+    try:
+        return (
+            streamed_gaps(frames, forget_after_ms).writeStream.outputMode("append").format("parquet")
+            .option("path", out_path).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
+        )
+    finally:
+        session.conf.set(setting, before)
 
 
 def read_gaps(spark: SparkSession, out_path: str) -> DataFrame:
     """Gaps written by :func:`sequence_gaps_stream`."""
-    ddl = "run_id STRING, connection_id INT, sid STRING, row_pos BIGINT, expected_seq BIGINT, got_seq BIGINT, batch INT"
-    return spark.read.schema(ddl).parquet(out_path).drop("batch")
+    return spark.read.schema(GAP).parquet(out_path)

@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def test_stream_equals_batch(spark, tmp_path):
         chunk = df.filter(F.floor(F.col("row_pos") / 30) == part).coalesce(1)
         chunk.write.mode("append").json(str(tmp_path / "in"))
     parsed = S.parse_frames(S.drop_heartbeats(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1)))
-    query = S.sequence_gaps_stream(S.sequenced(parsed), *[str(tmp_path / d) for d in ("out", "state", "ckpt")], width=7)
+    query = S.sequence_gaps_stream(S.sequenced(parsed), *[str(tmp_path / d) for d in ("out", "ckpt")])
     query.awaitTermination(120)
     assert query.exception() is None
     got = {tuple(r) for r in S.read_gaps(spark, str(tmp_path / "out")).collect()}
@@ -82,14 +83,24 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_state_forgets_idle_subscriptions(spark, tmp_path):
-    for part in range(3):
-        rows = [{"data": book("delta", part, 10 + i), "row_pos": part * 10 + i} for i in range(2)]
-        table(spark, *rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1))
-    paths = [str(tmp_path / d) for d in ("out", "state", "ckpt")]
-    S.sequence_gaps_stream(S.sequenced(parsed), *paths, forget_after=1).awaitTermination(120)
-    last = spark.read.schema(S.STATE).parquet(str(tmp_path / "state" / "batch=2")).collect()
-    assert [r["seen"] for r in last] == [2]
+    """After the time-out a subscription starts afresh: its next number is no gap."""
+    def land(pos, seq):
+        table(spark, {"data": book("delta", 1, seq), "row_pos": pos}).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def run(forget_after_ms):
+        parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True))
+        S.sequence_gaps_stream(S.sequenced(parsed), str(tmp_path / "out"), str(tmp_path / "ckpt"), forget_after_ms).awaitTermination(120)
+        return S.read_gaps(spark, str(tmp_path / "out")).count()
+
+    land(0, 1)
+    assert run(1) == 0
+    time.sleep(0.2)
+    table(spark, {"data": book("delta", 2, 1), "row_pos": 1}).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    assert run(10**9) == 0  # the first subscription times out in this run
+    land(2, 9)
+    assert run(10**9) == 0
+    land(3, 20)
+    assert run(10**9) == 1
 
 
 def test_summary_as_streaming_query(spark, tmp_path):
