@@ -19,7 +19,7 @@ from oddslake.llm.common import BLANK_RUN, BLANKS, whole_text
 from oddslake.session import stored
 
 #: Rows of one selection window, about.
-ROWS_A_PART = 20_000
+ROWS_A_PART = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -41,7 +41,7 @@ def shared_targets(sizes: Sequence[int], weights: Sequence[float], most: float =
                 targets[i] = rest * weights[i] / weight
             break
         for i in full:
-            targets[i] = most * sizes[i]
+            targets[i] = float(most * sizes[i])
         rest -= sum(most * sizes[i] for i in full)
         open_ = [i for i in open_ if i not in full]
     return targets
