@@ -276,7 +276,7 @@ def _names(key: bytes, folder: str | None):
     return run
 
 
-def _checked(texts: DataFrame, key: bytes, rounds: int = 8) -> str | None:
+def _checked(texts: DataFrame, key: bytes, rounds: int = 64) -> str | None:
     """Folder with the names that must be mapped anew so that all stay different, None if no two meet."""
     names = stored(texts.mapInArrow(_names(key, None), "value STRING, new STRING, attempt INT").distinct())
     folder = None
