@@ -118,10 +118,12 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     """
     x = [F.col(n) for n in NAMES]
     sums = rows.groupBy(*_KEYS).agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS]
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _PAIRS]
     )
+    sums = sums.select(*_KEYS, "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(x))], *[f"s_{i}_{j}" for i, j in _PAIRS])
+    spread = lambda i, j: F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
     floors = [f * f for f in SCALE_FLOORS.values()]
-    sums = sums.select(*_KEYS, *[f"m_{i}" for i in range(len(x))], *[(F.col(f"c_{i}_{j}") * factor + (floors[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
+    sums = sums.select(*_KEYS, *[f"m_{i}" for i in range(len(x))], *[(spread(i, j) * factor + (floors[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
     for j in range(len(x)):  # one column of the factor at a time
         done = lambda i: sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))  # noqa: E731, B023
         sums = sums.withColumn(f"l_{j}_{j}", F.sqrt(F.col(f"c_{j}_{j}") - done(j)))
@@ -138,8 +140,7 @@ def _distances(rows: DataFrame, estimates: DataFrame, on: list[str]) -> DataFram
     for i, n in enumerate(NAMES):
         rest = F.col(n) - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
         rows = rows.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    extra = [c for c in ("n_rows",) if c in estimates.columns]
-    return rows.select(*keep, *extra, sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(NAMES))), F.lit(0.0)).alias("d2"))
+    return rows.select(*keep, sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(len(NAMES))), F.lit(0.0)).alias("d2"))
 
 
 def _nearest(rows: DataFrame, share: float) -> DataFrame:
@@ -149,10 +150,10 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
     """
     rows = rows.withColumn("bin", F.round(F.log1p("d2") * 1000).cast("int"))
     upto = W.partitionBy(*_KEYS).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bins = rows.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
-    all_ = bins.groupBy(*_KEYS).agg(F.max("upto").alias("total"))
-    bound = bins.join(all_, _KEYS).where(F.col("upto") >= share * F.col("total")).groupBy(*_KEYS).agg(F.min("bin").alias("bound"))
-    return rows.join(bound, _KEYS).where(F.col("bin") <= F.col("bound")).drop("bin", "bound")
+    bins = rows.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(W.partitionBy(*_KEYS)))
+    bound = bins.where(F.col("upto") >= share * F.col("total")).groupBy(*_KEYS).agg(F.min("bin").alias("bound"))
+    return rows.join(stored(bound), _KEYS).where(F.col("bin") <= F.col("bound")).drop("bin", "bound")
 
 
 def _medians(rows: DataFrame, values: list[Column], out: str) -> DataFrame:
@@ -160,9 +161,9 @@ def _medians(rows: DataFrame, values: list[Column], out: str) -> DataFrame:
     long = rows.select(*_KEYS, F.posexplode(F.array(*[F.round(v * 1000).cast("bigint") for v in values])).alias("i", "bin"))
     by = [*_KEYS, "i"]
     upto = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bins = long.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
-    total = bins.groupBy(*by).agg(F.max("upto").alias("total"))
-    middle = bins.join(total, by).where(2 * F.col("upto") >= F.col("total")).groupBy(*by).agg((F.min("bin") / 1000).alias("v"))
+    bins = long.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
+    middle = bins.where(2 * F.col("upto") >= F.col("total")).groupBy(*by).agg((F.min("bin") / 1000).alias("v"))
     return middle.groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(out))
 
 
@@ -205,27 +206,29 @@ def quality_estimates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return robust_estimates(stored(rows.where(~base_failed()).select("lang_key", "source_key", *vector())))
 
 
+def finest(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimate that decides for each (lang_key, source_key): that of the group, else of the
+    language, else of all rows; stored, a row a group."""
+    values = [c for c in estimates.columns if c not in ("lang_key", "source_key", "n_rows")]
+    over_all = estimates.where((F.col("lang_key") == ALL) & (F.col("source_key") == ALL)).select(*values).first()  # one row
+    own = estimates.where((F.col("lang_key") != ALL) & (F.col("source_key") != ALL)).select("lang_key", "source_key", F.struct(*values).alias("own"))
+    language = estimates.where((F.col("lang_key") != ALL) & (F.col("source_key") == ALL)).select("lang_key", F.struct(*values).alias("language"))
+    pick = lambda c: F.coalesce(F.col("own")[c], F.col("language")[c], F.lit(over_all[c] if over_all else None).cast("double")).alias(c)
+    found = groups.select("lang_key", "source_key").distinct().join(own, ["lang_key", "source_key"], "left").join(language, "lang_key", "left")
+    return stored(found.select("lang_key", "source_key", *[pick(c) for c in values]))
+
+
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
     """Add ``distance`` (squared, null without an estimate), ``base_failed`` and ``kept``.
 
-    ``stats`` has lang_key, source_key and the statistics; the finest estimate there is decides.
+    ``stats`` has lang_key, source_key and the statistics; ``estimates`` is what :func:`finest` gives.
     """
     keep = stats.columns
-    rows = stats.withColumn("lang_key", F.col("lang_key")).select("*", *vector())
-    for level, (a, b) in enumerate((("lang_key", "source_key"), ("lang_key", None), (None, None))):
-        one = estimates.where((F.col("lang_key") == ALL) if a is None else (F.col("lang_key") != ALL)).where((F.col("source_key") == ALL) if b is None else (F.col("source_key") != ALL))
-        one = one.drop("n_rows", *([] if a else ["lang_key"]), *([] if b else ["source_key"]))
-        before = rows.columns
-        if a is None:
-            rows = _distances(rows.withColumn("one", F.lit(1)), one.withColumn("one", F.lit(1)), ["one"])
-        else:
-            rows = _distances(rows, one, [x for x in (a, b) if x])
-        rows = rows.select(*before, F.col("d2").alias(f"d2_{level}"))
-    distance = F.coalesce("d2_0", "d2_1", "d2_2")
+    rows = _distances(stats.select("*", *vector()), estimates, ["lang_key", "source_key"])
     bound = chi2_quantile(1 - TAIL, len(NAMES))
     return rows.select(
-        *keep, distance.alias("distance"), base_failed().alias("base_failed"),
-        (~base_failed() & (F.coalesce(distance, F.lit(0.0)) <= bound)).alias("kept"),
+        *keep, F.col("d2").alias("distance"), base_failed().alias("base_failed"),
+        (~base_failed() & (F.coalesce("d2", F.lit(0.0)) <= bound)).alias("kept"),
     )
 
 
@@ -240,7 +243,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("doc_id"), _name("lang").alias("lang_key"), _name("source").alias("source_key"), F.col(text_col).alias("text"))
     stats = stored(text_statistics(rows, whole_text("text")).drop("text"))
     estimates = robust_estimates(stats.where(~base_failed()).select("lang_key", "source_key", *vector()))
-    return judged(stats, estimates)
+    return judged(stats, finest(stats, estimates))
 
 
 def drop_rejected(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -251,4 +254,4 @@ def drop_rejected(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("row"), _name("lang").alias("lang_key"), _name("source").alias("source_key"))
     stats = text_statistics(rows, whole_text(F.col("row")[text_col]))
-    return judged(stats, quality_estimates(docs, text_col)).where("kept").select("row.*")
+    return judged(stats, finest(rows, quality_estimates(docs, text_col))).where("kept").select("row.*")
