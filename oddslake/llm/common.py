@@ -17,11 +17,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch between Spark and a Python worker; two are in memory on each side.
+BATCH_BYTES = "16m"
 _SHIPPED: set[str] = set()
 
 
 def with_package(spark: SparkSession) -> SparkSession:
-    """Give this package to the Python workers of the session's application, once."""
+    """Give this package to the Python workers of the session's application, once, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]

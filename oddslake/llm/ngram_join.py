@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import lower_ascii, whole_text, words
+from oddslake.llm.common import whole_text
 from oddslake.llm.components import components
-from oddslake.llm.kneser_ney import _mixed, chunks
 from oddslake.llm.shared_files import mapped_array, new_folder, write_array
+from oddslake.llm.text_arrays import mixed, slices
 from oddslake.session import stored
 
 #: Words of a shingle; similarity as a fraction; index entries per shard; sets that a piece of a
 #: candidate group holds; sets compared with one centre in one task.
-WORDS, SIMILARITY, SHARD_ENTRIES, PIECE, STAR = 5, (75, 100), 3_000_000, 2_000, 1_000
+WORDS, SIMILARITY, SHARD_ENTRIES, PIECE, STAR = 5, (75, 100), 1_000_000, 2_000, 1_000
 #: Documents that a shingle must be seen in to count as frequent, and how many such are kept, most
 #: frequent first. Both only steer the order of index entries; any order gives the same result.
 HOT_DOCUMENTS, HOT_SHINGLES = 64, 1_000_000
@@ -44,30 +44,40 @@ FACTORS = (8, 32, 128, 0)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    hashes = F.transform(words(lower_ascii(whole_text(text_col))), lambda w: F.xxhash64(w))
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), hashes.alias("tokens"))
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
 
 
-def shingle_sets(tokens: np.ndarray, ends: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row; rows of under ``n`` words are one shingle."""
+#: Bits of a shingle's hash; the others of 64 hold its row in a slice, so one sort orders all sets.
+HASH_BITS = 52
+_HASH = np.uint64((1 << HASH_BITS) - 1)
+
+
+def shingle_sets(words: np.ndarray, ends: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of the rows of a slice: hashes in order, row by row; the row of each; and set sizes.
+
+    Rows of fewer than ``n`` words are one shingle, rows without words are empty.
+    """
     starts = np.r_[0, ends[:-1]]
-    rolled = np.zeros(max(0, len(tokens) - n + 1), np.uint64)
+    length = ends - starts
+    rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n if len(rolled) else 0):
-        rolled = rolled * _P + tokens[k : len(tokens) - n + 1 + k]
-    rolled = _mixed(rolled)
-    out = []
-    for a, b in zip(starts, ends, strict=True):
-        if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
-        elif b > a:
-            h = np.array([b - a], np.uint64)
-            for t in tokens[a:b]:
-                h = h * _P + t
-            out.append(_mixed(h + np.uint64(1)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
+        rolled = rolled * _P + words[k : len(words) - n + 1 + k]
+    row_of = np.repeat(np.arange(len(ends), dtype=np.uint64), length)
+    whole = np.arange(len(words)) + n <= np.repeat(ends, length)  # a shingle that starts here ends in its row
+    hashes = mixed(rolled[whole[: len(rolled)]]) & _HASH
+    rows = row_of[whole]
+    short = np.flatnonzero((length > 0) & (length < n))
+    if len(short):
+        own = length[short].astype(np.uint64)
+        for k in range(n - 1):
+            more = length[short] > k
+            own[more] = own[more] * _P + words[starts[short[more]] + k]
+        hashes, rows = np.r_[hashes, mixed(own + np.uint64(1)) & _HASH], np.r_[rows, short.astype(np.uint64)]
+    keys = np.sort(rows << np.uint64(HASH_BITS) | hashes)
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    rows = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
+    return keys & _HASH, rows, np.bincount(rows, minlength=len(ends))
 
 
 def band_of(size: int) -> int:
@@ -92,29 +102,53 @@ def roles(size: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int
     return out
 
 
-def _salt(k: int) -> np.uint64:
-    return np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+def dealt(values: np.ndarray, band: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Segment of each shingle in its band; a factor of 0 makes one for each shingle."""
+    spread = mixed(values ^ (band.astype(np.uint64) + np.uint64(1)) * _P)
+    size = factor.astype(np.uint64) << (np.uint64(2) * band.astype(np.uint64))
+    return np.where(size == 0, values, spread % np.maximum(size, np.uint64(1)))
 
 
-def segments_of(values: np.ndarray, band: int, factor: int) -> np.ndarray:
-    """Segment of each shingle; 0 makes one for each shingle."""
-    spread = _mixed(values ^ _salt(band + 1))
-    return spread if factor == 0 else spread % np.uint64(factor * 4**band)
+def in_order(rows: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """Order by row, then segment."""
+    place = max(1, int(len(rows) - 1).bit_length())
+    width = int(segments.max()).bit_length() if len(segments) else 1
+    if place + width + int(len(rows) and rows.max()).bit_length() > 64:
+        return np.lexsort((segments, rows))
+    keys = (rows.astype(np.uint64) << np.uint64(width) | segments) << np.uint64(place) | np.arange(len(rows), dtype=np.uint64)
+    return (np.sort(keys) & np.uint64((1 << place) - 1)).astype(np.int64)
 
 
-def least_factor(values: np.ndarray, band: int, bound: int) -> int:
-    """Place in ``FACTORS`` of the first that gives more segments than the bound."""
+def least_factors(values: np.ndarray, rows: np.ndarray, n_rows: int, band: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Place in ``FACTORS`` of the first that gives each row more segments than its bound.
+
+    ``band`` and ``bound`` are by row; rows without a set need the first.
+    """
+    out = np.zeros(n_rows, np.int64)
+    open_ = np.ones(n_rows, bool)
     for i, factor in enumerate(FACTORS):
-        if factor == 0 or len(np.unique(segments_of(values, band, factor))) > bound:
-            return i
-    return len(FACTORS) - 1
+        here = open_[rows]
+        v, r = values[here], rows[here]
+        if not len(v):
+            break
+        segments = dealt(v, band[r], np.full(len(r), factor))
+        order = in_order(r, segments)
+        segments, r = segments[order], r[order]
+        fresh = np.r_[True, (segments[1:] != segments[:-1]) | (r[1:] != r[:-1])]
+        enough = np.bincount(r[fresh], minlength=n_rows) > bound
+        out[open_ & ~enough] = min(i + 1, len(FACTORS) - 1)
+        open_ &= ~enough
+    return out
 
 
-def parity_bits(values: np.ndarray) -> bytes:
-    """Bitmap of which hash values occur an odd number of times; a power of two of bits, as many as values."""
-    n = max(64, 1 << int(len(values) - 1).bit_length()) if len(values) else 64
-    odd = np.bincount((values & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def parity_bits(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Bitmap per row of which hash values occur an odd number of times: a power of two of bits, as many
+    as the set has values or more."""
+    bits = np.array([max(64, 1 << int(n - 1).bit_length()) if n else 64 for n in sizes], np.int64)
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, sizes) + (values & (np.repeat(bits, sizes) - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a : a + n].tobytes() for a, n in zip(base // 8, bits // 8, strict=True)]
 
 
 def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -123,46 +157,69 @@ def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
     return bits
 
 
-_SEEN = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_SEEN_DDL = "kind INT, doc_id BIGINT, n BIGINT, fp1 BIGINT, fp2 BIGINT, bits BINARY, entries BIGINT, keys BINARY, counts BINARY"
+def fingerprints(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of mixed hashes per row; equal sets have equal ones."""
+    sums = lambda x: np.diff(np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)][np.r_[0, np.cumsum(sizes)]])
+    return sums(mixed(values)).view(np.int64), sums(mixed(values ^ _P)).view(np.int64)
+
+
+def first_of_each(fp1: np.ndarray, fp2: np.ndarray, sizes: np.ndarray, ids: list) -> np.ndarray:
+    """Which rows stand for their slice's rows with the same set: of each the smallest id."""
+    best: dict[tuple, int] = {}
+    for row, key in enumerate(zip(fp1.tolist(), fp2.tolist(), sizes.tolist(), strict=True)):
+        if key[2] and ids[row] is not None and (key not in best or ids[row] < ids[best[key]]):
+            best[key] = row
+    out = np.zeros(len(ids), bool)
+    out[list(best.values())] = True
+    return out
+
+
+def _roles_of(sizes: np.ndarray, similarity: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per role: which rows have it, their bands and bounds."""
+    found = {int(n): roles(int(n), similarity) for n in np.unique(sizes) if n}
+    out = []
+    for k in range(2):
+        those = np.array([bool(n) and len(found[n]) > k for n in sizes.tolist()], bool)
+        of = [found[n][k] if t else (0, 0) for n, t in zip(sizes.tolist(), those, strict=True)]
+        out.append((those, np.array([x[0] for x in of], np.int64), np.array([x[1] for x in of], np.int64)))
+    return out
 
 
-def _fingerprint(values: np.ndarray) -> tuple[int, int]:
-    a, b = _mixed(values).sum(dtype=np.uint64), _mixed(values ^ _P).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+_SEEN = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("entries", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SEEN_DDL = "kind INT, doc_id BIGINT, n BIGINT, fp1 BIGINT, fp2 BIGINT, bits BINARY, entries BIGINT, keys BINARY, counts BINARY"
 
 
 def _look(similarity: tuple[int, int], n: int, tables: int):
-    """Row per document with its set's size, fingerprint and bitmap (kind 0), shingles that a chunk
+    """Row per document with its set's size, fingerprint and bitmap (kind 0), shingles that a slice
     holds in several different sets (kind 1), and the factors that the bands need (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors: dict[int, int] = {}
         for batch in batches:
-            for first, _, tokens, ends in chunks(batch):
-                sets = shingle_sets(tokens, ends, n)
-                ids = batch.column("doc_id").slice(first, len(sets)).to_pylist()
-                rows, distinct = [], {}
-                for ident, values in zip(ids, sets, strict=True):
-                    fp = _fingerprint(values)
-                    entries = 0
-                    if len(values) and fp not in distinct:
-                        distinct[fp] = values
-                        for band, bound in roles(len(values), similarity):
-                            factors[band] = max(factors.get(band, 0), least_factor(values, band, bound))
-                            entries += bound + 1
-                    rows.append((0, ident, len(values), *fp, parity_bits(values), entries, None, None))
-                if distinct:
-                    keys, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                    part = (_mixed(keys) % np.uint64(tables)).astype(np.int64)
-                    for p in range(tables):
-                        here = (part == p) & (counts > 1)
-                        if here.any():
-                            rows.append((1, p, 0, 0, 0, None, 0, keys[here].tobytes(), counts[here].astype(np.int64).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SEEN, strict=True)], schema=_SEEN)
+            for first, _, words, ends in slices(batch):
+                values, rows, sizes = shingle_sets(words, ends, n)
+                ids = batch.column("doc_id").slice(first, len(ends)).to_pylist()
+                fp1, fp2 = fingerprints(values, sizes)
+                lead = first_of_each(fp1, fp2, sizes, ids)
+                entries, own = np.zeros(len(ends), np.int64), lead[rows]
+                for those, band, bound in _roles_of(np.where(lead, sizes, 0), similarity):
+                    here = those[rows]
+                    need = least_factors(values[here], rows[here], len(ends), band, np.where(those, bound, -1))
+                    for b in np.unique(band[those]).tolist():
+                        factors[b] = max(factors.get(b, 0), int(need[those & (band == b)].max()))
+                    entries += np.where(those, bound + 1, 0)
+                out = list(zip([0] * len(ends), ids, sizes.tolist(), fp1.tolist(), fp2.tolist(), parity_bits(values, sizes), entries.tolist(), [None] * len(ends), [None] * len(ends), strict=True))
+                keys = np.sort(values[own])
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+                counts = np.diff(np.r_[starts, len(keys)])
+                keys, counts = keys[starts][counts > 1], counts[counts > 1]
+                part = (mixed(keys) % np.uint64(tables)).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    out.append((1, p, 0, 0, 0, None, 0, keys[part == p].tobytes(), counts[part == p].astype(np.int64).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
         if factors:
-            rows = [(2, band, factor, 0, 0, None, 0, None, None) for band, factor in factors.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SEEN, strict=True)], schema=_SEEN)
+            out = [(2, band, factor, 0, 0, None, 0, None, None) for band, factor in factors.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
 
     return run
 
@@ -199,82 +256,107 @@ def coarse_segments(band: int, hot_share: float) -> int:
     return max(1, 4**band // 24) if exact_runs_out and 4**band >= 24 else 0
 
 
-def _subset_hashes(values: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments in order, the sum of mixed hashes of each, and where each starts in the sorted values."""
-    order = np.argsort(segments, kind="stable")
-    segments, values = segments[order], values[order]
-    starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
-    return segments[starts], np.add.reduceat(_mixed(values), starts), np.r_[starts, len(values)]
+def _coarse_part(values: np.ndarray, band: int) -> np.ndarray:
+    """The twelfth of the universe that a band's coarse segments share."""
+    return mixed(values * _P + np.uint64(band + 1)) % np.uint64(12) == 0
 
 
-def index_entries(values: np.ndarray, hot: np.ndarray, band: int, bound: int, factor: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of a set in a band, and of each the documents its rarest shingle is known in.
-
-    ``hot`` has that number for each shingle, 0 for infrequent ones. The first ``coarse`` segments of
-    the second deal, a twelfth of the universe, are indexed with their one-deletion neighbourhoods.
-    """
+def deletion_entries(values: np.ndarray, hot: np.ndarray, band: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one set's coarse segments: each subset and what is left of it without one shingle."""
+    there = _coarse_part(values, band)
+    values, hot = values[there], hot[there]
+    inside = (mixed(values + np.uint64((band + 1) * int(_P) & (1 << 64) - 1)) % np.uint64(coarse)).astype(np.int64)
     entries, known = [], []
-    salt = _salt(band + 1)
-    if coarse:
-        there = _mixed(values * _P + salt) % np.uint64(12) == 0
-        bound -= 2 * coarse
-        inside = (_mixed(values + salt) % np.uint64(coarse)).astype(np.int64)
-        for s in range(coarse):
-            own = values[there & (inside == s)]
-            whole = _mixed(own).sum(dtype=np.uint64)
-            subsets = np.r_[whole, whole - _mixed(own)].astype(np.uint64)
-            entries.append(_mixed(subsets ^ _mixed(np.array([(s + 1) << 8 | band + 1], np.uint64))))
-            h = hot[there & (inside == s)]
-            known.append(np.full(len(subsets), h.min() if len(h) else 0))
-        values, hot = values[~there], hot[~there]
-    if bound >= 0 and len(values):
-        segments = segments_of(values, band, factor)
-        order = np.argsort(segments, kind="stable")
-        number, sums, starts = _subset_hashes(values, segments)
-        rarest = np.minimum.reduceat(hot[order], starts[:-1])
-        subset = _mixed(sums ^ _mixed(number * _P + salt))
-        first = np.lexsort((subset, rarest))[: bound + 1]
-        entries.append(subset[first])
-        known.append(rarest[first])
-    return (np.concatenate(entries), np.concatenate(known)) if entries else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for s in range(coarse):
+        own = mixed(values[inside == s])
+        whole = own.sum(dtype=np.uint64)
+        name = mixed(np.array([(s + 1) << 16 | (band + 1)], np.uint64))
+        entries.append(mixed(np.r_[whole, whole - own] ^ name))
+        known.append(np.full(len(own) + 1, hot[inside == s].min() if len(own) else 0))
+    return np.concatenate(entries), np.concatenate(known)
+
+
+def cost_class(known: np.ndarray) -> np.ndarray:
+    """Class of a number of documents, a quarter of a power of two each; 0 for infrequent."""
+    return np.where(known > 0, np.minimum(np.log2(np.maximum(known, 1)) * 4 + 1, 255), 0).astype(np.uint64)
 
 
+def index_entries(values: np.ndarray, rows: np.ndarray, hot: np.ndarray, band: np.ndarray, bound: np.ndarray, factor: np.ndarray, coarse: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of sets, the row of each, and the documents its rarest shingle is known in.
+
+    ``hot`` has that number for each shingle, 0 for infrequent ones; band, bound and factor are by row.
+    Of each row's subsets the cheapest, one more than the bound, are taken: those with the lowest class
+    of cost, then by hash. The order depends on the subset alone, so it is the same in all sets.
+    """
+    more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if any(coarse.get(b) for b in np.unique(band[rows]).tolist()):
+        bound, fine = bound.copy(), np.ones(len(values), bool)
+        for row in np.unique(rows):
+            b, here = int(band[row]), rows == row
+            if k := coarse.get(b, 0):
+                entries, known = deletion_entries(values[here], hot[here], b, k)
+                more.append((entries, np.full(len(entries), row), known))
+                fine[np.flatnonzero(here)[_coarse_part(values[here], b)]] = False
+                bound[row] -= 2 * k
+        values, rows, hot = values[fine], rows[fine], hot[fine]
+    if len(values):
+        segments = dealt(values, band[rows], factor[rows])
+        order = in_order(rows, segments)
+        segments, rows, values, hot = segments[order], rows[order], values[order], hot[order]
+        starts = np.flatnonzero(np.r_[True, (segments[1:] != segments[:-1]) | (rows[1:] != rows[:-1])])
+        row, known = rows[starts], np.minimum.reduceat(hot, starts)
+        name = (segments[starts] + np.uint64(1)) * _P ^ band[row].astype(np.uint64)
+        subset = mixed(np.add.reduceat(mixed(values), starts) ^ mixed(name)) >> np.uint64(20)
+        keys = np.sort(row.astype(np.uint64) << np.uint64(HASH_BITS) | cost_class(known) << np.uint64(44) | subset)
+        row = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keys, row = keys[rank <= bound[row]], row[rank <= bound[row]]
+        # What stands for the number of documents from here on is the lower end of its class.
+        known = np.floor(2.0 ** ((((keys >> np.uint64(44)) & np.uint64(255)).astype(float) - 1) / 4)).astype(np.int64)
+        more.append((mixed((keys & _HASH) ^ mixed(band[row].astype(np.uint64) + np.uint64(77))), row, known))
+    if not more:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*more, strict=True))
+
+
+#: Marks an entry that is dealt over several shards.
+_SALTED = np.uint64(1 << 63)
 _INDEX = pa.schema([("shard", pa.int64()), ("entries", pa.binary()), ("docs", pa.binary())])
 
 
 def _index(similarity: tuple[int, int], n: int, hot, factors: dict[int, int], coarse: dict[int, int], shards: int):
+    by_band = np.array([FACTORS[factors.get(b, 0)] for b in range(40)], np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_counts = hot.value
         for batch in batches:
-            for first, _, tokens, ends in chunks(batch):
-                sets, done, all_, docs, known = shingle_sets(tokens, ends, n), set(), [], [], []
-                ids = batch.column("doc_id").slice(first, len(sets)).to_pylist()
-                for ident, values in sorted(((i, v) for i, v in zip(ids, sets, strict=True) if i is not None), key=lambda x: x[0]):
-                    fp = _fingerprint(values)
-                    if not len(values) or fp in done:
-                        continue  # an equal set of this chunk is there
-                    done.add(fp)
-                    seen = np.zeros(len(values), np.int64)
-                    if len(hot_keys):
-                        at = np.minimum(np.searchsorted(hot_keys, values), len(hot_keys) - 1)
-                        seen = np.where(hot_keys[at] == values, hot_counts[at], 0)
-                    for band, bound in roles(len(values), similarity):
-                        entries, rarest = index_entries(values, seen, band, bound, FACTORS[factors.get(band, len(FACTORS) - 1)], coarse.get(band, 0))
-                        all_.append(entries)
-                        known.append(rarest)
-                        docs.append(np.full(len(entries), ident, np.int64))
-                if not all_:
+            for first, _, words, ends in slices(batch):
+                values, rows, sizes = shingle_sets(words, ends, n)
+                ids = batch.column("doc_id").slice(first, len(ends)).to_pylist()
+                lead = first_of_each(*fingerprints(values, sizes), sizes, ids)
+                idents = np.array([0 if i is None else i for i in ids], np.int64)
+                seen = np.zeros(len(values), np.int64)
+                if len(hot_keys):
+                    at = np.minimum(np.searchsorted(hot_keys, values), len(hot_keys) - 1)
+                    seen = np.where(hot_keys[at] == values, hot_counts[at], 0)
+                parts = []
+                for those, band, bound in _roles_of(np.where(lead, sizes, 0), similarity):
+                    here = those[rows]
+                    parts.append(index_entries(values[here], rows[here], seen[here], band, bound, by_band[band], coarse))
+                entries, row, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if not len(entries):
                     continue
-                entries, docs, known = np.concatenate(all_), np.concatenate(docs), np.concatenate(known)
+                docs = idents[row]
                 salts = (known // SALT_DOCUMENTS + 1).astype(np.uint64)
-                salt = _mixed(docs.view(np.uint64)) % salts
-                shard = (_mixed(entries + salt * _P) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
+                entries = entries & ~_SALTED | np.where(salts > 1, _SALTED, np.uint64(0))
+                salt = mixed(docs.view(np.uint64)) % salts
+                shard = (mixed(entries + salt * _P) % np.uint64(shards)).astype(np.int64)
+                order = in_order(shard, np.arange(len(shard), dtype=np.uint64))
                 shard, entries, docs = shard[order], entries[order], docs[order]
                 cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
-                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cuts[:-1]]), pa.array([entries[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([docs[a:b].tobytes() for a, b in parts], pa.binary())],
+                    [pa.array(shard[cuts[:-1]]), pa.array([entries[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([docs[a:b].tobytes() for a, b in spans], pa.binary())],
                     schema=_INDEX,
                 )
 
@@ -287,7 +369,8 @@ _GROUPS = pa.schema([("entry", pa.int64()), ("piece", pa.int64()), ("docs", pa.l
 def _groups(table: pa.Table) -> pa.Table:
     """Documents that share an index entry, once for each set of documents; long groups in pieces.
 
-    A group that all lies here is named by its documents, a salted one by its entry.
+    A group that all lies here is named by its documents. One that has more pieces, here or, as it is
+    salted, in other shards, is named by its entry.
     """
     shard = table.column("shard")[0].as_py()
     entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.uint64)
@@ -298,16 +381,19 @@ def _groups(table: pa.Table) -> pa.Table:
     entries, docs = entries[fresh], docs[fresh]
     starts = np.flatnonzero(np.r_[True, entries[1:] != entries[:-1]])
     stops = np.r_[starts[1:], len(entries)]
-    sums = np.add.reduceat(_mixed(docs.view(np.uint64)), starts)
+    sums = np.add.reduceat(mixed(docs.view(np.uint64)), starts)
+    salted = entries[starts] & _SALTED > 0
+    several = np.flatnonzero((stops - starts > 1) | salted)
     out, done = [], set()
-    for a, b, name in zip(starts, stops, sums, strict=True):
-        if b - a >= PIECE:  # may have more pieces in other shards
+    for a, b, name, apart in zip(starts[several], stops[several], sums[several], salted[several], strict=True):
+        in_pieces = apart or b - a > PIECE
+        if in_pieces:
             name = entries[a]
-        elif b - a == 1 or name in done:
+        elif name in done:
             continue
         done.add(name)
-        name = int(np.int64(name.astype(np.int64)))
-        out += [(name, shard * 1_000_000 + k, docs[a + k * PIECE : min(b, a + (k + 1) * PIECE)]) for k in range(-(-(b - a) // PIECE))]
+        name = int(name.astype(np.int64))
+        out += [(name, shard << 32 | k if in_pieces else -1, docs[a + k * PIECE : min(b, a + (k + 1) * PIECE)]) for k in range(-(-(b - a) // PIECE))]
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _GROUPS, strict=True)], schema=_GROUPS)
 
@@ -384,13 +470,13 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, similarity: tuple[int, int], n: int, coarse: dict[int, int] | None) -> None:
         self.docs, self.similarity, self.n, self.coarse = docs, similarity, n, coarse
-        self.tokens = tokens_of(docs, id_col, text_col)
+        self.texts = texts_of(docs, id_col, text_col)
         self.id_col, self.text_col = id_col, text_col
         self.spark: SparkSession = docs.sparkSession
 
     def look(self) -> None:
         tables = max(4, self.docs.count() // 50_000)
-        self.seen = stored(self.tokens.mapInArrow(_look(self.similarity, self.n, tables), _SEEN_DDL))
+        self.seen = stored(self.texts.mapInArrow(_look(self.similarity, self.n, tables), _SEEN_DDL))
         self.sets = self.seen.where("kind = 0").select("doc_id", "n", "fp1", "fp2", "bits", "entries")
         # Of equal sets the smallest id stands for all; empty sets stand for themselves.
         leads = self.sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("lead"))
@@ -406,10 +492,10 @@ class _Join:
             share = min(1.0, float(hot[1].sum()) / max(1, total["n"]))
             coarse = {band: coarse_segments(band, share) for band in factors}
         run = _index(self.similarity, self.n, self.spark.sparkContext.broadcast(hot), factors, coarse, shards)
-        index = self.tokens.mapInArrow(run, "shard BIGINT, entries BINARY, docs BINARY")
+        index = self.texts.mapInArrow(run, "shard BIGINT, entries BINARY, docs BINARY")
         found = index.groupBy("shard").applyInArrow(_groups, "entry BIGINT, piece BIGINT, docs ARRAY<BIGINT>")
-        # Documents of equal sets in other chunks: go on with the one that stands for them.
-        return stored(found.groupBy("entry", F.when(F.size("docs") < PIECE, F.hash("docs")).otherwise(F.col("piece")).alias("piece")).agg(F.first("docs").alias("docs")))
+        # Shards name a group of the same documents alike, so it is kept once.
+        return stored(found.groupBy("entry", F.when(F.col("piece") < 0, -1).otherwise(F.col("piece")).alias("piece")).agg(F.first("docs").alias("docs")))
 
     def fetch(self, groups: DataFrame) -> DataFrame:
         """Stored sets (doc_id, values) of the documents that are in any group."""
@@ -442,11 +528,13 @@ class _Join:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, _, tokens, ends in chunks(batch):
-                    found = shingle_sets(tokens, ends, similarity_words)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(found)), pa.array([v.tobytes() for v in found], pa.binary())], names=["doc_id", "values"])
+                for first, _, words, ends in slices(batch):
+                    values, _, sizes = shingle_sets(words, ends, similarity_words)
+                    stops = np.cumsum(sizes)
+                    own = [values[b - n : b].tobytes() for b, n in zip(stops, sizes, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(own)), pa.array(own, pa.binary())], names=["doc_id", "values"])
 
-        return stored(tokens_of(rows, "doc_id", "text").mapInArrow(sets, "doc_id BIGINT, values BINARY"))
+        return stored(texts_of(rows, "doc_id", "text").mapInArrow(sets, "doc_id BIGINT, values BINARY"))
 
     def verified(self, pairs: DataFrame, values: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, from pairs of candidates in which many share an ``a``."""
@@ -466,27 +554,35 @@ class _Join:
         side = lambda s: lead.select(F.col("doc_id").alias(s), F.col("lead").alias(f"lead_{s}"))
         return links.join(side("a"), "a").join(side("b"), "b").select(F.col("lead_a").alias("u"), F.col("lead_b").alias("v")).where("u <> v")
 
+    def apart(self, groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (entry, piece, doc_id, component) of the groups that hold several components, and
+        what is known of the sets that stand for equal ones. ``doc_id`` is that of the one that does."""
+        lead = self.sets.join(self.leads, ["fp1", "fp2", "n"])
+        placed = lead.join(components(edges).withColumnRenamed("node", "lead"), "lead", "left")
+        placed = stored(placed.select("doc_id", "lead", F.coalesce("component", "lead").alias("component"), "n", "bits"))
+        members = groups.select("entry", "piece", F.explode("docs").alias("member"))
+        known = placed.select(F.col("doc_id").alias("member"), F.col("lead").alias("doc_id"), "component")
+        members = stored(members.join(known, "member").select("entry", "piece", "doc_id", "component"))
+        open_ = members.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
+        return stored(members.join(open_, "entry").distinct()), placed.where("doc_id = lead").drop("lead")
+
     def run(self) -> DataFrame:
         self.look()
         groups = self.groups()
         values = self.fetch(groups)
         first = F.array_min("docs")
-        stars = groups.select(first.alias("a"), F.explode("docs").alias("b")).where("a <> b")
-        centres = groups.select("entry", first.alias("c"))
-        least = centres.groupBy("entry").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        # One centre for each set: the smallest of all that are a group's first.
+        stars = groups.select(first.alias("a"), F.explode("docs").alias("b")).groupBy("b").agg(F.min("a").alias("a")).where("a <> b").select("a", "b")
+        centres = groups.where("piece >= 0").select("entry", first.alias("c"))
+        least = centres.groupBy("entry").agg(F.min("c").alias("a"))
         stars = stars.unionByName(centres.join(least, "entry").select("a", F.col("c").alias("b")).where("a <> b"))
         edges = stored(self.lead_edges(self.verified(stars, values)).distinct())
-        found = stored(components(edges))
-        # Groups that still hold several components.
-        lead = self.sets.join(self.leads, ["fp1", "fp2", "n"]).select("doc_id", "lead", "n", "bits")
-        placed = lead.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("doc_id", "lead", F.coalesce("component", "lead").alias("component"), "n", "bits")
-        placed = stored(placed.where(F.col("doc_id") == F.col("lead")).drop("lead"))
-        members = groups.select("entry", "piece", F.explode("docs").alias("member"))
-        to_lead = lead.select(F.col("doc_id").alias("member"), F.col("lead").alias("doc_id"))
-        members = members.join(to_lead, "member").join(placed.select("doc_id", "component"), "doc_id").select("entry", "piece", "doc_id", "component")
-        members = stored(members)
-        open_ = members.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
-        members = stored(members.join(open_, "entry").distinct())
+        # What is still apart in a group meets the first of that group.
+        members, _ = self.apart(groups, edges)
+        firsts = members.groupBy("entry").agg(F.min(F.struct("doc_id", "component")).alias("f"))
+        stars = members.join(firsts, "entry").where("component <> f.component").select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        edges = stored(edges.union(self.lead_edges(self.verified(stars, values))).distinct())
+        members, placed = self.apart(groups, edges)
         pieces = members.select("entry", "piece").distinct()
         both = pieces.join(pieces.withColumnRenamed("piece", "other"), "entry").where("piece <= other")
         sides = both.select("entry", "piece", "other", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("side"), F.col("piece").alias("p")), F.struct(F.when(F.col("piece") == F.col("other"), 0).otherwise(1).alias("side"), F.col("other").alias("p"))))).alias("s"))
@@ -506,15 +602,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links, the own one included. Null text counts as
     empty; documents without words have an empty set and link with none. A text of fewer than ``n``
-    words is one shingle. Repeated rows each get a row. A row without id has no component. An empty
-    table gives no rows; other columns are not read. Shingles are 64-bit hashes. Runs jobs.
+    words is one shingle. Repeated rows each get a row. A row without id takes part only with the
+    component of a text whose shingles are the same, else it has none. An empty table gives no rows; other columns are not read. Shingles are 64-bit hashes. Runs jobs.
     """
     return _Join(docs, id_col, text_col, similarity, n, coarse).run()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns."""
+    """The rows whose id is the smallest of their component, with all their columns; those without id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("ident")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("ident"))
-    return rows.join(kept, F.col("ident").eqNullSafe(F.col("keep")), "left_semi").select("row.*")
+    return rows.join(gone, "ident", "left_anti").select("row.*")

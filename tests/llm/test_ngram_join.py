@@ -124,10 +124,13 @@ def test_bitmaps_never_exceed_the_difference():
 
 def test_groups_in_pieces_and_across():
     n = J.PIECE + 10
-    entries = np.full(n, 5, np.uint64).tobytes() + np.array([6, 6, 7], np.uint64).tobytes()
-    docs = np.arange(n, dtype=np.int64).tobytes() + np.array([1, 2, 3], np.int64).tobytes()
-    out = J._groups(pa.table({"shard": [0], "entries": [entries], "docs": [docs]})).to_pylist()
-    assert [len(r["docs"]) for r in out] == [J.PIECE, 10, 2] and out[0]["entry"] == out[1]["entry"] and out[0]["piece"] != out[1]["piece"]
+    salted = int(J._SALTED) | 9
+    entries = np.full(n, 5, np.uint64).tobytes() + np.array([6, 6, 7, 8, 8, salted], np.uint64).tobytes()
+    docs = np.arange(n, dtype=np.int64).tobytes() + np.array([1, 2, 3, 2, 1, 4], np.int64).tobytes()
+    out, other = (J._groups(pa.table({"shard": [k], "entries": [entries], "docs": [docs]})).to_pylist() for k in (0, 1))
+    assert [len(r["docs"]) for r in out] == [J.PIECE, 10, 2, 1] and out[0]["entry"] == out[1]["entry"] and out[0]["piece"] != out[1]["piece"]
+    assert out[2]["piece"] == -1 and out[2]["entry"] == other[2]["entry"]  # the same documents, once
+    assert out[3]["entry"] == other[3]["entry"] and out[3]["piece"] != other[3]["piece"]
     bits = J.parity_bits(np.arange(10, dtype=np.uint64), np.array([10]))[0]
     far = J.parity_bits(np.arange(100, 130, dtype=np.uint64), np.array([30]))[0]
     rows = {"side": [0, 0, 1, 1], "doc_id": [1, 2, 3, 4], "component": [1, 1, 3, 4], "n": [10, 10, 10, 30], "bits": [bits, bits, bits, far]}
