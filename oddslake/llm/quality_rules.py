@@ -22,12 +22,13 @@ from oddslake.session import stored
 
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics and the least scatter assumed of each: a statistic that is the same in
-#: nearly all documents would otherwise make the scatter singular.
-SCALE_FLOORS = {"x_length": 0.5, "x_word": 0.05, "x_symbol": 0.03, "x_line": 0.15, "x_repeat": 0.15, "x_upper": 0.04}
+#: nearly all documents would otherwise make the scatter singular. No more than that: a floor bounds
+#: how far away a statistic can put a document, and each must be able to pass the bound alone.
+SCALE_FLOORS = {"x_length": 0.1, "x_word": 0.02, "x_symbol": 0.02, "x_line": 0.05, "x_repeat": 0.05, "x_upper": 0.02}
 NAMES = list(SCALE_FLOORS)
 #: Share of rows that a concentration step keeps, steps, rows a group must have, and the tail
 #: probability beyond which a document is rejected.
-KEPT_SHARE, STEPS, LEAST_ROWS, TAIL = 0.75, 4, 200, 1e-9
+KEPT_SHARE, STEPS, LEAST_ROWS, TAIL = 0.75, 4, 200, 1e-3
 
 
 def chi2_below(x: float, df: int) -> float:

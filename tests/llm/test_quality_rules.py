@@ -68,3 +68,17 @@ def test_too_few_rows_and_none(docs, none):
     found = Q.quality_verdicts(docs.limit(60)).collect()
     assert all(r["kept"] == (not r["base_failed"]) and r["distance"] is None for r in found)
     assert Q.quality_verdicts(none).count() == 0 and Q.drop_rejected(none).count() == 0
+
+
+def test_repetition_alone_is_an_outlier(spark):
+    """Texts that pass the base rules: short lines of a menu again and again, and a passage said twice."""
+    lines = lambda text, n: "\n".join(" ".join(text.split(" ")[k : k + n]) for k in range(0, len(text.split(" ")), n))
+    rng = random.Random(5)
+    rows = [(i, lines(prose(i, rng.randrange(120, 500)), 10), "en", "a") for i in range(500)]
+    menu = [(1000 + i, lines(prose(7000 + i, 300), 10) + "\n" + "\n".join(["home", "next"] * 20), "en", "a") for i in range(5)]
+    twice = [(2000 + i, lines(f"{prose(8000 + i, 220)} {(said := prose(9000 + i, 43))} {prose(8500 + i, 4)} {said}", 10), "en", "a") for i in range(5)]
+    found = {r["doc_id"]: r for r in Q.quality_verdicts(table(spark, rows + menu + twice)).collect()}
+    assert not any(found[r[0]]["base_failed"] for r in menu + twice)
+    assert all(found[r[0]]["n_dup_lines"] > 0.5 * 38 for r in menu) and all(found[r[0]]["n_dup_lines"] == 0 for r in twice)
+    assert not any(found[r[0]]["kept"] for r in menu + twice)
+    assert sum(found[r[0]]["kept"] for r in rows) >= 0.97 * len(rows)
