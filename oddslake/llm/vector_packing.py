@@ -10,6 +10,7 @@ dealt at random to groups of a bounded size that are packed independently.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
@@ -30,33 +31,53 @@ GROUP_ROWS = 8_000
 LIMITS = (2048, 64, 2048)
 END_ID = 1
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: The vocabulary of the ranks file as a tokenizer, with the strings that are tokens of their own.
+TOKENIZER_FILE = "byte_bpe_50k.json"
+
+
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings that a tokenizer takes for one token wherever they stand in a text."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that take blanks or stand only as words are not supported")
+    return {t["content"]: t["id"] for t in added}
 
 
 @lru_cache(maxsize=4)
-def encoder(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ranks file; special strings in a text are ordinary text."""
+def encoder(ranks_path: str, tokenizer_path: str | None = None) -> tiktoken.Encoding:
+    """The byte-level BPE of a ranks file, with the added tokens of a tokenizer."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = added_tokens(tokenizer_path) if tokenizer_path else {}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
 
+def token_ids(text: str | None, ranks_path: str, tokenizer_path: str | None = None) -> np.ndarray:
+    """Ids of a text and the end id, as little-endian unsigned 32-bit numbers.
 
-def token_ids(text: str | None, ranks_path: str) -> np.ndarray:
-    """Ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    return np.array([*encoder(ranks_path).encode_ordinary(text or ""), END_ID], dtype="<u4")
+    Without a tokenizer all strings are ordinary text: a ranks file has no added tokens.
+    """
+    ids = encoder(ranks_path, tokenizer_path).encode(text or "", allowed_special="all", disallowed_special=())
+    return np.array([*ids, END_ID], dtype="<u4")
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
 def pieces(docs: DataFrame, most: int = LIMITS[0], ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise documents and cut them at multiples of ``most``: one row a piece, without its ids."""
+    """Tokenise documents and cut them at multiples of ``most``: one row a piece, without its ids.
+
+    The ids are those of the tokenizer at its defaults, added tokens included; other ranks have none.
+    """
+    tokenizer_path = None if ranks_path else public_tokenizers.path(TOKENIZER_FILE)
     ranks_path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py(), ranks_path)
+                ids = token_ids(text.as_py(), ranks_path, tokenizer_path)
                 rows += [(ident, at, min(most, len(ids) - at), zlib.crc32(ids[at : at + most].tobytes()), len(ids)) for at in range(0, len(ids), most)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_PIECES)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import table
 from tokenizers import Tokenizer
 
 from oddslake.llm import vector_packing as V
@@ -62,3 +63,16 @@ def test_same_sequences_on_a_rerun(spark):
     rows = spark.createDataFrame([(i, 1 + i * 37 % 700, i * 11 % 300) for i in range(500)], "row BIGINT, tokens BIGINT, loss_tokens BIGINT")
     first, again = (sorted(map(tuple, V.pack(rows.repartition(n), (1000, 4, 400), 100).collect())) for n in (2, 5))
     assert first == again and len(first) == 500
+
+
+def test_added_tokens_are_those_of_an_unchanged_tokenizer(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}\n {end}  x", f"one\n\n{end}two {end[:-1]} {end.upper()}", f"𝔘 {end}ü " * 900]
+    found = {}
+    for r in V.pack_documents(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect():
+        found.setdefault(r["doc_id"], set()).add((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert 50256 in ids
+        assert found[i] == {(a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)}, text[:40]
