@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A run that may be an encoded secret, and the least symbols of it.
 RUN = r"[A-Za-z0-9+/_-]{20,}"
+#: Parts of a run that has separators of both base 64 alphabets, which no encoding holds together.
+PARTS = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}")
 #: Share of random runs among those set aside; upper ends of the length bands; steps per decade of p.
 FALSE_SHARE, BANDS, STEPS = 0.05, (32, 48, 80), 100
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,16 +74,24 @@ def located(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     return F.when(F.size(found) == 0, none).otherwise(F.filter(placed, lambda x: F.length(x["value"]) >= least))
 
 
+def split_run(run: Column) -> Column:
+    """The run as (start, rank, end, value) if one alphabet may hold it, else its parts in either alphabet."""
+    both = run["value"].rlike("[+/]") & run["value"].rlike("[_-]")
+    moved = lambda x: F.struct((run["start"] + x["start"]).alias("start"), x["rank"].alias("rank"), (run["start"] + x["end"]).alias("end"), x["value"].alias("value"))
+    parts = F.array_distinct(F.concat(*[located(run["value"], p, 3) for p in PARTS]))
+    return F.when(both, F.transform(parts, moved)).otherwise(F.array(run))
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row, without its text: row, doc_id, base spans by kind, and the runs to be tested."""
     rows = computed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")), text=whole_text("raw"))
     text = F.col("text")
-    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
+    lettered = lambda x: x["value"].rlike("[A-Za-z]")
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
     return rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
         bare(located(text, ASSIGN, 0, 1, 6)).alias("assign"), bare(located(text, ACCESS, 1)).alias("access"), bare(located(text, HEX, 2)).alias("hex"),
-        F.filter(located(text, RUN, 3), mixed).alias("runs"),
+        F.filter(F.flatten(F.transform(located(text, RUN, 3), split_run)), lettered).alias("runs"),
     )
 
 
@@ -134,7 +144,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All spans of every row: doc_id, assign, access, hex, random, each an array of (start, rank, end).
 
     Positions count code points, ends are exclusive. A random run that meets a base span is not
-    reported again. Null text counts as empty and has no spans; repeated rows each get theirs; an
+    reported again; parts of one run in different alphabets may overlap. Null text counts as empty and has no spans; repeated rows each get theirs; an
     empty table gives no rows; other columns are not read. Runs jobs: one narrow row a document is
     stored, and the counts behind the thresholds.
     """

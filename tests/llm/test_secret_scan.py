@@ -56,3 +56,19 @@ def test_battery_tells_random_runs_from_others(spark):
 def test_upper_tail(spark):
     got = spark.range(1).select(*[S.upper_tail(F.lit(z)) for z in (-1.0, 0.0, 1.959964, 4.0)]).first()
     assert all(abs(a - b) < 1e-6 for a, b in zip(got, (0.8413447, 0.5, 0.025, 3.167e-5), strict=True))
+
+
+def test_keys_in_paths_and_of_letters_only_are_tested(spark):
+    rng, letters = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    drawn = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    alnum = letters + letters.lower() + "0123456789"
+    keys = [(f, drawn(alnum, 40)) for f in ("hooks/site-a/{}", "v1/sk_live_{}") for _ in range(10)]
+    keys += [("file_name/{}", drawn(alnum, 20) + "/" + drawn(alnum, 20)) for _ in range(10)]
+    keys += [("{}", drawn(letters, 32)) for _ in range(10)] + [("{}", drawn(letters + letters.lower(), 40)) for _ in range(10)]
+    plain = ["a" * 30 + "/b_c-d", "ab/c_" + "abc" * 12, "short_parts/of-a/long_run/of-words", "HELLO" * 8]
+    rows = [(i, f"𝔘 before {f.format(k)} after", "en", "s") for i, (f, k) in enumerate(keys)]
+    found = {r["doc_id"]: r["random"] for r in S.scan_secrets(table(spark, rows + [(1000 + i, f"before {p} after", "en", "s") for i, p in enumerate(plain)])).collect()}
+    for at in range(0, len(keys), 10):
+        hit = [any(keys[i][1] in rows[i][1][x["start"] : x["end"]] for x in found[i]) for i in range(at, at + 10)]
+        assert sum(hit) >= 8, keys[at]
+    assert not any(found[1000 + i] for i in range(len(plain)))
