@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm import exact_dedup, kneser_ney, mixing, ngram_join, pu_quality, quality_rules, secret_scan, sharding, surrogates, vector_packing
+from oddslake.llm import (
+    exact_dedup, kneser_ney, max_sketch, mixing, ngram_join, pu_quality, quality_rules, secret_scan, sharding, stable_search, surrogates, vector_packing,
+    whitening,
+)
 from oddslake.llm.common import documents, held_out, with_package
 from oddslake.session import prepare as settings
 
@@ -73,16 +76,32 @@ def op10_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op11_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(documents(prepare(spark), sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return stable_search.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_patricia_owners, op3_randomness_battery, op4_surrogates, op5_dot_product_packing,
         op6_minimax_shards, op7_positive_unlabelled, op8_partition_join, op9_flow_mixing, op10_covariance_outliers,
+        op11_max_sketches, op12_stable_projections, op13_bit_sliced_whitening,
     )
 }
 
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 #: SQL that must give the rows of a query. The others draw on hashes, models or random choices.
 SQL: dict[str, str] = {
     "op2_patricia_owners": """
@@ -98,4 +117,12 @@ l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT r.doc_id, any_value(n.n) AS n_shingles, min(reach) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op11_max_sketches": f"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s), t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, g GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term) JOIN s USING (doc_id), g GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r QUALIFY rank <= 10""",
 }

@@ -43,15 +43,15 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tables[0], tables[1]
 
 
-def word_hashes(data: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, row_ends: np.ndarray, parting: np.ndarray = _PARTS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts in ASCII lower case, and where each text's words end.
 
     ``data`` holds the bytes of the texts, the last of each before ``row_ends``. Words are runs of bytes
-    other than space and 9 to 13 and end with their text.
+    that do not part words, by default space and 9 to 13, and end with their text.
     """
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(row_ends), np.int64)
-    inside = ~_PARTS[data]
+    inside = ~parting[data]
     first = np.zeros(len(data) + 1, bool)
     first[0] = True
     first[row_ends] = True
@@ -67,7 +67,9 @@ def word_hashes(data: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(starts, row_ends)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS, parting: np.ndarray = _PARTS
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, number of rows, word hashes and word ends of a batch's texts, a slice at a time."""
     texts = batch.column(column)
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -80,6 +82,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES,
     row = 0
     while row < n:
         upto = min(row + rows, max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1), n)
-        hashes, ends = word_hashes(data[offsets[row] : offsets[upto]], offsets[row + 1 : upto + 1] - offsets[row])
+        hashes, ends = word_hashes(data[offsets[row] : offsets[upto]], offsets[row + 1 : upto + 1] - offsets[row], parting)
         yield row, upto - row, hashes, ends
         row = upto
