@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from oddslake import schemas
 from oddslake.plans.registry import Query, json_text, quoted, table
 from oddslake.session import shared_dir
 from oddslake.streaming import frames as S
@@ -28,7 +30,8 @@ def _frame(events: DataFrame) -> DataFrame:
         .otherwise(book)
     )
     return events.select(
-        F.col("event_type").alias("run_id"), e.alias("row_pos"), F.dayofmonth("ts").alias("connection_id"), kind.alias("kind"), data.alias("data"), "value"
+        F.col("event_type").alias("run_id"), e.alias("row_pos"), F.dayofmonth("ts").alias("connection_id"), kind.alias("kind"), data.alias("data"), "value",
+        F.col("ts").alias("observed_at"),
     )
 
 
@@ -48,7 +51,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """All frames as one of eight order books each, whose numbering skips one in every fifty."""
     book = F.floor(F.col("row_pos") / 8)
     return rows.select(
-        F.lit("capture").alias("run_id"), "connection_id", (F.col("row_pos") % 8).cast("string").alias("sid"), (book + F.floor(book / 50)).alias("seq"), "row_pos"
+        F.lit("capture").alias("run_id"), "connection_id", (F.col("row_pos") % 8).cast("string").alias("sid"), (book + F.floor(book / 50)).alias("seq"), "row_pos", "observed_at"
     )
 
 
@@ -61,15 +64,39 @@ def gaps_small_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sequence_gaps(_numbered(frames(spark, sf_dir)), width=97)
 
 
+#: Landed files of the streamed queries, and how many of them a trigger takes.
+LANDED_FILES, FILES_A_TRIGGER = 6, 2
+
+
+def _landed(rows: DataFrame) -> str:
+    """Frames as JSON lines, in files that arrive one after another in the order of positions; returns their folder."""
+    root = f"{shared_dir(rows.sparkSession)}/frames-{uuid.uuid4().hex}"
+    ends = rows.agg(F.min("row_pos"), F.max("row_pos")).first()
+    first, last = (ends[0] or 0), (ends[1] or 0)
+    step = (last - first) // LANDED_FILES + 1
+    shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schemas.FRAME).fields])
+    for part in range(LANDED_FILES):
+        low = first + part * step
+        shaped.where((F.col("row_pos") >= low) & (F.col("row_pos") < low + step)).write.mode("append").json(f"{root}/in")
+    return root
+
+
 def streamed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same gaps from a streaming query over the whole event table."""
-    schema = table(spark, sf_dir, "events").schema
-    # Written as a pattern, the path may be one file or a folder of files.
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    root = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
-    query = S.sequence_gaps_stream(_numbered(_frame(source)), f"{root}/out", f"{root}/checkpoint")
-    query.awaitTermination()
-    return S.read_gaps(spark, f"{root}/out")
+    """The same gaps from a stream of landed frames, several micro-batches long."""
+    book = _numbered(frames(spark, sf_dir))
+    data = json_text(type=quoted(F.lit("orderbook_delta")), sid=F.col("sid"), seq=F.col("seq").cast("string"))
+    root = _landed(book.withColumn("kind", F.lit("message")).withColumn("data", data))
+    arriving = S.read_frames(spark, f"{root}/in", streaming=True, max_files=FILES_A_TRIGGER)
+    return S.run_sequence_gaps(S.sequenced(S.parse_frames(arriving)), f"{root}/out", f"{root}/checkpoint")
+
+
+def streamed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of all captures from a stream of landed frames."""
+    root = _landed(frames(spark, sf_dir))
+    arriving = S.drop_heartbeats(S.read_frames(spark, f"{root}/in", streaming=True, max_files=FILES_A_TRIGGER))
+    # Events are numbered in the order of their time.
+    S.summary_stream(S.parse_frames(arriving), f"{root}/out", f"{root}/checkpoint", span="1 day", lateness="1 day").awaitTermination()
+    return _shown(S.read_summary(spark, f"{root}/out"))
 
 
 def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +105,10 @@ def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.stream_summary(parsed(spark, sf_dir))
+    return _shown(S.stream_summary(parsed(spark, sf_dir)))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", "messages", "data_messages", "connections", "gaps", "server_errors", F.array_join("warnings", "|").alias("warnings"), "status")
 
 
@@ -94,6 +124,13 @@ p AS (SELECT *, CASE what WHEN 'list' THEN 2 WHEN 'book' THEN 1 ELSE 0 END AS da
 GAPS = """WITH q AS (SELECT day(ts) AS connection_id, event_id, event_id // 8 + event_id // 8 // 50 AS seq, CAST(event_id % 8 AS VARCHAR) AS sid FROM events),
 n AS (SELECT *, lag(seq) OVER (PARTITION BY connection_id, sid ORDER BY event_id) AS prev FROM q)
 SELECT 'capture' AS run_id, connection_id, sid, event_id AS row_pos, prev + 1 AS expected_seq, seq AS got_seq FROM n WHERE seq <> prev + 1"""
+SUMMARY = (
+    "WITH" + FRAMES + """, g AS (SELECT run_id, count(*) FILTER (kind = 'message') AS messages, CAST(sum(data_items) AS BIGINT) AS data_messages, max(connection_id) + 1 AS connections,
+          count(*) FILTER (kind = 'gap') AS gaps, count(*) FILTER (what = 'error') AS server_errors FROM p GROUP BY 1)
+        SELECT *, concat_ws('|', CASE WHEN gaps > 0 THEN CAST(gaps AS VARCHAR) || ' connection/sequence gaps; do not reconstruct across gaps' END,
+          CASE WHEN data_messages = 0 THEN 'No data messages captured; subscription success/market activity is unverified' END) AS warnings,
+          CASE WHEN server_errors > 0 THEN 'failed' WHEN gaps > 0 OR data_messages = 0 THEN 'partial' ELSE 'complete_within_requested_scope' END AS status FROM g"""
+)
 
 QUERIES = [
     Query(
@@ -111,15 +148,8 @@ QUERIES = [
         segment_rows,
         "WITH" + FRAMES + " SELECT run_id, e AS row_pos, CAST(sum(CAST(kind = 'gap' AS INT)) OVER (PARTITION BY run_id ORDER BY e) AS BIGINT) AS segment FROM f",
     ),
-    Query(
-        "stream_summary",
-        summaries,
-        "WITH" + FRAMES + """, g AS (SELECT run_id, count(*) FILTER (kind = 'message') AS messages, CAST(sum(data_items) AS BIGINT) AS data_messages, max(connection_id) + 1 AS connections,
-          count(*) FILTER (kind = 'gap') AS gaps, count(*) FILTER (what = 'error') AS server_errors FROM p GROUP BY 1)
-        SELECT *, concat_ws('|', CASE WHEN gaps > 0 THEN CAST(gaps AS VARCHAR) || ' connection/sequence gaps; do not reconstruct across gaps' END,
-          CASE WHEN data_messages = 0 THEN 'No data messages captured; subscription success/market activity is unverified' END) AS warnings,
-          CASE WHEN server_errors > 0 THEN 'failed' WHEN gaps > 0 OR data_messages = 0 THEN 'partial' ELSE 'complete_within_requested_scope' END AS status FROM g""",
-    ),
+    Query("stream_summary", summaries, SUMMARY),
+    Query("stream_summary_streamed", streamed_summaries, SUMMARY),
     Query(
         "frame_items",
         items,

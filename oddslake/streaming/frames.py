@@ -1,7 +1,8 @@
 """Landed stream frames: parsing, data-message counts, connection segments, sequence gaps.
 
-The batch operators below work on any finite frame table. The streaming form of gap detection keeps
-the last sequence number of each subscription in the engine's state store and lets it expire.
+The batch operators below work on any finite frame table. The streaming form of gap detection uses them
+inside each micro-batch; only one border row per subscription and micro-batch meets the engine's state store,
+which holds the last sequence number of each subscription until it expires.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from oddslake import schemas
-from oddslake.functions import computed, lag_ordered, running_sum
+from oddslake.functions import computed, lag_ordered, latest_by, running_sum
 from oddslake.functions.ordered import BUCKET_WIDTH
 
 # Heartbeat frames, message types that carry data, types with sequence numbers.
@@ -108,7 +109,7 @@ def data_items(frames: DataFrame, text: str = "data") -> DataFrame:
 
 def sequenced(parsed: DataFrame) -> DataFrame:
     """Frames that take part in continuity checks, with non-null subscription keys."""
-    return parsed.filter(F.col("sid").isNotNull() & F.col("seq").isNotNull()).select(*SUBSCRIPTION, "row_pos", "seq")
+    return parsed.filter(F.col("sid").isNotNull() & F.col("seq").isNotNull()).select(*SUBSCRIPTION, "row_pos", "seq", "observed_at")
 
 
 def _gap_rows(rows: DataFrame) -> DataFrame:
@@ -139,13 +140,20 @@ def stream_summary(parsed: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> Da
 
     Only plain aggregates, so the same call serves a batch and a streaming query in update mode.
     """
-    totals = parsed.groupBy(*keys).agg(
+    return _judged(parsed.groupBy(*keys).agg(*_totals()))
+
+
+def _totals() -> list[Column]:
+    return [
         F.count_if(F.col("kind") == "message").alias("messages"),
         F.coalesce(F.sum("data_items"), F.lit(0)).alias("data_messages"),
         (F.coalesce(F.max("connection_id"), F.lit(-1)) + 1).alias("connections"),
         F.count_if(F.col("kind") == "gap").alias("gaps"),
         F.count_if("is_error").alias("server_errors"),
-    )
+    ]
+
+
+def _judged(totals: DataFrame) -> DataFrame:
     warnings = F.array_compact(
         F.array(
             F.when(F.col("gaps") > 0, F.format_string(GAP_WARNING, F.col("gaps"))),
@@ -159,55 +167,126 @@ def stream_summary(parsed: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> Da
 
 
 GAP = "run_id STRING, connection_id INT, sid STRING, row_pos BIGINT, expected_seq BIGINT, got_seq BIGINT"
-#: A subscription's state goes after this long without a frame.
-FORGET_AFTER_MS = 24 * 3600 * 1000
+BORDER = "run_id STRING, connection_id INT, sid STRING, first_pos BIGINT, first_seq BIGINT, last_pos BIGINT, last_seq BIGINT, at TIMESTAMP"
+#: A subscription is forgotten when frames this much younger than its last one have arrived.
+FORGET_AFTER = "24 hours"
+#: Files of borders that one trigger of the stateful query takes.
+BORDER_FILES = 1_000
+
+
+def borders(frames: DataFrame) -> DataFrame:
+    """First and last frame of each subscription, and when its youngest arrived."""
+    return frames.groupBy(*SUBSCRIPTION).agg(
+        F.min("row_pos").alias("first_pos"), F.min_by("seq", "row_pos").alias("first_seq"),
+        F.max("row_pos").alias("last_pos"), F.max_by("seq", "row_pos").alias("last_seq"),
+        F.coalesce(F.max("at"), F.current_timestamp()).alias("at"),
+    )
 
 
-def streamed_gaps(frames: DataFrame, forget_after_ms: int = FORGET_AFTER_MS) -> DataFrame:
-    """:func:`sequence_gaps` as a stateful streaming operator.
+def inner_gaps_stream(frames: DataFrame, out_path: str, checkpoint_path: str, width: int = BUCKET_WIDTH, **trigger) -> StreamingQuery:
+    """Write the gaps inside each micro-batch, and one border row per subscription and micro-batch.
 
-    The state of a subscription is its last sequence number. A micro-batch's frames of one
-    subscription are ordered in one task, so bound what a trigger reads where one of them may be hot.
+    ``frames`` is :func:`sequenced` output. A micro-batch is a finite table, so :func:`sequence_gaps` finds its
+    gaps in position buckets. Both results are folders named by the batch, replaced when a batch is repeated.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            sequence_gaps(batch, width).write.mode("overwrite").parquet(f"{out_path}/inner/batch={number}")
+            borders(batch).write.mode("overwrite").parquet(f"{out_path}/borders/batch={number}")
+        finally:
+            batch.unpersist()
+
+    keyed = frames.select("run_id", F.col("connection_id").cast("int").alias("connection_id"), "sid", "seq", "row_pos", F.col("observed_at").cast("timestamp").alias("at"))
+    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint_path}/inner").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def border_gaps(rows: DataFrame, forget_after: str = FORGET_AFTER) -> DataFrame:
+    """Gaps between the micro-batches of a subscription, from a stream of border rows.
+
+    The state of a subscription is the position and number of its last frame. Event time runs
+    ``forget_after`` behind the youngest frame; a state whose frame it has passed is dropped by its timer, and rows
+    behind it are late. A border whose frames all lie before the last known position was seen already.
     """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(chunks)).sort_values("row_pos")
-        before = rows["seq"].shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((int(rows["seq"].iloc[-1]),))
-        state.setTimeoutDuration(forget_after_ms)
-        gaps = rows.assign(expected_seq=before + 1)[before.notna() & (rows["seq"] != before + 1)]
-        out = pd.DataFrame({"row_pos": gaps["row_pos"], "expected_seq": gaps["expected_seq"].astype("int64"), "got_seq": gaps["seq"]})
-        for i, (name, kind) in enumerate((("run_id", "object"), ("connection_id", "int32"), ("sid", "object"))):
-            out.insert(i, name, pd.Series([key[i]] * len(out), index=out.index, dtype=kind))
-        yield out
-
-    keyed = frames.select("run_id", F.col("connection_id").cast("int").alias("connection_id"), "sid", "seq", "row_pos")
-    return keyed.groupBy(*SUBSCRIPTION).applyInPandasWithState(step, GAP, "last BIGINT", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def sequence_gaps_stream(frames: DataFrame, out_path: str, checkpoint_path: str, forget_after_ms: int = FORGET_AFTER_MS) -> StreamingQuery:
-    """Run :func:`streamed_gaps` over all there is; gaps land as Parquet under ``out_path``, each once.
-
-    Both paths must be reachable by every executor. States expire in batches that have data: a run
-    that ends when its input does must not wait for time-outs.
+        last = state.get if state.exists else None
+        found, latest = [], None
+        for chunk in chunks:  # a row for each micro-batch since the last trigger
+            for row in chunk.sort_values("first_pos").itertuples():
+                if last is not None and row.last_pos <= last[0]:
+                    continue
+                if last is not None and row.first_seq != last[1] + 1:
+                    found.append((row.first_pos, last[1] + 1, row.first_seq))
+                last, latest = (int(row.last_pos), int(row.last_seq)), row.at if latest is None else max(row.at, latest)
+        if latest is not None:
+            state.update(last)
+            # At least a millisecond beyond event time, which the engine asks for.
+            state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+        positions, expected, got = zip(*found, strict=True) if found else ((), (), ())
+        yield pd.DataFrame({
+            "run_id": pd.Series([key[0]] * len(found), dtype="object"), "connection_id": pd.Series([key[1]] * len(found), dtype="int32"), "sid": pd.Series([key[2]] * len(found), dtype="object"),
+            "row_pos": pd.Series(positions, dtype="int64"), "expected_seq": pd.Series(expected, dtype="int64"), "got_seq": pd.Series(got, dtype="int64"),
+        })
+
+    timed = rows.withWatermark("at", forget_after)
+    return timed.groupBy(*SUBSCRIPTION).applyInPandasWithState(step, GAP, "pos BIGINT, seq BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def border_gaps_stream(spark: SparkSession, out_path: str, checkpoint_path: str, forget_after: str = FORGET_AFTER, max_files: int = BORDER_FILES, **trigger) -> StreamingQuery:
+    """Run :func:`border_gaps` over the border rows that :func:`inner_gaps_stream` writes."""
+    # Written as a pattern, so that batches which arrive later are found.
+    rows = spark.readStream.schema(BORDER).option("maxFilesPerTrigger", max_files).parquet(f"{out_path}/borders/batch=*")
+    return (
+        border_gaps(rows, forget_after).writeStream.outputMode("append").format("parquet").option("path", f"{out_path}/between")
+        .option("checkpointLocation", f"{checkpoint_path}/between").trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def run_sequence_gaps(frames: DataFrame, out_path: str, checkpoint_path: str, forget_after: str = FORGET_AFTER, width: int = BUCKET_WIDTH, max_files: int = BORDER_FILES) -> DataFrame:
+    """:func:`sequence_gaps` over all that a stream of frames holds now, and its result so far.
+
+    Run again on the same paths it goes on where it stopped. Both paths must be reachable by every
+    executor; frames of a subscription must arrive in the order of their positions.
     """
-    session, setting = frames.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = session.conf.get(setting)
-    session.conf.set(setting, "false")  # a query takes the settings of the moment it starts
-    try:
-        return (
-            streamed_gaps(frames, forget_after_ms).writeStream.outputMode("append").format("parquet")
-            .option("path", out_path).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
-        )
-    finally:
-        session.conf.set(setting, before)
+    inner_gaps_stream(frames, out_path, checkpoint_path, width).awaitTermination()
+    border_gaps_stream(frames.sparkSession, out_path, checkpoint_path, forget_after, max_files).awaitTermination()
+    return read_gaps(frames.sparkSession, out_path)
 
 
 def read_gaps(spark: SparkSession, out_path: str) -> DataFrame:
-    """Gaps written by :func:`sequence_gaps_stream`."""
-    return spark.read.schema(GAP).parquet(out_path)
+    """Gaps written by :func:`inner_gaps_stream` and :func:`border_gaps_stream`."""
+    inside = spark.read.schema(GAP).parquet(f"{out_path}/inner/batch=*")
+    return inside.unionByName(spark.read.schema(GAP).parquet(f"{out_path}/between"))
+
+
+def summary_stream(parsed: DataFrame, out_path: str, checkpoint_path: str, span: str = "1 hour", lateness: str = "1 hour", **trigger) -> StreamingQuery:
+    """Count a stream of :func:`parse_frames` output by capture and span of arrival.
+
+    A span's counts leave the engine's state once frames ``lateness`` younger have arrived. Each micro-batch
+    writes the spans that it changed to a folder of its own; :func:`read_summary` adds the newest of each up.
+    """
+    timed = parsed.withColumn("at", F.coalesce(F.col("observed_at").cast("timestamp"), F.lit(0).cast("timestamp"))).withWatermark("at", lateness)
+    counts = timed.groupBy("run_id", F.window("at", span)["start"].alias("span")).agg(*_totals())
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return (
+        counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint_path)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def read_summary(spark: SparkSession, out_path: str) -> DataFrame:
+    """:func:`stream_summary` of what :func:`summary_stream` has written so far."""
+    written = spark.read.parquet(out_path)
+    newest = latest_by(written, ["run_id", "span"], F.col("batch"))
+    totals = newest.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in ("messages", "data_messages", "gaps", "server_errors")], F.max("connections").alias("connections")
+    )
+    return _judged(totals).select("run_id", "messages", "data_messages", "connections", "gaps", "server_errors", "warnings", "status")

@@ -1,14 +1,17 @@
 import json
-import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddslake import schemas
 from oddslake.streaming import frames as S
 
 
+T0 = "2026-01-01T00:00:00Z"
+
+
 def table(spark, *rows):
-    base = {"run_id": "r", "observed_at": "2026-01-01T00:00:00Z", "kind": "message", "connection_id": 0}
+    base = {"run_id": "r", "observed_at": T0, "kind": "message", "connection_id": 0}
     return spark.createDataFrame([{"row_pos": i, **base, **r} for i, r in enumerate(rows)], schemas.FRAME)
 
 
@@ -62,45 +65,89 @@ def test_acknowledgement_lists_heartbeats_and_errors(spark):
     assert S.data_items(df).filter("is_data").count() == 2
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows, pos = [], 0
-    for part in range(4):
-        for i in range(30):
-            seq = part * 30 + i + (5 if pos % 37 == 36 else 0)
-            rows.append({"data": book("delta", pos % 3, seq // 3), "row_pos": pos, "connection_id": part // 2})
-            pos += 1
-    df = table(spark, *rows)
-    for part in range(4):
-        chunk = df.filter(F.floor(F.col("row_pos") / 30) == part).coalesce(1)
-        chunk.write.mode("append").json(str(tmp_path / "in"))
+def land(df, path, parts):
+    """Frames in files that arrive one after another, in the order of positions."""
+    total = df.agg(F.max("row_pos")).first()[0] + 1
+    for part in range(parts):
+        inside = F.floor(F.col("row_pos") * parts / total) == part
+        df.filter(inside).coalesce(1).write.mode("append").json(path)
+
+
+def streamed(spark, tmp_path, **options):
     parsed = S.parse_frames(S.drop_heartbeats(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1)))
-    query = S.sequence_gaps_stream(S.sequenced(parsed), *[str(tmp_path / d) for d in ("out", "ckpt")])
-    query.awaitTermination(120)
-    assert query.exception() is None
-    got = {tuple(r) for r in S.read_gaps(spark, str(tmp_path / "out")).collect()}
-    want = {tuple(r) for r in S.sequence_gaps(S.sequenced(S.parse_frames(df))).collect()}
-    assert got == want and want
+    return S.run_sequence_gaps(S.sequenced(parsed), *[str(tmp_path / d) for d in ("out", "ckpt")], **options)
+
+
+def plain_gaps(df):
+    return sorted(tuple(r) for r in S.sequence_gaps(S.sequenced(S.parse_frames(df))).collect())
+
+
+@pytest.mark.parametrize(("subscriptions", "width", "border_files"), [(3, 1_000_000, 100), (1, 4, 1)])
+def test_stream_equals_batch(spark, tmp_path, subscriptions, width, border_files):
+    """One hot subscription, or several, over many micro-batches with gaps inside and between them."""
+    rows = []
+    for pos in range(120):
+        jump = pos // 37 * 5 + pos // 30
+        rows.append({"data": book("delta", pos % subscriptions, pos // subscriptions + jump), "row_pos": pos, "connection_id": pos // 90})
+    df = table(spark, *rows)
+    land(df, str(tmp_path / "in"), 4)
+    got = streamed(spark, tmp_path, width=width, max_files=border_files)
+    want = plain_gaps(df)
+    assert sorted(tuple(r) for r in got.collect()) == want and any(pos % 30 == 0 for *_, pos, _, _ in want)
+    batches = {r["batch"] for r in spark.read.parquet(str(tmp_path / "out/borders")).select("batch").distinct().collect()}
+    assert len(batches) == 4
+    plan = S.sequence_gaps(S.sequenced(S.parse_frames(df)), width)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan
+
+
+def test_runs_go_on_where_the_last_one_stopped(spark, tmp_path):
+    first = table(spark, *[{"data": book("delta", 1, s), "row_pos": p} for p, s in enumerate([1, 2, 5])])
+    land(first, str(tmp_path / "in"), 1)
+    assert [r["got_seq"] for r in streamed(spark, tmp_path).collect()] == [5]
+    later = table(spark, *[{"data": book("delta", 1, s), "row_pos": p} for p, s in [(3, 6), (4, 9)]], {"data": book("delta", 1, 20), "row_pos": 5})
+    land(later, str(tmp_path / "in"), 3)
+    assert sorted(r["got_seq"] for r in streamed(spark, tmp_path).collect()) == [5, 9, 20]
+    assert sorted(r["got_seq"] for r in streamed(spark, tmp_path).collect()) == [5, 9, 20]
+
+
+def test_a_border_seen_twice_counts_once(spark, tmp_path):
+    """A repeated micro-batch writes its borders again under new names."""
+    rows = spark.createDataFrame([("r", 0, "1", 0, 1, 4, 5, T0), ("r", 0, "1", 5, 9, 7, 11, T0)], S.BORDER.replace("at TIMESTAMP", "at STRING"))
+    for n in (0, 1, 2):
+        part = rows.filter(F.col("first_pos") == min(n, 1) * 5).withColumn("at", F.col("at").cast("timestamp"))
+        part.write.parquet(str(tmp_path / f"out/borders/batch={n}"))
+    S.border_gaps_stream(spark, str(tmp_path / "out"), str(tmp_path / "ckpt"), max_files=1).awaitTermination(120)
+    found = spark.read.schema(S.GAP).parquet(str(tmp_path / "out/between")).collect()
+    assert [tuple(r) for r in found] == [("r", 0, "1", 5, 6, 9)]
 
 
 def test_state_forgets_idle_subscriptions(spark, tmp_path):
-    """After the time-out a subscription starts afresh: its next number is no gap."""
-    def land(pos, seq):
-        table(spark, {"data": book("delta", 1, seq), "row_pos": pos}).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-
-    def run(forget_after_ms):
-        parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True))
-        S.sequence_gaps_stream(S.sequenced(parsed), str(tmp_path / "out"), str(tmp_path / "ckpt"), forget_after_ms).awaitTermination(120)
-        return S.read_gaps(spark, str(tmp_path / "out")).count()
-
-    land(0, 1)
-    assert run(1) == 0
-    time.sleep(0.2)
-    table(spark, {"data": book("delta", 2, 1), "row_pos": 1}).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    assert run(10**9) == 0  # the first subscription times out in this run
-    land(2, 9)
-    assert run(10**9) == 0
-    land(3, 20)
-    assert run(10**9) == 1
+    """When frames a day younger have arrived, a subscription starts afresh: its next number is no gap."""
+    def arrive(pos, sid, seq, day):
+        frame = {"data": book("delta", sid, seq), "row_pos": pos, "observed_at": f"2026-01-{day:02}T00:00:00Z"}
+        table(spark, frame).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        return streamed(spark, tmp_path).count()
+
+    assert arrive(0, 1, 1, 1) == 0 and arrive(1, 1, 4, 1) == 1  # remembered
+    assert arrive(2, 2, 1, 9) == 1 and arrive(3, 2, 2, 9) == 1  # eight days on, the first one's timer is due
+    assert arrive(4, 1, 50, 9) == 1  # no gap after it was forgotten
+    assert arrive(5, 1, 70, 9) == 2  # known again
+
+
+def test_streamed_summary_equals_batch(spark, tmp_path):
+    rows = []
+    for i in range(60):
+        kind = "gap" if i % 17 == 5 else "message"
+        data = None if kind == "gap" else json.dumps({"type": "error"}) if i == 33 else book("delta", 1, i)
+        rows.append({"run_id": f"r{i % 3}", "kind": kind, "data": data, "connection_id": i // 25, "observed_at": f"2026-01-01T{i // 10:02}:{i % 10}0:00Z" if i % 10 < 6 else None})
+    df = table(spark, *rows)
+    land(df, str(tmp_path / "in"), 3)
+    parsed = S.parse_frames(S.read_frames(spark, str(tmp_path / "in"), streaming=True, max_files=1))
+    # Frames without an instant share one early span, so nothing may count as late here.
+    S.summary_stream(parsed, str(tmp_path / "out"), str(tmp_path / "ckpt"), "1 hour", "100000 days").awaitTermination(120)
+    got = sorted(tuple(r) for r in S.read_summary(spark, str(tmp_path / "out")).collect())
+    want = sorted(tuple(r) for r in S.stream_summary(S.parse_frames(df)).collect())
+    assert got == want and {r[-1] for r in want} == {"failed", "partial"}
 
 
 def test_summary_as_streaming_query(spark, tmp_path):
