@@ -21,7 +21,7 @@ from oddslake.functions.scalar import (
     truthy,
     valid_probability,
 )
-from oddslake.functions.text import ascii_only, casefold, first_token, nfkc, python_lines, term_pattern, tokens
+from oddslake.functions.text import ascii_only, casefold, nfkc, python_lines, term_pattern, term_tokens, tokens
 
 __all__ = [
     "ascii_only",
@@ -34,7 +34,6 @@ __all__ = [
     "finite",
     "first_present",
     "fingerprint",
-    "first_token",
     "instant",
     "json_list",
     "json_objects",
@@ -51,6 +50,7 @@ __all__ = [
     "sorted_set",
     "strict_epoch",
     "term_pattern",
+    "term_tokens",
     "to_epoch",
     "tokens",
     "truthy",

@@ -65,13 +65,15 @@ def term_pattern(*terms: str) -> str:
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits.
 
-    A text can only hold a term if the term's first run is among its tokens, which is far
+    A text can only hold a term if the term's runs follow one another among its tokens, which is far
     cheaper to test than the pattern. The few letters whose lower case is not what a
-    case-insensitive pattern compares are mapped by hand.
+    case-insensitive pattern compares are mapped by hand, where there are any.
     """
-    return F.split(F.translate(F.lower(F.translate(text, "İı", "ii")), "ς", "σ"), r"[^\p{L}\p{N}]+")
+    special = text.contains("İ") | text.contains("ı") | F.lower(text).contains("ς") | text.contains("Σ")
+    mapped = F.translate(F.lower(F.translate(text, "İı", "ii")), "ς", "σ")
+    return F.split(F.when(special, mapped).otherwise(F.lower(text)), r"[^\p{L}\p{N}]+")
 
 
-def first_token(term: str) -> str | None:
-    run = re.search(r"[^\W_]+", term.casefold().replace("ς", "σ"))
-    return run.group() if run else None
+def term_tokens(term: str) -> list[str]:
+    """The runs of letters and digits of a term, as :func:`tokens` gives them."""
+    return re.findall(r"[^\W_]+", term.casefold().replace("ς", "σ"))

@@ -1,20 +1,22 @@
 """Topic labels as native expressions.
 
-Every rule is a literal pattern, compiled once per task. Context words are one alternation per
-group, because only presence matters there; evidence keeps one pattern per term, since
-overlapping terms must all be reported. A pattern only runs on texts whose tokens include the
-first word of one of its terms, so most rows are settled by set lookups.
+All terms of a taxonomy form one index by their tokens. One pass over a text's tokens looks at the places
+where the first token of some term stands and at the runs of tokens that begin there; what is in the
+index are the hits. A hit of a single word needs no further test, any other runs its own pattern, once.
+Evidence, context and labels are then read from the few hits of a text.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddslake.functions import computed, first_token, nfkc, python_lines, term_pattern, tokens
+from oddslake.functions import computed, nfkc, python_lines, term_pattern, term_tokens, tokens
 from oddslake.sources.taxonomy import Taxonomy
 
 # Extra United States context, the election words and the year shape.
@@ -37,28 +39,92 @@ ELECTION_TOPIC, CYCLE_YEAR, DISTRICT_RULE = "midterms_2026", "2026", "district c
 LABEL_COLUMNS = ["topics", "matched_terms", "sectors", "relevance_score", "exclude_reason"]
 
 
+#: Slots of the context groups in the index; topics have their names as slots.
+CONTEXT_GROUPS = ["us_context_terms", "us_state_terms", "foreign_context_terms", "sports_terms"]
+#: Tokens one of which stands in every text that matches a fixed pattern.
+PATTERN_TOKENS = {
+    GEORGIA_OFFICE: ["georgia"],
+    FED_RATE: ["fed"],
+    CHAMBER_SHORTHAND: ["midterm", "midterms", "congressional", "senate", "congress", "house", "control"],
+    MIDTERM_WORD: ["midterm", "midterms"],
+}
+_FOUND = "array<struct<slot:string,label:string>>"
+
+
+@dataclass(frozen=True)
+class TermIndex:
+    """Terms by their tokens: for each run of tokens the rules that a text with that run may meet."""
+
+    rules: dict[str, list[dict]] = field(default_factory=lambda: defaultdict(list))
+    #: Terms without a letter or digit, which no token announces.
+    loose: list[tuple[str, str]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, taxonomy: Taxonomy) -> TermIndex:
+        index = cls()
+        for group in CONTEXT_GROUPS:
+            for term in taxonomy.group(group):
+                index.add(f"group {group}", term)
+        for topic in taxonomy.topics:
+            for term in taxonomy.terms(topic):
+                index.add(f"topic {topic}", term)
+        for token in sorted({t for group in PATTERN_TOKENS.values() for t in group}):
+            index.add("token", token)
+        return index
+
+    def add(self, slot: str, term: str) -> None:
+        words = term_tokens(term)
+        if not words:
+            self.loose.append((slot, term))
+            return
+        # One run of letters and digits and nothing else: a token equal to it is the term, unless an
+        # underscore stands beside it.
+        plain = [term.casefold().replace("ς", "σ")] == words
+        self.rules[" ".join(words)].append({"slot": slot, "label": term, "pattern": term_pattern(term), "plain": plain})
+
+    def runs(self, words: Column) -> Column:
+        """The runs of tokens of a text that are in the index, each once."""
+        keys = sorted(self.rules)
+        if not keys:
+            return F.array().cast("array<string>")
+        longest = max(k.count(" ") for k in keys) + 1
+        firsts = sorted({k.split(" ")[0] for k in keys})
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i + 1)), lambda i: i.isNotNull())
+        run = lambda i, n: F.array_join(F.slice(words, i, n), " ")
+        begun = F.flatten(F.transform(places, lambda i: F.array(*[run(i, n) for n in range(1, longest + 1)])))
+        return F.array_distinct(F.filter(begun, lambda r: r.isin(keys)))
+
+    def found(self, text: Column, runs: Column) -> Column:
+        """Slot and label of the terms the text holds, given its ``runs``."""
+        rules = F.from_json(F.lit(json.dumps(self.rules)), "map<string,array<struct<slot:string,label:string,pattern:string,plain:boolean>>>")
+        bare = ~text.contains("_")
+        met = lambda rule: (rule["plain"] & bare) | F.rlike(text, rule["pattern"])
+        out = F.transform(F.flatten(F.transform(runs, lambda r: F.filter(F.element_at(rules, r), met))), lambda r: F.struct(r["slot"], r["label"]))
+        if self.loose:
+            tests = [F.when(text.rlike(term_pattern(term)), _hit(slot, term)) for slot, term in self.loose]
+            out = F.concat(out, F.array_compact(F.array(*tests)))
+        return out.cast(_FOUND)
+
+
+def _hit(slot: str, label: str) -> Column:
+    return F.struct(F.lit(slot).alias("slot"), F.lit(label).alias("label"))
+
+
 @dataclass(frozen=True)
 class Text:
-    """A text column with its tokens."""
+    """A text column with the runs of its tokens that are in the index, and the terms found."""
 
     text: Column
-    tokens: Column
-
-    def _may_hold(self, firsts: Sequence[str | None]) -> Column:
-        if not firsts or None in firsts:
-            return F.lit(True)
-        if len(firsts) == 1:
-            return F.array_contains(self.tokens, firsts[0])
-        return F.arrays_overlap(self.tokens, F.array(*[F.lit(t) for t in sorted(set(firsts))]))
+    runs: Column
+    found: Column
 
-    def has_term(self, *terms: str) -> Column:
-        if not terms:
-            return F.lit(False)
-        return self._may_hold([first_token(t) for t in terms]) & self.text.rlike(term_pattern(*terms))
+    def has_group(self, group: str) -> Column:
+        return F.exists(self.found, lambda f: f["slot"] == f"group {group}")
 
-    def matches(self, pattern: str, *firsts: str) -> Column:
-        """Case-insensitive search; one of ``firsts`` is a token of every text that matches."""
-        return self._may_hold(firsts) & self.text.rlike("(?iuUd)" + pattern)
+    def matches(self, pattern: str) -> Column:
+        """Case-insensitive search for one of the fixed patterns."""
+        announced = F.arrays_overlap(self.runs, F.array(*[F.lit(t) for t in PATTERN_TOKENS[pattern]]))
+        return announced & self.text.rlike("(?iuUd)" + pattern)
 
     def matches_case(self, pattern: str) -> Column:
         return self.text.rlike("(?Ud)" + pattern)
@@ -75,85 +141,62 @@ def explicit_cycle(t: Text) -> Column:
     dated = F.filter(lines, lambda line: line.rlike(YEAR) & line.rlike("(?iuUd)" + ELECTION_WORDS))
     headline, election = years_of(F.get(lines, 0)), years_of(F.get(dated, 0))
     years = F.when(F.size(headline) > 0, headline).otherwise(election)
-    undated = (F.size(years) == 0) & t.matches(MIDTERM_WORD, "midterm", "midterms")
+    undated = (F.size(years) == 0) & t.matches(MIDTERM_WORD)
     return F.array_contains(years, CYCLE_YEAR) | undated
 
 
 def exclusion_reason(t: Text, taxonomy: Taxonomy) -> Column:
     """Why a text is out of scope, or null; sports first, then foreign, then no US link."""
-    us = t.has_term(*taxonomy.group("us_context_terms"))
-    state = t.has_term(*taxonomy.group("us_state_terms")) | t.matches(GEORGIA_OFFICE, "georgia")
-    foreign = t.has_term(*taxonomy.group("foreign_context_terms"))
-    sports = t.has_term(*taxonomy.group("sports_terms"))
-    chamber = t.matches(CHAMBER_SHORTHAND, "midterm", "midterms", "congressional", "senate", "congress", "house", "control")
+    us, state, foreign, sports = (t.has_group(g) for g in CONTEXT_GROUPS)
     district_rule = taxonomy.topics.get(ELECTION_TOPIC, {}).get("patterns", {}).get(DISTRICT_RULE)
     district = t.matches_case(district_rule) if district_rule else F.lit(False)
     return (
         F.when(sports, F.lit("sports_context"))
-        .when(us | t.matches(FED_RATE, "fed"), F.lit(None).cast("string"))
+        .when(us | t.matches(FED_RATE), F.lit(None).cast("string"))
         .when(foreign, F.lit("foreign_context_without_explicit_us_link"))
-        .when(~(state | chamber | district), F.lit("missing_us_context"))
+        .when(~(state | t.matches(GEORGIA_OFFICE) | t.matches(CHAMBER_SHORTHAND) | district), F.lit("missing_us_context"))
     )
 
 
-def topic_evidence(t: Text, topic: str, taxonomy: Taxonomy) -> Column:
-    """Sorted distinct labels of the rules of one topic found in the text; null when none."""
-    terms, patterns = taxonomy.terms(topic), taxonomy.patterns(topic)
-    tests = [(term, t.has_term(term)) for term in terms]
-    tests += [(label, t.matches(p)) for label, p in patterns.items()]
-    if not tests:
-        return F.lit(None).cast("array<string>")
-    gate = t.has_term(*terms)
-    for pattern in patterns.values():
-        gate = gate | t.matches(pattern)
-    found = F.array(*[F.when(test, F.lit(label)) for label, test in sorted(tests, key=lambda pair: pair[0])])
-    # Leaving out null also leaves out repeats and keeps the order.
-    return F.when(gate, F.array_except(found, F.array(F.lit(None).cast("string"))))
+def pattern_evidence(text: Column, taxonomy: Taxonomy) -> Column:
+    """Slot and label of the taxonomy's own patterns that a text matches, ignoring case."""
+    tests = [
+        F.when(text.rlike("(?iuUd)" + pattern), _hit(f"topic {topic}", label))
+        for topic in taxonomy.topics
+        for label, pattern in taxonomy.patterns(topic).items()
+    ]
+    return F.array_compact(F.array(*tests)).cast(_FOUND) if tests else F.array().cast(_FOUND)
 
 
 def classify(df: DataFrame, text_col: str, taxonomy: Taxonomy | None = None) -> DataFrame:
     """Add topics, matched_terms, sectors, relevance_score and exclude_reason to each row."""
     taxonomy = taxonomy or Taxonomy.default()
-    names = sorted(taxonomy.topics)
-    no_strings = F.array().cast("array<string>")
-    no_terms = F.map_from_arrays(no_strings, F.array().cast("array<array<string>>"))
-    text = Text(F.col("__text"), F.col("__tokens"))
-    reason, cycle = F.col("__reason"), F.col("__cycle")
-
+    index = TermIndex.of(taxonomy)
+    text = Text(F.col("__text"), F.col("__runs"), F.col("__found"))
     composed = computed(df, __text=nfkc(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    scoped = composed.withColumn("__tokens", tokens(F.col("__text"))).withColumn(
-        "__reason", exclusion_reason(text, taxonomy)
-    )
-    in_scope = reason.isNull()
-    found = computed(
-        scoped,
-        __why=reason,
-        __cycle=F.when(in_scope, explicit_cycle(text)),
-        __found=F.when(in_scope, F.array(*[topic_evidence(text, n, taxonomy) for n in names])),
-    )
-    evidence = [F.get("__found", i) for i in range(len(names))]
-    gated = [
-        F.when(cycle, e) if taxonomy.topics[n].get("requires_election_cycle") else e for n, e in zip(names, evidence)
-    ]
-    nothing = F.array(F.lit(None).cast("string"))
-    present = lambda values: F.array_except(F.array(*values), nothing)
-    labelled = found.withColumn(
-        "topics", present([F.when(e.isNotNull(), F.lit(n)) for n, e in zip(names, gated)])
+    announced = computed(composed.withColumn("__tokens", tokens(text.text)), __runs=index.runs(F.col("__tokens")))
+    met = computed(announced, __found=index.found(text.text, text.runs))
+    reasoned = computed(met, __why=exclusion_reason(text, taxonomy))
+    in_scope = F.col("__why").isNull()
+    evidence = computed(
+        reasoned, __evidence=F.when(in_scope, F.concat(F.filter("__found", lambda f: f["slot"].startswith("topic ")), pattern_evidence(text.text, taxonomy)))
     )
+    topic_of = lambda f: F.substring(f["slot"], len("topic ") + 1, 1 << 30)
+    dated = [t for t in sorted(taxonomy.topics) if taxonomy.topics[t].get("requires_election_cycle")]
+    # The election cycle is only looked for where a topic depends on it.
+    asks = F.exists("__evidence", lambda f: topic_of(f).isin(dated)) if dated else F.lit(False)
+    timed = computed(evidence, __cycle=F.when(asks, explicit_cycle(text)))
+    kept = F.filter("__evidence", lambda f: F.col("__cycle") | ~topic_of(f).isin(dated)) if dated else F.col("__evidence")
+    chosen = computed(timed, __kept=F.coalesce(kept, F.array().cast(_FOUND)))
+    labelled = computed(chosen, topics=F.array_sort(F.array_distinct(F.transform("__kept", topic_of))))
     topics = F.col("topics")
-    pairs = F.array(*[F.struct(F.lit(n).alias("key"), e.alias("value")) for n, e in zip(names, gated)])
-    sectors = sorted({s for n in names for s in taxonomy.sectors(n)})
-    behind = {s: [n for n in names if s in taxonomy.sectors(n)] for s in sectors}
-    sector_list = present(
-        [F.when(F.arrays_overlap(topics, F.array(*[F.lit(n) for n in behind[s]])), F.lit(s)) for s in sectors]
-    ) if sectors else no_strings
+    terms_of = lambda n: F.transform(F.filter("__kept", lambda f: topic_of(f) == n), lambda f: f["label"])
+    sectors = F.from_json(F.lit(json.dumps({t: taxonomy.sectors(t) for t in taxonomy.topics})), "map<string,array<string>>")
     return labelled.select(
         *df.columns,
         topics,
-        F.when(F.size(topics) > 0, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
-        .otherwise(no_terms)
-        .alias("matched_terms"),
-        F.when(F.size(topics) > 0, sector_list).otherwise(no_strings).alias("sectors"),
+        F.map_from_arrays(topics, F.transform(topics, lambda n: F.array_sort(F.array_distinct(terms_of(n))))).alias("matched_terms"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(topics, lambda n: F.element_at(sectors, n))))).alias("sectors"),
         (F.size(topics) + F.when(F.array_contains(topics, ELECTION_TOPIC), 5).otherwise(0)).alias("relevance_score"),
         F.coalesce(F.col("__why"), F.when(F.size(topics) == 0, F.lit("no_target_topic"))).alias("exclude_reason"),
     )
