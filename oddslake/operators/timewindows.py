@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from oddslake.functions import computed
 
 WEEK = 7 * 86400
 CANDLE_PERIODS = [1, 60, 1440]
@@ -74,86 +77,109 @@ def candle_budget(batches: DataFrame, period_minutes: int, n_tickers: str = "n_t
     )
 
 
-def split_saturated(
-    rows: DataFrame,
-    keys: Sequence[str],
-    second: str,
-    start: int,
-    end: int,
-    page_size: int,
-    max_offset: int,
-    max_requests: int = 200,
-) -> DataFrame:
+def _path(second: Column, start: int, end: int, levels: int) -> Column:
+    """The halves that hold a second, one bit a level from the top, and the level at which it is alone.
+
+    Levels below that one add zeros.
+    """
+    state = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in (("lo", start), ("hi", end), ("bits", 0), ("depth", 0))])
+
+    def descend(w: Column, _: Column) -> Column:
+        mid = F.shiftright(w["lo"] + w["hi"], 1)
+        splits, right = w["lo"] < w["hi"], (w["lo"] < w["hi"]) & (second > mid)
+        return F.struct(
+            F.when(right, mid + 1).otherwise(w["lo"]).alias("lo"), F.when(splits & ~right, mid).otherwise(w["hi"]).alias("hi"),
+            (F.shiftleft(w["bits"], 1) + right.cast("bigint")).alias("bits"), (w["depth"] + splits.cast("bigint")).alias("depth"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), state, descend)
+
+
+def _window(path: Column, depth: Column, start: int, end: int) -> Column:
+    """First and last second of the window that the ``depth`` bits of ``path`` lead to."""
+    state = F.struct(F.lit(start).cast("bigint").alias("lo"), F.lit(end).cast("bigint").alias("hi"))
+
+    def descend(w: Column, level: Column) -> Column:
+        mid = F.shiftright(w["lo"] + w["hi"], 1)
+        right = F.call_function("getbit", path, (depth - level).cast("int")) == 1
+        return F.struct(F.when(right, mid + 1).otherwise(w["lo"]).alias("lo"), F.when(right, w["hi"]).otherwise(mid).alias("hi"))
+
+    levels = F.when(depth > 0, F.sequence(F.lit(1).cast("bigint"), depth.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(levels, state, descend)
+
+
+def _deepest_full(rows: DataFrame, keys: Sequence[str], bits: str, n: str, levels: int, capacity: int, out: str) -> DataFrame:
+    """Add ``out``: the level of the smallest window that holds a row and at least ``capacity``, null if none does.
+
+    In the order of ``bits``, such a window holds a run of neighbours that include the row, add up to the capacity, and
+    need both their ends for it; the window is what the paths of the two ends share. Runs that end at the row, and
+    runs that begin at it or before, are the candidates.
+    """
+    keys = list(keys)
+    key = W.partitionBy(*keys)
+    counted = rows.withColumn("__upto", F.sum(n).over(key.orderBy(bits).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    counted = counted.withColumn("__before", F.col("__upto") - F.col(n))
+    by_before, by_upto = key.orderBy("__before"), key.orderBy("__upto")
+
+    def shared(other: Column) -> Column:
+        apart = F.col(bits).bitwiseXOR(other)
+        return F.when(apart == 0, F.lit(levels)).otherwise(F.lit(levels) - F.length(F.bin(apart)))
+
+    onward = by_before.rangeBetween(0, capacity - 1)
+    begun = counted.withColumn(
+        "__run", F.when(F.max("__upto").over(onward) - F.col("__before") >= capacity, shared(F.last(bits).over(onward)))
+    ).withColumn("__held", F.max("__run").over(by_before.rangeBetween(1 - capacity, 0)))
+    first = F.first(bits).over(by_upto.rangeBetween(1 - capacity, 0))
+    ended = F.when(F.col("__upto") >= capacity, shared(first))
+    return begun.withColumn(out, F.greatest("__held", ended)).drop("__upto", "__before", "__run", "__held")
+
+
+def split_saturated(rows: DataFrame, keys: Sequence[str], second: str, start: int, end: int, page_size: int, max_offset: int) -> DataFrame:
     """Windows a bisecting reader ends up with so that every one fits the offset budget.
 
-    Inclusive windows of [start, end] are halved while they hold too many rows for the pages
-    reachable under ``max_offset``. Every second knows the chain of halves that contains it, so
-    counts for all levels come from one aggregate instead of repeated passes: the number of
-    levels is the logarithm of the range. Windows are disjoint and cover the range;
-    ``over_budget`` marks a single second that cannot be split further. ``requests`` counts the
-    pages read including the abandoned parents; ``incomplete`` marks keys beyond
-    ``max_requests`` in total.
+    Inclusive windows of [start, end] are halved while they hold too many rows for the pages reachable
+    under ``max_offset``. Windows are disjoint and cover the range, empty ones included, for every key
+    with a row in it; ``over_budget`` marks a single second that cannot be split further.
+
+    Rows are counted by second. The upper half of the levels is a bucket: within a bucket, and
+    among the buckets of a key, neighbours in time tell the smallest window with too many rows, so
+    no second is counted once a level and no task holds more than a bucket of seconds or a key's buckets.
     """
     capacity = (max_offset // page_size + 1) * page_size
-    levels = max(1, (end - start).bit_length() + 1)
+    levels = max(1, (end - start).bit_length())
+    upper = levels - levels // 2
     keys = list(keys)
-    counted = (
-        rows.filter(F.col(second).between(start, end))
-        .groupBy(*keys, F.col(second).alias("__t"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    root = F.struct(
-        F.lit(start).cast("bigint").alias("lo"), F.lit(end).cast("bigint").alias("hi"), F.lit(0).alias("depth")
+    counted = rows.filter(F.col(second).between(start, end)).groupBy(*keys, F.col(second).cast("bigint").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = computed(counted, __path=_path(F.col("__t"), start, end, levels))
+    seconds = placed.select(
+        *keys, "__n", F.col("__path.bits").alias("__bits"), F.col("__path.depth").alias("__alone"), F.shiftright("__path.bits", levels - upper).alias("__bucket")
     )
-
-    def descend(path: Column, _: Column) -> Column:
-        """Append the half of the last window that holds the second."""
-        w = F.element_at(path, -1)
-        mid = F.shiftright(w["lo"] + w["hi"], 1)
-        left = F.col("__t") <= mid
-        child = F.struct(
-            F.when(left, w["lo"]).otherwise(mid + 1).alias("lo"),
-            F.when(left, mid).otherwise(w["hi"]).alias("hi"),
-            (w["depth"] + 1).alias("depth"),
-        )
-        return F.when(w["lo"] < w["hi"], F.concat(path, F.array(child))).otherwise(path)
-
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(root), descend)
-    windows = (
-        counted.select(*keys, "__n", F.explode(chain).alias("w"))
-        .groupBy(*keys, "w.lo", "w.hi", "w.depth")
-        .agg(F.sum("__n").alias("n_rows"))
+    buckets = seconds.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n"))
+    coarse = _deepest_full(buckets, keys, "__bucket", "__n", upper, capacity, "__coarse").drop("__n")
+    fine = _deepest_full(seconds, [*keys, "__bucket"], "__bits", "__n", levels, capacity, "__fine")
+    full = F.coalesce("__fine", "__coarse")
+    depth = F.least(F.coalesce(full + 1, F.lit(0)), F.col("__alone")).cast("int")
+    leaves = (
+        fine.join(coarse, [*keys, "__bucket"]).select(*keys, "__n", "__bits", depth.alias("__depth"))
+        .groupBy(*keys, "__depth", F.expr(f"shiftright(__bits, {levels} - __depth)").alias("__way")).agg(F.sum("__n").alias("n_rows"))
+    )
+    # A window that was split holds rows in a half that leads to a leaf; its other half leads to one too or is empty.
+    way, at = F.col("__way"), F.col("__depth")
+    node = lambda level, way, n, leaf, held: F.struct(level.alias("depth"), way.alias("way"), n.alias("n"), leaf.alias("leaf"), held.alias("held"))
+    none, yes, no = F.lit(0).cast("bigint"), F.lit(True), F.lit(False)
+    halves = F.transform(
+        F.when(at > 0, F.sequence(F.lit(1), at)).otherwise(F.array().cast("array<int>")),
+        lambda level: F.array(
+            node(level, F.call_function("shiftright", way, at - level), none, no, yes),
+            node(level, F.call_function("shiftright", way, at - level).bitwiseXOR(F.lit(1)), none, no, no),
+        ),
     )
-    # A window is read when it is the root or half of a window that holds too many rows. Such a
-    # window announces its halves, empty ones included; adding up by window joins announcements
-    # and counts without a second look at the rows.
-    lo, hi, deeper = F.col("lo"), F.col("hi"), F.col("depth") + 1
-    mid = F.shiftright(lo + hi, 1)
-    record = lambda a, b, depth, n, read: F.struct(
-        a.alias("lo"), b.alias("hi"), depth.alias("depth"), n.alias("n_rows"), F.lit(read).alias("read")
-    )
-    none = F.lit(0).cast("bigint")
-    itself = record(lo, hi, F.col("depth"), F.col("n_rows"), False)
-    halves = F.array(itself, record(lo, mid, deeper, none, True), record(mid + 1, hi, deeper, none, True))
-    announced = F.when((F.col("n_rows") >= capacity) & (lo < hi), halves).otherwise(F.array(itself))
+    itself = F.array(node(at, way, F.col("n_rows"), yes, yes))
     visited = (
-        windows.select(*keys, F.explode(announced).alias("w"))
-        .groupBy(*keys, "w.lo", "w.hi", "w.depth")
-        .agg(F.sum("w.n_rows").alias("n_rows"), F.bool_or("w.read").alias("read"))
-        .filter(F.col("read") | (F.col("depth") == 0))
-    )
-    pages = F.when(F.col("n_rows") >= capacity, F.lit(capacity // page_size)).otherwise(
-        F.floor(F.col("n_rows") / page_size) + 1
-    )
-    probed = visited.withColumn("requests", pages)
-    total = probed.groupBy(*keys).agg(F.sum("requests").alias("total_requests"))
-    leaves = probed.filter((F.col("n_rows") < capacity) | (F.col("lo") == F.col("hi")))
-    return leaves.join(total, keys).select(
-        *keys,
-        F.col("lo").alias("window_start"),
-        F.col("hi").alias("window_end"),
-        "n_rows",
-        "requests",
-        (F.col("n_rows") >= capacity).alias("over_budget"),
-        (F.col("total_requests") > max_requests).alias("incomplete"),
+        leaves.select(*keys, F.explode(F.concat(itself, F.flatten(halves))).alias("w")).groupBy(*keys, "w.depth", "w.way")
+        .agg(F.sum("w.n").alias("n_rows"), F.bool_or("w.leaf").alias("__leaf"), F.bool_or("w.held").alias("__held"))
+        .filter(F.col("__leaf") | ~F.col("__held"))
+    )
+    return computed(visited, __w=_window(F.col("way"), F.col("depth"), start, end)).select(
+        *keys, F.col("__w.lo").alias("window_start"), F.col("__w.hi").alias("window_end"), "n_rows", (F.col("n_rows") >= capacity).alias("over_budget")
     )

@@ -131,8 +131,8 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_type", "sec")
-    out = timewindows.split_saturated(rows, ["event_type"], "sec", START, START + 40 * DAY, page_size=20, max_offset=60, max_requests=60)
-    return out.select("event_type", "window_start", "window_end", "n_rows", "requests", "over_budget", "incomplete")
+    out = timewindows.split_saturated(rows, ["event_type"], "sec", START, START + 40 * DAY, page_size=20, max_offset=60)
+    return out.select("event_type", "window_start", "window_end", "n_rows", "over_budget")
 
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,7 @@ QUERIES = [
         w AS (SELECT event_type, CAST({START} AS BIGINT) AS lo, CAST({START + 40 * DAY} AS BIGINT) AS hi, count(*) AS n FROM e GROUP BY 1
           UNION ALL
           SELECT p.event_type, c.lo, c.hi, (SELECT count(*) FROM e WHERE e.event_type = p.event_type AND e.sec BETWEEN c.lo AND c.hi) AS n
-          FROM w p, LATERAL (SELECT p.lo AS lo, (p.lo + p.hi) // 2 AS hi UNION ALL SELECT (p.lo + p.hi) // 2 + 1, p.hi) c WHERE p.n >= 80 AND p.lo < p.hi),
-        q AS (SELECT *, CASE WHEN n >= 80 THEN 4 ELSE n // 20 + 1 END AS requests, sum(CASE WHEN n >= 80 THEN 4 ELSE n // 20 + 1 END) OVER (PARTITION BY event_type) AS total FROM w)
-        SELECT event_type, lo AS window_start, hi AS window_end, n AS n_rows, requests, n >= 80 AS over_budget, total > 60 AS incomplete FROM q WHERE n < 80 OR lo = hi""",
+          FROM w p, LATERAL (SELECT p.lo AS lo, (p.lo + p.hi) // 2 AS hi UNION ALL SELECT (p.lo + p.hi) // 2 + 1, p.hi) c WHERE p.n >= 80 AND p.lo < p.hi)
+        SELECT event_type, lo AS window_start, hi AS window_end, n AS n_rows, n >= 80 AS over_budget FROM w WHERE n < 80 OR lo = hi""",
     ),
 ]

@@ -1,4 +1,5 @@
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -147,8 +148,19 @@ def test_saturated_split_matches_bisection(spark, start, end, times):
     rows = timewindows.split_saturated(df, ["market"], "t", start, end, 2, 2).orderBy("window_start").collect()
     got = [(r["window_start"], r["window_end"], r["n_rows"], r["over_budget"]) for r in rows]
     assert got == bisect_by_hand(times, start, end, 4)
-    few = timewindows.split_saturated(df, ["market"], "t", start, end, 2, 2, max_requests=1)
-    assert few.first()["incomplete"] == (len(times) > 1)
+
+
+@pytest.mark.parametrize(("span", "pages"), [(1000, 1), (77, 3)])
+def test_saturated_split_of_many_keys(spark, span, pages):
+    """Random times, one second with a third of all rows, crowded neighbours, rows outside the range and null times."""
+    rng, rows = random.Random(span), []
+    for key in ("a", "b", None):
+        rows += [(key, rng.randrange(-5, span + 5)) for _ in range(60)] + [(key, 11)] * 40 + [(key, 40 + rng.randrange(3)) for _ in range(20)] + [(key, None)]
+    df = spark.createDataFrame(rows, "market STRING, t BIGINT").repartition(5)
+    got = timewindows.split_saturated(df.filter(F.col("market").isNotNull()), ["market"], "t", 0, span, 2, 2 * pages).collect()
+    for key in ("a", "b"):
+        mine = sorted((r["window_start"], r["window_end"], r["n_rows"], r["over_budget"]) for r in got if r["market"] == key)
+        assert mine == bisect_by_hand([t for k, t in rows if k == key and t is not None], 0, span, (pages + 1) * 2)
 
 
 def test_default_range(spark):
