@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddslake.operators import audit
 from oddslake.plans.registry import Query, json_text, quoted, table, text
 from oddslake.plans.snapshot_queries import ORDER
+from oddslake.session import shared_dir
 from oddslake.sources import catalog, envelopes, tables
-from oddslake.sources.endpoints import BY_TABLE
+
 
 GAMMA, KALSHI = "https://gamma-api.example.com", "https://api.example.com/trade-api/v2"
 
@@ -160,14 +163,145 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.dataset_counts({n: table(spark, sf_dir, n) for n in names})
 
 
+# One response for each contract: route, table, where its rows sit ("." a list at the root, "-" the whole object), key
+# of their id ("-" none). Written out here apart from the contracts, so that the SQL does not depend on them.
+SAMPLES = [
+    line.split(" ")
+    for line in """
+gamma-api.example.com/events poly_events . id
+gamma-api.example.com/events/keyset poly_events events id
+gamma-api.example.com/markets poly_markets . id
+gamma-api.example.com/markets/keyset poly_markets markets id
+gamma-api.example.com/markets/x1 poly_market_detail - id
+gamma-api.example.com/events/x1 poly_event_detail - id
+gamma-api.example.com/series poly_series . id
+gamma-api.example.com/series/x1 poly_series_detail - id
+gamma-api.example.com/tags poly_tags . id
+gamma-api.example.com/tags/x1 poly_tag_detail - id
+gamma-api.example.com/tags/x1/related-tags poly_related_tags . id
+gamma-api.example.com/events/x1/tags poly_event_tags . id
+gamma-api.example.com/markets/x1/tags poly_market_tags . id
+gamma-api.example.com/comments poly_comments . id
+gamma-api.example.com/public-profile poly_profiles - id
+gamma-api.example.com/public-search poly_search_events events id
+gamma-api.example.com/sports poly_sports . -
+gamma-api.example.com/teams poly_teams . id
+clob.example.com/book poly_books - asset_id
+clob.example.com/books poly_books . asset_id
+clob.example.com/midpoints poly_midpoints - -
+clob.example.com/spreads poly_spreads - -
+clob.example.com/last-trade-price poly_last_trade_prices - -
+clob.example.com/last-trades-prices poly_last_trade_prices . -
+clob.example.com/prices poly_prices - -
+clob.example.com/prices-history poly_price_history - -
+clob.example.com/batch-prices-history poly_price_history_batch - -
+clob.example.com/fee-rate poly_fee_rates - -
+clob.example.com/tick-size poly_tick_sizes - -
+clob.example.com/neg-risk poly_negative_risk - -
+clob.example.com/simplified-markets poly_clob_markets data condition_id
+clob.example.com/clob-markets/x1 poly_clob_market_detail - condition_id
+clob.example.com/markets/live-activity/x1 poly_live_activity - -
+clob.example.com/markets/live-activity poly_live_activity . -
+clob.example.com/rewards/markets/current poly_rewards data condition_id
+clob.example.com/builder/trades poly_builder_trades data id
+clob.example.com/data/trades poly_account_trades data id
+data-api.example.com/trades poly_trades . -
+data-api.example.com/activity poly_activity . -
+data-api.example.com/positions poly_positions . -
+data-api.example.com/closed-positions poly_closed_positions . -
+data-api.example.com/v1/market-positions poly_market_positions . -
+data-api.example.com/holders poly_holders . token
+data-api.example.com/oi poly_open_interest . market
+data-api.example.com/live-volume poly_live_volume . -
+data-api.example.com/value poly_value . -
+data-api.example.com/traded poly_traded - -
+data-api.example.com/revisions poly_revisions - -
+data-api.example.com/v1/leaderboard poly_leaderboard . -
+data-api.example.com/v1/builders/leaderboard poly_builder_leaderboard . -
+data-api.example.com/v1/builders/volume poly_builder_volume . -
+data-api.example.com/v1/positions/combos poly_combo_positions combos -
+data-api.example.com/v1/activity/combos poly_combo_activity activity -
+bridge.example.com/supported-assets poly_bridge_assets supportedAssets -
+bridge.example.com/status/x1 poly_bridge_status transactions -
+combos-rfq-api.example.com/v1/rfq/combo-markets poly_combo_markets markets -
+relayer-v2.example.com/transaction poly_relayer - -
+api.perpetuals.example.com/v1/info/x1 poly_perps - -
+api.example.com/trade-api/v2/series kalshi_series series ticker
+api.example.com/trade-api/v2/series/x1 kalshi_series_detail series ticker
+api.example.com/trade-api/v2/events kalshi_events events event_ticker
+api.example.com/trade-api/v2/events/x1 kalshi_event_detail - event_ticker
+api.example.com/trade-api/v2/events/x1/metadata kalshi_event_metadata - -
+api.example.com/trade-api/v2/markets kalshi_markets markets ticker
+api.example.com/trade-api/v2/markets/x1 kalshi_market_detail - ticker
+api.example.com/trade-api/v2/markets/x1/orderbook kalshi_books - -
+api.example.com/trade-api/v2/markets/orderbooks kalshi_books_batch orderbooks ticker
+api.example.com/trade-api/v2/markets/trades kalshi_trades trades trade_id
+api.example.com/trade-api/v2/series/x1/markets/x1/candlesticks kalshi_candles candlesticks end_period_ts
+api.example.com/trade-api/v2/markets/candlesticks kalshi_candles_batch markets market_ticker
+api.example.com/trade-api/v2/series/x1/events/x1/forecast_percentile_history kalshi_forecast_percentiles forecast_history -
+api.example.com/trade-api/v2/historical/cutoff kalshi_cutoff - -
+api.example.com/trade-api/v2/historical/markets kalshi_archived_markets markets ticker
+api.example.com/trade-api/v2/historical/markets/x1 kalshi_archived_market_detail - ticker
+api.example.com/trade-api/v2/historical/trades kalshi_archived_trades trades trade_id
+api.example.com/trade-api/v2/historical/markets/x1/candlesticks kalshi_archived_candles candlesticks end_period_ts
+api.example.com/trade-api/v2/search/tags_by_categories kalshi_tags - -
+api.example.com/trade-api/v2/exchange/status kalshi_status - -
+api.example.com/trade-api/v2/exchange/schedule kalshi_schedule - -
+api.example.com/trade-api/v2/series/fee_changes kalshi_fee_changes - -
+api.example.com/trade-api/v2/milestones kalshi_milestones milestones id
+api.example.com/trade-api/v2/structured_targets kalshi_structured_targets structured_targets id
+api.example.com/trade-api/v2/live_data/a/b kalshi_live_data - -
+api.example.com/trade-api/v2/events/multivariate kalshi_multivariate_events events event_ticker
+api.example.com/trade-api/v2/multivariate_event_collections kalshi_multivariate_collections multivariate_contracts -
+api.example.com/trade-api/v2/incentive_programs kalshi_incentives incentive_programs id
+api.example.com/trade-api/v2/portfolio/positions kalshi_positions market_positions ticker
+api.example.com/trade-api/v2/portfolio/fills kalshi_fills fills fill_id
+api.example.com/trade-api/v2/portfolio/orders kalshi_orders orders order_id
+api.example.com/trade-api/v2/portfolio/settlements kalshi_settlements settlements ticker
+api.example.com/trade-api/v2/portfolio/balance kalshi_balance - -
+api.example.com/trade-api/v2/account/limits kalshi_account_limits - -
+""".strip().splitlines()
+]
+
+
+def every_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response per event, to each of the contracts' routes in turn, some with a query string."""
+    n, e = len(SAMPLES), F.col("event_id")
+    pick = lambda i: F.element_at(F.array(*[F.lit(sample[i]) for sample in SAMPLES]), (e % n + 1).cast("int"))
+    key, id_key = pick(2), pick(3)
+    record = lambda place: F.concat(
+        F.lit('{"'), F.when(id_key == "-", "nothing").otherwise(id_key), F.lit('":"'), text("event_id"), F.lit(f'-{place}","amount":'), text("user_id"), F.lit("}")
+    )
+    pair = F.concat(F.lit("["), record(0), F.lit(","), record(1), F.lit("]"))
+    data = F.when(key == "-", record(0)).when(key == ".", pair).otherwise(F.concat(F.lit('{"cursor":"","'), key, F.lit('":'), pair, F.lit("}")))
+    return table(spark, sf_dir, "events").select(
+        F.lit("r").alias("run_id"), e.alias("row_pos"), F.lit("2026-01-01T00:00:00Z").alias("observed_at"),
+        F.concat(F.lit("https://"), pick(0), F.when(e % 3 == 0, "?limit=9").otherwise("")).alias("url"),
+        F.create_map(F.lit("limit"), F.lit("9")).alias("params"), F.when(e % 10 == 9, 500).otherwise(200).alias("status_code"), data.alias("data"),
+    )
+
+
+def endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = envelopes.explode_envelopes(every_route(spark, sf_dir))
+    return rows.select("table", "row_pos", "item_pos", "id", F.get_json_object("payload", "$.amount").cast("bigint").alias("amount"))
+
+
+def landed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table as landed in one partitioned write, counted by folder."""
+    landed = envelopes.land_tables(every_route(spark, sf_dir), f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return landed.groupBy("table").agg(F.count(F.lit(1)).alias("rows"), F.count("id").alias("ids"), F.sum(F.get_json_object("payload", "$.amount").cast("bigint")).alias("amount"))
+
+
+_SAMPLE_ROWS = ", ".join(f"({i}, '{table_name}', '{key}', '{id_key}')" for i, (_, table_name, key, id_key) in enumerate(SAMPLES))
+ENDPOINT_ROWS = f"""
+claims AS (SELECT tab, event_id, i, CASE WHEN id_key <> '-' THEN CAST(event_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) END AS id, user_id AS amount
+  FROM events JOIN (VALUES {_SAMPLE_ROWS}) v(n, tab, key, id_key) ON event_id % {len(SAMPLES)} = n CROSS JOIN (SELECT unnest([0, 1]) AS i)
+  WHERE event_id % 10 <> 9 AND (i = 0 OR key <> '-'))"""
+
+
 def endpoint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many logged responses each endpoint contract claims, over the whole log."""
-    log = request_log(spark, sf_dir)
-    parts = [envelopes.matching(log, e).select(F.lit(e.table).alias("table")) for t in ("poly_events", "poly_markets", "poly_event_detail", "kalshi_trades", "kalshi_market_detail") for e in BY_TABLE[t]]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("responses"))
+    return envelopes.claimed(request_log(spark, sf_dir)).groupBy(F.col("__rule.table").alias("table")).agg(F.count(F.lit(1)).alias("responses"))
 
 
 QUERIES = [
@@ -214,6 +348,16 @@ QUERIES = [
         endpoint_tables,
         "WITH" + LOG + """ SELECT CASE WHEN event_type IN ('view', 'error') THEN 'poly_events' ELSE 'kalshi_trades' END AS "table", count(*) AS responses FROM ok GROUP BY 1""",
     ),
+    Query(
+        "endpoint_rows",
+        endpoint_rows,
+        f'WITH {ENDPOINT_ROWS} SELECT tab AS "table", event_id AS row_pos, CAST(i AS INT) AS item_pos, id, CAST(amount AS BIGINT) AS amount FROM claims',
+    ),
+    Query(
+        "endpoint_tables_landed",
+        landed_tables,
+        f'WITH {ENDPOINT_ROWS} SELECT tab AS "table", count(*) AS rows, count(id) AS ids, CAST(sum(amount) AS BIGINT) AS amount FROM claims GROUP BY 1',
+    ),
     Query(
         "request_errors",
         errors,

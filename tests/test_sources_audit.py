@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,25 @@ def test_ordered_helpers_match_plain_windows(spark):
             acc += v
             assert total[(k, pos)] == acc and before[(k, pos)] == last and turn[(k, pos)] == n
             last = v
+
+
+def test_every_route_belongs_to_one_contract():
+    from oddslake.plans.audit_queries import SAMPLES
+
+    claims = [[e for e in ENDPOINTS if re.search(e.path, f"https://{route}")] for route, *_ in SAMPLES]
+    assert [len(c) for c in claims] == [1] * len(SAMPLES)
+    assert {id(c[0]) for c in claims} == {id(e) for e in ENDPOINTS}
+    assert [(c[0].table, c[0].rows, c[0].id_key) for c in claims] == [(t, None if k == "-" else "" if k == "." else k, None if i == "-" else i) for _, t, k, i in SAMPLES]
+
+
+def test_all_contracts_share_one_scan_of_the_log(spark, tmp_path):
+    log = [("r", i, "t", f"https://gamma-api.example.com/{p}", {}, 200, d) for i, (p, d) in enumerate([("tags", '[{"id":1},{"id":2}]'), ("tags/9", '{"id":9}'), ("tags", "{}"), ("nowhere", "[]"), ("teams", None)])]
+    raw = spark.createDataFrame(log, "run_id STRING, row_pos BIGINT, observed_at STRING, url STRING, params MAP<STRING,STRING>, status_code INT, data STRING")
+    raw.write.parquet(str(tmp_path / "log"))
+    raw = spark.read.parquet(str(tmp_path / "log"))
+    rows, bad = envelopes.explode_envelopes(raw)
+    assert all(df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 for df in (rows, bad))
+    assert sorted((r["table"], r["item_pos"], r["id"]) for r in rows.collect()) == [("poly_tag_detail", 0, "9"), ("poly_tags", 0, "1"), ("poly_tags", 1, "2")]
+    assert sorted((r["table"], r["reason"]) for r in bad.collect()) == [("poly_tags", "expected a list at the root"), ("poly_teams", "expected a list at the root")]
+    landed = envelopes.land_tables(raw, str(tmp_path / "tables"))
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir() if p.is_dir()) == ["table=poly_tag_detail", "table=poly_tags"] and landed.count() == 3
