@@ -8,7 +8,7 @@ one key; one small row per bucket then carries totals or last values across buck
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +75,13 @@ def latest_by(
     keep: str = "last",
     copies: str | None = None,
     first_pos: str | None = None,
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per key: the last (or first) by ``pos``, an orderable unique expression.
 
     Built as an aggregate, so copies of a hot key collapse on the map side. ``copies`` adds
-    the number of rows behind each key, ``first_pos`` the position of the first of them.
+    the number of rows behind each key, ``first_pos`` the position of the first of them, ``more``
+    other aggregates over them.
     """
     if keep not in ("last", "first"):
         raise ValueError("keep must be 'last' or 'first'")
@@ -91,6 +93,7 @@ def latest_by(
         aggregates.append(F.count(F.lit(1)).alias(copies))
     if first_pos:
         aggregates.append(F.min(pos).alias(first_pos))
-    extra = [c for c in (copies, first_pos) if c]
+    aggregates += [column.alias(name) for name, column in (more or {}).items()]
+    extra = [c for c in (copies, first_pos, *(more or {})) if c]
     picked = df.groupBy(*keys).agg(*aggregates)
     return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest], *extra)

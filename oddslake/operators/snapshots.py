@@ -67,9 +67,12 @@ def latest_snapshot(rows: DataFrame, fields: list[str] | None = None) -> DataFra
 
     ``row_pos`` may be any orderable column, a struct included, that is unique per identity.
     """
-    fields = fields or [c for c in _CURRENT_FIELDS if c in rows.columns]
+    return _latest(rows, fields or [c for c in _CURRENT_FIELDS if c in rows.columns])
+
+
+def _latest(rows: DataFrame, fields: list[str], more: Mapping[str, Column] | None = None) -> DataFrame:
     keyed = with_key(_filled(rows, fields)).select(*KEY, F.col("row_pos").alias("__pos"), *fields)
-    return latest_by(keyed, KEY, F.col("__pos"), "last", "copies", "first_pos").drop("__pos")
+    return latest_by(keyed, KEY, F.col("__pos"), "last", "copies", "first_pos", more).drop("__pos")
 
 
 def duplicate_identities(rows: DataFrame) -> DataFrame:
@@ -105,7 +108,11 @@ def compare(
         prev = latest_snapshot(previous, _PREVIOUS_FIELDS).drop("first_pos")
         renamed = prev.select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in [*_PREVIOUS_FIELDS, "copies"]])
         joined = cur.join(renamed, KEY, "left")
+    return _judged(joined, wide_spread, thin_volume)
+
 
+def _judged(joined: DataFrame, wide_spread: float, thin_volume: Mapping[str, float] | None) -> DataFrame:
+    """Current rows beside their ``prev_`` columns to flags, comparability and change."""
     limits = dict(thin_volume or THIN_VOLUME)
     limit = F.lit(None).cast("double")
     for venue, value in limits.items():
@@ -242,9 +249,12 @@ def coverage_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def topic_market_counts(rows: DataFrame) -> DataFrame:
     """Distinct markets per topic over the latest row of each identity, ordered by topic."""
-    latest = latest_snapshot(rows, ["platform", "market_id", "topics"]).filter(_has_identity())
+    return _topic_counts(latest_snapshot(rows, ["platform", "market_id", "topics"]))
+
+
+def _topic_counts(latest: DataFrame) -> DataFrame:
     return (
-        latest.select("k_platform", "k_market_id", F.explode("topics").alias("topic"))
+        latest.filter(_has_identity()).select("k_platform", "k_market_id", F.explode("topics").alias("topic"))
         .groupBy("topic")
         .agg(F.countDistinct("k_platform", "k_market_id").alias("markets"))
         .orderBy("topic")
@@ -254,12 +264,12 @@ def topic_market_counts(rows: DataFrame) -> DataFrame:
 def time_range(rows: DataFrame) -> DataFrame:
     """Earliest and latest parseable observation instant."""
     at = instant(F.col("observed_at"))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    bounds = rows.select(at.alias("at")).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    return bounds.select(
-        F.regexp_replace(iso(F.col("lo")), "Z$", "+00:00").alias("earliest"),
-        F.regexp_replace(iso(F.col("hi")), "Z$", "+00:00").alias("latest"),
-    ).select(*[F.regexp_replace(c, r"\.000000", "").alias(c) for c in ("earliest", "latest")])
+    return rows.agg(_instant_text(F.min(at)).alias("earliest"), _instant_text(F.max(at)).alias("latest"))
+
+
+def _instant_text(at: Column) -> Column:
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.regexp_replace(F.regexp_replace(iso, "Z$", "+00:00"), r"\.000000", "")
 
 
 def new_markets(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -307,7 +317,6 @@ def summary(
     for name, kind in (("new_market_count", "bigint"), ("previous_earliest", "string"), ("previous_latest", "string")):
         if previous is None:
             parts = parts.withColumn(name, F.lit(None).cast(kind))
-    limits = dict(thin_volume or THIN_VOLUME)
     return parts.select(
         F.lit(previous is not None).alias("comparison_requested"),
         "current_outcome_count",
@@ -317,14 +326,52 @@ def summary(
         "current_latest",
         "previous_earliest",
         "previous_latest",
-        F.lit(float(minimum_move_pp)).alias("minimum_move_pp"),
-        F.lit(float(wide_spread)).alias("wide_spread"),
-        F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))]).alias(
-            "thin_cumulative_volume_by_venue"
-        ),
+        *_thresholds(minimum_move_pp, wide_spread, thin_volume or THIN_VOLUME),
     )
 
 
+def _thresholds(minimum_move_pp: float, wide_spread: float, limits: Mapping[str, float]) -> list[Column]:
+    venues = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))])
+    return [
+        F.lit(float(minimum_move_pp)).alias("minimum_move_pp"), F.lit(float(wide_spread)).alias("wide_spread"),
+        venues.alias("thin_cumulative_volume_by_venue"),
+    ]
+
+
+def both_sides(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Every identity of either snapshot with its latest row on each side, ``prev_`` columns the previous one.
+
+    Each snapshot is read once and reduced once; beside the latest row the reduction keeps the number of
+    copies and the first and last instant, so all reports follow from this table.
+    """
+    at = instant(F.col("observed_at"))
+    span = {"earliest": F.min(at), "latest": F.max(at)}
+    cur = _latest(current, _CURRENT_FIELDS, span)
+    before = list(dict.fromkeys([*IDENTITY, *_PREVIOUS_FIELDS]))
+    if previous is None:
+        nothing = {f"prev_{c}": F.lit(None).cast(_OPTIONAL.get(c, "string")) for c in before}
+        stamps = {f"prev_{c}": F.lit(None).cast("timestamp") for c in span}
+        return cur.withColumns({**nothing, **stamps, "prev_copies": F.lit(None).cast("bigint")})
+    prev = _latest(previous, before, span)
+    return cur.join(prev.select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in [*before, "copies", *span]]), KEY, "full_outer")
+
+
+def _summary_of(sides: DataFrame, requested: bool, minimum_move_pp: float, wide_spread: float, limits: Mapping[str, float]) -> DataFrame:
+    here, there = F.col("copies").isNotNull(), F.col("prev_copies").isNotNull()
+    markets = sides.groupBy(*KEY[:2]).agg(
+        F.count_if(here).alias("outcomes"), F.bool_or(here & _has_identity()).alias("here"), F.bool_or(there).alias("there"),
+        *[f(c).alias(c) for c, f in (("earliest", F.min), ("latest", F.max), ("prev_earliest", F.min), ("prev_latest", F.max))],
+    )
+    new = F.count_if(F.col("here") & ~F.col("there"))
+    row = markets.agg(
+        F.coalesce(F.sum("outcomes"), F.lit(0)).alias("current_outcome_count"), F.count_if("here").alias("current_market_count"),
+        (new if requested else F.lit(None).cast("bigint")).alias("new_market_count"),
+        _instant_text(F.min("earliest")).alias("current_earliest"), _instant_text(F.max("latest")).alias("current_latest"),
+        _instant_text(F.min("prev_earliest")).alias("previous_earliest"), _instant_text(F.max("prev_latest")).alias("previous_latest"),
+    )
+    return row.select(F.lit(requested).alias("comparison_requested"), "*", *_thresholds(minimum_move_pp, wide_spread, limits))
+
+
 def analyze(
     current: DataFrame,
     previous: DataFrame | None = None,
@@ -334,25 +381,26 @@ def analyze(
     thin_volume: Mapping[str, float] | None = None,
     compared_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All report tables. With ``compared_path`` the join is written once and read back, so
-    the reports share it; without it each report plans its own join."""
-    compared = compare(current, previous, wide_spread=wide_spread, thin_volume=thin_volume)
-    spark = current.sparkSession
-    if compared_path:
-        compared = stored(compared, compared_path)
+    """All report tables, from one comparison of both sides.
+
+    The comparison (:func:`both_sides`) is written once, to ``compared_path`` or below the shared folder,
+    and every report reads it back; each snapshot is scanned once however many reports are used.
+    """
     requested = previous is not None
-    empty = latest_snapshot(current, IDENTITY).select(*IDENTITY).filter(F.lit(False))
+    sides = stored(both_sides(current, previous), compared_path)
+    ours = sides.filter(F.col("copies").isNotNull())
+    compared = _judged(ours, wide_spread, thin_volume)
+    gone = sides.filter(F.col("copies").isNull()).select(*KEY, *[F.col(f"prev_{c}").alias(c) for c in IDENTITY])
+    fresh = ours.filter(F.col("prev_copies").isNull() & F.lit(requested)).select(*KEY, *IDENTITY)
     return {
-        "summary": summary(
-            current, previous, minimum_move_pp=minimum_move_pp, wide_spread=wide_spread, thin_volume=thin_volume
-        ),
+        "summary": _summary_of(sides, requested, minimum_move_pp, wide_spread, thin_volume or THIN_VOLUME),
         "changes": changes(compared),
         "skipped_comparisons": skipped_comparisons(compared),
         "watchlist": watchlist(compared, minimum_move_pp=minimum_move_pp, comparison_requested=requested),
-        "topic_market_counts": topic_market_counts(current),
-        "new_coverage": coverage_difference(current, previous) if requested else empty,
-        "disappeared_coverage": coverage_difference(previous, current) if requested else empty,
-        "interpretation": spark.createDataFrame(list(enumerate(INTERPRETATION)), "pos INT, caveat STRING"),
+        "topic_market_counts": _topic_counts(ours),
+        "new_coverage": fresh.orderBy(*KEY).select(*IDENTITY),
+        "disappeared_coverage": gone.orderBy(*KEY).select(*IDENTITY),
+        "interpretation": current.sparkSession.createDataFrame(list(enumerate(INTERPRETATION)), "pos INT, caveat STRING"),
     }
 
 

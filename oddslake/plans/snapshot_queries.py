@@ -196,6 +196,33 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table of the report as rows of one: its name, an identity or other key, a number, a text."""
+    tables = S.analyze(snapshot(spark, sf_dir, True, topics=True), snapshot(spark, sf_dir, False, topics=True))
+    none, names = F.lit(None).cast("string"), ("platform", "market_id", "outcome")
+    times = ("current_earliest", "current_latest", "previous_earliest", "previous_latest")
+    counts = ("current_outcome_count", "current_market_count", "new_market_count")
+    shapes = {
+        "changes": (*names, F.col("change_pp"), join_text("quality_flags")),
+        "skipped_comparisons": (*names, none, F.col("reason")),
+        "watchlist": (*names, F.col("change_pp"), join_text("reasons")),
+        "topic_market_counts": (F.col("topic"), none, none, F.col("markets"), none),
+        "new_coverage": (*names, none, join_text("topics")),
+        "disappeared_coverage": (*names, none, join_text("topics")),
+        "interpretation": (none, none, none, F.col("pos"), F.col("caveat")),
+        "summary": (F.concat_ws("|", *[F.col(c).cast("string") for c in counts]), none, none, F.col("minimum_move_pp"), F.concat_ws("|", *times)),
+    }
+    out = None
+    for name, (a, b, c, value, note) in shapes.items():
+        column = lambda x: F.col(x) if isinstance(x, str) else x
+        part = tables[name].select(
+            F.lit(name).alias("report"), column(a).alias("platform"), column(b).alias("market_id"), column(c).alias("outcome"),
+            value.cast("double").alias("value"), note.alias("note"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [snapshot(spark, sf_dir, c).withColumn("snapshot", F.lit(n)) for c, n in ((True, "current"), (False, "previous"))]
     return parts[0].unionByName(parts[1])
@@ -304,6 +331,22 @@ QUERIES = [
         (SELECT strftime(max(observed_ts), '%Y-%m-%dT%H:%M:%S+00:00') FROM src WHERE NOT is_current) AS previous_latest,
         CAST(3.0 AS DOUBLE) AS minimum_move_pp, CAST(0.1 AS DOUBLE) AS wide_spread, CAST(1000 AS DOUBLE) AS thin_kalshi""",
     ),
+    Query(
+        "snapshot_report",
+        report,
+        "WITH" + WATCH + f""", one_sided AS (SELECT 'new_coverage' AS report, platform, market_id, outcome, topics FROM cur c WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE (p.platform, p.market_id, p.outcome) = (c.platform, c.market_id, c.outcome))
+          UNION ALL SELECT 'disappeared_coverage', platform, market_id, outcome, topics FROM prev c WHERE NOT EXISTS (SELECT 1 FROM cur p WHERE (p.platform, p.market_id, p.outcome) = (c.platform, c.market_id, c.outcome))),
+        stamp AS (SELECT is_current, strftime(min(observed_ts), '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(max(observed_ts), '%Y-%m-%dT%H:%M:%S+00:00') AS t FROM src GROUP BY 1)
+        SELECT 'changes' AS report, platform, market_id, outcome, change_pp AS value, flags AS note FROM scored WHERE change_pp IS NOT NULL
+        UNION ALL SELECT 'skipped_comparisons', platform, market_id, outcome, NULL, invalid FROM scored WHERE invalid IS NOT NULL
+        UNION ALL SELECT 'watchlist', platform, market_id, outcome, change_pp, coalesce(nullif(reasons, ''), 'target_topic_coverage') FROM reasoned WHERE reasons <> '' OR len(topics) > 0
+        UNION ALL SELECT 'topic_market_counts', topic, NULL, NULL, CAST(count(DISTINCT (platform, market_id)) AS DOUBLE), NULL FROM (SELECT platform, market_id, unnest(topics) AS topic FROM cur WHERE market_id <> '') GROUP BY topic
+        UNION ALL SELECT report, platform, market_id, outcome, NULL, array_to_string(topics, ',') FROM one_sided
+        UNION ALL SELECT 'interpretation', NULL, NULL, NULL, CAST(pos AS DOUBLE), caveat FROM (VALUES {", ".join(f"({i}, '{c.replace(chr(39), chr(39) * 2)}')" for i, c in enumerate(S.INTERPRETATION))}) v(pos, caveat)
+        UNION ALL SELECT 'summary', CAST((SELECT count(*) FROM cur) AS VARCHAR) || '|' || CAST((SELECT count(DISTINCT (platform, market_id)) FROM cur WHERE market_id <> '') AS VARCHAR) || '|' ||
+          CAST((SELECT count(*) FROM (SELECT DISTINCT platform, market_id FROM cur WHERE market_id <> '' EXCEPT SELECT platform, market_id FROM prev)) AS VARCHAR), NULL, NULL, CAST(3 AS DOUBLE),
+          (SELECT t FROM stamp WHERE is_current) || '|' || (SELECT t FROM stamp WHERE NOT is_current)""",
+    ),
     Query(
         "duplicate_identities",
         duplicates,

@@ -100,3 +100,33 @@ def test_order_last_row_wins_and_shared_table(table, tmp_path):
     copies = table({"probability": 0.1}, {"probability": 0.2}, {"probability": 0.3})
     (row,) = S.latest_snapshot(copies).collect()
     assert (row["probability"], row["copies"], row["first_pos"]) == (0.3, 3, 0)
+
+
+@pytest.mark.parametrize("with_previous", [True, False])
+def test_the_report_agrees_with_its_single_operators(table, tmp_path, with_previous):
+    """Nulls, copies, rows without identity and one-sided rows, in one comparison and table by table."""
+    def side(shift):
+        odd = [{"market_id": None, "outcome": str(shift)}, {"platform": None}, {"observed_at": "never"}, {"topics": None, "market_id": "n"}]
+        return [{"market_id": f"m{i % 9}", "outcome": f"o{i % 4}", "probability": (i * 7 % 11) / 11, "observed_at": T1 if shift else T0, "topics": ["us_macro"] * (i % 2)} for i in range(shift, 25 + shift)] + odd
+
+    current, previous = table(*side(6)), table(*side(0)) if with_previous else None
+    report = S.analyze(current, previous, compared_path=str(tmp_path / "both"))
+    compared = S.compare(current, previous)
+    nothing = S.coverage_difference(current, current)
+    single = {
+        "summary": S.summary(current, previous), "changes": S.changes(compared), "skipped_comparisons": S.skipped_comparisons(compared),
+        "watchlist": S.watchlist(compared, comparison_requested=with_previous), "topic_market_counts": S.topic_market_counts(current),
+        "new_coverage": S.coverage_difference(current, previous) if with_previous else nothing,
+        "disappeared_coverage": S.coverage_difference(previous, current) if with_previous else nothing,
+    }
+    assert {n: [r.asDict() for r in report[n].collect()] for n in single} == {n: [r.asDict() for r in df.collect()] for n, df in single.items()}
+    assert [r["caveat"] for r in report["interpretation"].orderBy("pos").collect()] == S.INTERPRETATION
+
+
+def test_both_sides_read_each_snapshot_once(table, tmp_path):
+    for name in ("now", "then"):
+        table({}, {"market_id": name}).write.parquet(str(tmp_path / name))
+    spark = table({}).sparkSession
+    sides = S.both_sides(*[spark.read.parquet(str(tmp_path / n)) for n in ("now", "then")])
+    assert sides._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted((r["k_market_id"], r["copies"], r["prev_copies"]) for r in sides.collect())[-2:] == [("now", 1, None), ("then", None, 1)]
