@@ -134,6 +134,7 @@ def collect_datasets(
     tables: Mapping[str, Mapping[str, DataFrame]],
     *,
     archives: Mapping[str, Mapping[str, DataFrame]] | None = None,
+    archived_markets: Mapping[str, DataFrame] | None = None,
     cutoffs: DataFrame | None = None,
     start: int | None = None,
     end: int | None = None,
@@ -150,7 +151,8 @@ def collect_datasets(
     trades and points of [start, end), candles of [start, end] whose window needs them. ``archives``
     holds the archived tier: trades join in if the range starts before the venue's cutoff and are
     merged by ``trade_key`` (``row_pos`` orders each tier), candles as :func:`route_candles` decides;
-    these have ``ticker``, ``end_period_ts`` and ``row_pos`` beside ``id`` and ``ts``. Trades, points
+    these have ``ticker``, ``end_period_ts`` and ``row_pos`` beside ``id`` and ``ts``; ``archived_markets`` names
+    the markets (``ticker``) known to be archived, by default those with any archived candle. Trades, points
     and candles are in time order within a contract.
 
     An id may hold a large part of a table, so the join spreads each over many tasks. The choice and
@@ -175,13 +177,15 @@ def collect_datasets(
             timed = dataset in ("trades", "history")
             keys = routes.filter((F.col("platform") == venue) & (F.col("dataset") == dataset)).drop("id_kind", "dataset").distinct()
             candle = dataset == "history" and "end_period_ts" in table.columns
+            if candle and archive is not None:
+                # A market is archived or not whatever candles it has in the range.
+                archived = (archived_markets or {}).get(venue, archive).select("ticker")
             if timed and bounded_range:
                 span = (F.col("ts") >= start) & ((F.col("ts") <= end) if candle else (F.col("ts") < end))
                 table, archive = table.filter(span), None if archive is None else archive.filter(span)
             spread = F.col("ts") if timed and "ts" in table.columns else F.xxhash64(*[c for c in table.columns if c != "id"])
             own = salted_join(table, keys, ["id"], spread)
             if archive is not None and candle and bounded_range:
-                archived = archive.select("ticker").distinct()
                 own = route_candles(own, salted_join(archive, keys, ["id"], spread), archived, start, end, period_minutes * 60 * CANDLES_PER_REQUEST)
             elif archive is not None and cutoffs is not None and bounded_range:
                 venues = spark.createDataFrame([(venue, start)], "platform STRING, start_ts BIGINT")

@@ -122,6 +122,31 @@ def dedupe_candles(
     return stamped.unionByName(rows.filter(F.col("end_period_ts").isNull()))
 
 
+#: Windows that one word of a bitmap holds; one bit more would overflow when it is full.
+_WORD = 62
+
+
+def _first_gap(windows: DataFrame, archived: DataFrame) -> DataFrame:
+    """``switch_index`` of each archived market: its lowest window without a live candle.
+
+    The windows of a market are bits of a few words, so they are collected on the map side.
+    """
+    word = lambda place, bits, listed: F.struct(place.alias("place"), bits.alias("bits"), F.lit(listed).alias("listed"))
+    index = F.col("window_index")
+    marks = windows.select("ticker", word(F.floor(index / _WORD), F.call_function("shiftleft", F.lit(1).cast("bigint"), (index % _WORD).cast("int")), False).alias("w"))
+    marks = marks.unionByName(archived.select("ticker", word(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), True).alias("w")))
+    words = marks.groupBy("ticker", F.col("w.place").alias("place")).agg(F.bit_or("w.bits").alias("bits"), F.bool_or("w.listed").alias("listed"))
+    # A market has one word for every 62 windows of the range.
+    held = words.groupBy("ticker").agg(F.bool_or("listed").alias("listed"), F.array_sort(F.collect_list(F.struct("place", "bits"))).alias("words"))
+    full = (1 << _WORD) - 1
+    lowest = lambda bits: F.length(F.bin((bits + 1).bitwiseAND(F.lit(full + 1) + F.lit(full) - bits))) - 1
+
+    def add(reached: Column, w: Column) -> Column:
+        return F.when(reached == w["place"] * _WORD, reached + F.when(w["bits"] == full, F.lit(_WORD)).otherwise(lowest(w["bits"]))).otherwise(reached)
+
+    return held.filter("listed").select("ticker", F.aggregate("words", F.lit(0).cast("bigint"), add).alias("switch_index"))
+
+
 def route_candles(
     live: DataFrame,
     archive: DataFrame,
@@ -148,31 +173,12 @@ def route_candles(
     ranged = lambda df: df.filter(F.col("end_period_ts").between(start, end)).withColumn(
         "window_index", F.explode(windows)
     )
-    live_w = ranged(live)
-    archived = archived_markets.select("ticker").distinct()
-    # Only window numbers are ordered here: at most last_index + 1 rows per market.
-    in_order = W.partitionBy("ticker").orderBy("window_index")
-    unbroken = (
-        live_w.select("ticker", "window_index")
-        .distinct()
-        .withColumn("__rank", F.row_number().over(in_order) - 1)
-        .groupBy("ticker")
-        .agg(F.count_if(F.col("__rank") == F.col("window_index")).alias("live_windows"))
-    )
-    switch = archived.join(unbroken, "ticker", "left").select(
-        "ticker", F.coalesce("live_windows", F.lit(0)).alias("switch_index")
-    )
+    switch = _first_gap(ranged(live).select("ticker", "window_index"), archived_markets.select("ticker"))
+    tiers = ranged(live).withColumn("tier", F.lit("live")).unionByName(ranged(archive).withColumn("tier", F.lit("archive")), allowMissingColumns=True)
     # A market may hold a large part of all candles, so its rows are spread by their time.
-    by_time = F.col("end_period_ts")
-    from_live = salted_join(live_w, switch, ["ticker"], by_time, "left").filter(
-        F.col("switch_index").isNull() | (F.col("window_index") < F.col("switch_index"))
-    )
-    from_archive = salted_join(ranged(archive), switch, ["ticker"], by_time).filter(
-        F.col("window_index") >= F.col("switch_index")
-    )
-    routed = from_live.withColumn("tier", F.lit("live")).unionByName(
-        from_archive.withColumn("tier", F.lit("archive")), allowMissingColumns=True
-    )
+    placed = salted_join(tiers, switch, ["ticker"], F.col("end_period_ts"), "left")
+    from_live = F.col("switch_index").isNull() | (F.col("window_index") < F.col("switch_index"))
+    routed = placed.filter(F.when(F.col("tier") == "live", from_live).otherwise(F.col("window_index") >= F.col("switch_index")))
     order = F.struct(F.col("window_index"), F.col(pos))
     return latest_by(routed, ["ticker", "end_period_ts"], order, "last").drop("window_index", "switch_index")
 

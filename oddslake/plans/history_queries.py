@@ -99,6 +99,15 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "end_period_ts", "tier", "row_pos", "volume")
 
 
+def routed_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every market is known to be archived, also those without an archived candle in the range."""
+    live, archive = (candle_rows(spark, sf_dir, a).drop("tier") for a in (False, True))
+    thin = archive.filter(F.col("end_period_ts") < START + 3 * DAY)
+    markets = table(spark, sf_dir, "events").select(text("user_id").alias("ticker"))
+    rows = history.route_candles(live, thin, markets, START, START + 30 * DAY, STEP)
+    return rows.select("ticker", "end_period_ts", "tier", "row_pos", "volume")
+
+
 def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = epoch("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start_ts"), (start + (F.col("o_custkey") % 20 + 1) * DAY - 1).alias("end_ts"))
@@ -144,6 +153,17 @@ E_SEC = "CAST(epoch(date_trunc('second', ts)) AS BIGINT)"
 E_HOUR = "CAST(epoch(date_trunc('hour', ts)) AS BIGINT)"
 RANGES = "ranges AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS s, CAST(epoch(o_orderdate) AS BIGINT) + (o_custkey % 20 + 1) * 86400 - 1 AS e FROM orders)"
 
+ROUTED = f"""WITH a AS (SELECT user_id, {E_HOUR} AS t, event_id, value, event_type FROM events WHERE {E_HOUR} BETWEEN {START} AND {START + 30 * DAY}),
+        w AS (SELECT range AS i, {START} + range * {STEP} AS lo, least({START} + (range + 1) * {STEP}, {START + 30 * DAY}) AS hi FROM range(8)),
+        live AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi WHERE event_type = 'view' OR event_id IN (SELECT event_id FROM events WHERE day(ts) <= 15)),
+        arch AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi{{thin}}),
+        users AS (SELECT DISTINCT user_id FROM events {{users}}),
+        sw AS (SELECT u.user_id, min(w.i) AS s FROM users u CROSS JOIN w LEFT JOIN (SELECT DISTINCT user_id, i FROM live) l ON l.user_id = u.user_id AND l.i = w.i WHERE l.i IS NULL GROUP BY 1),
+        picked AS (SELECT l.user_id, t, i, event_id, CAST(l.user_id AS DOUBLE) AS volume, 'live' AS tier FROM live l LEFT JOIN sw USING (user_id) WHERE s IS NULL OR i < s
+          UNION ALL SELECT user_id, t, i, event_id, value, 'archive' FROM arch JOIN sw USING (user_id) WHERE i >= s)
+        SELECT CAST(user_id AS VARCHAR) AS ticker, t AS end_period_ts, tier, event_id AS row_pos, volume FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY i DESC, event_id DESC) AS rn FROM picked) WHERE rn = 1"""
+
 QUERIES = [
     Query(
         "trade_merge_dedupe",
@@ -188,20 +208,8 @@ QUERIES = [
         f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CASE WHEN event_id % 4 > 0 THEN {E_HOUR} END AS end_period_ts, event_id FROM events)
         SELECT ticker, end_period_ts, min(event_id) AS row_pos FROM c WHERE end_period_ts IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT * FROM c WHERE end_period_ts IS NULL""",
     ),
-    Query(
-        "candle_tier_routing",
-        routed,
-        f"""WITH a AS (SELECT user_id, {E_HOUR} AS t, event_id, value, event_type FROM events WHERE {E_HOUR} BETWEEN {START} AND {START + 30 * DAY}),
-        w AS (SELECT range AS i, {START} + range * {STEP} AS lo, least({START} + (range + 1) * {STEP}, {START + 30 * DAY}) AS hi FROM range(8)),
-        live AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi WHERE event_type = 'view' OR event_id IN (SELECT event_id FROM events WHERE day(ts) <= 15)),
-        arch AS (SELECT a.*, i FROM a JOIN w ON t BETWEEN lo AND hi),
-        users AS (SELECT DISTINCT user_id FROM events WHERE value > 100),
-        sw AS (SELECT u.user_id, min(w.i) AS s FROM users u CROSS JOIN w LEFT JOIN (SELECT DISTINCT user_id, i FROM live) l ON l.user_id = u.user_id AND l.i = w.i WHERE l.i IS NULL GROUP BY 1),
-        picked AS (SELECT l.user_id, t, i, event_id, CAST(l.user_id AS DOUBLE) AS volume, 'live' AS tier FROM live l LEFT JOIN sw USING (user_id) WHERE s IS NULL OR i < s
-          UNION ALL SELECT user_id, t, i, event_id, value, 'archive' FROM arch JOIN sw USING (user_id) WHERE i >= s)
-        SELECT CAST(user_id AS VARCHAR) AS ticker, t AS end_period_ts, tier, event_id AS row_pos, volume FROM (
-          SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY i DESC, event_id DESC) AS rn FROM picked) WHERE rn = 1""",
-    ),
+    Query("candle_tier_routing", routed, ROUTED.format(users="WHERE value > 100", thin="")),
+    Query("candle_tier_routing_listed", routed_listed, ROUTED.format(users="", thin=f" WHERE t < {START + 3 * DAY}")),
     Query(
         "trade_tiers",
         tiers,

@@ -137,6 +137,15 @@ def bisect_by_hand(times, lo, hi, capacity):
     return bisect_by_hand(times, lo, mid, capacity) + bisect_by_hand(times, mid + 1, hi, capacity)
 
 
+def test_first_gap_over_many_windows(spark):
+    """Bitmaps of several words, a full one, markets without live candles and markets not archived."""
+    live = {"full word": range(62), "two words": [*range(70), 80], "gap": [0, 1, 3], "late": [5, 64], "far": [*range(40), *range(62, 124)], "not archived": range(3)}
+    df = spark.createDataFrame([(t, i) for t, places in live.items() for i in [*places, *places]], "ticker STRING, window_index BIGINT")
+    archived = spark.createDataFrame([(t,) for t in [*live, "no candle", "gap"] if t != "not archived"], "ticker STRING")
+    got = {r["ticker"]: r["switch_index"] for r in history._first_gap(df, archived).collect()}
+    assert got == {"full word": 62, "two words": 70, "gap": 2, "late": 0, "far": 40, "no candle": 0}
+
+
 @pytest.mark.parametrize("start,end,times", [
     (1, 2, [1] * 3 + [2] * 3),
     (1, 1, [1] * 9),
