@@ -183,6 +183,13 @@ def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.withColumn("place", F.monotonically_increasing_id() + 1).select("place", "platform", "market_id", F.col("turn").cast("bigint").alias("turn"))
 
 
+def interleaved_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long choice over positions that are structs."""
+    rows = outcome_rows(spark, sf_dir)
+    chosen, _ = collect.select_contracts(rows.withColumn("row_pos", F.struct(F.col("row_pos").alias("a"), F.lit(0).alias("b"))), 150)
+    return chosen.withColumn("place", F.monotonically_increasing_id() + 1).select("place", "platform", "market_id", F.col("turn").cast("bigint").alias("turn"))
+
+
 def _routes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return collect.dataset_routes(outcome_rows(spark, sf_dir), collect.DATASETS)
 
@@ -304,6 +311,11 @@ QUERIES = [
         interleaved,
         "WITH" + ROWS + " SELECT place, platform, market_id, turn FROM (SELECT *, row_number() OVER (ORDER BY turn, venue_first) AS place FROM turns) WHERE place <= 25",
     ),
+    Query(
+        "venue_interleave_many",
+        interleaved_many,
+        "WITH" + ROWS + " SELECT place, platform, market_id, turn FROM (SELECT *, row_number() OVER (ORDER BY turn, venue_first) AS place FROM turns) WHERE place <= 150",
+    ),
     Query(
         "dataset_routes",
         routes,

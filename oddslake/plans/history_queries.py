@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oddslake.operators import history, timewindows
 from oddslake.plans.registry import Query, epoch, json_text, quoted, table, text
+from oddslake.session import stored
 
 DAY = 86400
 
@@ -99,6 +100,14 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "end_period_ts", "tier", "row_pos", "volume")
 
 
+def time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last row of each market by their place in the ordered table."""
+    rows = table(spark, sf_dir, "events").select(text("user_id").alias("ticker"), "ts", "event_id")
+    ordered = stored(history.in_time_order(rows, ["ticker"], "ts").withColumn("place", F.monotonically_increasing_id()))
+    by_key = ordered.groupBy("ticker").agg(F.min_by("event_id", "place").alias("first_event"), F.max_by("event_id", "place").alias("last_event"), F.min_by("event_id", "ts").alias("earliest"))
+    return by_key.select("ticker", "first_event", "last_event", (F.col("first_event") == F.col("earliest")).alias("in_order"))
+
+
 def routed_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every market is known to be archived, also those without an archived candle in the range."""
     live, archive = (candle_rows(spark, sf_dir, a).drop("tier") for a in (False, True))
@@ -210,6 +219,11 @@ QUERIES = [
     ),
     Query("candle_tier_routing", routed, ROUTED.format(users="WHERE value > 100", thin="")),
     Query("candle_tier_routing_listed", routed_listed, ROUTED.format(users="", thin=f" WHERE t < {START + 3 * DAY}")),
+    Query(
+        "history_time_order",
+        time_order,
+        "SELECT CAST(user_id AS VARCHAR) AS ticker, arg_min(event_id, ts) AS first_event, arg_max(event_id, ts) AS last_event, true AS in_order FROM events GROUP BY 1",
+    ),
     Query(
         "trade_tiers",
         tiers,

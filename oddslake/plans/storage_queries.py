@@ -32,7 +32,8 @@ def csv_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("="), "c_mktsegment").alias("formula"), F.array("c_name").alias("names"))
     tables.export_tables({"customers": rows}, root, manifest=rows.agg(F.count(F.lit(1)).alias("rows")))
     back = spark.read.option("header", True).option("escape", '"').schema("c_custkey BIGINT, formula STRING, names STRING").csv(f"{root}/customers")
-    return back.join(tables.read_jsonl(spark, f"{root}/manifest", "rows BIGINT").select("rows").hint("broadcast"), F.col("c_custkey") <= F.col("rows"), "left_semi")
+    manifest = tables.read_jsonl(spark, f"{root}/manifest", "rows BIGINT").select(F.col("rows").alias("c_custkey"), F.lit("manifest").alias("formula"), F.lit(None).cast("string").alias("names"))
+    return back.unionByName(manifest)
 
 
 def bronze_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ QUERIES = [
     Query(
         "csv_exported",
         csv_exported,
-        """SELECT c_custkey, '''=' || c_mktsegment AS formula, '["' || c_name || '"]' AS names FROM customer WHERE c_custkey <= (SELECT count(*) FROM customer)""",
+        """SELECT c_custkey, '''=' || c_mktsegment AS formula, '["' || c_name || '"]' AS names FROM customer UNION ALL SELECT count(*), 'manifest', NULL FROM customer""",
     ),
     Query("bronze_ingested", bronze_ingested, "SELECT event_type AS run_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, max(value) AS largest FROM events GROUP BY 1"),
     Query(

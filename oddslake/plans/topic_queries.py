@@ -17,8 +17,8 @@ TAXONOMY = Taxonomy(
         "foreign_context_terms": ["der", "que"],
         "sports_terms": ["license"],
         "topics": {
-            "midterms_2026": {"terms": ["and", "of"], "requires_election_cycle": True, "sectors": ["bonds", "autos"]},
-            "grain": {"terms": ["of the"], "patterns": {"near": r"\bin\b.{0,20}\bof\b"}, "sectors": ["autos"]},
+            "midterms_2026": {"terms": ["and", "of"], "requires_election_cycle": True, "sectors": ["bonds", "autos"], "queries": ["who wins", "control of"]},
+            "grain": {"terms": ["of the"], "patterns": {"near": r"\bin\b.{0,20}\bof\b"}, "sectors": ["autos"], "queries": ["harvest", "who wins"]},
             "rates": {"terms": ["is", "tion", "tion is"], "sectors": ["banks"]},
         },
     }
@@ -79,6 +79,15 @@ def sector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("topic", "sector").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents behind each search seed of their topics, and the seed's place among all seeds."""
+    labelled = classify(texts(spark, sf_dir), "text", TAXONOMY).select("doc_id", F.explode("topics").alias("topic"))
+    # The seeds are a fixed configuration of a few hundred rows.
+    by_seed = labelled.join(F.broadcast(TAXONOMY.dimensions(spark)["topic_queries"].select("topic", "query")), "topic")
+    place = F.array_position(F.array(*[F.lit(q) for q in TAXONOMY.queries()]), F.col("query"))
+    return by_seed.groupBy("query", place.alias("place")).agg(F.countDistinct("doc_id").alias("documents"))
+
+
 QUERY_WORDS = ["Who and the united ion", "thand is it"]
 
 
@@ -150,6 +159,12 @@ QUERIES = [
           SELECT 'midterms_2026' AS topic, unnest(['bonds', 'autos']) AS sector FROM labels WHERE mid UNION ALL SELECT 'grain', 'autos' FROM labels WHERE grain
           UNION ALL SELECT 'rates', 'banks' FROM labels WHERE rates) GROUP BY ALL""",
     ),
+    Query(
+        "topic_seed_documents",
+        seeds,
+        LABELS + """ SELECT query, CAST(place AS BIGINT) AS place, count(DISTINCT doc_id) AS documents FROM (
+          SELECT doc_id, mid, grain FROM labels) JOIN (VALUES ('who wins', 1, true, true), ('control of', 2, true, false), ('harvest', 3, false, true)) v(query, place, m, g) ON (mid AND m) OR (grain AND g) GROUP BY ALL""",
+    ),
     Query(
         "query_word_matches",
         query_matches,

@@ -19,7 +19,7 @@ FORBIDDEN = {
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
 
-@pytest.mark.parametrize("query", [q for q in QUERIES if q.name != "csv_exported"], ids=lambda q: q.name)
+@pytest.mark.parametrize("query", QUERIES, ids=lambda q: q.name)
 def test_plan_scales(spark, query):
     df = query(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
