@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -46,13 +47,18 @@ _ALPHABETS = (
 )
 _CLASS = {c: (k, i) for k, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
 
-_EMAIL = re.compile(r"[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+#: An address is read from its ``@`` in both directions, so a long run of letters is looked at once.
+_LOCAL = re.compile(r"[\w.+-]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\d+])(?:\d[ -]?){12,18}\d(?!\d)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")(\.? )([^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?)(?:( )([^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?))?")
+_WORD = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(TITLES)})(\.? )({_WORD})(?:( )({_WORD}))?")
+#: Two words in a row; the second is looked at again as the first of the next two.
+_PAIR = re.compile(rf"(?<!\w)({_WORD})(?= ({_WORD})(?!\w))")
 KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "name")
 
 
@@ -85,9 +91,8 @@ def detect(text: str) -> list[Entity]:
     def add(kind: str, match: re.Match, value: str) -> None:
         found.append(Entity(kind, match.start(), match.end(), value))
 
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add("email", m, m[0].lower())
+    for start, end in _addresses(text):
+        found.append(Entity("email", start, end, text[start:end].lower()))
     if re.search("[0-9]", text):
         for m in _IBAN.finditer(text):
             value = m[0].replace(" ", "")
@@ -107,19 +112,61 @@ def detect(text: str) -> list[Entity]:
             if 9 <= len(digits) <= 15 and re.search(r"[+( .-]", m[0]) and ("+" in m[0] or "(" in m[0] or len(digits) >= 10):
                 country = re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])
                 add("phone", m, digits[len(country[1]) :] if country else digits)
-    for m in _NAME.finditer(text):
-        words = [w for w in (m[3], m[5]) if w]
-        if all(w[0].isupper() for w in words):
-            found.append(Entity("name", m.start(3), m.end(), f"{TITLES[m[1]]}|{' '.join(words)}".lower()))
-    rank, taken, end = {k: i for i, k in enumerate(KINDS)}, [], -1
-    covered: list[tuple[int, int]] = []
-    for e in sorted(found, key=lambda e: (rank[e.kind], e.start)):
-        if not any(a < e.end and e.start < b for a, b in covered):
-            covered.append((e.start, e.end))
-            taken.append(e)
+    found += _named(text)
+    rank, taken = {k: i for i, k in enumerate(KINDS)}, []
+    starts: list[int] = []
+    ends: list[int] = []
+    for e in sorted(found, key=lambda e: (rank[e.kind], e.start, -e.end)):
+        # Those taken do not overlap, so only the neighbours in order can overlap the next.
+        at = bisect_right(starts, e.start)
+        if (at and ends[at - 1] > e.start) or (at < len(starts) and starts[at] < e.end):
+            continue
+        starts.insert(at, e.start)
+        ends.insert(at, e.end)
+        taken.append(e)
     return sorted(taken, key=lambda e: e.start)
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Start and end of the mail addresses, leftmost first."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        run = _LOCAL.match(text[free:at][::-1])[0][::-1]
+        first = re.search(r"[^\W_]", run)
+        domain = _DOMAIN.match(text, at + 1) if first else None
+        free = at + 1
+        if domain:
+            out.append((at - len(run) + first.start(), domain.end()))
+            free = domain.end()
+        at = text.find("@", free)
+    return out
+
+
+def _named(text: str) -> list[Entity]:
+    """Names after a title, and later or earlier mentions without one of the full names among them."""
+    out, full, at = [], {}, 0
+    while m := _NAME.search(text, at):
+        if m[3] in TITLES:  # one title after another
+            at = m.start(3)
+            continue
+        at = m.end(3)
+        if not m[3][0].isupper():
+            continue
+        words = [m[3]]
+        # A verb or another title after a family name is no part of it.
+        if m[5] and m[5][0].isupper() and m[5] not in TITLES:
+            words.append(m[5])
+            at = m.end()
+        value = f"{TITLES[m[1]]}|{' '.join(words)}".lower()
+        out.append(Entity("name", m.start(3), at, value))
+        if len(words) == 2:
+            full.setdefault(tuple(words), value)
+    if full:
+        titled = {e.start for e in out}
+        out += [Entity("name", m.start(), m.end(2), full[m[1], m[2]]) for m in _PAIR.finditer(text) if (m[1], m[2]) in full and m.start() not in titled]
+    return out
+
+
 def permuted(key: bytes, tweak: str, x: int, n: int) -> int:
     """Keyed permutation of range(n) without a fixed point if n > 1.
 

@@ -1,3 +1,5 @@
+import time
+import random
 import re
 
 import pytest
@@ -89,3 +91,36 @@ def test_names_that_meet_are_mapped_again(spark):
     found = S.replace_private(table(spark, rows), KEY).collect()
     new = [e["surrogate"] for r in found for e in r["entities"]]
     assert len(new) == len(pairs) and len(set(new)) == len(new)
+
+
+def spans(text):
+    return [(e.kind, text[e.start : e.end]) for e in S.detect(text)]
+
+
+def test_family_names_and_mentions_without_title():
+    assert spans("Mrs. Roe left.") == [("name", "Roe")]
+    assert spans("Mr. Smith said so. Mr. Dr. no") == [("name", "Smith")]
+    assert spans("Frau Meier Herr Otto Kurz") == [("name", "Meier"), ("name", "Otto Kurz")]
+    text = "Jane Roe wrote. Mrs. Jane Roe, then Ann Jane Roe; Jane Roebuck, jane roe."
+    assert spans(text) == [("name", "Jane Roe")] * 3
+    assert len(set(S.surrogate(KEY, "name", e.value) for e in S.detect(text))) == 1
+    assert spans("mr. Roe and Mr. roe and Mrs.Roe") == []
+
+
+def test_addresses_agree_with_the_plain_pattern():
+    """Brute force over short texts: the leftmost address by one pattern for both sides of the @."""
+    plain = re.compile(r"[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab@.-_+ é@.") for _ in range(rng.randrange(14)))
+        assert S._addresses(text) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("a" * 1_000_000 + " @", "@" + "a" * 1_000_000, "a@" * 300_000, "a.b@c" * 200_000, "Ab" * 500_000 + " Mr. " + "Ab" * 500_000):
+        started = time.process_time()
+        S.detect(text)
+        assert time.process_time() - started < 5
+    many = " ".join(f"u{k}@h{k}.org" for k in range(50_000))
+    started = time.process_time()
+    assert len(S.detect(many)) == 50_000 and time.process_time() - started < 10
