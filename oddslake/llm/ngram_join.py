@@ -10,9 +10,11 @@ are indexed with every subset and its one-deletion neighbourhood; a difference o
 there, and each such segment takes two from the bound. Sets that share an index entry are candidates;
 a parity bitmap drops those that must differ too much, and the others are verified on their whole sets.
 
-Candidates are not paired within a group. First every set is compared with the smallest id of its
-group; what this links is one component. Only groups that still hold several components go on to
-comparisons across components, on bitmaps within a task, and again only survivors are verified.
+Candidates are not paired within a group. Groups with the same smallest document are one cluster, whose
+bitmaps meet in a task; the pairs that bitmaps let pass are a graph there, and only a spanning forest of
+it, closest pairs first, leaves the task to be verified on whole sets. Where all of a cluster's forest
+holds, all its other pairs lie within a component already. Only clusters with a pair that failed go on to
+their remaining pairs across components.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ from oddslake.session import stored
 #: Words of a shingle; similarity as a fraction; index entries per shard; sets that a piece of a
 #: candidate group holds; sets compared with one centre in one task.
 WORDS, SIMILARITY, SHARD_ENTRIES, PIECE, STAR = 5, (75, 100), 1_000_000, 2_000, 1_000
+#: Bytes of bitmaps that a piece of a cluster holds.
+PIECE_BYTES = 32 << 20
 #: Documents that a shingle must be seen in to count as frequent, and how many such are kept, most
 #: frequent first. Both only steer the order of index entries; any order gives the same result.
 HOT_DOCUMENTS, HOT_SHINGLES = 64, 1_000_000
 #: Index entries of a frequent subset are dealt over one shard for so many documents.
 SALT_DOCUMENTS = 100_000
+#: Least bits of a bitmap for each value of its set. With b bits a value, equal sizes and the default
+#: similarity, pairs above 0.732 (4), 0.741 (8) or 0.746 (16) pass, and are verified.
+BITMAP = 8
 #: Segments per shingle of the smallest set of a band (sizes from a power of four to the next), tried
 #: in turn until every set has enough segments; 0 gives each shingle a segment of its own.
 FACTORS = (8, 32, 128, 0)
@@ -142,9 +149,9 @@ def least_factors(values: np.ndarray, rows: np.ndarray, n_rows: int, band: np.nd
 
 
 def parity_bits(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Bitmap per row of which hash values occur an odd number of times: a power of two of bits, as many
-    as the set has values or more."""
-    bits = np.array([max(64, 1 << int(n - 1).bit_length()) if n else 64 for n in sizes], np.int64)
+    """Bitmap per row of which hash values occur an odd number of times: a power of two of bits, at least
+    ``BITMAP`` for each of the set's values."""
+    bits = np.array([max(64, 1 << int(BITMAP * n - 1).bit_length()) if n else 64 for n in sizes], np.int64)
     base = np.cumsum(bits) - bits
     at = np.repeat(base, sizes) + (values & (np.repeat(bits, sizes) - 1).astype(np.uint64)).astype(np.int64)
     odd = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
@@ -402,22 +409,6 @@ def _similar(shared: int, a: int, b: int, similarity: tuple[int, int]) -> bool:
     return similarity[1] * shared >= similarity[0] * (a + b - shared)
 
 
-def _may_be(similarity: tuple[int, int]):
-    """Keep pairs whose sizes and bitmaps allow them to be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            keep = []
-            for n1, n2, b1, b2 in zip(c["n_a"], c["n_b"], c["bits_a"], c["bits_b"], strict=True):
-                least = min(len(b1), len(b2))
-                apart = int(np.bitwise_count(folded(np.frombuffer(b1, np.uint8), least) ^ folded(np.frombuffer(b2, np.uint8), least)).sum())
-                keep.append(_similar(min(n1, n2), n1, n2, similarity) and apart <= most_different(n1, n2, similarity))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _star(similarity: tuple[int, int]):
     """Compare each set of a block with the block's centre."""
 
@@ -437,30 +428,111 @@ def _star(similarity: tuple[int, int]):
     return run
 
 
+class _Cluster:
+    """Sets of a cluster, or of two pieces of one, in a task: id, component, size and bitmap of each."""
+
+    def __init__(self, table: pa.Table, similarity: tuple[int, int]) -> None:
+        order = table.sort_by([("side", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+        self.side, self.ids, self.components, self.n = (order.column(c).to_numpy() for c in ("side", "doc_id", "component", "n"))
+        self.bits = [np.frombuffer(b, np.uint8) for b in order.column("bits").to_pylist()]
+        self.folds: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.similarity, self.two = similarity, bool(len(self.side)) and self.side[0] != self.side[-1]
+
+    def _folds(self, width: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of ``width`` bytes or twice as many, which similar sets may have, folded to ``to`` bytes."""
+        if (width, to) not in self.folds:
+            those = [k for k, x in enumerate(self.bits) if len(x) in (width, 2 * width)]
+            at = np.zeros(len(self.bits), np.int64)
+            at[those] = np.arange(len(those))
+            self.folds[width, to] = np.stack([folded(self.bits[k], to) for k in those]).view(np.uint64), at
+        return self.folds[width, to]
+
+    def passing(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Row, the later rows (or those of the other piece) of other components that sizes and bitmaps
+        let be similar to it, and the share of the largest difference that the bitmaps show."""
+        a, b = self.similarity
+        first = int(np.searchsorted(self.side, 1)) if self.two else len(self.ids)
+        for i in range(first):
+            # Sizes ascend within a side: similar ones are a range.
+            low, high = (first, len(self.ids)) if self.two else (i + 1, first)
+            low = low + int(np.searchsorted(self.n[low:high], -(-self.n[i] * a // b)))
+            high = low + int(np.searchsorted(self.n[low:high], self.n[i] * b // a, "right"))
+            others = low + np.flatnonzero(self.components[low:high] != self.components[i])
+            bound = (self.n[others] + self.n[i]) * (b - a) // (a + b)
+            # Bitmaps folded to an eighth first; those as wide as the narrowest here on what these let pass.
+            for part in (8, 1):
+                if not len(others):
+                    break
+                width = min(len(self.bits[i]), len(self.bits[others[0]]))
+                fold, at = self._folds(width, max(8, width // part))
+                shown = np.bitwise_count(fold[at[others]] ^ fold[at[i]]).sum(1, dtype=np.int64)
+                keep = shown <= bound
+                others, bound, shown = others[keep], bound[keep], shown[keep]
+            if len(others):
+                yield i, others, shown / np.maximum(bound, 1)
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Places of the edges (u, v), of earlier ones first, that join what ``labels`` holds apart, without a cycle."""
+    labels, taken = np.unique(labels, return_inverse=True)[1], []
+    open_ = np.flatnonzero(labels[u] != labels[v])
+    while len(open_):
+        best = np.full(labels.max() + 1, len(u))
+        np.minimum.at(best, labels[u[open_]], open_)
+        np.minimum.at(best, labels[v[open_]], open_)
+        chosen = np.unique(best[best < len(u)])
+        taken.append(chosen)
+        parent = np.arange(len(best))
+
+        def root(x: int, parent: np.ndarray = parent) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(labels[u[chosen]].tolist(), labels[v[chosen]].tolist(), strict=True):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        labels = np.array([root(x) for x in range(len(best))])[labels]
+        open_ = open_[labels[u[open_]] != labels[v[open_]]]
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
+def _pairs(cluster: _Cluster, u: np.ndarray, v: np.ndarray) -> dict[str, pa.Array]:
+    u, v = cluster.ids[u], cluster.ids[v]
+    return {"a": pa.array(np.minimum(u, v).astype(np.int64)), "b": pa.array(np.maximum(u, v).astype(np.int64))}
+
+
+def _passing(cluster: _Cluster) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = list(cluster.passing())
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8)
+    u = np.concatenate([np.full(len(o), i, np.int32) for i, o, _ in found])
+    return u, np.concatenate([o.astype(np.int32) for _, o, _ in found]), np.concatenate([(255 * d).astype(np.uint8) for _, _, d in found])
+
+
+def _forest(similarity: tuple[int, int]):
+    """A spanning forest of the pairs that bitmaps let pass, closest first: fewer pairs than sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster = _Cluster(table, similarity)
+        u, v, shown = _passing(cluster)
+        order = np.argsort(shown, kind="stable")
+        u, v = u[order], v[order]
+        keep = spanning_forest(u, v, cluster.ids)
+        pairs = _pairs(cluster, u[keep], v[keep])
+        return pa.table({"entry": pa.array([table.column("entry")[0].as_py()] * len(keep), pa.int64()), **pairs})
+
+    return run
+
+
 def _across(similarity: tuple[int, int]):
-    """Pairs of a group's pieces that lie in different components and that bitmaps let pass."""
+    """All pairs of a cluster that lie in different components and that bitmaps let pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("side", "doc_id", "component", "n", "bits")), strict=True)))
-        small = min(len(r[4]) for r in rows)
-        bits = np.stack([folded(np.frombuffer(r[4], np.uint8), small) for r in rows])
-        side, ids, comps, n = (np.array([r[k] for r in rows]) for k in range(4))
-        one = len(set(side)) == 1
-        bound = (n[:, None] + 0) * 0  # filled row by row
-        out_a, out_b = [], []
-        for i in range(len(rows)):
-            if not one and side[i] == 1:
-                continue
-            others = np.arange(i + 1, len(rows)) if one else np.flatnonzero(side == 1)
-            others = others[comps[others] != comps[i]]
-            if len(others):
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1)
-                bound = (n[others] + n[i]) * (similarity[1] - similarity[0]) // (similarity[0] + similarity[1])
-                others = others[apart <= bound]
-                out_a.append(np.minimum(ids[others], ids[i]))
-                out_b.append(np.maximum(ids[others], ids[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
+        cluster = _Cluster(table, similarity)
+        u, v, _ = _passing(cluster)
+        return pa.table(_pairs(cluster, u, v))
 
     return run
 
@@ -497,10 +569,10 @@ class _Join:
         # Shards name a group of the same documents alike, so it is kept once.
         return stored(found.groupBy("entry", F.when(F.col("piece") < 0, -1).otherwise(F.col("piece")).alias("piece")).agg(F.first("docs").alias("docs")))
 
-    def fetch(self, groups: DataFrame) -> DataFrame:
-        """Stored sets (doc_id, values) of the documents that are in any group."""
+    def fetch(self, pairs: DataFrame) -> DataFrame:
+        """Sets (doc_id, values) of the documents that are in any pair."""
         folder, parts = new_folder(self.spark, "candidates"), 64
-        ids = groups.select(F.explode("docs").alias("doc_id")).distinct().withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
 
         def keep(table: pa.Table) -> pa.Table:
             write_array(folder, f"ids-{table.column('part')[0].as_py()}", np.sort(table.column("doc_id").to_numpy()))
@@ -534,63 +606,54 @@ class _Join:
                     own = [values[b - n : b].tobytes() for b, n in zip(stops, sizes, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(own)), pa.array(own, pa.binary())], names=["doc_id", "values"])
 
-        return stored(texts_of(rows, "doc_id", "text").mapInArrow(sets, "doc_id BIGINT, values BINARY"))
+        return texts_of(rows, "doc_id", "text").mapInArrow(sets, "doc_id BIGINT, values BINARY")
 
-    def verified(self, pairs: DataFrame, values: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar, from pairs of candidates in which many share an ``a``."""
-        facts = self.sets.select("doc_id", "n", "bits")
-        side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-        left = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_may_be(self.similarity), "a BIGINT, b BIGINT")
-        left = stored(left)
-        blocks = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("blocks"))
-        dealt = left.join(blocks, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("doc_id"))
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of a stored table that are similar, compared on their whole sets."""
+        blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("blocks"))
+        dealt = pairs.join(blocks, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("doc_id"))
         middles = blocks.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"))
-        rows = dealt.unionByName(middles).join(values, "doc_id")
+        rows = dealt.unionByName(middles).join(self.fetch(pairs), "doc_id")
         return stored(rows.groupBy("centre", "block").applyInArrow(_star(self.similarity), "a BIGINT, b BIGINT"))
 
-    def lead_edges(self, links: DataFrame) -> DataFrame:
-        """Links between the documents that stand for equal sets."""
-        lead = self.sets.join(self.leads, ["fp1", "fp2", "n"]).select("doc_id", "lead")
-        side = lambda s: lead.select(F.col("doc_id").alias(s), F.col("lead").alias(f"lead_{s}"))
-        return links.join(side("a"), "a").join(side("b"), "b").select(F.col("lead_a").alias("u"), F.col("lead_b").alias("v")).where("u <> v")
-
-    def apart(self, groups: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members (entry, piece, doc_id, component) of the groups that hold several components, and
-        what is known of the sets that stand for equal ones. ``doc_id`` is that of the one that does."""
-        lead = self.sets.join(self.leads, ["fp1", "fp2", "n"])
-        placed = lead.join(components(edges).withColumnRenamed("node", "lead"), "lead", "left")
-        placed = stored(placed.select("doc_id", "lead", F.coalesce("component", "lead").alias("component"), "n", "bits"))
-        members = groups.select("entry", "piece", F.explode("docs").alias("member"))
-        known = placed.select(F.col("doc_id").alias("member"), F.col("lead").alias("doc_id"), "component")
-        members = stored(members.join(known, "member").select("entry", "piece", "doc_id", "component"))
-        open_ = members.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
-        return stored(members.join(open_, "entry").distinct()), placed.where("doc_id = lead").drop("lead")
+    def clusters(self, groups: DataFrame) -> DataFrame:
+        """Members (entry, doc_id, n) of the clusters, each set by the smallest id that has it.
+
+        Groups that lie whole in one row make one cluster with those of the same smallest document;
+        one in pieces is a cluster of its own, named by its entry.
+        """
+        lead = self.sets.join(self.leads, ["fp1", "fp2", "n"]).groupBy(F.col("doc_id").alias("member")).agg(F.min("lead").alias("doc_id"), F.max("n").alias("n"))
+        members = groups.select(F.col("entry").alias("own"), "piece", F.array_min("docs").alias("least"), F.explode("docs").alias("member"))
+        members = members.select(F.when(F.col("piece") < 0, F.xxhash64("least")).otherwise(F.col("own")).alias("entry"), "member").distinct()
+        return stored(members.join(lead, "member").select("entry", "doc_id", "n").distinct())
+
+    def met(self, members: DataFrame, placed: DataFrame) -> DataFrame:
+        """Members with component, size and bitmap, once for each piece of their cluster that they meet."""
+        held = F.greatest(F.count(F.lit(1)) / PIECE, F.sum("n") * (2 * BITMAP / 8) / PIECE_BYTES)
+        pieces = members.groupBy("entry").agg(F.ceil(held).alias("pieces"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        own = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+        rows = members.join(pieces, "entry").select("entry", "doc_id", own.alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("q"))
+        rows = rows.select("entry", F.least("p", "q").alias("piece"), F.greatest("p", "q").alias("other"), F.when(F.col("p") <= F.col("q"), 0).otherwise(1).alias("side"), "doc_id")
+        return rows.join(placed, "doc_id")
 
     def run(self) -> DataFrame:
         self.look()
-        groups = self.groups()
-        values = self.fetch(groups)
-        first = F.array_min("docs")
-        # One centre for each set: the smallest of all that are a group's first.
-        stars = groups.select(first.alias("a"), F.explode("docs").alias("b")).groupBy("b").agg(F.min("a").alias("a")).where("a <> b").select("a", "b")
-        centres = groups.where("piece >= 0").select("entry", first.alias("c"))
-        least = centres.groupBy("entry").agg(F.min("c").alias("a"))
-        stars = stars.unionByName(centres.join(least, "entry").select("a", F.col("c").alias("b")).where("a <> b"))
-        edges = stored(self.lead_edges(self.verified(stars, values)).distinct())
-        # What is still apart in a group meets the first of that group.
-        members, _ = self.apart(groups, edges)
-        firsts = members.groupBy("entry").agg(F.min(F.struct("doc_id", "component")).alias("f"))
-        stars = members.join(firsts, "entry").where("component <> f.component").select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        edges = stored(edges.union(self.lead_edges(self.verified(stars, values))).distinct())
-        members, placed = self.apart(groups, edges)
-        pieces = members.select("entry", "piece").distinct()
-        both = pieces.join(pieces.withColumnRenamed("piece", "other"), "entry").where("piece <= other")
-        sides = both.select("entry", "piece", "other", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("side"), F.col("piece").alias("p")), F.struct(F.when(F.col("piece") == F.col("other"), 0).otherwise(1).alias("side"), F.col("other").alias("p"))))).alias("s"))
-        sides = sides.select("entry", "piece", "other", "s.side", F.col("s.p").alias("p"))
-        rows = sides.join(members.withColumnRenamed("piece", "p"), ["entry", "p"]).join(placed.select("doc_id", "n", "bits"), "doc_id")
-        pairs = rows.groupBy("entry", "piece", "other").applyInArrow(_across(self.similarity), "a BIGINT, b BIGINT")
-        more = self.lead_edges(self.verified(pairs, values))
-        found = components(edges.union(more))
+        members = self.clusters(self.groups())
+        bitmaps = self.sets.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", F.col("doc_id").alias("component"), "n", "bits")
+        forest = self.met(members, bitmaps).groupBy("entry", "piece", "other").applyInArrow(_forest(self.similarity), "entry BIGINT, a BIGINT, b BIGINT")
+        forest = stored(forest)
+        links = self.verified(stored(forest.select("a", "b").distinct()))
+        found = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        # A cluster has pairs left only if one of its forest's pairs does not lie within a component.
+        side = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"in_{s}"))
+        apart = forest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
+        open_ = members.join(apart.select("entry").distinct(), "entry", "left_semi")
+        known = bitmaps.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        known = known.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "n", "bits")
+        pairs = self.met(stored(open_), known).groupBy("entry", "piece", "other").applyInArrow(_across(self.similarity), "a BIGINT, b BIGINT")
+        pairs = stored(pairs.distinct().join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+        links = links.union(self.verified(pairs))
+        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         lead = self.sets.join(self.leads, ["fp1", "fp2", "n"], "left")
         return lead.join(found.withColumnRenamed("node", "lead"), "lead", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "lead", "doc_id").alias("component_id")
@@ -603,7 +666,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links, the own one included. Null text counts as
     empty; documents without words have an empty set and link with none. A text of fewer than ``n``
     words is one shingle. Repeated rows each get a row. A row without id takes part only with the
-    component of a text whose shingles are the same, else it has none. An empty table gives no rows; other columns are not read. Shingles are 64-bit hashes. Runs jobs.
+    component of a text whose shingles are the same, else it has none. An empty table gives no rows; other columns are not read. Shingles are
+    compared by hashes of 52 bits. Runs jobs.
     """
     return _Join(docs, id_col, text_col, similarity, n, coarse).run()
 

@@ -138,6 +138,43 @@ def test_groups_in_pieces_and_across():
     assert {(r["a"], r["b"]) for r in found} == {(1, 3), (2, 3)}
 
 
+def test_clusters_give_spanning_forests():
+    """Pieces and one whole cluster let the same pairs pass; a forest joins what they join, in fewer pairs."""
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64)) for n in (9, 60, 61, 900)]
+    sets = [np.unique(np.r_[b[k // 2 :], rng.integers(0, 1 << 52, k).astype(np.uint64)]) for b in base for k in range(12)]
+    sizes = np.array([len(x) for x in sets])
+    bits = J.parity_bits(np.concatenate(sets), sizes)
+
+    def cluster(rows, sides):
+        return pa.table({"entry": [5] * len(rows), "side": sides, "doc_id": rows, "component": rows, "n": sizes[rows], "bits": [bits[r] for r in rows]})
+
+    found = lambda t: {(r["a"], r["b"]) for r in t.to_pylist()}
+    everything = list(range(len(sets)))
+    whole = found(J._across((75, 100))(cluster(everything, [0] * len(sets))))
+    similar = {(a, b) for a in everything for b in range(a + 1, len(sets)) if J._similar(len(np.intersect1d(sets[a], sets[b])), sizes[a], sizes[b], (75, 100))}
+    assert similar and similar <= whole
+    even, odd = everything[::2], everything[1::2]
+    parts = [found(J._across((75, 100))(cluster(p, [0] * len(p)))) for p in (even, odd)]
+    parts.append(found(J._across((75, 100))(cluster(even + odd, [0] * len(even) + [1] * len(odd)))))
+    assert set().union(*parts) == whole and sum(map(len, parts)) == len(whole)
+    forest = J._forest((75, 100))(cluster(everything, [0] * len(sets)))
+    assert found(forest) <= whole and set(forest.column("entry").to_pylist()) == {5}
+    u, v = (np.array(x) for x in zip(*sorted(whole), strict=True))
+    keep = J.spanning_forest(u, v, np.arange(len(sets)))
+    assert len(keep) == forest.num_rows
+    joined = lambda pairs: {frozenset(c) for c in _closed(pairs, len(sets))}
+    assert joined(found(forest)) == joined(whole) == joined({(u[k], v[k]) for k in keep})
+
+
+def _closed(pairs, n):
+    label = list(range(n))
+    for a, b in sorted(pairs):
+        a, b = label[a], label[b]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    return [[i for i in range(n) if label[i] == c] for c in set(label)]
+
+
 def test_components(spark):
     rng, parent = random.Random(5), list(range(300))
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(200, 260)]
