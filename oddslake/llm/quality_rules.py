@@ -3,8 +3,11 @@
 Text statistics become a transformed vector. Per language and source, per language, and over all, a
 minimum-covariance-determinant estimate gives centre and scatter: from two deterministic starts
 concentration steps take the three quarters of the rows that are nearest to the current centre, the
-start with the smaller determinant wins, and a reweighting step follows. A document is rejected when
-its Mahalanobis distance under the finest estimate with enough rows is beyond a chi-squared quantile.
+start with the smaller determinant wins, and a reweighting step follows. The moments of a group are
+blended with those of its language, and those with the moments over all, by number of rows, so small
+groups lean on what is known of larger ones and no number of rows switches anything. A document is
+rejected when its Mahalanobis distance under the blend is beyond a bound that is read off the group's
+own distances: clean text has longer tails than a normal law, and the bulk of the distances tells how much.
 """
 
 from __future__ import annotations
@@ -26,9 +29,15 @@ SYMBOLS = "#*$%&|<>"
 #: how far away a statistic can put a document, and each must be able to pass the bound alone.
 SCALE_FLOORS = {"x_length": 0.1, "x_word": 0.02, "x_symbol": 0.02, "x_line": 0.05, "x_repeat": 0.05, "x_upper": 0.02}
 NAMES = list(SCALE_FLOORS)
-#: Share of rows that a concentration step keeps, steps, rows a group must have, and the tail
-#: probability beyond which a document is rejected.
-KEPT_SHARE, STEPS, LEAST_ROWS, TAIL = 0.75, 4, 200, 1e-3
+#: Share of rows that a concentration step keeps, steps, and the tail probability beyond which a
+#: document is rejected.
+KEPT_SHARE, STEPS, TAIL = 0.75, 4, 1e-3
+#: Rows that the coarser estimate counts for when it is blended with a finer one, and the deviations
+#: assumed about the centre over all, which count as many rows: they decide where a table has next to none.
+PRIOR_ROWS = 200
+PRIOR_SCALES = {"x_length": 1.0, "x_word": 0.25, "x_symbol": 0.2, "x_line": 0.25, "x_repeat": 0.25, "x_upper": 0.2}
+#: Quantiles of the distances that a bound is extrapolated from: as many far rows as the estimates bear may be beyond.
+BULK = (0.5, KEPT_SHARE)
 
 
 def chi2_below(x: float, df: int) -> float:
@@ -113,30 +122,36 @@ _PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Centre ``m_i``, lower Cholesky factor ``l_i_j`` of the scatter and ``log_det`` by key.
+    """Number ``n_rows``, centre ``m_i`` and scatter ``c_i_j`` by key.
 
     The scatter is scaled by ``factor`` and the floors are added to its diagonal.
     """
     x = [F.col(n) for n in NAMES]
     sums = rows.groupBy(*_KEYS).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in _PAIRS]
     )
-    sums = sums.select(*_KEYS, "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(x))], *[f"s_{i}_{j}" for i, j in _PAIRS])
-    spread = lambda i, j: F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
+    mean = lambda name: F.col(name) / F.col("n_rows")
+    sums = sums.select(*_KEYS, "n_rows", *[mean(f"s_{i}").alias(f"m_{i}") for i in range(len(x))], *[mean(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in _PAIRS])
+    spread = lambda i, j: F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")
     floors = [f * f for f in SCALE_FLOORS.values()]
-    sums = sums.select(*_KEYS, *[f"m_{i}" for i in range(len(x))], *[(spread(i, j) * factor + (floors[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
-    for j in range(len(x)):  # one column of the factor at a time
+    return sums.select(*_KEYS, "n_rows", *[f"m_{i}" for i in range(len(x))], *[(spread(i, j) * factor + (floors[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """The lower Cholesky factor ``l_i_j`` of the scatter in its place, and ``log_det``."""
+    p = len(NAMES)
+    for j in range(p):  # one column of the factor at a time
         done = lambda i: sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))  # noqa: E731, B023
-        sums = sums.withColumn(f"l_{j}_{j}", F.sqrt(F.col(f"c_{j}_{j}") - done(j)))
-        if j + 1 < len(x):
-            sums = sums.withColumns({f"l_{i}_{j}": (F.col(f"c_{i}_{j}") - done(i)) / F.col(f"l_{j}_{j}") for i in range(j + 1, len(x))})
-    log_det = sum((F.log(f"l_{i}_{i}") for i in range(len(x))), F.lit(0.0))
-    return sums.withColumn("log_det", log_det).drop(*[f"c_{i}_{j}" for i, j in _PAIRS])
+        moments = moments.withColumn(f"l_{j}_{j}", F.sqrt(F.col(f"c_{j}_{j}") - done(j)))
+        if j + 1 < p:
+            moments = moments.withColumns({f"l_{i}_{j}": (F.col(f"c_{i}_{j}") - done(i)) / F.col(f"l_{j}_{j}") for i in range(j + 1, p)})
+    log_det = sum((F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0))
+    return moments.withColumn("log_det", log_det).drop(*[f"c_{i}_{j}" for i, j in _PAIRS])
 
 
-def _distances(rows: DataFrame, estimates: DataFrame, on: list[str]) -> DataFrame:
-    """Add ``d2``, the squared Mahalanobis distance, null where there is no estimate."""
-    keep = rows.columns
+def _distances(rows: DataFrame, estimates: DataFrame, on: list[str], *also: str) -> DataFrame:
+    """Add ``d2``, the squared Mahalanobis distance, null where there is no estimate, and columns of it."""
+    keep = [*rows.columns, *also]
     rows = rows.join(estimates, on, "left")
     for i, n in enumerate(NAMES):
         rest = F.col(n) - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{j}") * F.col(f"y_{j}") for j in range(i)), F.lit(0.0))
@@ -168,18 +183,20 @@ def _medians(rows: DataFrame, values: list[Column], out: str) -> DataFrame:
     return middle.groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(out))
 
 
+def _levels(rows: DataFrame, *values: str) -> DataFrame:
+    """Each row three times: in its group, in its language, and in all."""
+    keys = [(F.col("lang_key"), F.col("source_key")), (F.col("lang_key"), F.lit(ALL)), (F.lit(ALL), F.lit(ALL))]
+    return rows.select(F.inline(F.array(*[F.struct(a.alias("lang_key"), b.alias("source_key")) for a, b in keys])), *values)
+
+
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """Estimates from rows of (lang_key, source_key, x_…): one per group, language, and over all.
+    """Moments from rows of (lang_key, source_key, x_…): one per group, language, and over all.
 
-    Groups of fewer than ``LEAST_ROWS`` rows have none. Every step is an aggregate with map-side
-    combining, so a group with a large share of the rows is not gathered.
+    Every step is an aggregate with map-side combining, so a group with a large share of the rows is
+    not gathered.
     """
     p = len(NAMES)
-    levels = F.array(*[F.struct(a.alias("lang_key"), b.alias("source_key")) for a, b in ((F.col("lang_key"), F.col("source_key")), (F.col("lang_key"), F.lit(ALL)), (F.lit(ALL), F.lit(ALL)))])
-    rows = vectors.select(F.inline(levels), *NAMES)
-    enough = rows.groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= LEAST_ROWS)
-    enough = stored(enough)
-    rows = rows.join(enough.select("lang_key", "source_key"), ["lang_key", "source_key"])
+    rows = _levels(vectors, *NAMES)
     single = rows.withColumn("start", F.lit(0))
     centre = stored(_medians(single, [F.col(n) for n in NAMES], "centre"))
     away = [F.abs(F.col(n) - F.col("centre")[i]) for i, n in enumerate(NAMES)]
@@ -189,47 +206,108 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
         "lang_key", "source_key", *NAMES, F.posexplode(F.array(sum(scaled, F.lit(0.0)), F.greatest(*scaled))).alias("start", "d2")
     )
     consistency = KEPT_SHARE / chi2_below(chi2_quantile(KEPT_SHARE, p), p + 2)
-    estimates = stored(_moments(_nearest(first, 0.5), consistency))
+    estimates = stored(_factored(_moments(_nearest(first, 0.5), consistency)))
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(STEPS):
-        estimates = stored(_moments(_nearest(_distances(both, estimates, _KEYS), KEPT_SHARE), consistency))
+        estimates = stored(_factored(_moments(_nearest(_distances(both, estimates, _KEYS), KEPT_SHARE), consistency)))
     best = estimates.groupBy("lang_key", "source_key").agg(F.min(F.struct("log_det", "start")).alias("b")).select("lang_key", "source_key", F.col("b.start").alias("start"))
     estimates = estimates.join(best, _KEYS)
     cut = chi2_quantile(0.975, p)
     near = _distances(rows.join(best, ["lang_key", "source_key"]), estimates, _KEYS).where(F.col("d2") <= cut)
-    final = _moments(near, 0.975 / chi2_below(cut, p + 2)).drop("start", "log_det")
-    return stored(final.join(enough, ["lang_key", "source_key"]))
+    return stored(_moments(near, 0.975 / chi2_below(cut, p + 2)).drop("start"))
+
+
+def _chain(table: DataFrame, groups: DataFrame, values: list[str]) -> tuple[DataFrame, dict | None]:
+    """Beside each of ``groups`` the structs ``own`` and ``language`` of ``values``; and those over all."""
+    over_all = table.where((F.col("lang_key") == ALL) & (F.col("source_key") == ALL)).select(*values).first()  # one row
+    own = table.where((F.col("lang_key") != ALL) & (F.col("source_key") != ALL)).select("lang_key", "source_key", F.struct(*values).alias("own"))
+    language = table.where((F.col("lang_key") != ALL) & (F.col("source_key") == ALL)).select("lang_key", F.struct(*values).alias("language"))
+    found = groups.join(own, ["lang_key", "source_key"], "left").join(language, "lang_key", "left")
+    return found, over_all.asDict() if over_all else None
+
+
+def _weight(level: str) -> Column:
+    n = F.coalesce(F.col(level)["n_rows"].cast("double"), F.lit(0.0))
+    return n / (n + PRIOR_ROWS)
+
+
+def _blend(fine: dict[str, Column], weight: Column, coarse: dict[str, Column]) -> dict[str, Column]:
+    """Weighted centre and scatter; ``fine`` may be null where its weight is nothing.
+
+    The distance between the centres does not widen the scatter: a few rows that are all far away
+    would otherwise excuse each other.
+    """
+    return {v: F.coalesce(weight * fine[v], F.lit(0.0)) + (1 - weight) * c for v, c in coarse.items()}
+
+
+def blended(groups: DataFrame, moments: DataFrame) -> DataFrame:
+    """Centre and factor for each (lang_key, source_key) of ``groups``, a row a group; stored.
+
+    The own moments count for the rows they come from, the language's for ``PRIOR_ROWS``, and so on up
+    to the assumed deviations about the centre over all. Null where the table has no row to learn from.
+    """
+    values = ["n_rows", *[f"m_{i}" for i in range(len(NAMES))], *[f"c_{i}_{j}" for i, j in _PAIRS]]
+    found, over_all = _chain(moments, groups.select("lang_key", "source_key").distinct(), values)
+    number = lambda v: F.lit(v).cast("double")
+    top, scales = over_all or dict.fromkeys(values), list(PRIOR_SCALES.values())
+    found = found.withColumn("all", F.struct(*[number(top[v]).alias(v) for v in values]))
+    assumed = {f"m_{i}": number(top[f"m_{i}"]) for i in range(len(NAMES))} | {f"c_{i}_{j}": number(scales[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    coarse = assumed
+    for level in ("all", "language", "own"):
+        fine = {v: F.col(level)[v] for v in values}
+        coarse = _blend(fine, _weight(level), coarse)
+    found = stored(found.select("lang_key", "source_key", *[c.alias(v) for v, c in coarse.items()]))
+    return stored(_factored(found).drop("log_det"))
+
+
+def distance_bounds(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Squared distance beyond which a row of each (lang_key, source_key) is rejected: ``bound``.
+
+    Two quantiles of the bulk of the distances, on a logarithmic scale against those of the chi-squared
+    law, give a straight line; the bound is where it meets the wanted tail, and never below the
+    chi-squared quantile itself. The line of a group is blended like its moments.
+    """
+    p, tail = len(NAMES), chi2_quantile(1 - TAIL, len(NAMES))
+    rows = _levels(_distances(vectors, estimates, ["lang_key", "source_key"]), "d2")
+    by, levels = ["lang_key", "source_key"], [f"q_{k}" for k in range(len(BULK))]
+    bins = rows.groupBy(*by, F.round(F.log(F.greatest("d2", F.lit(1e-6))) * 100).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("n_rows", F.sum("n").over(W.partitionBy(*by)))
+    read = [(F.min(F.when(F.col("upto") >= share * F.col("n_rows"), F.col("bin"))) / 100).alias(q) for q, share in zip(levels, BULK, strict=True)]
+    table = stored(bins.groupBy(*by).agg(F.max("n_rows").alias("n_rows"), *read))
+    found, over_all = _chain(table, estimates.select(*by), ["n_rows", *levels])
+    law = [math.log(chi2_quantile(share, p)) for share in BULK]
+    found = found.withColumn("all", F.struct(*[F.lit(over_all[v] if over_all else None).cast("double").alias(v) for v in ["n_rows", *levels]]))
+    for k, q in enumerate(levels):
+        line = F.lit(law[k])
+        for level in ("all", "language", "own"):
+            line = F.coalesce(_weight(level) * F.col(level)[q], F.lit(0.0)) + (1 - _weight(level)) * line
+        found = found.withColumn(q, line)
+    slope = (F.col(levels[1]) - F.col(levels[0])) / (law[1] - law[0])
+    return found.select(*by, F.greatest(F.lit(tail), F.exp(F.col(levels[1]) + slope * (math.log(tail) - law[1]))).alias("bound"))
 
 
-def quality_estimates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Estimates from the documents that pass the base rules; stores one narrow row a document."""
-    rows = text_statistics(docs.select(_name("lang").alias("lang_key"), _name("source").alias("source_key"), F.col(text_col).alias("text")), whole_text("text"))
-    return robust_estimates(stored(rows.where(~base_failed()).select("lang_key", "source_key", *vector())))
+def limits(groups: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Blended estimates of all ``groups`` with their bounds, from the rows to learn from; stored."""
+    estimates = blended(groups, robust_estimates(vectors))
+    return stored(estimates.join(distance_bounds(vectors, estimates), ["lang_key", "source_key"]))
 
 
-def finest(groups: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The estimate that decides for each (lang_key, source_key): that of the group, else of the
-    language, else of all rows; stored, a row a group."""
-    values = [c for c in estimates.columns if c not in ("lang_key", "source_key", "n_rows")]
-    over_all = estimates.where((F.col("lang_key") == ALL) & (F.col("source_key") == ALL)).select(*values).first()  # one row
-    own = estimates.where((F.col("lang_key") != ALL) & (F.col("source_key") != ALL)).select("lang_key", "source_key", F.struct(*values).alias("own"))
-    language = estimates.where((F.col("lang_key") != ALL) & (F.col("source_key") == ALL)).select("lang_key", F.struct(*values).alias("language"))
-    pick = lambda c: F.coalesce(F.col("own")[c], F.col("language")[c], F.lit(over_all[c] if over_all else None).cast("double")).alias(c)
-    found = groups.select("lang_key", "source_key").distinct().join(own, ["lang_key", "source_key"], "left").join(language, "lang_key", "left")
-    return stored(found.select("lang_key", "source_key", *[pick(c) for c in values]))
+def passing(stats: DataFrame) -> DataFrame:
+    """The vectors of the rows to learn from: those that pass the base rules."""
+    return stats.where(~base_failed()).select("lang_key", "source_key", *vector())
 
 
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
     """Add ``distance`` (squared, null without an estimate), ``base_failed`` and ``kept``.
 
-    ``stats`` has lang_key, source_key and the statistics; ``estimates`` is what :func:`finest` gives.
+    ``stats`` has lang_key, source_key and the statistics; ``estimates`` is what :func:`limits` gives.
     """
     keep = stats.columns
-    rows = _distances(stats.select("*", *vector()), estimates, ["lang_key", "source_key"])
-    bound = chi2_quantile(1 - TAIL, len(NAMES))
+    rows = _distances(stats.select("*", *vector()), estimates, ["lang_key", "source_key"], "bound")
     return rows.select(
         *keep, F.col("d2").alias("distance"), base_failed().alias("base_failed"),
-        (~base_failed() & (F.coalesce("d2", F.lit(0.0)) <= bound)).alias("kept"),
+        (~base_failed() & F.coalesce(F.col("d2") <= F.col("bound"), F.lit(True))).alias("kept"),
     )
 
 
@@ -237,22 +315,24 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Judge every row: doc_id, the statistics, distance, base_failed, kept.
 
     Null text counts as empty and fails the base rules, as does any text under 50 words. A missing
-    language or source is a group like any other. Where no group, language or the whole table has
-    ``LEAST_ROWS`` passing rows, the base rules alone decide. Repeated rows are judged alike; an empty
-    table gives no rows. Jobs run for the estimates.
+    language or source is a group like any other. Where no row passes the base rules there is nothing
+    to learn from and distances are null. Very long texts are read whole. Repeated rows are judged
+    alike, and so are rows at the same distance; an empty table gives no rows. Jobs run for the estimates.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _name("lang").alias("lang_key"), _name("source").alias("source_key"), F.col(text_col).alias("text"))
     stats = stored(text_statistics(rows, whole_text("text")).drop("text"))
-    estimates = robust_estimates(stats.where(~base_failed()).select("lang_key", "source_key", *vector()))
-    return judged(stats, finest(stats, estimates))
+    return judged(stats, limits(stats, passing(stats)))
 
 
 def drop_rejected(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that are kept, with all their columns.
+    """The rows that are kept, with all their columns, decided as by :func:`quality_verdicts`.
 
     The statistics are computed a second time next to the rows, which costs less than sending the
-    texts through a join on their ids and is right for ids that occur more than once.
+    texts through a join on their ids and is right for ids that are null or occur more than once: no
+    id is read. Columns of any name stay as they are; an empty table gives no rows.
     """
+    narrow = docs.select(_name("lang").alias("lang_key"), _name("source").alias("source_key"), F.col(text_col).alias("text"))
+    learned = stored(passing(text_statistics(narrow, whole_text("text"))))
     rows = docs.select(F.struct("*").alias("row"), _name("lang").alias("lang_key"), _name("source").alias("source_key"))
     stats = text_statistics(rows, whole_text(F.col("row")[text_col]))
-    return judged(stats, finest(rows, quality_estimates(docs, text_col))).where("kept").select("row.*")
+    return judged(stats, limits(rows, learned)).where("kept").select("row.*")
