@@ -8,22 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salts_of(df: DataFrame) -> int:
-    """Salts for a join of this session: as many as it has shuffle partitions, so that a key with a large
-    part of the rows can be spread over all of them, in steps of eight."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-
-
 def salted_join(
     many: DataFrame, one: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Join rows to a side that is unique per key, spreading each key over ``salts`` tasks.
+    """Join rows to a side that is unique per key; a key with a large part of the rows is spread over tasks.
 
-    ``spread`` is a column of ``many`` that varies within a key. The unique side is repeated
-    once per salt; it holds one short row per key, so the copies are cheap next to a key that
-    holds a large part of the rows. Without ``salts`` their number follows the session.
+    Both sides are sorted and merged, never sent whole to the driver: the unique side has a row per key and
+    grows with the data. Adaptive execution splits a partition that a hot key swells and reads the one row
+    of that key again for every piece, so no key is copied in advance. With ``salts`` each key is spread
+    over that many tasks whatever the session does, at the price of as many copies of the unique side;
+    ``spread`` is then a column of ``many`` that varies within a key.
     """
-    salts = salts or salts_of(many)
+    if salts is None:
+        return many.join(one.hint("merge"), list(keys), how)
     left = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [*keys, "__salt"], how).drop("__salt")

@@ -155,13 +155,14 @@ def collect_datasets(
     the markets (``ticker``) known to be archived, by default those with any archived candle. Trades, points
     and candles are in time order within a contract.
 
-    An id may hold a large part of a table, so the join spreads each over many tasks. The choice and
+    An id may hold a large part of a table, so the joins spread such an id over many tasks. The choice and
     the ids are written once, because every dataset starts from them.
     """
     chosen, notice = select_contracts(rows, max_markets, pos)
     chosen = stored(chosen)
     pair = ["platform", "market_id"]
-    universe = rows.join(chosen.select(*pair), pair, "left_semi")
+    # Without a limit every identified contract is chosen and no row needs to be looked up.
+    universe = rows.dropna(subset=pair) if max_markets is None else rows.join(chosen.select(*pair), pair, "left_semi")
     wanted = sorted({d for venue in tables.values() for d in venue})
     routed = dataset_routes(universe, wanted, pos)
     routes = stored(routed["routes"])
