@@ -134,12 +134,16 @@ def _deepest_full(rows: DataFrame, keys: Sequence[str], bits: str, n: str, level
     return begun.withColumn(out, F.greatest("__held", ended)).drop("__upto", "__before", "__run", "__held")
 
 
-def split_saturated(rows: DataFrame, keys: Sequence[str], second: str, start: int, end: int, page_size: int, max_offset: int) -> DataFrame:
+def split_saturated(
+    rows: DataFrame, keys: Sequence[str], second: str, start: int, end: int, page_size: int, max_offset: int, max_requests: int = 200
+) -> DataFrame:
     """Windows a bisecting reader ends up with so that every one fits the offset budget.
 
     Inclusive windows of [start, end] are halved while they hold too many rows for the pages reachable
     under ``max_offset``. Windows are disjoint and cover the range, empty ones included, for every key
-    with a row in it; ``over_budget`` marks a single second that cannot be split further.
+    with a row in it; ``over_budget`` marks a single second that cannot be split further. ``requests``
+    counts the pages read of a window; ``incomplete`` marks keys that need more than ``max_requests`` in
+    total, the pages of windows given up for their halves included.
 
     Rows are counted by second. The upper half of the levels is a bucket: within a bucket, and
     among the buckets of a key, neighbours in time tell the smallest window with too many rows, so
@@ -180,6 +184,12 @@ def split_saturated(rows: DataFrame, keys: Sequence[str], second: str, start: in
         .agg(F.sum("w.n").alias("n_rows"), F.bool_or("w.leaf").alias("__leaf"), F.bool_or("w.held").alias("__held"))
         .filter(F.col("__leaf") | ~F.col("__held"))
     )
-    return computed(visited, __w=_window(F.col("way"), F.col("depth"), start, end)).select(
-        *keys, F.col("__w.lo").alias("window_start"), F.col("__w.hi").alias("window_end"), "n_rows", (F.col("n_rows") >= capacity).alias("over_budget")
-    )
+    pages = capacity // page_size
+    requests = F.when(F.col("n_rows") >= capacity, F.lit(pages).cast("bigint")).otherwise(F.floor(F.col("n_rows") / page_size) + 1)
+    read = visited.withColumn("requests", requests)
+    # Halving once gives one window more, so as many were given up as there are final ones less one, each at its full pages.
+    totals = read.groupBy(*keys).agg((F.sum("requests") + (F.count(F.lit(1)) - 1) * pages).alias("__total"))
+    return computed(read.join(totals, keys), __w=_window(F.col("way"), F.col("depth"), start, end)).select(
+        *keys, F.col("__w.lo").alias("window_start"), F.col("__w.hi").alias("window_end"), "n_rows", "requests",
+        (F.col("n_rows") >= capacity).alias("over_budget"), (F.col("__total") > max_requests).alias("incomplete"),
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from oddslake.functions import salted_join
+from oddslake.operators import timewindows
 
 
 def plan_of(df):
@@ -15,3 +16,24 @@ def test_joined_ids_are_neither_copied_nor_sent_to_the_driver(spark):
         plan = plan_of(salted_join(many, one, ["k"], F.col("id"), salts=salts))
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert "explode" not in plan_of(salted_join(many, one, ["k"], F.col("id")))
+
+
+def test_saturated_split_counts_the_requests_of_given_up_windows(spark):
+    times = [3, 3, 3, 9, 9, 9, 9, 9, 17, 18, 19, 20, 21, 40]
+    visited = []
+
+    def read(lo, hi):
+        n = sum(lo <= t <= hi for t in times)
+        visited.append(2 if n >= 4 else n // 2 + 1)
+        if n < 4 or lo == hi:
+            return {(lo, hi): visited[-1]}
+        mid = (lo + hi) // 2
+        return read(lo, mid) | read(mid + 1, hi)
+
+    wanted = read(3, 40)
+    df = spark.createDataFrame([("m", t) for t in times] + [("one", 5)], "market STRING, t BIGINT")
+    for limit in (sum(visited), sum(visited) - 1):
+        rows = timewindows.split_saturated(df, ["market"], "t", 3, 40, 2, 2, max_requests=limit).collect()
+        assert {(r["window_start"], r["window_end"]): r["requests"] for r in rows if r["market"] == "m"} == wanted
+        assert {r["incomplete"] for r in rows if r["market"] == "m"} == {sum(visited) > limit}
+        assert [(r["requests"], r["incomplete"]) for r in rows if r["market"] == "one"] == [(1, False)]
