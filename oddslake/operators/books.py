@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oddslake.functions import computed
 
-PRICE, SIZE = "decimal(18,10)", "decimal(28,10)"
+PRICE, SIZE, SCALE = "decimal(18,10)", "decimal(28,10)", "decimal(3,2)"
 LEVELS = "ARRAY<ARRAY<STRING>>"
 _BOOK = f"yes_dollars {LEVELS}, no_dollars {LEVELS}, yes {LEVELS}, no {LEVELS}"
 _CLOB = "asset_id STRING, market STRING, bids ARRAY<STRUCT<price:STRING,size:STRING>>, asks ARRAY<STRUCT<price:STRING,size:STRING>>"
@@ -25,18 +25,14 @@ def _decimal(text: Column, kind: str) -> Column:
     return F.when(text.rlike(DECIMAL_TEXT), F.trim(text).try_cast(kind))
 
 
-def _levels(book: Column, keys: Column, side: str) -> Column:
-    dollars = F.array_contains(keys, f"{side}_dollars")
-    raw = F.when(dollars, book[f"{side}_dollars"]).otherwise(book[side])
-    scale = F.when(dollars, F.lit("1")).otherwise(F.lit("0.01")).cast("decimal(3,2)")
-
-    def parse(level: Column) -> Column:
-        price = (_decimal(F.get(level, 0), PRICE) * scale).cast(PRICE)
-        size = _decimal(F.get(level, 1), SIZE)
-        ok = F.coalesce(price.between(0, 1) & (size >= 0), F.lit(False))
-        return F.struct(price.alias("price"), size.alias("size"), ok.alias("ok"))
-
-    return F.transform(F.coalesce(raw, F.array().cast(LEVELS)), parse)
+def _levels(raw: Column, scale: Column) -> Column:
+    """Parsed levels of a side. Nothing inside a lambda is shared, so each text is parsed in a step of its own."""
+    parsed = F.transform(
+        raw,
+        lambda level: F.struct((_decimal(F.get(level, 0), PRICE) * scale).cast(PRICE).alias("price"), _decimal(F.get(level, 1), SIZE).alias("size")),
+    )
+    ok = lambda x: F.coalesce(x["price"].between(0, 1) & (x["size"] >= 0), F.lit(False))
+    return F.transform(parsed, lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size"), ok(x).alias("ok")))
 
 
 def yes_book(books: DataFrame, payload: str = "data", strict: bool = False) -> DataFrame:
@@ -60,7 +56,14 @@ def yes_book(books: DataFrame, payload: str = "data", strict: bool = False) -> D
         __keys=F.coalesce(F.json_object_keys("__inner"), F.array().cast("array<string>")),
     )
     book, keys = F.col("__book"), F.col("__keys")
-    leveled = computed(parsed, __yes=_levels(book, keys, "yes"), __no=_levels(book, keys, "no"))
+    sides = {}
+    for side in ("yes", "no"):
+        dollars = F.array_contains(keys, f"{side}_dollars")
+        raw_levels = F.when(dollars, book[f"{side}_dollars"]).otherwise(book[side])
+        sides[f"__raw_{side}"] = F.coalesce(raw_levels, F.array().cast(LEVELS))
+        sides[f"__scale_{side}"] = F.when(dollars, F.lit("1").cast(SCALE)).otherwise(F.lit("0.01").cast(SCALE))
+    told = computed(parsed, **sides).drop("__keys")
+    leveled = computed(told, **{f"__{side}": _levels(F.col(f"__raw_{side}"), F.col(f"__scale_{side}")) for side in ("yes", "no")})
     bad = F.col("__book").isNull() | F.exists("__yes", lambda x: ~x["ok"]) | F.exists("__no", lambda x: ~x["ok"])
     error = F.when(F.col("__book").isNull(), F.lit("book is not an object")).when(
         bad, F.lit("invalid price or quantity")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from oddslake.functions import salted_join
-from oddslake.operators import timewindows
+from oddslake.operators import books, timewindows
 
 
 def plan_of(df):
@@ -37,3 +37,10 @@ def test_saturated_split_counts_the_requests_of_given_up_windows(spark):
         assert {(r["window_start"], r["window_end"]): r["requests"] for r in rows if r["market"] == "m"} == wanted
         assert {r["incomplete"] for r in rows if r["market"] == "m"} == {sum(visited) > limit}
         assert [(r["requests"], r["incomplete"]) for r in rows if r["market"] == "one"] == [(1, False)]
+
+
+def test_a_book_level_is_parsed_once(spark):
+    rows = books.yes_book(spark.createDataFrame([('{"yes":[["40","2"]],"no":[["0.5","x"]]}',)], "data STRING"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 4, plan
+    assert rows.first()["book_error"] == "invalid price or quantity"
