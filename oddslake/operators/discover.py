@@ -8,7 +8,7 @@ computed, because labels are the expensive part.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from oddslake.functions import (
+    computed,
     first_present,
     json_list,
     json_objects,
@@ -203,10 +204,26 @@ def event_priority(markets: Column) -> Column:
     )
 
 
+QUOTE_FIELDS = [
+    *[f"{side}{suffix}" for side in ("yes_bid", "yes_ask") for suffix in ("_dollars", "", "_size_fp", "_size")], "volume_24h_fp", "volume_24h",
+]
+
+
+def with_quotes(markets: DataFrame, market: str = "market", more: Sequence[str] = ()) -> DataFrame:
+    """Add the columns of :func:`quote_columns` and the text of ``more`` fields; each market is parsed once."""
+    fields = [*QUOTE_FIELDS, *[f for f in more if f not in QUOTE_FIELDS]]
+    told = markets.select("*", F.json_tuple(market, *fields).alias(*[f"__{f}" for f in fields]))
+    keyed = computed(told, __keys=F.json_object_keys(market))
+    quotes = _quotes(F.col("__keys"), lambda k: number(F.col(f"__{k}")))
+    return keyed.select(*markets.columns, *[c.alias(n) for n, c in quotes.items()], *[F.col(f"__{f}").alias(f) for f in more])
+
+
 def quote_columns(market: Column | str = "market") -> dict[str, Column]:
     """Columns :func:`event_closeness` needs, read from raw Kalshi market JSON."""
-    keys = F.json_object_keys(market)
-    value = lambda k: number(F.get_json_object(market, f"$.{k}"))
+    return _quotes(F.json_object_keys(market), lambda k: number(F.get_json_object(market, f"$.{k}")))
+
+
+def _quotes(keys: Column, value: Callable[[str], Column]) -> dict[str, Column]:
 
     def price(field: str) -> Column:
         present = F.array_contains(keys, f"{field}_dollars")

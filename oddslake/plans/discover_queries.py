@@ -88,8 +88,8 @@ def explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closest well-quoted market per order, from the raw market JSON of its lines."""
     markets = kalshi_candidates(spark, sf_dir).withColumn("event_ticker", F.get_json_object("event", "$.event_ticker"))
-    quotes = markets.select("event_ticker", "market").withColumns(discover.quote_columns())
-    quotes = quotes.withColumn("volume_24h", F.get_json_object("market", "$.open_interest").cast("double"))
+    quotes = discover.with_quotes(markets.select("event_ticker", "market"), more=["open_interest"])
+    quotes = quotes.withColumn("volume_24h", F.col("open_interest").cast("double"))
     rows = discover.event_closeness(quotes)
     return rows.select("event_ticker", F.round("distance", 6).alias("distance"), "volume_24h", "unquoted")
 

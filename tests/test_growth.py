@@ -1,9 +1,11 @@
 """Work that must grow no faster than its input."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from oddslake.functions import salted_join
-from oddslake.operators import books, timewindows
+from oddslake.operators import books, discover, timewindows
 
 
 def plan_of(df):
@@ -44,3 +46,15 @@ def test_a_book_level_is_parsed_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 4, plan
     assert rows.first()["book_error"] == "invalid price or quantity"
+
+
+def test_markets_are_parsed_once_for_their_quotes(spark):
+    payloads = [
+        {"yes_bid_dollars": "0.4", "yes_ask_dollars": None, "yes_ask": 55, "volume_24h": 7}, {"yes_bid": 40, "yes_ask": "45", "yes_bid_size_fp": "0"},
+        {"yes_bid_dollars": "x", "yes_bid": 1, "volume_24h_fp": None, "volume_24h": 3, "yes_ask_size": 2.5}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(9, None)], "i INT, market STRING")
+    quoted = discover.with_quotes(df, more=["yes_ask"])
+    names = ["i", "bid", "ask", "bid_size", "ask_size", "volume_24h"]
+    assert sorted(quoted.select(*names).collect()) == sorted(df.withColumns(discover.quote_columns()).select(*names).collect())
+    assert "get_json_object" not in quoted._jdf.queryExecution().optimizedPlan().toString()
