@@ -66,8 +66,13 @@ def _observed(run_time: Column | None) -> Column:
     return F.coalesce(truthy(F.col("observed_at")), moment)
 
 
+def _labelled(rows: DataFrame, taxonomy: Taxonomy | None, labels: bool) -> DataFrame:
+    """Rows with the labels of their ``__context``; without ``labels`` the label columns are null and cost nothing."""
+    return (classify(rows, "__context", taxonomy) if labels else rows).drop("__context")
+
+
 def normalize_polymarket(
-    candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None
+    candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None, labels: bool = True
 ) -> DataFrame:
     """One row per outcome token. Displayed price first; the YES book midpoint only where no
     price is shown, the market is available and neither quote is a 0/1 placeholder."""
@@ -140,7 +145,7 @@ def normalize_polymarket(
         .alias("__slots"),
     )
     # Labels depend on the market alone, so they are computed before outcomes are exploded.
-    labelled = classify(per_market, "__context", taxonomy).drop("__context")
+    labelled = _labelled(per_market, taxonomy, labels)
     slots = labelled.select("*", F.posexplode("__slots").alias("outcome_pos", "slot")).drop("__slots")
     quoted = (F.col("outcome_pos") == 0) & F.col("__yes_first")
     priced = computed(
@@ -210,7 +215,7 @@ SIZE_FIELDS = ["yes_bid_size", "yes_ask_size", "no_bid_size"]
 
 
 def normalize_kalshi(
-    candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None
+    candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None, labels: bool = True
 ) -> DataFrame:
     """One YES row per contract; settlement, then two-sided midpoint, then last trade."""
     parsed = computed(
@@ -305,7 +310,7 @@ def normalize_kalshi(
             ).alias("quality_flags"),
         )
     )
-    return _silver(classify(rows, "__context", taxonomy))
+    return _silver(_labelled(rows, taxonomy, labels))
 
 
 def normalize_candidates(

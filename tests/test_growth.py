@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from oddslake.functions import salted_join
+from oddslake.functions import latest_by, salted_join
 from oddslake.operators import books, discover, timewindows
+from oddslake.plans.normalize_queries import price_sources
 
 
 def plan_of(df):
@@ -58,3 +59,17 @@ def test_markets_are_parsed_once_for_their_quotes(spark):
     names = ["i", "bid", "ask", "bid_size", "ask_size", "volume_24h"]
     assert sorted(quoted.select(*names).collect()) == sorted(df.withColumns(discover.quote_columns()).select(*names).collect())
     assert "get_json_object" not in quoted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_position_that_only_orders_rows_is_not_carried(spark):
+    rows = latest_by(spark.range(4).selectExpr("id % 2 AS k", "id AS pos", "id * 2 AS v"), ["k"], F.col("pos"), drop=["pos"])
+    assert rows.columns == ["k", "v"] and sorted(tuple(r) for r in rows.collect()) == [(0, 4), (1, 6)]
+
+
+def test_text_batches_are_bounded_in_bytes(spark):
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 23
+
+
+def test_price_sources_do_not_compute_labels(spark):
+    plan = price_sources(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__found" not in plan and "__runs" not in plan
