@@ -76,17 +76,18 @@ def latest_by(
     copies: str | None = None,
     first_pos: str | None = None,
     more: Mapping[str, Column] | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key: the last (or first) by ``pos``, an orderable unique expression.
 
     Built as an aggregate, so copies of a hot key collapse on the map side. ``copies`` adds
     the number of rows behind each key, ``first_pos`` the position of the first of them, ``more``
-    other aggregates over them.
+    other aggregates over them. Columns of ``drop`` only order the rows and are not carried along.
     """
     if keep not in ("last", "first"):
         raise ValueError("keep must be 'last' or 'first'")
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in drop]
     pick = F.max_by if keep == "last" else F.min_by
     aggregates = [pick(F.struct(*rest) if rest else F.lit(1), pos).alias("__row")]
     if copies:

@@ -46,7 +46,7 @@ def contracts(rows: DataFrame, pos: str = "row_pos") -> DataFrame:
     wanted = ["condition_id", "event_id", "series_id", "series_ticker"]
     filled = rows.withColumns({c: F.lit(None).cast("string") for c in wanted if c not in rows.columns})
     slim = filled.select("platform", "market_id", *wanted, F.col(pos).alias("__pos"))
-    return latest_by(slim, ["platform", "market_id"], F.col("__pos"), "first", "outcomes", "first_pos").drop("__pos")
+    return latest_by(slim, ["platform", "market_id"], F.col("__pos"), "first", "outcomes", "first_pos", drop=["__pos"])
 
 
 def select_contracts(rows: DataFrame, max_markets: int | None = None, pos: str = "row_pos") -> tuple[DataFrame, DataFrame]:

@@ -72,7 +72,7 @@ def latest_snapshot(rows: DataFrame, fields: list[str] | None = None) -> DataFra
 
 def _latest(rows: DataFrame, fields: list[str], more: Mapping[str, Column] | None = None) -> DataFrame:
     keyed = with_key(_filled(rows, fields)).select(*KEY, F.col("row_pos").alias("__pos"), *fields)
-    return latest_by(keyed, KEY, F.col("__pos"), "last", "copies", "first_pos", more).drop("__pos")
+    return latest_by(keyed, KEY, F.col("__pos"), "last", "copies", "first_pos", more, ["__pos"])
 
 
 def duplicate_identities(rows: DataFrame) -> DataFrame:
