@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from oddslake.llm.common import lower_ascii, whole_text, words
 from oddslake.llm.shared_files import mapped_array, new_folder, write_array
 
-#: Tokens a task handles at once; bigram tokens per shard; documents per vocabulary range; how often a
-#: context occurs before its bigrams are spread over all shards; numbers per range of word statistics.
-CHUNK_TOKENS, SHARD_TOKENS, RANGE_ROWS, HOT_CONTEXT, RANGE_WORDS = 2_000_000, 6_000_000, 20_000, 200_000, 2_000_000
+#: Tokens a task counts at once and scores at once; bigram tokens per shard; documents per vocabulary range; how
+#: often a context occurs before its bigrams are spread over all shards; numbers per range of word statistics.
+#: Working arrays take some 100 bytes for each token scored at once and 70 for each bigram of a shard.
+CHUNK_TOKENS, SCORED_TOKENS, SHARD_TOKENS, RANGE_ROWS, HOT_CONTEXT, RANGE_WORDS = 1_000_000, 250_000, 1_500_000, 20_000, 200_000, 1_000_000
 #: The token that ends a text. It is no word's hash but for a 64-bit accident.
 END = np.uint64(0x5DEECE66D5DEECE6)
 _BLOCK = "shard BIGINT, kind INT, keys BINARY, counts BINARY"
@@ -81,7 +82,8 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for c in table.column(name).chunks for x in c), kind)
+    parts = [np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _summary(shard: int, counts: np.ndarray, total: int) -> pa.Table:
@@ -220,6 +222,26 @@ def _numbered(vocabulary: Vocabulary, tokens: np.ndarray, ends: np.ndarray) -> t
     return before, after, ends
 
 
+def _add_pairs(table: pa.Table, folder: str, range_words: int) -> pa.Table:
+    """Write a shard; give its summary and, by range of words, what it knows of each word."""
+    shard = table.column("shard")[0].as_py()
+    keys, counts = _added(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32))
+    write_array(folder, f"pairs-{shard}", keys)
+    write_array(folder, f"pair_counts-{shard}", counts.astype(np.uint32))
+    n = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
+    out = [pa.Table.from_batches([_block_rows(np.full(1, -1), np.array([shard], np.uint64), np.array([[len(keys), *n]], np.int64), -1)])]
+
+    def known(kind: int, numbers: np.ndarray) -> None:
+        words, n = np.unique(numbers, return_counts=True)
+        out.append(pa.Table.from_batches([_block_rows((words // np.uint32(range_words)).astype(np.int64), words, n.astype(np.uint32), kind)]))
+
+    known(0, keys.astype(np.uint32))  # the second word is the lower half
+    first = (keys >> np.uint64(32)).astype(np.uint32)
+    for kind, those in ((1, counts == 1), (2, counts == 2), (3, counts >= 3)):
+        known(kind, first[those])
+    return pa.concat_tables(out)
+
+
 def train(tokens: DataFrame, documents: int, folder: str, shard_tokens: int = SHARD_TOKENS, hot: int = HOT_CONTEXT, range_words: int = RANGE_WORDS) -> Model:
     """Count rows of token hashes and leave the model in ``folder``."""
     vocabulary = count_words(tokens, max(4, documents // RANGE_ROWS), folder)
@@ -236,21 +258,7 @@ def train(tokens: DataFrame, documents: int, folder: str, shard_tokens: int = SH
                 yield _block_rows(_shard_of(vocabulary, documents, shards, hot, first, second), keys, counts.astype(np.uint32))
 
     def add(table: pa.Table) -> pa.Table:
-        """Write a shard; give its summary and, by range of words, what it knows of each word."""
-        shard = table.column("shard")[0].as_py()
-        keys, counts = _added(_joined(table, "keys", np.uint64), _joined(table, "counts", np.uint32).astype(np.int64))
-        write_array(folder, f"pairs-{shard}", keys)
-        write_array(folder, f"pair_counts-{shard}", counts.astype(np.uint32))
-        n = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-        out = [pa.Table.from_batches([_block_rows(np.full(1, -1), np.array([shard], np.uint64), np.array([[len(keys), *n]], np.int64), -1)])]
-        second, before = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        first = keys >> np.uint64(32)
-        kinds = [(0, second, before)]
-        for kind, those in ((1, counts == 1), (2, counts == 2), (3, counts >= 3)):
-            kinds.append((kind, *np.unique(first[those], return_counts=True)))
-        for kind, numbers, n in kinds:
-            out.append(pa.Table.from_batches([_block_rows((numbers // np.uint64(range_words)).astype(np.int64), numbers.astype(np.uint32), n.astype(np.uint32), kind)]))
-        return pa.concat_tables(out)
+        return _add_pairs(table, folder, range_words)
 
     from oddslake.session import stored
 
@@ -323,7 +331,7 @@ def _scores(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, values, ends in chunks(batch):
+            for first, rows, values, ends in chunks(batch, SCORED_TOKENS):
                 before, after, ends = _numbered(vocabulary, values, ends)
                 starts = np.r_[0, ends[:-1]]
                 counts = vocabulary.counts(after)

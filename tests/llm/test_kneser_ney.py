@@ -1,11 +1,15 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from oddslake.llm import kneser_ney
 from oddslake.llm.common import held_out
 from oddslake.llm.kneser_ney import learn_and_score
 
@@ -72,3 +76,19 @@ def test_nothing_to_learn_from(docs, none):
     found = learn_and_score(docs, F.lit(False)).collect()
     assert found and all(r["score"] == 0 and r["base_score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in found)
     assert learn_and_score(none, F.lit(True)).count() == 0
+
+
+def test_a_task_holds_little(docs, tmp_path):
+    """Peak bytes of a batch of a million tokens to score, and of a whole shard, far below a worker's share."""
+    model = kneser_ney.train(kneser_ney.word_hashes(docs, "doc_id", "text"), docs.count(), str(tmp_path))
+    rng = np.random.default_rng(1)
+    batch = pa.record_batch({"doc_id": pa.array(range(100)), "tokens": pa.array(list(rng.integers(-(1 << 62), 1 << 62, (100, 10_000))))})
+    shard = [np.unique(rng.integers(0, 1 << 50, kneser_ney.SHARD_TOKENS // 10, dtype=np.uint64)) for _ in range(10)]
+    table = pa.Table.from_batches([kneser_ney._block_rows(np.full(len(b), 3), b, np.ones(len(b), np.uint32)) for b in shard])
+    steps = [lambda: sum(b.num_rows for b in kneser_ney._scores(model)(iter([batch]))), lambda: kneser_ney._add_pairs(table, str(tmp_path), 1 << 30)]
+    for step, most in zip(steps, (40e6, 128e6), strict=True):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
