@@ -37,9 +37,10 @@ from oddslake.session import stored
 WORDS, SIMILARITY, SHARD_ENTRIES, PIECE, STAR = 5, (75, 100), 1_000_000, 2_000, 1_000
 #: Bytes of bitmaps that a piece of a cluster holds.
 PIECE_BYTES = 32 << 20
-#: Documents that a shingle must be seen in to count as frequent, and how many such are kept, most
-#: frequent first. Both only steer the order of index entries; any order gives the same result.
-HOT_DOCUMENTS, HOT_SHINGLES = 64, 1_000_000
+#: Documents that a shingle must be seen in to steer the order of index entries, and to count as frequent;
+#: how many such are kept, most frequent first; and shingles that a task counts at once, since only those
+#: that it sees twice are told. All only steer the order; any order gives the same result.
+KNOWN_DOCUMENTS, HOT_DOCUMENTS, HOT_SHINGLES, WINDOW = 2, 64, 1_000_000, 2_000_000
 #: Index entries of a frequent subset are dealt over one shard for so many documents.
 SALT_DOCUMENTS = 100_000
 #: Least bits of a bitmap for each value of its set. With b bits a value, equal sizes and the default
@@ -197,11 +198,23 @@ _SEEN_DDL = "kind INT, doc_id BIGINT, n BIGINT, fp1 BIGINT, fp2 BIGINT, bits BIN
 
 
 def _look(similarity: tuple[int, int], n: int, tables: int):
-    """Row per document with its set's size, fingerprint and bitmap (kind 0), shingles that a slice
-    holds in several different sets (kind 1), and the factors that the bands need (kind 2)."""
+    """Row per document with its set's size, fingerprint and bitmap (kind 0), shingles that a window of
+    slices holds in several sets (kind 1), and the factors that the bands need (kind 2)."""
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
+
+    def several(held: list[np.ndarray]) -> list[tuple]:
+        keys = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        counts = np.diff(np.r_[starts, len(keys)])
+        keys, counts = keys[starts[counts > 1]], counts[counts > 1]
+        part = (mixed(keys) % np.uint64(tables)).astype(np.int64)
+        return [(1, p, 0, 0, 0, None, 0, keys[part == p].tobytes(), counts[part == p].astype(np.int64).tobytes()) for p in np.unique(part).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors: dict[int, int] = {}
+        held: list[np.ndarray] = []
         for batch in batches:
             for first, _, words, ends in slices(batch):
                 values, rows, sizes = shingle_sets(words, ends, n)
@@ -216,23 +229,19 @@ def _look(similarity: tuple[int, int], n: int, tables: int):
                         factors[b] = max(factors.get(b, 0), int(need[those & (band == b)].max()))
                     entries += np.where(those, bound + 1, 0)
                 out = list(zip([0] * len(ends), ids, sizes.tolist(), fp1.tolist(), fp2.tolist(), parity_bits(values, sizes), entries.tolist(), [None] * len(ends), [None] * len(ends), strict=True))
-                keys = np.sort(values[own])
-                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-                counts = np.diff(np.r_[starts, len(keys)])
-                keys, counts = keys[starts][counts > 1], counts[counts > 1]
-                part = (mixed(keys) % np.uint64(tables)).astype(np.int64)
-                for p in np.unique(part).tolist():
-                    out.append((1, p, 0, 0, 0, None, 0, keys[part == p].tobytes(), counts[part == p].astype(np.int64).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
-        if factors:
-            out = [(2, band, factor, 0, 0, None, 0, None, None) for band, factor in factors.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SEEN, strict=True)], schema=_SEEN)
+                held.append(values[own])
+                if sum(map(len, held)) >= WINDOW:
+                    out += several(held)
+                    held = []
+                yield batch_of(out)
+        if out := several(held) + [(2, band, factor, 0, 0, None, 0, None, None) for band, factor in factors.items()]:
+            yield batch_of(out)
 
     return run
 
 
 def _hot_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their documents, at most ``HOT_SHINGLES``."""
+    """Shingles known in several documents, and in how many, at most ``HOT_SHINGLES``."""
 
     def add(table: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
@@ -241,7 +250,7 @@ def _hot_shingles(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = keys[order], counts[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[starts], np.add.reduceat(counts, starts)
-        hot = counts >= HOT_DOCUMENTS
+        hot = counts >= KNOWN_DOCUMENTS
         return pa.table({"key": pa.array(keys[hot].view(np.int64)), "n": pa.array(counts[hot])})
 
     hot = seen.where("kind = 1").groupBy("doc_id").applyInArrow(add, "key BIGINT, n BIGINT")
@@ -331,7 +340,28 @@ _SALTED = np.uint64(1 << 63)
 _INDEX = pa.schema([("shard", pa.int64()), ("entries", pa.binary()), ("docs", pa.binary())])
 
 
-def _index(similarity: tuple[int, int], n: int, hot, factors: dict[int, int], coarse: dict[int, int], shards: int):
+def _among(values: np.ndarray, part: np.ndarray, folder: str, name: str, there: frozenset[int]) -> np.ndarray:
+    """Which values are in the sorted array of their part."""
+    out = np.zeros(len(values), bool)
+    for p in set(part.tolist()) & there:
+        known, here = mapped_array(folder, f"{name}-{p}", str(values.dtype)), part == p
+        at = np.minimum(np.searchsorted(known, values[here]), len(known) - 1)
+        out[here] = known[at] == values[here]
+    return out
+
+
+def _copy_keys(ids: np.ndarray, fp1: np.ndarray, fp2: np.ndarray) -> np.ndarray:
+    """A hash of a document's id and its set's fingerprint."""
+    return mixed(ids.view(np.uint64) ^ mixed(fp1.view(np.uint64) + _P * mixed(fp2.view(np.uint64))))
+
+
+#: Files that the keys of copies are dealt over.
+_PARTS = 64
+
+
+def _index(similarity: tuple[int, int], n: int, hot, factors: dict[int, int], coarse: dict[int, int], shards: int, folder: str, copies: frozenset[int]):
+    """Index entries by shard. Of equal sets only that of the smallest id is indexed: ``copies`` names
+    the files with the keys of the others."""
     by_band = np.array([FACTORS[factors.get(b, 0)] for b in range(40)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,8 +370,10 @@ def _index(similarity: tuple[int, int], n: int, hot, factors: dict[int, int], co
             for first, _, words, ends in slices(batch):
                 values, rows, sizes = shingle_sets(words, ends, n)
                 ids = batch.column("doc_id").slice(first, len(ends)).to_pylist()
-                lead = first_of_each(*fingerprints(values, sizes), sizes, ids)
+                prints = fingerprints(values, sizes)
                 idents = np.array([0 if i is None else i for i in ids], np.int64)
+                keys = _copy_keys(idents, *prints)
+                lead = first_of_each(*prints, sizes, ids) & ~_among(keys, (keys % np.uint64(_PARTS)).astype(np.int64), folder, "copies", copies)
                 seen = np.zeros(len(values), np.int64)
                 if len(hot_keys):
                     at = np.minimum(np.searchsorted(hot_keys, values), len(hot_keys) - 1)
@@ -554,6 +586,22 @@ class _Join:
         leads = self.sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("lead"))
         self.leads = stored(leads)
 
+    def copies(self, folder: str) -> frozenset[int]:
+        """Write the keys of the documents whose set has a smaller id, and name the files."""
+        later = self.sets.where("n > 0").join(self.leads, ["fp1", "fp2", "n"]).where("doc_id > lead").select("doc_id", "fp1", "fp2")
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = _copy_keys(*(batch.column(c).to_numpy() for c in ("doc_id", "fp1", "fp2")))
+                yield pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(_PARTS)).astype(np.int64)), pa.array(keys.view(np.int64))], names=["part", "key"])
+
+        def keep(table: pa.Table) -> pa.Table:
+            write_array(folder, f"copies-{table.column('part')[0].as_py()}", np.sort(table.column("key").to_numpy().view(np.uint64)))
+            return table.select(["part"]).slice(0, 1)
+
+        parts = later.mapInArrow(keyed, "part BIGINT, key BIGINT").groupBy("part").applyInArrow(keep, "part BIGINT")
+        return frozenset(r["part"] for r in parts.collect())  # at most ``_PARTS`` rows
+
     def groups(self) -> DataFrame:
         hot = _hot_shingles(self.seen)
         factors = {r["doc_id"]: r["f"] for r in self.seen.where("kind = 2").groupBy("doc_id").agg(F.max("n").alias("f")).collect()}  # a row a band
@@ -561,9 +609,10 @@ class _Join:
         shards = max(8, -(-total["e"] // SHARD_ENTRIES))
         coarse = self.coarse
         if coarse is None:
-            share = min(1.0, float(hot[1].sum()) / max(1, total["n"]))
+            share = min(1.0, float(hot[1][hot[1] >= HOT_DOCUMENTS].sum()) / max(1, total["n"]))
             coarse = {band: coarse_segments(band, share) for band in factors}
-        run = _index(self.similarity, self.n, self.spark.sparkContext.broadcast(hot), factors, coarse, shards)
+        folder = new_folder(self.spark, "copies")
+        run = _index(self.similarity, self.n, self.spark.sparkContext.broadcast(hot), factors, coarse, shards, folder, self.copies(folder))
         index = self.texts.mapInArrow(run, "shard BIGINT, entries BINARY, docs BINARY")
         found = index.groupBy("shard").applyInArrow(_groups, "entry BIGINT, piece BIGINT, docs ARRAY<BIGINT>")
         # Shards name a group of the same documents alike, so it is kept once.
@@ -578,18 +627,12 @@ class _Join:
             write_array(folder, f"ids-{table.column('part')[0].as_py()}", np.sort(table.column("doc_id").to_numpy()))
             return table.select(["part"]).slice(0, 1)
 
-        there = {r["part"] for r in ids.groupBy("part").applyInArrow(keep, "part BIGINT").collect()}  # at most ``parts`` rows
+        there = frozenset(r["part"] for r in ids.groupBy("part").applyInArrow(keep, "part BIGINT").collect())  # at most ``parts`` rows
         similarity_words = self.n
 
         def is_candidate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for ident, part in batches:
-                ident, part = ident.fill_null(0).to_numpy(), part.to_numpy()
-                out = np.zeros(len(ident), bool)
-                for p in set(part.tolist()) & there:
-                    known, here = mapped_array(folder, f"ids-{p}", "int64"), part == p
-                    at = np.minimum(np.searchsorted(known, ident[here]), len(known) - 1)
-                    out[here] = known[at] == ident[here]
-                yield pa.array(out)
+                yield pa.array(_among(ident.fill_null(0).to_numpy(), part.to_numpy(), folder, "ids", there))
 
         from pyspark.sql.functions import arrow_udf
 

@@ -191,3 +191,17 @@ def test_components(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert found == {x: find(x) for x in nodes}
     assert components(spark.createDataFrame([], "u BIGINT, v BIGINT")).count() == 0
+
+
+def test_copies_and_shared_passages_make_no_groups(spark):
+    """Copies in other partitions are not indexed again; subsets with words of their own come first, however rare the others."""
+    copies = [(i, prose(i % 20, 80), "en", "a") for i in range(60)]
+    passage = prose(900, 120)
+    shared = [(100 + i, prose(1000 + i, 110, 10**6) + " " + passage, "en", "a") for i in range(12)]
+    for rows, wanted in ((copies, [i % 20 for i in range(60)]), (shared, [100 + i for i in range(12)])):
+        docs = table(spark, rows).repartition(4, "doc_id") if rows is copies else table(spark, rows).coalesce(1)
+        join = J._Join(docs, "doc_id", "text", (75, 100), 5, None)
+        join.look()
+        assert join.groups().count() == 0
+        found = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(docs).collect()}
+        assert found == dict(zip((i for i, *_ in rows), wanted, strict=True))
