@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddslake.operators import books
-from oddslake.plans.registry import Query, json_text, table, text
+from oddslake.plans.registry import Query, json_text, spread_table, table, text
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -30,7 +30,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 3, json_text(orderbook_fp=json_text(yes_dollars=yes_levels, no_dollars=F.lit("null"))))
         .otherwise(dollars)
     )
-    return table(spark, sf_dir, "lineitem").select(*KEYS, data.alias("data"))
+    return spread_table(spark, sf_dir, "lineitem").select(*KEYS, data.alias("data"))
 
 
 SIDES = """
@@ -82,7 +82,7 @@ def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda p: F.concat(F.lit('[{"price":"'), p, F.lit('","size":"'), text("l_quantity"), F.lit('"}]'))
     asks = F.when(F.col("l_linenumber") == 2, F.lit("[]")).otherwise(one(price("l_discount")))
     data = json_text(asset_id=F.concat(F.lit('"'), text("l_orderkey"), F.lit('"')), bids=one(price("l_tax")), asks=asks)
-    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", data.alias("data"))
+    rows = spread_table(spark, sf_dir, "lineitem").select("l_linenumber", data.alias("data"))
     return books.ladder(books.clob_levels(rows), ["token_id"]).select(
         "token_id", "l_linenumber", "side", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size")
     )

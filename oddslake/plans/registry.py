@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worth much work each, dealt over the cores before that work.
+
+    A scan has one task per row group at most, and a row group may hold millions of narrow rows, each of which
+    becomes a payload to parse. The dealt columns are those of the scan, so the shuffle is about as large as the table.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, name).repartition(parts)
+
+
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 

@@ -49,3 +49,14 @@ def test_label_filter_does_not_repeat_the_patterns(spark):
     labelled = classify(spark.createDataFrame([("US GDP",)], "t STRING"), "t")
     tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert tree(select_topics(labelled)).count("nonfarm") == tree(labelled).count("nonfarm") > 0
+
+
+@pytest.mark.parametrize("name", ["normalize_kalshi_quotes", "normalize_polymarket_outcomes", "clob_book_levels"])
+def test_payload_rows_are_dealt_before_they_are_parsed(spark, name):
+    """One row group is one task; only the columns that the payload needs are dealt."""
+    from oddslake.plans import normalize_queries
+
+    plan = next(q for q in QUERIES if q.name == name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.rindex("Repartition") :]
+    assert "from_json" not in dealt and "get_json_object" not in dealt and "l_comment" not in dealt
+    assert normalize_queries.spread_table(spark, SF, "lineitem").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
