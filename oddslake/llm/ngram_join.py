@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddslake.llm.common import whole_text
+from oddslake.llm.common import batches_of, whole_text
 from oddslake.llm.components import components
 from oddslake.llm.shared_files import mapped_array, new_folder, write_array
 from oddslake.llm.text_arrays import mixed, slices
@@ -37,6 +37,9 @@ from oddslake.session import stored
 WORDS, SIMILARITY, SHARD_ENTRIES, PIECE, STAR = 5, (75, 100), 1_000_000, 2_000, 1_000
 #: Bytes of bitmaps that a piece of a cluster holds.
 PIECE_BYTES = 32 << 20
+#: Bytes of an Arrow batch here. Slices of a batch are worked on one by one, so larger ones only take memory:
+#: buffers outside the heap that an executor does not give back, and copies in its Python workers.
+BATCH_BYTES = "4m"
 #: Documents that a shingle must be seen in to steer the order of index entries, and to count as frequent;
 #: how many such are kept, most frequent first; and shingles that a task counts at once, since only those
 #: that it sees twice are told. All only steer the order; any order gives the same result.
@@ -628,28 +631,20 @@ class _Join:
             return table.select(["part"]).slice(0, 1)
 
         there = frozenset(r["part"] for r in ids.groupBy("part").applyInArrow(keep, "part BIGINT").collect())  # at most ``parts`` rows
-        similarity_words = self.n
-
-        def is_candidate(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for ident, part in batches:
-                yield pa.array(_among(ident.fill_null(0).to_numpy(), part.to_numpy(), folder, "ids", there))
-
-        from pyspark.sql.functions import arrow_udf
-
-        check = arrow_udf(is_candidate, "boolean")
-        ident = F.col(self.id_col).cast("bigint")
-        rows = self.docs.select(ident.alias("doc_id"), F.col(self.text_col).alias("text"))
-        rows = rows.where(F.col("doc_id").isNotNull() & check("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts))))
+        n = self.n
 
+        # Chosen and cut in one step: a second Python step in the task would be a second worker beside it.
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.filter(pa.array(_among(batch.column("doc_id").to_numpy(), batch.column("part").to_numpy(), folder, "ids", there)))
                 for first, _, words, ends in slices(batch):
-                    values, _, sizes = shingle_sets(words, ends, similarity_words)
+                    values, _, sizes = shingle_sets(words, ends, n)
                     stops = np.cumsum(sizes)
-                    own = [values[b - n : b].tobytes() for b, n in zip(stops, sizes, strict=True)]
+                    own = [values[b - k : b].tobytes() for b, k in zip(stops, sizes, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(own)), pa.array(own, pa.binary())], names=["doc_id", "values"])
 
-        return texts_of(rows, "doc_id", "text").mapInArrow(sets, "doc_id BIGINT, values BINARY")
+        rows = self.texts.where("doc_id IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+        return rows.mapInArrow(sets, "doc_id BIGINT, values BINARY")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of a stored table that are similar, compared on their whole sets."""
@@ -712,7 +707,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of a text whose shingles are the same, else it has none. An empty table gives no rows; other columns are not read. Shingles are
     compared by hashes of 52 bits. Runs jobs.
     """
-    return _Join(docs, id_col, text_col, similarity, n, coarse).run()
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return _Join(docs, id_col, text_col, similarity, n, coarse).run()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -205,3 +205,25 @@ def test_copies_and_shared_passages_make_no_groups(spark):
         assert join.groups().count() == 0
         found = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(docs).collect()}
         assert found == dict(zip((i for i, *_ in rows), wanted, strict=True))
+
+
+def test_one_worker_a_task(spark, docs):
+    """A task that runs two Python steps holds two workers at once."""
+    pairs = spark.createDataFrame([(2, 10), (2, 302)], "a BIGINT, b BIGINT")
+    fetched = J._Join(docs, "doc_id", "text", J.SIMILARITY, J.WORDS, None).fetch(pairs)
+    assert {r["doc_id"] for r in fetched.collect()} == {2, 10, 302}
+    plan = fetched._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_small_batches(spark, docs, monkeypatch):
+    """All jobs of the join run with its own bound on batches, and the session's is back afterwards."""
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", set(), J.stored
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16m")
+    try:
+        monkeypatch.setattr(J, "stored", lambda *a: (seen.add(spark.conf.get(key)), write(*a))[1])
+        J.near_duplicates(docs)
+        assert seen == {"4m"} and spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.set(key, before)
