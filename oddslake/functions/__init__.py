@@ -1,4 +1,4 @@
-from oddslake.functions.computed import computed
+from oddslake.functions.computed import computed, fenced
 from oddslake.functions.joins import salted_join
 from oddslake.functions.ordered import lag_ordered, latest_by, row_number_ordered, running_sum
 from oddslake.functions.scalar import (
@@ -31,6 +31,7 @@ __all__ = [
     "computed",
     "csv_safe_column",
     "exact",
+    "fenced",
     "finite",
     "first_present",
     "fingerprint",

@@ -26,7 +26,7 @@ def number(text: Column) -> Column:
     The text is referred to once only, so that uses of this inside other expressions do not
     multiply the parse.
     """
-    parsed = F.translate(F.regexp_extract(text.cast("string"), NUMBER_TEXT, 1), "_", "").try_cast("double")
+    parsed = F.replace(F.regexp_extract(text.cast("string"), NUMBER_TEXT, 1), F.lit("_"), F.lit("")).try_cast("double")
     infinite = float("inf")
     return F.get(F.array_remove(F.array_remove(F.array(parsed), infinite), -infinite), 0)
 
@@ -84,7 +84,7 @@ def json_objects(text: Column) -> Column:
 
 def sorted_set(*flags: Column) -> Column:
     """Sorted distinct array of the flags that are not null."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
+    return F.sort_array(F.array_except(F.array(*flags), F.array(F.lit(None).cast("string"))))
 
 
 def book_flags(bid: Column, ask: Column) -> tuple[Column, Column]:

@@ -71,7 +71,9 @@ def tokens(text: Column) -> Column:
     """
     special = text.contains("İ") | text.contains("ı") | F.lower(text).contains("ς") | text.contains("Σ")
     mapped = F.translate(F.lower(F.translate(text, "İı", "ii")), "ς", "σ")
-    return F.split(F.when(special, mapped).otherwise(F.lower(text)), r"[^\p{L}\p{N}]+")
+    lowered = F.when(~ascii_only(text) & special, mapped).otherwise(F.lower(text))
+    # A pattern in split is compiled for every row.
+    return F.split(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "), " ")
 
 
 def term_tokens(term: str) -> list[str]:

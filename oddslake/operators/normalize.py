@@ -16,6 +16,7 @@ from oddslake.functions import (
     casefold,
     cents,
     computed,
+    fenced,
     first_present,
     json_list,
     midpoint,
@@ -202,12 +203,15 @@ def _silver(rows: DataFrame) -> DataFrame:
     )
 
 
-def keyed_price(keys: Column, field: str, numbers: str = "n") -> Column:
+def has_key(name: str) -> Column:
+    """Whether a parsed market has the key, even as null; ``__null_keys`` holds the keys where a null is possible."""
+    return F.col(f"m.{name}").isNotNull() | F.coalesce(F.array_contains("__null_keys", name), F.lit(False))
+
+
+def keyed_price(field: str) -> Column:
     """Dollar field if its key is present, even when null; else the legacy cent field."""
-    dollars, legacy = F.col(f"{numbers}.{field}_dollars"), cents(F.col(f"{numbers}.{field}"))
-    return F.when(dollars.isNotNull() | F.array_contains(keys, f"{field}_dollars"), valid_probability(dollars)).otherwise(
-        valid_probability(legacy)
-    )
+    dollars, legacy = F.col(f"__{field}_dollars"), cents(F.col(f"__{field}"))
+    return F.when(F.col(f"__keyed_{field}"), valid_probability(dollars)).otherwise(valid_probability(legacy))
 
 
 PRICE_FIELDS = ["yes_bid", "yes_ask", "no_bid", "last_price"]
@@ -218,48 +222,64 @@ def normalize_kalshi(
     candidates: DataFrame, taxonomy: Taxonomy | None = None, run_time: Column | None = None, labels: bool = True
 ) -> DataFrame:
     """One YES row per contract; settlement, then two-sided midpoint, then last trade."""
-    parsed = computed(
-        candidates,
-        m=F.from_json("market", schemas.KALSHI_MARKET),
-        e=F.from_json(F.coalesce("event", F.lit("{}")), schemas.EVENT),
-        __keys=F.json_object_keys("market"),
+    # The keys matter only where a value is null, which takes the word in the payload.
+    null_keys = F.when(F.contains("market", F.lit("null")), F.json_object_keys("market"))
+    parsed = candidates.select(
+        "*",
+        F.from_json("market", schemas.KALSHI_MARKET).alias("m"),
+        F.from_json(F.coalesce("event", F.lit("{}")), schemas.EVENT).alias("e"),
+        null_keys.alias("__null_keys"),
     )
     m = lambda name: F.col(f"m.{name}")
-    keys = F.col("__keys")
     title = F.coalesce(truthy(m("title")), truthy(F.col("e.title")), truthy(m("ticker")), F.lit(""))
     subtitle = F.coalesce(truthy(m("yes_sub_title")), truthy(m("subtitle")), F.lit(""))
-    # Text becomes numbers first; the price rules below then only combine plain columns.
-    prices = [f"{field}{suffix}" for field in PRICE_FIELDS for suffix in ("_dollars", "")]
-    numbers = F.struct(
-        *[number(m(name)).alias(name) for name in prices],
-        *[number(first_present(m(f"{name}_fp"), m(name))).alias(name) for name in SIZE_FIELDS],
+    # One projection reads all that the payload holds, with text made numbers, and no later one carries the payload;
+    # the price rules below then only combine plain columns.
+    settled = F.coalesce(m("result").isin("yes", "no") & m("status").isin(*SETTLED_STATUSES), F.lit(False))
+    numbered = parsed.select(
+        "row_pos",
+        *[number(m(f"{field}{suffix}")).alias(f"__{field}{suffix}") for field in PRICE_FIELDS for suffix in ("_dollars", "")],
+        *[has_key(f"{field}_dollars").alias(f"__keyed_{field}") for field in PRICE_FIELDS],
+        *[number(first_present(m(f"{name}_fp"), m(name))).alias(f"__{name}") for name in SIZE_FIELDS],
+        (has_key("yes_ask_dollars") | has_key("yes_ask")).alias("__own_ask"),
+        (~F.coalesce(m("market_type"), F.lit("")).isin("", "binary")).alias("__nonbinary"),
+        F.when(settled, m("result")).alias("__result"),
+        title.alias("__title"),
+        subtitle.alias("__subtitle"),
+        *([context_text("m", "e").alias("__context")] if labels else []),
+        _observed(run_time).alias("observed_at"),
+        _text(m("ticker")).alias("market_id"),
+        first_present(m("event_ticker"), F.col("e.event_ticker")).alias("event_id"),
+        first_present(m("series_ticker"), F.col("e.series_ticker")).alias("series_id"),
+        m("yes_sub_title").alias("outcome_label"),
+        number(first_present(m("volume_fp"), m("volume"))).alias("volume"),
+        number(first_present(m("volume_24h_fp"), m("volume_24h"))).alias("volume_24h"),
+        number(first_present(m("open_interest_fp"), m("open_interest"))).alias("open_interest"),
+        first_present(
+            m("close_time"), m("expected_expiration_time"), m("expiration_time"), m("latest_expiration_time")
+        ).alias("end_date"),
+        F.concat_ws("\n\n", truthy(m("rules_primary")), truthy(m("rules_secondary"))).alias("rules"),
+        m("status").alias("status"),
+        F.when(has_key("market_type"), m("market_type")).otherwise(F.lit("binary")).alias("market_type"),
+        m("updated_time").alias("source_updated_at"),
     )
-    numbered = computed(parsed, n=numbers)
-    empty = lambda side: F.coalesce(F.col(f"n.{side}_size") == 0, F.lit(False))
-    own_ask = F.array_contains(keys, "yes_ask_dollars") | F.array_contains(keys, "yes_ask")
-    no_bid = keyed_price(keys, "no_bid")
-    complement = (F.lit(1).cast("decimal(28,18)") - exact(no_bid)).cast("double")
-    yes_ask = F.when(own_ask, F.when(~empty("yes_ask"), keyed_price(keys, "yes_ask"))).when(
+    empty = lambda side: F.coalesce(F.col(f"__{side}_size") == 0, F.lit(False))
+    complement = (F.lit(1).cast("decimal(28,18)") - exact(keyed_price("no_bid"))).cast("double")
+    yes_ask = F.when(F.col("__own_ask"), F.when(~empty("yes_ask"), keyed_price("yes_ask"))).when(
         ~empty("no_bid") & ~empty("yes_ask"), complement
     )
-    quoted = computed(
-        numbered,
-        __title=title,
-        __subtitle=subtitle,
-        bid=F.when(~empty("yes_bid"), keyed_price(keys, "yes_bid")),
-        ask=yes_ask,
-        __last=keyed_price(keys, "last_price"),
-    )
+    prices = {
+        "bid": F.when(~empty("yes_bid"), keyed_price("yes_bid")), "ask": yes_ask, "__last": keyed_price("last_price"),
+    }
+    used = [c for c in numbered.columns if c != "__own_ask" and not c.startswith(tuple(f"__{x}" for x in (*PRICE_FIELDS, *SIZE_FIELDS, "keyed")))]
+    quoted = fenced(numbered.select(*used, *[c.alias(name) for name, c in prices.items()]), "row_pos", "observed_at")
     bid, ask, last = F.col("bid"), F.col("ask"), F.col("__last")
     spread, book_flag = book_flags(bid, ask)
-    nonbinary = ~F.coalesce(m("market_type"), F.lit("")).isin("", "binary")
-    settled = F.coalesce(m("result").isin("yes", "no") & m("status").isin(*SETTLED_STATUSES), F.lit(False))
     two_sided = F.col("spread").isNotNull()
-    kind = F.when(F.array_contains(keys, "market_type"), m("market_type")).otherwise(F.lit("binary"))
     appended = (F.col("__subtitle") != "") & ~F.contains(casefold(F.col("__title")), casefold(F.col("__subtitle")))
     source = (
-        F.when(nonbinary, F.lit(None).cast("string"))
-        .when(settled, F.lit("settlement_result"))
+        F.when(F.col("__nonbinary"), F.lit(None).cast("string"))
+        .when(F.col("__result").isNotNull(), F.lit("settlement_result"))
         .when(two_sided, F.lit("yes_book_midpoint"))
         .when(last.isNotNull(), F.lit("last_trade"))
     )
@@ -269,45 +289,24 @@ def normalize_kalshi(
         .withColumn("price_source", source)
         .withColumn(
             "probability",
-            F.when(F.col("price_source") == "settlement_result", (m("result") == "yes").cast("double"))
+            F.when(F.col("price_source") == "settlement_result", (F.col("__result") == "yes").cast("double"))
             .when(F.col("price_source") == "yes_book_midpoint", midpoint(bid, ask))
             .when(F.col("price_source") == "last_trade", last),
         )
         .withColumn("title", F.when(appended, F.concat_ws(" — ", "__title", "__subtitle")).otherwise(F.col("__title")))
-        .select(
-            "row_pos",
-            F.lit(0).alias("outcome_pos"),
-            context_text("m", "e").alias("__context"),
-            F.lit("kalshi").alias("platform"),
-            "title",
-            _observed(run_time).alias("observed_at"),
-            _text(m("ticker")).alias("market_id"),
-            first_present(m("event_ticker"), F.col("e.event_ticker")).alias("event_id"),
-            first_present(m("series_ticker"), F.col("e.series_ticker")).alias("series_id"),
-            F.lit("Yes").alias("outcome"),
-            m("yes_sub_title").alias("outcome_label"),
-            "probability",
-            "price_source",
-            "bid",
-            "ask",
-            "spread",
-            number(first_present(m("volume_fp"), m("volume"))).alias("volume"),
-            F.lit("contracts").alias("volume_unit"),
-            number(first_present(m("volume_24h_fp"), m("volume_24h"))).alias("volume_24h"),
-            number(first_present(m("open_interest_fp"), m("open_interest"))).alias("open_interest"),
-            first_present(
-                m("close_time"), m("expected_expiration_time"), m("expiration_time"), m("latest_expiration_time")
-            ).alias("end_date"),
-            F.concat_ws("\n\n", truthy(m("rules_primary")), truthy(m("rules_secondary"))).alias("rules"),
-            m("status").alias("status"),
-            kind.alias("market_type"),
-            m("updated_time").alias("source_updated_at"),
-            sorted_set(
-                F.col("__book_flag"),
-                F.when(nonbinary, F.lit("nonbinary_contract_price_is_not_probability")),
-                F.when(F.col("price_source") == "last_trade", F.lit("last_trade_may_be_stale")),
-                F.lit("kalshi_liquidity_deprecated"),
-            ).alias("quality_flags"),
+        .withColumns(
+            {
+                "outcome_pos": F.lit(0),
+                "platform": F.lit("kalshi"),
+                "outcome": F.lit("Yes"),
+                "volume_unit": F.lit("contracts"),
+                "quality_flags": sorted_set(
+                    F.col("__book_flag"),
+                    F.when(F.col("__nonbinary"), F.lit("nonbinary_contract_price_is_not_probability")),
+                    F.when(F.col("price_source") == "last_trade", F.lit("last_trade_may_be_stale")),
+                    F.lit("kalshi_liquidity_deprecated"),
+                ),
+            }
         )
     )
     return _silver(_labelled(rows, taxonomy, labels))

@@ -48,7 +48,7 @@ PATTERN_TOKENS = {
     CHAMBER_SHORTHAND: ["midterm", "midterms", "congressional", "senate", "congress", "house", "control"],
     MIDTERM_WORD: ["midterm", "midterms"],
 }
-_FOUND = "array<struct<slot:string,label:string>>"
+_FOUND = "array<struct<slot:string,label:string,topic:string>>"
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,8 @@ class TermIndex:
         # One run of letters and digits and nothing else: a token equal to it is the term, unless an
         # underscore stands beside it.
         plain = [term.casefold().replace("ς", "σ")] == words
-        self.rules[" ".join(words)].append({"slot": slot, "label": term, "pattern": term_pattern(term), "plain": plain})
+        rule = {"slot": slot, "label": term, "topic": _topic(slot), "pattern": term_pattern(term), "plain": plain}
+        self.rules[" ".join(words)].append(rule)
 
     def runs(self, words: Column) -> Column:
         """The runs of tokens of a text that are in the index, each once."""
@@ -89,37 +90,43 @@ class TermIndex:
             return F.array().cast("array<string>")
         longest = max(k.count(" ") for k in keys) + 1
         firsts = sorted({k.split(" ")[0] for k in keys})
-        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(firsts), i + 1)), lambda i: i.isNotNull())
-        run = lambda i, n: F.array_join(F.slice(words, i, n), " ")
-        begun = F.flatten(F.transform(places, lambda i: F.array(*[run(i, n) for n in range(1, longest + 1)])))
+        several = sorted({k.split(" ")[0] for k in keys if " " in k})
+        run = lambda i, n: F.array_join(F.slice(words, i + 1, n), " ")
+        begin = lambda w, i: F.when(w.isin(several), F.array(w, *[run(i, n) for n in range(2, longest + 1)]))
+        none = F.array().cast("array<string>")
+        begun = F.flatten(F.transform(words, lambda w, i: begin(w, i).when(w.isin(firsts), F.array(w)).otherwise(none)))
         return F.array_distinct(F.filter(begun, lambda r: r.isin(keys)))
 
     def found(self, text: Column, runs: Column) -> Column:
-        """Slot and label of the terms the text holds, given its ``runs``."""
-        rules = F.from_json(F.lit(json.dumps(self.rules)), "map<string,array<struct<slot:string,label:string,pattern:string,plain:boolean>>>")
+        """Slot, label and topic of the terms the text holds, given its ``runs``."""
+        rules = F.from_json(F.lit(json.dumps(self.rules)), "map<string,array<struct<slot:string,label:string,topic:string,pattern:string,plain:boolean>>>")
         bare = ~text.contains("_")
         met = lambda rule: (rule["plain"] & bare) | F.rlike(text, rule["pattern"])
-        out = F.transform(F.flatten(F.transform(runs, lambda r: F.filter(F.element_at(rules, r), met))), lambda r: F.struct(r["slot"], r["label"]))
+        out = F.transform(F.flatten(F.transform(runs, lambda r: F.filter(F.element_at(rules, r), met))), lambda r: F.struct(r["slot"], r["label"], r["topic"]))
         if self.loose:
             tests = [F.when(text.rlike(term_pattern(term)), _hit(slot, term)) for slot, term in self.loose]
             out = F.concat(out, F.array_compact(F.array(*tests)))
         return out.cast(_FOUND)
 
 
+def _topic(slot: str) -> str | None:
+    return slot.removeprefix("topic ") if slot.startswith("topic ") else None
+
+
 def _hit(slot: str, label: str) -> Column:
-    return F.struct(F.lit(slot).alias("slot"), F.lit(label).alias("label"))
+    return F.struct(F.lit(slot).alias("slot"), F.lit(label).alias("label"), F.lit(_topic(slot)).cast("string").alias("topic"))
 
 
 @dataclass(frozen=True)
 class Text:
-    """A text column with the runs of its tokens that are in the index, and the terms found."""
+    """A text column with the runs of its tokens that are in the index, and the slots of the terms found."""
 
     text: Column
     runs: Column
-    found: Column
+    slots: Column
 
     def has_group(self, group: str) -> Column:
-        return F.exists(self.found, lambda f: f["slot"] == f"group {group}")
+        return F.array_contains(self.slots, f"group {group}")
 
     def matches(self, pattern: str) -> Column:
         """Case-insensitive search for one of the fixed patterns."""
@@ -159,7 +166,7 @@ def exclusion_reason(t: Text, taxonomy: Taxonomy) -> Column:
 
 
 def pattern_evidence(text: Column, taxonomy: Taxonomy) -> Column:
-    """Slot and label of the taxonomy's own patterns that a text matches, ignoring case."""
+    """Slot, label and topic of the taxonomy's own patterns that a text matches, ignoring case."""
     tests = [
         F.when(text.rlike("(?iuUd)" + pattern), _hit(f"topic {topic}", label))
         for topic in taxonomy.topics
@@ -172,33 +179,36 @@ def classify(df: DataFrame, text_col: str, taxonomy: Taxonomy | None = None) ->
     """Add topics, matched_terms, sectors, relevance_score and exclude_reason to each row."""
     taxonomy = taxonomy or Taxonomy.default()
     index = TermIndex.of(taxonomy)
-    text = Text(F.col("__text"), F.col("__runs"), F.col("__found"))
-    composed = computed(df, __text=nfkc(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    announced = computed(composed.withColumn("__tokens", tokens(text.text)), __runs=index.runs(F.col("__tokens")))
-    met = computed(announced, __found=index.found(text.text, text.runs))
-    reasoned = computed(met, __why=exclusion_reason(text, taxonomy))
-    in_scope = F.col("__why").isNull()
-    evidence = computed(
-        reasoned, __evidence=F.when(in_scope, F.concat(F.filter("__found", lambda f: f["slot"].startswith("topic ")), pattern_evidence(text.text, taxonomy)))
-    )
-    topic_of = lambda f: F.substring(f["slot"], len("topic ") + 1, 1 << 30)
+    text = Text(F.col("__text"), F.col("__runs"), F.col("__found.slot"))
+    # Plain projections up to the labels: a generator copies the whole row, and the one at the end keeps filters on
+    # any label above all of them. Spark merges projections only where a column is read once, so no column may be
+    # read just inside a lambda, where it would be made again for each element.
+    composed = df.withColumn("__text", nfkc(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    announced = composed.withColumn("__tokens", tokens(text.text)).withColumn("__runs", index.runs(F.col("__tokens"))).drop("__tokens")
+    met = announced.withColumn("__found", index.found(text.text, text.runs))
+    reasoned = met.withColumn("__why", exclusion_reason(text, taxonomy))
+    terms = F.concat(F.filter("__found", lambda f: f["topic"].isNotNull()), pattern_evidence(text.text, taxonomy))
+    evidence = reasoned.withColumn("__evidence", F.when(F.col("__why").isNull(), terms).otherwise(F.array().cast(_FOUND)))
     dated = [t for t in sorted(taxonomy.topics) if taxonomy.topics[t].get("requires_election_cycle")]
-    # The election cycle is only looked for where a topic depends on it.
-    asks = F.exists("__evidence", lambda f: topic_of(f).isin(dated)) if dated else F.lit(False)
-    timed = computed(evidence, __cycle=F.when(asks, explicit_cycle(text)))
-    kept = F.filter("__evidence", lambda f: F.col("__cycle") | ~topic_of(f).isin(dated)) if dated else F.col("__evidence")
-    chosen = computed(timed, __kept=F.coalesce(kept, F.array().cast(_FOUND)))
-    labelled = computed(chosen, topics=F.array_sort(F.array_distinct(F.transform("__kept", topic_of))))
-    topics = F.col("topics")
-    terms_of = lambda n: F.transform(F.filter("__kept", lambda f: topic_of(f) == n), lambda f: f["label"])
+    kept = F.col("__evidence")
+    if dated:
+        # The election cycle is only looked for where a topic depends on it.
+        asks = F.arrays_overlap("__evidence.topic", F.array(*[F.lit(t) for t in dated]))
+        evidence = evidence.withColumn("__cycle", F.when(asks, explicit_cycle(text)))
+        kept = F.when(F.col("__cycle"), kept).otherwise(F.filter(kept, lambda f: ~f["topic"].isin(dated)))
+    chosen = evidence.withColumn("__chosen", kept)
+    names = F.sort_array(F.array_distinct("__chosen.topic"))
+    labelled = computed(chosen, __topics=names, __kept=F.col("__chosen"), __reason=F.col("__why"))
+    topics = F.col("__topics")
+    terms_of = lambda n: F.transform(F.filter("__kept", lambda f: f["topic"] == n), lambda f: f["label"])
     sectors = F.from_json(F.lit(json.dumps({t: taxonomy.sectors(t) for t in taxonomy.topics})), "map<string,array<string>>")
     return labelled.select(
         *df.columns,
-        topics,
-        F.map_from_arrays(topics, F.transform(topics, lambda n: F.array_sort(F.array_distinct(terms_of(n))))).alias("matched_terms"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(topics, lambda n: F.element_at(sectors, n))))).alias("sectors"),
+        topics.alias("topics"),
+        F.map_from_arrays(topics, F.transform(topics, lambda n: F.sort_array(F.array_distinct(terms_of(n))))).alias("matched_terms"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform(topics, lambda n: F.element_at(sectors, n))))).alias("sectors"),
         (F.size(topics) + F.when(F.array_contains(topics, ELECTION_TOPIC), 5).otherwise(0)).alias("relevance_score"),
-        F.coalesce(F.col("__why"), F.when(F.size(topics) == 0, F.lit("no_target_topic"))).alias("exclude_reason"),
+        F.coalesce(F.col("__reason"), F.when(F.size(topics) == 0, F.lit("no_target_topic"))).alias("exclude_reason"),
     )
 
 

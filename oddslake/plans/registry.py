@@ -53,10 +53,15 @@ def epoch(column: str) -> Column:
 
 def json_text(**fields: Column) -> Column:
     """JSON object text from already rendered JSON values, keys in the given order."""
+    return F.concat(F.lit("{"), json_members(**fields), F.lit("}"))
+
+
+def json_members(**fields: Column) -> Column:
+    """The members of such an object, without its braces."""
     parts = []
     for i, (name, value) in enumerate(fields.items()):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), value]
-    return F.concat(*parts, F.lit("}"))
+        parts += [F.lit(("" if i == 0 else ",") + f'"{name}":'), value]
+    return F.concat(*parts)
 
 
 def quoted(value: Column) -> Column:
