@@ -8,7 +8,7 @@ join is then one-to-one on the identity.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,8 +111,10 @@ def compare(
     return _judged(joined, wide_spread, thin_volume)
 
 
-def _judged(joined: DataFrame, wide_spread: float, thin_volume: Mapping[str, float] | None) -> DataFrame:
-    """Current rows beside their ``prev_`` columns to flags, comparability and change."""
+def _judged(
+    joined: DataFrame, wide_spread: float, thin_volume: Mapping[str, float] | None, more: Sequence[Column] = ()
+) -> DataFrame:
+    """Current rows beside their ``prev_`` columns to flags, comparability and change, with ``more`` columns."""
     limits = dict(thin_volume or THIN_VOLUME)
     limit = F.lit(None).cast("double")
     for venue, value in limits.items():
@@ -169,18 +171,19 @@ def _judged(joined: DataFrame, wide_spread: float, thin_volume: Mapping[str, flo
         ).alias("change_pp"),
         F.col("copies"),
         F.col("first_pos"),
+        *more,
     )
 
 
-def changes(compared: DataFrame) -> DataFrame:
+def _sorted(rows: DataFrame, ordered: bool, *order: Column | str) -> DataFrame:
+    return rows.orderBy(*order) if ordered else rows
+
+
+def changes(compared: DataFrame, *, ordered: bool = True) -> DataFrame:
     """Comparable identities, largest absolute move first."""
-    return (
-        compared.filter(F.col("change_pp").isNotNull())
-        .orderBy(F.abs("change_pp").desc(), "first_pos")
-        .select(
-            *IDENTITY, "previous_probability", "probability", "change_pp", "previous_observed_at", "observed_at",
-            "price_source", "quality_flags",
-        )
+    return _sorted(compared.filter(F.col("change_pp").isNotNull()), ordered, F.abs("change_pp").desc(), "first_pos").select(
+        *IDENTITY, "previous_probability", "probability", "change_pp", "previous_observed_at", "observed_at",
+        "price_source", "quality_flags",
     )
 
 
@@ -203,36 +206,34 @@ def review_reasons(minimum_move_pp: float, comparison_requested: bool) -> Column
 
 
 def watchlist(
-    compared: DataFrame, *, minimum_move_pp: float = MINIMUM_MOVE_PP, comparison_requested: bool = True
+    compared: DataFrame,
+    *,
+    minimum_move_pp: float = MINIMUM_MOVE_PP,
+    comparison_requested: bool = True,
+    ordered: bool = True,
 ) -> DataFrame:
     """Rows with a reason or a topic: midterm rows first, then by absolute move."""
     labelled = compared.filter(_has_identity()).withColumn(
         "reasons", review_reasons(minimum_move_pp, comparison_requested)
     )
     default = F.array(F.lit("target_topic_coverage"))
-    return (
-        labelled.filter((F.size("reasons") > 0) | (F.coalesce(F.size("topics"), F.lit(0)) > 0))
-        .orderBy(
-            F.array_contains("reasons", MIDTERM_REASON).desc(),
-            F.coalesce(F.abs("change_pp"), F.lit(0.0)).desc(),
-            "first_pos",
-        )
-        .select(
-            *IDENTITY,
-            "probability",
-            "change_pp",
-            "bid",
-            "ask",
-            "spread",
-            "volume",
-            "volume_unit",
-            F.coalesce("sectors", F.array().cast("array<string>")).alias("sectors"),
-            F.coalesce("matched_terms", F.create_map().cast("map<string,array<string>>")).alias("matched_terms"),
-            "price_source",
-            "observed_at",
-            F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(default).alias("reasons"),
-            "quality_flags",
-        )
+    kept = labelled.filter((F.size("reasons") > 0) | (F.coalesce(F.size("topics"), F.lit(0)) > 0))
+    order = F.array_contains("reasons", MIDTERM_REASON).desc(), F.coalesce(F.abs("change_pp"), F.lit(0.0)).desc(), "first_pos"
+    return _sorted(kept, ordered, *order).select(
+        *IDENTITY,
+        "probability",
+        "change_pp",
+        "bid",
+        "ask",
+        "spread",
+        "volume",
+        "volume_unit",
+        F.coalesce("sectors", F.array().cast("array<string>")).alias("sectors"),
+        F.coalesce("matched_terms", F.create_map().cast("map<string,array<string>>")).alias("matched_terms"),
+        "price_source",
+        "observed_at",
+        F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(default).alias("reasons"),
+        "quality_flags",
     )
 
 
@@ -252,13 +253,13 @@ def topic_market_counts(rows: DataFrame) -> DataFrame:
     return _topic_counts(latest_snapshot(rows, ["platform", "market_id", "topics"]))
 
 
-def _topic_counts(latest: DataFrame) -> DataFrame:
-    return (
+def _topic_counts(latest: DataFrame, ordered: bool = True) -> DataFrame:
+    counts = (
         latest.filter(_has_identity()).select("k_platform", "k_market_id", F.explode("topics").alias("topic"))
         .groupBy("topic")
         .agg(F.countDistinct("k_platform", "k_market_id").alias("markets"))
-        .orderBy("topic")
     )
+    return _sorted(counts, ordered, "topic")
 
 
 def time_range(rows: DataFrame) -> DataFrame:
@@ -372,6 +373,42 @@ def _summary_of(sides: DataFrame, requested: bool, minimum_move_pp: float, wide_
     return row.select(F.lit(requested).alias("comparison_requested"), "*", *_thresholds(minimum_move_pp, wide_spread, limits))
 
 
+def marked_sides(rows: DataFrame, current: str, part: str) -> DataFrame:
+    """As :func:`both_sides`, from one table of both snapshots in which the boolean column ``current`` tells them apart.
+
+    All rows of a market share a value of the column ``part``. Where the rows already lie together by it, as after
+    a join on it, they are reduced where they lie: nothing is shuffled again, and no join of the sides is needed. Only rows
+    without identity, which many parts may hold, are brought together by a second reduction.
+    """
+    fields = {"": [c for c in _CURRENT_FIELDS if c != "row_pos"], "prev_": list(dict.fromkeys([*IDENTITY, *_PREVIOUS_FIELDS]))}
+    filled = with_key(_filled(rows.filter(F.col(current).isNotNull()), fields[""]))
+    # Each row is carried once; which side it counts for is decided in the reduction.
+    single = filled.select(
+        part, *KEY, *fields[""], "row_pos", F.col(current).alias("__now"), instant(F.col("observed_at")).alias("__at")
+    )
+    of = {"": F.col("__now"), "prev_": ~F.col("__now")}
+    first, again = [], []
+    for p, mine in of.items():
+        pos, at = F.when(mine, F.col("row_pos")), F.when(mine, F.col("__at"))
+        row, copies = F.struct(*fields[p]), F.when(mine, F.lit(1))
+        for name, of_rows, of_parts in (
+            ("row", F.max_by(row, pos), F.max_by(f"{p}row", f"{p}last")), ("last", F.max(pos), F.max(f"{p}last")),
+            ("first_pos", F.min(pos), F.min(f"{p}first_pos")), ("copies", F.sum(copies), F.sum(f"{p}copies")),
+            ("earliest", F.min(at), F.min(f"{p}earliest")), ("latest", F.max(at), F.max(f"{p}latest")),
+        ):
+            first.append(of_rows.alias(f"{p}{name}"))
+            again.append(of_parts.alias(f"{p}{name}"))
+    reduced = single.groupBy(part, *KEY).agg(*first)
+    loose = reduced.filter(~_has_identity()).groupBy(*KEY).agg(*again)
+    sides = reduced.filter(_has_identity()).drop(part).unionByName(loose)
+    return sides.select(
+        *KEY,
+        *[F.col(f"{p}row")[c].alias(f"{p}{c}") for p in of for c in fields[p]],
+        *[f"{p}{c}" for p in of for c in ("copies", "earliest", "latest")],
+        "first_pos",
+    )
+
+
 def analyze(
     current: DataFrame,
     previous: DataFrame | None = None,
@@ -383,24 +420,57 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """All report tables, from one comparison of both sides.
 
-    The comparison (:func:`both_sides`) is written once, to ``compared_path`` or below the shared folder,
+    The comparison of :func:`both_sides` is judged and written once, to ``compared_path`` or below the shared folder,
     and every report reads it back; each snapshot is scanned once however many reports are used.
     """
-    requested = previous is not None
-    sides = stored(both_sides(current, previous), compared_path)
-    ours = sides.filter(F.col("copies").isNotNull())
-    compared = _judged(ours, wide_spread, thin_volume)
-    gone = sides.filter(F.col("copies").isNull()).select(*KEY, *[F.col(f"prev_{c}").alias(c) for c in IDENTITY])
-    fresh = ours.filter(F.col("prev_copies").isNull() & F.lit(requested)).select(*KEY, *IDENTITY)
+    return _reports(both_sides(current, previous), previous is not None, minimum_move_pp, wide_spread, thin_volume, compared_path, True)
+
+
+def analyze_marked(
+    rows: DataFrame,
+    current: str,
+    part: str,
+    *,
+    minimum_move_pp: float = MINIMUM_MOVE_PP,
+    wide_spread: float = WIDE_SPREAD,
+    thin_volume: Mapping[str, float] | None = None,
+    compared_path: str | None = None,
+    ordered: bool = True,
+) -> dict[str, DataFrame]:
+    """As :func:`analyze`, from one table of both snapshots; see :func:`marked_sides`.
+
+    With ``ordered`` off the reports are not sorted, which spares a shuffle of each where its rows are only stored on.
+    """
+    return _reports(marked_sides(rows, current, part), True, minimum_move_pp, wide_spread, thin_volume, compared_path, ordered)
+
+
+def _reports(
+    sides: DataFrame,
+    requested: bool,
+    minimum_move_pp: float,
+    wide_spread: float,
+    thin_volume: Mapping[str, float] | None,
+    compared_path: str | None,
+    ordered: bool,
+) -> dict[str, DataFrame]:
+    # The identity is that of the side there is; of the previous row only what a report shows is written.
+    gone = F.col("copies").isNull()
+    shown = sides.withColumns({c: F.when(gone, F.col(f"prev_{c}")).otherwise(F.col(c)) for c in IDENTITY})
+    more = [F.col(c) for c in ("prev_copies", "earliest", "latest", "prev_earliest", "prev_latest")]
+    # The prices of a row that is gone are null, so nothing of it is judged but what the filters below leave out.
+    judged = _judged(shown, wide_spread, thin_volume, more)
+    table = stored(judged if ordered else judged.drop("first_pos"), compared_path, tidy=True)
+    compared = table.filter(F.col("copies").isNotNull())
+    fresh = compared.filter(F.col("prev_copies").isNull() & F.lit(requested))
     return {
-        "summary": _summary_of(sides, requested, minimum_move_pp, wide_spread, thin_volume or THIN_VOLUME),
-        "changes": changes(compared),
+        "summary": _summary_of(table, requested, minimum_move_pp, wide_spread, thin_volume or THIN_VOLUME),
+        "changes": changes(compared, ordered=ordered),
         "skipped_comparisons": skipped_comparisons(compared),
-        "watchlist": watchlist(compared, minimum_move_pp=minimum_move_pp, comparison_requested=requested),
-        "topic_market_counts": _topic_counts(ours),
-        "new_coverage": fresh.orderBy(*KEY).select(*IDENTITY),
-        "disappeared_coverage": gone.orderBy(*KEY).select(*IDENTITY),
-        "interpretation": current.sparkSession.createDataFrame(list(enumerate(INTERPRETATION)), "pos INT, caveat STRING"),
+        "watchlist": watchlist(compared, minimum_move_pp=minimum_move_pp, comparison_requested=requested, ordered=ordered),
+        "topic_market_counts": _topic_counts(compared, ordered),
+        "new_coverage": _sorted(fresh, ordered, *KEY).select(*IDENTITY),
+        "disappeared_coverage": _sorted(table.filter(F.col("copies").isNull()), ordered, *KEY).select(*IDENTITY),
+        "interpretation": sides.sparkSession.createDataFrame(list(enumerate(INTERPRETATION)), "pos INT, caveat STRING"),
     }
 
 
