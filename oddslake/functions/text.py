@@ -27,6 +27,8 @@ def _arrow_text(change: Callable[[str], str]) -> Callable[[Column], Column]:
     """A text function over Arrow batches; it is sent by value, so workers need no package."""
 
     def run(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return pa.nulls(len(texts), pa.string())
         return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")

@@ -274,7 +274,11 @@ def normalize_kalshi(
     used = [c for c in numbered.columns if c != "__own_ask" and not c.startswith(tuple(f"__{x}" for x in (*PRICE_FIELDS, *SIZE_FIELDS, "keyed")))]
     quoted = fenced(numbered.select(*used, *[c.alias(name) for name, c in prices.items()]), "row_pos", "observed_at")
     bid, ask, last = F.col("bid"), F.col("ask"), F.col("__last")
-    spread, book_flag = book_flags(bid, ask)
+    _, book_flag = book_flags(bid, ask)
+    # Decimal forms serve the spread and the midpoint, which both take an uncrossed book.
+    exact_bid, exact_ask = (F.when(bid <= ask, exact(side)) for side in (bid, ask))
+    spread = (F.col("__exact_ask") - F.col("__exact_bid")).cast("double")
+    middle = ((F.col("__exact_bid") + F.col("__exact_ask")) * F.lit("0.5").cast("decimal(2,1)")).cast("double")
     two_sided = F.col("spread").isNotNull()
     appended = (F.col("__subtitle") != "") & ~F.contains(casefold(F.col("__title")), casefold(F.col("__subtitle")))
     source = (
@@ -284,13 +288,15 @@ def normalize_kalshi(
         .when(last.isNotNull(), F.lit("last_trade"))
     )
     rows = (
-        quoted.withColumn("spread", spread)
+        quoted.withColumn("__exact_bid", exact_bid)
+        .withColumn("__exact_ask", exact_ask)
+        .withColumn("spread", spread)
         .withColumn("__book_flag", book_flag)
         .withColumn("price_source", source)
         .withColumn(
             "probability",
             F.when(F.col("price_source") == "settlement_result", (F.col("__result") == "yes").cast("double"))
-            .when(F.col("price_source") == "yes_book_midpoint", midpoint(bid, ask))
+            .when(F.col("price_source") == "yes_book_midpoint", middle)
             .when(F.col("price_source") == "last_trade", last),
         )
         .withColumn("title", F.when(appended, F.concat_ws(" — ", "__title", "__subtitle")).otherwise(F.col("__title")))

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from oddslake.functions import latest_by, salted_join
+from oddslake.functions import casefold, latest_by, nfkc, salted_join
 from oddslake.operators import books, discover, timewindows
 from oddslake.operators.normalize import normalize_kalshi
 from oddslake.plans.normalize_queries import price_sources
@@ -95,3 +95,12 @@ def test_keys_that_are_present_as_null_still_count(candidates):
     rows = normalize_kalshi(candidates(*[(p, None, None) for p in payloads]), labels=False).orderBy("row_pos").collect()
     assert [(r["bid"], r["ask"]) for r in rows] == [(None, 0.6), (0.4, 0.6), (None, None), (None, 0.7), (None, None), (None, 0.75)]
     assert [r["market_type"] for r in rows] == ["binary"] * 4 + [None, "binary"]
+
+
+def test_batches_without_other_than_ascii_texts_are_handed_back_at_once(spark):
+    """The folding function gets nulls for ASCII texts; mixed and empty batches keep their places."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Straße", None, "ASCII", "ＡＢ", ""])], "i INT, t STRING")
+    folded = rows.select("i", casefold(F.col("t")).alias("c"), nfkc(F.col("t")).alias("n"))
+    want = [("strasse", "Straße"), (None, None), ("ascii", "ASCII"), ("ａｂ", "AB"), ("", "")]
+    assert [(r["c"], r["n"]) for r in folded.orderBy("i").collect()] == want
+    assert folded.filter("i IN (1, 2, 4)").orderBy("i").collect() == [r for r in folded.orderBy("i").collect() if r["i"] in (1, 2, 4)]
